@@ -41,7 +41,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     d = d.withColumn("level", level)
     # the first source, by ratio, that the level of those from it on doesn't fill sets the level for all
-    d = d.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
+    d = d.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"])
     return d.select("source", "source_size", "weight", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
 
 
