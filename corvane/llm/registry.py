@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from corvane.llm import langid, mixing, quality, secrets
+from corvane.llm import langid, mixing, ngram_join, quality, secrets, substring_dedup
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
     "op2_language_id": langid.op2,
+    "op3_suffix_dedup": substring_dedup.op3,
+    "op4_ngram_join": ngram_join.op4,
     "op8_source_mixing": mixing.op8,
     "op10_secret_scan": secrets.op10,
 }
