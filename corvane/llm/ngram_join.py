@@ -4,7 +4,7 @@ Documents with equal shingle sets form a class, stood for by its smallest doc_id
 first (by a bounded table of hashed document frequencies over all documents) and posts a prefix that any partner must
 share. A prefix shingle that several classes post names a group by the smallest class it holds; each class is sent once
 to each group it is named in, by bands of length, and pairs are verified there, on whole sets, in blocks of bounded
-size. A spanning forest of the links goes on to the components, so a group of near copies never becomes all its pairs.
+size. A group whose own name is in an earlier group goes into that one, so a class is sent to few. A spanning forest of the links goes on to the components, so a group of near copies never becomes all its pairs.
 
 Rows with equal doc_id count as one document. Null and empty texts, and texts of white space, have no shingle and link
 with nothing. Null ids form no links. An empty table gives no rows. Extra columns are ignored.
@@ -29,6 +29,8 @@ CELLS = 1 << 20
 CELL_BLOCK = 1 << 14
 #: Most members of a group that meet in one task.
 BLOCK = 1024
+#: Bits of the map of documents that are sent to a group.
+BITMAP = 1 << 23
 #: Bytes of text hashed at a time.
 SLICE = 1_000_000
 
@@ -98,8 +100,9 @@ def _passes(x: np.ndarray, y: np.ndarray, cells: tuple[np.ndarray, np.ndarray],
     return (len(x) + len(y) - np.abs(cells[0] - cells[1]).sum()) // 2 >= need
 
 
-def _linked(sets: list[np.ndarray], other: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Linked pairs (i, j) with i < j; where `other` is given, only pairs of a False and a True."""
+def _linked(sets: list[np.ndarray], other: np.ndarray, guest: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Linked pairs (i, j) with i < j, guests with guests left out; where `other` has both values, only pairs of a False and a True."""
+    two = other.any() and not other.all()
     sizes = np.array([len(s) for s in sets])
     if len(sets) <= 24:
         cells = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64) for s in sets]
@@ -107,7 +110,7 @@ def _linked(sets: list[np.ndarray], other: np.ndarray, percent: int) -> Iterator
             place = None
             for j in range(i + 1, len(sets)):
                 small, large = sorted((len(x), len(sets[j])))
-                if 100 * small < percent * large or (other.any() and other[i] == other[j]):
+                if 100 * small < percent * large or (guest[i] and guest[j]) or (two and other[i] == other[j]):
                     continue
                 if place is None:
                     place = {v: k for k, v in enumerate(x)}
@@ -130,7 +133,8 @@ def _linked(sets: list[np.ndarray], other: np.ndarray, percent: int) -> Iterator
         part[row[a:b], column[a:b] - start] = 1
         common += part @ part.T
     ok = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    if other.any():
+    ok &= ~(guest[:, None] & guest[None, :])
+    if two:
         ok &= other[:, None] != other[None, :]
     i, j = np.nonzero(np.triu(ok, 1))
     yield from zip(i.tolist(), j.tolist(), strict=True)
@@ -182,20 +186,34 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, keep: tuple
     posted = raw.select("doc_id", "raw").where("doc_id is not null").mapInArrow(prefixed, "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>")
     classes = checkpointed(posted.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix")))
     entries = classes.select("rep", "n_shingles", "s1", "s2", F.explode("prefix").alias("h"))
-    named = entries.groupBy("h").agg(F.min("rep").alias("label"), F.max("rep").alias("last")).where("label < last").select("h", "label")
-    # any two classes within the length filter share band k or have neighbouring bands
+    named = entries.groupBy("h").agg(F.min("rep").alias("label"), F.count("*").alias("n")).where("n > 1").select("h", "label")
+    joined = checkpointed(entries.join(named, "h").groupBy("label", "rep", "s1", "s2").agg(F.first("n_shingles").alias("n_shingles")))
+    earlier = joined.groupBy(F.col("rep").alias("label")).agg(F.min("label").alias("earlier"))
+    merged = joined.join(earlier, "label").groupBy(F.col("earlier").alias("label"), "rep", "s1", "s2").agg(F.first("n_shingles").alias("n_shingles"))
+    # Two classes within the length filter share a band or have neighbouring ones; a class goes to its own, and to the
+    # next as a guest. Guests are not compared with each other there.
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(percent / 100) * (1 + 1e-9))).cast("int")
-    sent = entries.join(named, "h").groupBy("label", "rep", "s1", "s2").agg(F.first("n_shingles").alias("n_shingles")).withColumn("band", F.explode(F.array(band, band + 1)))
-    sent = checkpointed(sent.select("label", "band", "rep", "s1", "s2"))
-    crowd = sent.groupBy("label", "band").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("label", "band", "blocks")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = (
+    sent = checkpointed(merged.select("label", "rep", "s1", "s2", F.posexplode(F.array(band, band + 1)).alias("guest", "band")))
+    crowd = sent.groupBy("label", "band").agg(F.count("*").alias("n"), F.min("guest").alias("first")).where("n > 1 and first = 0").select("label", "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = checkpointed(
         sent.join(crowd, ["label", "band"])
-        .withColumn("own", own)
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("rep", "s1", "s2", F.struct("label", "band", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), (F.col("own") > F.col("with")).alias("upper")).alias("to"))
+        .select("rep", "s1", "s2", F.struct("label", "band", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), (F.col("own") > F.col("with")).alias("upper"), (F.col("guest") == 1).alias("guest")).alias("to"))
         .groupBy("rep", "s1", "s2").agg(F.collect_list("to").alias("to"))  # as many as a set has prefix shingles, at most, by two bands and blocks
     )
+    # A bitmap of fixed size keeps most documents that aren't sent anywhere out of the next shuffle.
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)).cast("long")
+    marks = np.zeros((BITMAP // 32768, 4096), np.uint8)
+    for r in placed.select((cell("rep") + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect():
+        marks[r["k"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    bitmap = spark.sparkContext.broadcast(np.unpackbits(marks.ravel(), bitorder="little").astype(bool))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bitmap.value[batch.column("cell").to_numpy()])).select(["rep", "raw"])
+
+    candidates = raw.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "raw", cell("doc_id").alias("cell")).mapInArrow(marked, "rep long, raw binary")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,19 +225,19 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, keep: tuple
                 same = (s1 == part.column("s1").to_numpy()) & (s2 == part.column("s2").to_numpy())  # rows with equal ids may differ in text
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("to"), _listed(_rare_first(h, sizes, table.value), sizes)], names=["rep", "to", "members"]).filter(pa.array(same))
 
-    to = "array<struct<label:long,band:int,low:int,high:int,upper:boolean>>"
-    sets = placed.join(raw.select(F.col("doc_id").alias("rep"), "raw"), "rep").select("rep", "s1", "s2", "to", "raw").mapInArrow(with_sets, f"rep long, to {to}, members array<long>")
+    to = "array<struct<label:long,band:int,low:int,high:int,upper:boolean,guest:boolean>>"
+    sets = placed.join(candidates, "rep").select("rep", "s1", "s2", "to", "raw").mapInArrow(with_sets, f"rep long, to {to}, members array<long>")
     sets = sets.select("rep", "members", F.explode("to").alias("to")).select("to.*", "rep", "members")
 
     def verified(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
-        rep, upper = t.column("rep").to_numpy(), t.column("upper").to_numpy()
+        rep, upper, guest = (t.column(c).to_numpy() for c in ("rep", "upper", "guest"))
         order = np.lexsort((upper, rep))
         order = order[np.concatenate([[True], np.diff(rep[order]) != 0])]
         lists = t.column("members").combine_chunks()
         flat, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
         members = [flat[at[i] : at[i + 1]] for i in order]
-        root = _forest(len(order), _linked(members, upper[order], percent))
+        root = _forest(len(order), _linked(members, upper[order], guest[order], percent))
         found = [(rep[order[i]], rep[order[r]]) for i, r in enumerate(root) if r != i]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
