@@ -70,3 +70,16 @@ def parts_for(df: DataFrame, mb: int = 24) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(1 << 20, size // (mb << 20) + 1)) if size < 1 << 50 else least
+
+
+def packed(columns: dict[str, pa.Array]) -> bytes:
+    """Many rows as one compressed value, to shuffle them together."""
+    batch = pa.RecordBatch.from_pydict(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(value: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(value.as_buffer()).read_all()

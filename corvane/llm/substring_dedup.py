@@ -21,26 +21,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import parts_for, ragged, slices
+from corvane.llm.common import packed, parts_for, ragged, slices, unpacked
 from corvane.llm.shingles import mix
 from corvane.llm.suffix import SuffixArray
 
 WIDTH, SEED = 50, 20
 LAST_ID = (1 << 63) - 1
 #: Bytes of text, and of contexts, worked on at a time.
-SLICE, CONTEXTS = 1_000_000, 1_000_000
+SLICE, CONTEXTS = 1_000_000, 500_000
 _BYTE = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = 0x5851F42D4C957F2D
 
 
-def anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: anchors' text, place in it, and hash."""
+def anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: anchors' text, place in it and hash, and begin and end of the strings of WIDTH bytes that have it as their anchor."""
     lengths = np.array([len(r) for r in raws], np.int64)
     begins = np.cumsum(lengths) - lengths
     buf = np.frombuffer(b"".join(raws), np.uint8)
     n = len(buf) - WIDTH + 1
+    none = np.zeros(0, np.int64)
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none, none
     grams, power, width = {1: _BYTE[buf]}, _STEP, 1
     while width < 16:
         x = grams[width]
@@ -57,11 +58,14 @@ def anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = np.where(right, least[step:], least[:-step])
         width += step
     doc = np.repeat(np.arange(len(raws)), lengths)[:n]
-    inside = np.arange(n) + WIDTH <= (begins + lengths)[doc]
-    at = place[:n][inside]
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    of = np.searchsorted(begins, at, "right") - 1
-    return of, at - begins[of], value[at]
+    start = np.flatnonzero(np.arange(n) + WIDTH <= (begins + lengths)[doc])
+    at = place[:n][start]
+    if not len(at):
+        return none, none, np.zeros(0, np.uint64), none, none
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.concatenate([first[1:], [len(at)]]) - 1
+    at, of = at[first], doc[start[first]]
+    return of, at - begins[of], value[at], start[first] - begins[of], start[last] + WIDTH - begins[of]
 
 
 def _documents(t: pa.Table) -> tuple[np.ndarray, list[bytes], list[int | None]]:
@@ -70,18 +74,18 @@ def _documents(t: pa.Table) -> tuple[np.ndarray, list[bytes], list[int | None]]:
     return np.array([x[0] for x in rows], np.int64), [x[1] for x in rows], [x[2] for x in rows]
 
 
-def _posted(ids: np.ndarray, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All anchors of a part: hash, row, place; sorted by hash, row, place. Last: is this the first with its hash."""
-    found = []
+def _posted(raws: list[bytes]) -> tuple[np.ndarray, ...]:
+    """All anchors of a part, sorted by hash, row and place: hash, row, place, begin, end; is it the first with its hash."""
+    found = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 2]
     for a, b in slices([len(r) for r in raws], SLICE):
-        of, at, value = anchors(raws[a:b])
-        found.append((value, of + a, at))
-    value, of, at = (np.concatenate([f[i] for f in found]) for i in range(3)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        of, *rest = anchors(raws[a:b])
+        found.append([of + a, *rest])
+    of, at, value, begin, end = (np.concatenate([f[i] for f in found]) for i in range(5))
     order = np.lexsort((at, of, value))
-    value, of, at = value[order], of[order], at[order]
+    value = value[order]
     new = np.ones(len(value), bool)
     new[1:] = value[1:] != value[:-1]
-    return value, of, at, new
+    return value, of[order], at[order], begin[order], end[order], new
 
 
 def windows_of_earlier(strings: list[bytes], ids: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -109,7 +113,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def post(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, raws, _ = _documents(pa.Table.from_batches(batches))
-        value, of, _, new = _posted(ids, raws)
+        value, of, _, _, _, new = _posted(raws)
         if not len(value):
             return
         heads = np.flatnonzero(new)
@@ -141,74 +145,75 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def contexts(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         ids, raws, _ = _documents(left)
-        value, of, at, new = _posted(ids, raws)
+        value, of, at, begin, end, new = _posted(raws)
         by_bucket = sorted(zip(right.column("bucket").to_pylist(), right.column("flags"), right.column("n").to_pylist(), strict=True), key=lambda x: x[0])
         shared = np.concatenate([np.unpackbits(np.frombuffer(f.as_buffer(), np.uint8), count=n) for _, f, n in by_bucket]).astype(bool) if by_bucket else np.zeros(0, bool)
         keep = np.flatnonzero(shared[np.cumsum(new) - 1]) if len(value) else np.zeros(0, np.int64)
-        seen: dict[tuple[bytes, int], list] = {}
-        for v, o, p in zip(value[keep].tolist(), of[keep].tolist(), at[keep].tolist(), strict=True):
-            low = max(0, p - (WIDTH - SEED))
-            where = (raws[o][low : p + WIDTH], p - low)
-            if where not in seen:
-                seen[where] = [v, ids[o], 0, []]
-            one = seen[where]
-            one[2] += ids[o] == one[1]
-            one[3] += (o, low)
-        hashes = np.array([x[0] for x in seen.values()], np.uint64)
-        return pa.table(
-            [
-                pa.array(bucket_of(mix(hashes))), pa.array([key[0].as_py()] * len(seen), pa.int32()), pa.array(hashes.view(np.int64)), pa.array([k[1] for k in seen], pa.int32()), pa.array([k[0] for k in seen], pa.binary()),
-                pa.array([x[1] for x in seen.values()], pa.int64()), pa.array([x[2] for x in seen.values()], pa.int32()), pa.array([np.array(x[3], np.int32).tobytes() for x in seen.values()], pa.binary()),
-            ],
-            names=["bucket", "part", "hash", "lead", "context", "doc_id", "own", "places"],
-        )
-
-    sent = parts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(contexts, "bucket int, part int, hash long, lead int, context binary, doc_id long, own int, places binary")
+        to = bucket_of(mix(value[keep]))
+        keep = keep[np.argsort(to, kind="stable")]
+        to.sort()
+        rows: list[tuple[int, bytes]] = []
+        for some in np.split(keep, np.flatnonzero(np.diff(to)) + 1) if len(keep) else []:
+            seen: dict[tuple[int, int, bytes], list] = {}
+            for v, o, p, a, b in zip(value[some].tolist(), of[some].tolist(), at[some].tolist(), begin[some].tolist(), end[some].tolist(), strict=True):
+                one = seen.setdefault((v, p - a, raws[o][a:b]), [ids[o], 0, []])  # the smallest id comes first
+                one[1] += ids[o] == one[0]
+                one[2] += (o, a)
+            columns = {
+                "hash": pa.array([k[0] for k in seen], pa.uint64()), "lead": pa.array([k[1] for k in seen], pa.uint8()), "context": pa.array([k[2] for k in seen], pa.binary()),
+                "doc_id": pa.array([x[0] for x in seen.values()], pa.int64()), "own": pa.array([x[1] for x in seen.values()], pa.int32()), "places": pa.array([x[2] for x in seen.values()], pa.list_(pa.int32())),
+            }
+            rows.append((int(bucket_of(mix(value[some[:1]]))[0]), packed(columns)))
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "part", "rows"])
+
+    sent = parts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(contexts, "bucket int, part int, rows binary")
 
     def resolve(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches)
-        hashes, ids, lead, context = t.column("hash").to_numpy(), t.column("doc_id").to_numpy(), t.column("lead").to_numpy(), t.column("context").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (hashes[i], lead[i], context[i], ids[i]))
-        full = np.array([(1 << max(0, len(c) - WIDTH + 1)) - 1 for c in context], np.int64)
-        masks, head = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)  # head: of its context the smallest id
-        for a, b in zip(order, order[1:], strict=False):
-            head[b] = (hashes[a], lead[a], context[a]) != (hashes[b], lead[b], context[b])
-        least = None
-        for i in order:
-            if head[i]:
-                least = ids[i]
-            elif ids[i] > least:
-                masks[i] = full[i]
-        first = np.array([i for i in order if head[i]], np.int64)
+        tables = [(p.as_py(), unpacked(r)) for batch in batches for p, r in zip(batch.column("part"), batch.column("rows"), strict=True)]
+        t = pa.concat_tables([x for _, x in tables])
+        hashes, ids, context = t.column("hash").to_numpy(), t.column("doc_id").to_numpy(), t.column("context").to_pylist()
+        same = np.fromiter(map(hash, zip(t.column("lead").to_pylist(), context, strict=True)), np.int64, len(ids))
+        order = np.lexsort((ids, same, hashes))
+        head = np.ones(len(order), bool)  # of its context the smallest id
+        head[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (same[order[1:]] != same[order[:-1]])
+        group = np.cumsum(head) - 1
+        first = order[head]
+        full = (np.int64(1) << np.fromiter((len(c) - WIDTH + 1 for c in context), np.int64, len(ids))) - 1
+        # contexts that are alone with their hash have no other string in common with a smaller id
         h = hashes[first]
-        several = np.concatenate([[False], h[1:] == h[:-1]]) | np.concatenate([h[1:] == h[:-1], [False]])
-        first = first[several]
-        groups = np.split(first, np.flatnonzero(np.diff(hashes[first])) + 1) if len(first) else []
-        for a, b in slices([sum(len(context[i]) for i in g) for g in groups], CONTEXTS):
-            rows = np.concatenate(groups[a:b])
-            masks[rows] |= windows_of_earlier([context[i] for i in rows], ids[rows])
-        # what the smallest id of a context loses, equal rows of that id in other parts lose too
-        own = 0
-        for i in order:
-            if head[i]:
-                own, least = masks[i], ids[i]
-            elif ids[i] == least:
-                masks[i] |= own
-        n_places = np.array([len(p.as_buffer()) // 8 for p in t.column("places")], np.int64)
-        some = np.flatnonzero((masks != 0) | (n_places > t.column("own").to_numpy()))
-        part = t.take(pa.array(some)).select(["part", "own", "places"])
-        for batch in part.append_column("mask", pa.array(masks[some])).append_column("full", pa.array(full[some])).to_batches():
-            yield batch
-
-    marks = sent.groupBy("bucket").applyInArrow(resolve, "part int, own int, places binary, mask long, full long")
+        several = np.zeros(len(first), bool)
+        several[1:] |= h[1:] == h[:-1]
+        several[:-1] |= h[1:] == h[:-1]
+        some = first[several]
+        found = np.zeros(len(first), np.int64)
+        at = np.flatnonzero(several)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(hashes[some])) + 1, [len(some)]]) if len(some) else np.zeros(1, np.int64)
+        sizes = np.add.reduceat(np.fromiter((len(context[i]) for i in some), np.int64, len(some)), cuts[:-1]) if len(some) else np.zeros(0, np.int64)
+        for a, b in slices(sizes.tolist(), CONTEXTS):
+            rows = some[cuts[a] : cuts[b]]
+            found[at[cuts[a] : cuts[b]]] = windows_of_earlier([context[i] for i in rows], ids[rows])
+        masks = np.zeros(len(ids), np.int64)
+        masks[order] = np.where(ids[order] > ids[first][group], full[order], found[group])
+        ends = np.cumsum([len(x) for _, x in tables])
+        out = []
+        for (_, x), end in zip(tables, ends.tolist(), strict=True):
+            own = slice(end - len(x), end)
+            x = x.select(["own", "places"]).append_column("mask", pa.array(masks[own])).append_column("full", pa.array(full[own]))
+            n_places = x.column("places").combine_chunks().value_lengths().to_numpy() // 2
+            x = x.filter(pa.array((masks[own] != 0) | (n_places > x.column("own").to_numpy())))
+            out.append(packed({c: x.column(c).combine_chunks() for c in x.column_names}))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in tables], pa.int32()), pa.array(out, pa.binary())], names=["part", "rows"])
+
+    marks = sent.groupBy("bucket").applyInArrow(resolve, "part int, rows binary")
 
     def cut(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         _, raws, given = _documents(left)
-        places = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2) for x in right.column("places")]
-        n = np.array([len(p) for p in places], np.int64)
-        flat = np.concatenate(places) if places else np.zeros((0, 2), np.int32)
+        marked = pa.concat_tables([unpacked(x) for x in right.column("rows")]) if right.num_rows else pa.table({"own": pa.array([], pa.int32()), "places": pa.array([], pa.list_(pa.int32())), "mask": pa.array([], pa.int64()), "full": pa.array([], pa.int64())})
+        places = marked.column("places").combine_chunks()
+        n = places.value_lengths().to_numpy() // 2
+        flat = places.flatten().to_numpy().reshape(-1, 2)
         within = ragged(np.zeros(len(n), np.int64), n)
-        mask = np.where(within < np.repeat(right.column("own").to_numpy(), n), np.repeat(right.column("mask").to_numpy(), n), np.repeat(right.column("full").to_numpy(), n))
+        mask = np.where(within < np.repeat(marked.column("own").to_numpy(), n), np.repeat(marked.column("mask").to_numpy(), n), np.repeat(marked.column("full").to_numpy(), n))
         order = np.argsort(flat[:, 0], kind="stable")
         flat, mask = flat[order].astype(np.int64), mask[order]
         out: dict[str, list] = {c: [] for c in ("n_removed", "n_spans", "kept", "spans")}
