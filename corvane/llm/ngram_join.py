@@ -3,8 +3,9 @@
 Documents with equal shingle sets form a class, stood for by its smallest doc_id. Each class sorts its shingles rarest
 first (by a bounded table of hashed document frequencies over all documents) and posts a prefix that any partner must
 share. A prefix shingle that several classes post names a group by the smallest class it holds; each class is sent once
-to each group it is named in, by bands of length, and pairs are verified there, on whole sets, in blocks of bounded
-size. A group whose own name is in an earlier group goes into that one, so a class is sent to few. A spanning forest of the links goes on to the components, so a group of near copies never becomes all its pairs.
+to each group it is named in, by bands of length, in blocks of bounded size: first a sketch of it, which the length
+and suffix filters need, then, if a pair of it is left, its whole set, on which the positional filter works and pairs
+are verified. A group whose own name is in an earlier group goes into that one, so a class is sent to few. A spanning forest of the links goes on to the components, so a group of near copies never becomes all its pairs.
 
 Rows with equal doc_id count as one document. Null and empty texts, and texts of white space, have no shingle and link
 with nothing. Null ids form no links. An empty table gives no rows. Extra columns are ignored.
@@ -88,16 +89,36 @@ def least_overlap(x: int, y: int, percent: int) -> int:
     return -(-percent * (x + y) // (100 + percent))
 
 
-def _passes(x: np.ndarray, y: np.ndarray, cells: tuple[np.ndarray, np.ndarray], need: int, places: tuple[dict, int]) -> bool:
-    """Positional and suffix filter of two rare-first sets: can they still have `need` members in common?"""
+def _sketch(h: np.ndarray) -> bytes:
+    """Members by range of hash: about half as many ranges as members, counts up to 255."""
+    bits = max(6, (len(h) - 1).bit_length() - 1)
+    return np.minimum(np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _survivors(sketches: list[bytes], sizes: np.ndarray, guest: np.ndarray, percent: int) -> np.ndarray:
+    """Which members have a partner within the length and suffix filters: sets of x and y members whose counts by range differ by d in all have (x + y - d) / 2 in common at most."""
+    width = min(map(len, sketches))
+    table = np.array([np.frombuffer(s, np.uint8).reshape(width, -1).sum(1) for s in sketches], np.int32)
+    keep = np.zeros(len(sizes), bool)
+    for i in range(len(sizes) - 1):
+        small, large = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
+        at = i + 1 + np.flatnonzero((100 * small >= percent * large) & ~(guest[i] & guest[i + 1 :]))
+        if len(at):
+            total = sizes[i] + sizes[at]
+            ok = at[(total - np.abs(table[at] - table[i]).sum(1)) // 2 >= -(-percent * total // (100 + percent))]
+            keep[ok] = True
+            keep[i] |= len(ok) > 0
+    return keep
+
+
+def _positional(x: np.ndarray, y: np.ndarray, need: int, places: tuple[dict, int]) -> bool:
+    """Can two rare-first sets, from their first common member in x's prefix on, still have `need` in common?"""
     place, prefix = places
-    for j in range(len(y)):
-        i = place.get(y[j])
+    for j, v in enumerate(y.tolist()):
+        i = place.get(v)
         if i is not None and i < prefix:
-            if 1 + min(len(x) - i, len(y) - j) - 1 < need:
-                return False
-            break
-    return (len(x) + len(y) - np.abs(cells[0] - cells[1]).sum()) // 2 >= need
+            return min(i, j) + min(len(x) - i, len(y) - j) >= need
+    return True
 
 
 def _linked(sets: list[np.ndarray], other: np.ndarray, guest: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
@@ -105,7 +126,6 @@ def _linked(sets: list[np.ndarray], other: np.ndarray, guest: np.ndarray, percen
     two = other.any() and not other.all()
     sizes = np.array([len(s) for s in sets])
     if len(sets) <= 24:
-        cells = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64) for s in sets]
         for i, x in enumerate(sets):
             place = None
             for j in range(i + 1, len(sets)):
@@ -113,9 +133,9 @@ def _linked(sets: list[np.ndarray], other: np.ndarray, guest: np.ndarray, percen
                 if 100 * small < percent * large or (guest[i] and guest[j]) or (two and other[i] == other[j]):
                     continue
                 if place is None:
-                    place = {v: k for k, v in enumerate(x)}
+                    place = {v: k for k, v in enumerate(x.tolist())}
                 need = least_overlap(len(x), len(sets[j]), percent)
-                if _passes(x, sets[j], (cells[i], cells[j]), need, (place, len(x) - -(-percent * len(x) // 100) + 1)) and np.isin(sets[j], x, assume_unique=True).sum() >= need:
+                if _positional(x, sets[j], need, (place, len(x) - -(-percent * len(x) // 100) + 1)) and np.isin(sets[j], x, assume_unique=True).sum() >= need:
                     yield i, j
         return
     flat = np.concatenate(sets)
@@ -184,12 +204,14 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, keep: tuple
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in raw.drop("raw").schema)
     rows = raw.mapInArrow(summed, f"{fields}n_shingles long, s1 long, s2 long")
     posted = raw.select("doc_id", "raw").where("doc_id is not null").mapInArrow(prefixed, "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>")
-    classes = checkpointed(posted.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix")))
-    entries = classes.select("rep", "n_shingles", "s1", "s2", F.explode("prefix").alias("h"))
+    classes = checkpointed(rows.where("doc_id is not null and n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    prefixes = posted.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"))
+    entries = prefixes.select("rep", F.explode("prefix").alias("h"))
     named = entries.groupBy("h").agg(F.min("rep").alias("label"), F.count("*").alias("n")).where("n > 1").select("h", "label")
-    joined = checkpointed(entries.join(named, "h").groupBy("label", "rep", "s1", "s2").agg(F.first("n_shingles").alias("n_shingles")))
+    shared = checkpointed(entries.join(named, "h").select("label", "rep").distinct())
+    joined = shared.join(classes, "rep")
     earlier = joined.groupBy(F.col("rep").alias("label")).agg(F.min("label").alias("earlier"))
-    merged = joined.join(earlier, "label").groupBy(F.col("earlier").alias("label"), "rep", "s1", "s2").agg(F.first("n_shingles").alias("n_shingles"))
+    merged = joined.join(earlier, "label").select(F.col("earlier").alias("label"), "rep", "s1", "s2", "n_shingles").distinct()
     # Two classes within the length filter share a band or have neighbouring ones; a class goes to its own, and to the
     # next as a guest. Guests are not compared with each other there.
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(percent / 100) * (1 + 1e-9))).cast("int")
@@ -202,31 +224,60 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, keep: tuple
         .select("rep", "s1", "s2", F.struct("label", "band", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), (F.col("own") > F.col("with")).alias("upper"), (F.col("guest") == 1).alias("guest")).alias("to"))
         .groupBy("rep", "s1", "s2").agg(F.collect_list("to").alias("to"))  # as many as a set has prefix shingles, at most, by two bands and blocks
     )
-    # A bitmap of fixed size keeps most documents that aren't sent anywhere out of the next shuffle.
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)).cast("long")
-    marks = np.zeros((BITMAP // 32768, 4096), np.uint8)
-    for r in placed.select((cell("rep") + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect():
-        marks[r["k"] - 1] = np.frombuffer(r["bits"], np.uint8)
-    bitmap = spark.sparkContext.broadcast(np.unpackbits(marks.ravel(), bitorder="little").astype(bool))
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    listed = raw.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "raw")
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        """some (rep, ...) with the texts; a bitmap of fixed size keeps most other documents out of the shuffle."""
+        cell = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)).cast("long")
+        marks = np.zeros((BITMAP // 32768, 4096), np.uint8)
+        for r in some.select((cell("rep") + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect():
+            marks[r["k"] - 1] = np.frombuffer(r["bits"], np.uint8)
+        bitmap = spark.sparkContext.broadcast(marks.ravel())
+
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column("cell").to_numpy()
+                yield batch.filter(pa.array((bitmap.value[at >> 3] >> (at & 7)) & 1 == 1)).select(["rep", "raw"])
+
+        return some.join(listed.withColumn("cell", cell("rep")).mapInArrow(marked, "rep long, raw binary"), "rep")
+
+    to = "array<struct<label:long,band:int,low:int,high:int,upper:boolean,guest:boolean>>"
+    group = ["label", "band", "low", "high"]
+
+    def sets_of(part: pa.RecordBatch, raws: list[bytes]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        """The rows whose text has the signature asked for (rows with equal ids may differ in text), and their sets."""
+        h, sizes = shingle_sets(raws, n)
+        s1, s2 = _signatures(h, sizes)
+        same = (s1 == part.column("s1").to_numpy()) & (s2 == part.column("s2").to_numpy())
+        return part.filter(pa.array(same)), h[np.repeat(same, sizes)], sizes[same]
+
+    def with_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(bitmap.value[batch.column("cell").to_numpy()])).select(["rep", "raw"])
+            raws = as_bytes(batch.column("raw"))
+            for a, b in slices([len(r) for r in raws], SLICE):
+                part, h, sizes = sets_of(batch.slice(a, b - a), raws[a:b])
+                sketches = [_sketch(x) for x in np.split(h, np.cumsum(sizes)[:-1])] if len(sizes) else []
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "s1", "s2", "to")), pa.array(sizes), pa.array(sketches, pa.binary())], names=["rep", "s1", "s2", "to", "size", "sketch"])
 
-    candidates = raw.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "raw", cell("doc_id").alias("cell")).mapInArrow(marked, "rep long, raw binary")
+    sketched = texts_of(placed).select("rep", "s1", "s2", "to", "raw").mapInArrow(with_sketches, f"rep long, s1 long, s2 long, to {to}, size long, sketch binary")
+    sketched = sketched.select("rep", "s1", "s2", "size", "sketch", F.explode("to").alias("to")).select("to.*", "rep", "s1", "s2", "size", "sketch")
+
+    def screened(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        keep = _survivors([x.as_py() for x in t.column("sketch")], t.column("size").to_numpy(), t.column("guest").to_numpy(), percent)
+        yield from t.filter(pa.array(keep)).drop_columns(["size", "sketch"]).to_batches()
+
+    left = sketched.groupBy(*group).applyInArrow(screened, "label long, band int, low int, high int, upper boolean, guest boolean, rep long, s1 long, s2 long")
+    left = checkpointed(left.groupBy("rep", "s1", "s2").agg(F.collect_list(F.struct("label", "band", "low", "high", "upper", "guest")).alias("to")))
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = as_bytes(batch.column("raw"))
             for a, b in slices([len(r) for r in raws], SLICE):
-                part = batch.slice(a, b - a)
-                h, sizes = shingle_sets(raws[a:b], n)
-                s1, s2 = _signatures(h, sizes)
-                same = (s1 == part.column("s1").to_numpy()) & (s2 == part.column("s2").to_numpy())  # rows with equal ids may differ in text
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("to"), _listed(_rare_first(h, sizes, table.value), sizes)], names=["rep", "to", "members"]).filter(pa.array(same))
+                part, h, sizes = sets_of(batch.slice(a, b - a), raws[a:b])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("to"), _listed(_rare_first(h, sizes, table.value), sizes)], names=["rep", "to", "members"])
 
-    to = "array<struct<label:long,band:int,low:int,high:int,upper:boolean,guest:boolean>>"
-    sets = placed.join(candidates, "rep").select("rep", "s1", "s2", "to", "raw").mapInArrow(with_sets, f"rep long, to {to}, members array<long>")
+    sets = texts_of(left).select("rep", "s1", "s2", "to", "raw").mapInArrow(with_sets, f"rep long, to {to}, members array<long>")
     sets = sets.select("rep", "members", F.explode("to").alias("to")).select("to.*", "rep", "members")
 
     def verified(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +292,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, keep: tuple
         found = [(rep[order[i]], rep[order[r]]) for i, r in enumerate(root) if r != i]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    links = sets.groupBy("label", "band", "low", "high").applyInArrow(verified, "a long, b long")
+    links = sets.groupBy(*group).applyInArrow(verified, "a long, b long")
     found = components(links).withColumnRenamed("node", "rep")
     of_class = classes.select("s1", "s2", "n_shingles", "rep").join(found, "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     own_id = F.coalesce("component_id", F.col("doc_id"))
