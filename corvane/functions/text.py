@@ -104,7 +104,7 @@ def repository_name(reference: Column) -> Column:
 
 def branch_names(branches: Column) -> Column:
     """FLT-06: trimmed, without blanks, ordered distinct."""
-    return F.array_distinct(F.filter(F.transform(branches, F.trim), lambda b: b != ""))
+    return F.array_distinct(F.filter(F.transform(branches, lambda b: F.trim(b)), lambda b: b != ""))
 
 
 def default_first(default: Column, branches: Column) -> Column:
@@ -142,7 +142,7 @@ def search_query(title: Column, statement: Column, apis: Column, context: Column
 def query_terms(symbols: Column, apis: Column, text: Column, most: int = 12) -> Column:
     """RET-16: symbols, API names, then identifiers of three or more characters without stop words; the first spelling of each, `most` at most."""
     words = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0)), lambda w: ~F.lower(w).isin(*QUERY_STOP_WORDS))
-    terms = F.filter(F.transform(F.concat(symbols, apis, words), F.trim), lambda t: F.length(t) >= 3)
+    terms = F.filter(F.transform(F.concat(symbols, apis, words), lambda t: F.trim(t)), lambda t: F.length(t) >= 3)
     lowered = F.transform(terms, F.lower)
     first = F.filter(terms, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
     return F.slice(first, 1, most)
@@ -177,7 +177,7 @@ def model_patch(response: Column) -> Column:
 
 def touched_paths(patch: Column) -> Column:
     """FLT-13: files a patch writes, ordered distinct, without /dev/null."""
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(patch, F.lit(r"(?m)^\+\+\+ (?:b/)?([^\t\r\n]+)"), F.lit(1)), F.trim), lambda p: p != "/dev/null"))
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(patch, F.lit(r"(?m)^\+\+\+ (?:b/)?([^\t\r\n]+)"), F.lit(1)), lambda p: F.trim(p)), lambda p: p != "/dev/null"))
 
 
 def target_path(target: Column) -> Column:
@@ -187,7 +187,7 @@ def target_path(target: Column) -> Column:
 
 def failing_tests(output: Column, targets: Column, return_code: Column) -> Column:
     """FLT-14: tests that a runner's output names as failed or in error, ordered distinct; all targets if it names none but failed."""
-    lines = F.transform(F.split(output, r"\r\n|\r|\n"), F.trim)
+    lines = F.transform(F.split(output, r"\r\n|\r|\n"), lambda x: F.trim(x))
     marked = F.filter(lines, lambda x: x.startswith("FAILED ") | x.startswith("ERROR "))
     names = F.array_distinct(F.filter(F.transform(marked, lambda x: F.trim(F.regexp_replace(F.split_part(x, F.lit(" - "), F.lit(1)), "^(FAILED|ERROR) ", ""))), lambda x: x != ""))
     return F.when((F.size(names) == 0) & (return_code != 0), targets).otherwise(names)

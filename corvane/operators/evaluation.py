@@ -170,10 +170,10 @@ def experiment_grid(spark: SparkSession, lists: dict[str, list[str]], families:
         raise ValueError(f"unknown families: {unknown}")
     if "ast" in lists["chunking_strategy"] and lists["context_source"] == ["wiki"]:
         raise ValueError("the structural index needs a code context")
-    out = None
+    out = spark.range(1).select()
     for column in CELL:
-        values = spark.createDataFrame([(v,) for v in dict.fromkeys(names if column == "family" else lists[column])], f"{column} string")
-        out = values if out is None else out.crossJoin(values)  # a few configured values each
+        values = names if column == "family" else lists[column]
+        out = out.withColumn(column, F.explode(F.array(*map(F.lit, dict.fromkeys(values)))))
     return out
 
 

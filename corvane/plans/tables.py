@@ -69,7 +69,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generation calls from order lines."""
     d = read(spark, sf_dir, "lineitem")
     m = F.col("l_partkey") % 11
-    return d.select(F.concat(F.lit("openai/m-"), F.lower("l_returnflag")).alias("model_name"), F.concat(F.lit("r-"), F.lower("l_linestatus")).alias("region"), (F.col("l_quantity").cast("long") * 10).alias("input_tokens"), F.when(m != 0, F.col("l_quantity").cast("long")).alias("output_tokens"), (F.col("l_quantity").cast("long") * 11).alias("total_tokens"), F.round(F.col("l_extendedprice") / 100, 2).alias("latency_ms"))
+    return d.select(F.concat(F.lit("openai/m-"), F.lower("l_returnflag")).alias("model_name"), F.concat(F.lit("r-"), F.lower("l_linestatus")).alias("region"), (F.col("l_quantity").cast("long") * 10).alias("input_tokens"), F.when(m != 0, F.col("l_quantity").cast("long")).alias("output_tokens"), (F.col("l_quantity").cast("long") * 11).alias("total_tokens"), (F.col("l_quantity") * 0.5).alias("latency_ms"))
 
 
 def rates(spark: SparkSession) -> DataFrame:
@@ -107,7 +107,7 @@ RESULTS = """results AS (SELECT task_id, run_id, resolved, task_id % 7 <> 0 AS p
   FROM (SELECT doc_id AS task_id, 'base' AS run_id, quality = 1 AS resolved FROM labels UNION ALL SELECT doc_id, 'other', toxic = 1 FROM labels)),
 status AS (SELECT *, CASE WHEN resolved THEN 'resolved' WHEN NOT prediction_present THEN 'error' WHEN NOT patch_exists THEN 'missing_patch' WHEN NOT patch_applied THEN 'patch_failed' ELSE 'unresolved' END AS status FROM results)"""
 RUNS = "runs AS (SELECT source AS task_id, doc_id % 5 AS run_id, avg(quality) >= 0.85 AS resolved FROM documents JOIN labels USING (doc_id) GROUP BY ALL)"
-CALLS = "calls AS (SELECT 'openai/m-' || lower(l_returnflag) AS model_name, 'm-' || lower(l_returnflag) AS model, 'r-' || lower(l_linestatus) AS region, CAST(l_quantity AS BIGINT) * 10 AS input_tokens, CASE WHEN l_partkey % 11 <> 0 THEN CAST(l_quantity AS BIGINT) END AS output_tokens, CAST(l_quantity AS BIGINT) * 11 AS total_tokens, round(l_extendedprice / 100, 2) AS latency_ms FROM lineitem)"
+CALLS = "calls AS (SELECT 'openai/m-' || lower(l_returnflag) AS model_name, 'm-' || lower(l_returnflag) AS model, 'r-' || lower(l_linestatus) AS region, CAST(l_quantity AS BIGINT) * 10 AS input_tokens, CASE WHEN l_partkey % 11 <> 0 THEN CAST(l_quantity AS BIGINT) END AS output_tokens, CAST(l_quantity AS BIGINT) * 11 AS total_tokens, CAST(l_quantity * 0.5 AS DOUBLE) AS latency_ms FROM lineitem)"
 RATES = "rates(model, region, input_rate, output_rate) AS (VALUES ('m-a', 'r-f', 2.0::DOUBLE, 8.0::DOUBLE), ('m-a', '*', 1.0, 4.0), ('m-n', '*', 0.5, 1.5), ('m-r', 'r-o', 3.0, 9.0))"
 ANSWERS = r"""raw AS (SELECT *, CAST(l_quantity AS BIGINT) AS q, (l_orderkey + l_linenumber) % 9 AS m FROM lineitem JOIN part ON p_partkey = l_partkey),
 answers AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'a' ELSE 'b' END AS run_id, CAST(l_orderkey * 4 + floor((l_linenumber - 1) / 2) AS BIGINT) AS idx,
