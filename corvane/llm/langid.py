@@ -202,7 +202,7 @@ def label(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)], names=[*keep, "lang_pred", "score", "spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(labelled, f"{fields}, lang_pred string, score double, spans array<struct<first:int,end:int,lang:string>>")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(labelled, f"{fields}, lang_pred string, score double, spans array<struct<first:int,end:int,lang:string>>")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

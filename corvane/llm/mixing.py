@@ -4,7 +4,7 @@ A source's target is min(cap, level * weight), cap being `max_epochs` times its
 sum to the budget; that is what clamping at the cap and dealing out the excess by weight comes to. Each document is
 then taken floor(target / size) times, and once more where a seeded threshold and the words still owed to the target
 say so. Sources sort by code point, null last; a null or empty text has size 0 and is taken 0 words. An empty table
-gives no rows. Repeated rows count as documents of their own.
+gives no rows. Columns of the input called size, source_size, target or reps are replaced. Repeated rows count as documents of their own.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def _dealt(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: int = 11, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (doc_id, source by default) with size, source_size, target and reps. Sources are few (a row each is sorted in one task); documents of a source are dealt out in shards of about SHARD rows."""
-    keep = ["doc_id", "source"] if keep is None else keep
+    keep = [c for c in (["doc_id", "source"] if keep is None else keep) if c not in ("size", "source_size", "target", "reps")]
     row = F.struct(*keep)
     kind = docs.select(row.alias("row")).schema["row"].dataType
     sized = docs.select(row.alias("row"), "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.col("text")).alias("h"))
