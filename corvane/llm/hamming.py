@@ -1,69 +1,129 @@
 """Exact nearest binary codes by incremental multi-index hashing.
 
-A vector's code has a bit for each component over 0. Codes are cut into segments of SEGMENT bits, each indexed by its
-value. A query looks up its own segments' values, then those one bit away, two bits, and so on. After radius r in all s
-segments every code not yet met differs in s * (r + 1) bits or more, so a query is done once its kth verified distance
-is less. Equal codes are stored once, with their k smallest ids, so no bucket grows with copies.
-
-Null vectors have no code and are in no result; null components count as 0. Ties go to the smaller id. A query finds
-itself too. With fewer than k vectors all are returned; an empty table gives no rows.
+A vector's code has a bit for each component over 0. Codes are cut into segments of 16 bits, and every task indexes its
+codes by each segment's value. A query looks up its own segments' values, then those one bit away, two bits, and so on.
+After radius r in all s segments every code not yet met differs in s * (r + 1) bits or more, so a query is done in a
+task once its kth verified distance there is less; the tasks' k best then meet. Equal codes are indexed once, with
+their k smallest ids, so no bucket grows with copies. Queries go out in blocks of QUERY_BLOCK.
+
+Null vectors have no code and are in no result; null and missing components count as 0, those beyond `dims` are
+ignored. Ties go to the smaller id. A query finds itself too. With fewer than k vectors all are returned; an empty
+table gives no rows. Repeated ids are rows of their own.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import functools
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import checkpointed
+from corvane.llm.common import ragged
 
 SEGMENT = 16
-
-
-def _words(vector: Column, dims: int) -> Column:
-    """Bits as longs of SEGMENT bits, one for each segment."""
-
-    def segment(start: int) -> Column:
-        bits = [F.when(F.coalesce(F.get(vector, F.lit(i)), F.lit(0.0)) > 0, F.lit(1 << (i - start))).otherwise(0) for i in range(start, min(dims, start + SEGMENT))]
-        total = bits[0]
-        for b in bits[1:]:
-            total = total + b
-        return total
-
-    return F.array(*(segment(s) for s in range(0, dims, SEGMENT)))
-
-
-def _distance(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+QUERY_BLOCK = 2048
+#: Codes that a task indexes together.
+CHUNK = 200_000
+
+
+@functools.cache
+def flips() -> list[np.ndarray]:
+    """Masks of a segment by how many bits they flip."""
+    masks = np.arange(1 << SEGMENT, dtype=np.uint16)
+    weight = np.bitwise_count(masks)
+    return [masks[weight == r] for r in range(SEGMENT + 1)]
+
+
+def codes_of(vectors: pa.Array, dims: int) -> np.ndarray:
+    """Codes of a list column without nulls, as segments."""
+    n = vectors.value_lengths().to_numpy().astype(np.int64)
+    flat = np.nan_to_num(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64), nan=0.0) > 0
+    bits = np.zeros((len(n), -(-dims // SEGMENT) * SEGMENT), bool)
+    place = ragged(np.zeros(len(n), np.int64), n)
+    kept = place < dims
+    bits[np.repeat(np.arange(len(n)), n)[kept], place[kept]] = flat[kept]
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint16)
+
+
+class Index:
+    """Distinct codes by the value of each segment, and the k smallest ids of each code."""
+
+    def __init__(self, codes: np.ndarray, ids: np.ndarray, k: int):
+        order = np.lexsort((ids, *codes.T[::-1]))
+        codes, ids = codes[order], ids[order]
+        new = np.ones(len(codes), bool)
+        new[1:] = (codes[1:] != codes[:-1]).any(1)
+        first = np.flatnonzero(new)
+        self.codes, self.ids, self.first, self.k = codes[first], ids, first, k
+        self.copies = np.minimum(np.diff(np.append(first, len(ids))), k)
+        self.order = [np.argsort(c, kind="stable") for c in self.codes.T]
+        self.starts = [np.searchsorted(c[o], np.arange((1 << SEGMENT) + 1)) for c, o in zip(self.codes.T, self.order, strict=True)]
+
+    def search(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the k nearest."""
+        seen = np.zeros(len(self.codes), bool)
+        met, distance = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for radius in range(SEGMENT + 1):
+            for s, (order, starts) in enumerate(zip(self.order, self.starts, strict=True)):
+                values = (flips()[radius] ^ query[s]).astype(np.int64)
+                low = starts[values]
+                found = order[ragged(low, starts[values + 1] - low)]  # a code has one value, so none comes twice
+                found = found[~seen[found]]
+                seen[found] = True
+                met = np.concatenate([met, found])
+                distance = np.concatenate([distance, np.bitwise_count(self.codes[found] ^ query).sum(1, dtype=np.int64)])
+            if self.copies[met[distance < len(query) * (radius + 1)]].sum() >= self.k or seen.all():
+                break
+        ids = self.ids[ragged(self.first[met], self.copies[met])]
+        distance = np.repeat(distance, self.copies[met])
+        best = np.lexsort((ids, distance))[: self.k]
+        return ids[best], distance[best]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int = 64) -> DataFrame:
     """vectors, queries: vec_id, embedding. query_id, rank, vec_id, distance of the k nearest of each query."""
-    coded = vectors.where("vec_id is not null and embedding is not null").select("vec_id", _words(F.col("embedding"), dims).alias("code"))
-    nearest_ids = coded.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))).where(F.col("n") <= k)
-    codes = checkpointed(nearest_ids.groupBy("code").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))  # k ids at most
-    index = codes.select("code", "ids", F.posexplode("code").alias("segment", "value"))
-    asked = checkpointed(queries.where("vec_id is not null and embedding is not null").select(F.col("vec_id").alias("query_id"), _words(F.col("embedding"), dims).alias("asked")))
-    segments = -(-dims // SEGMENT)
+    usable = "vec_id is not null and embedding is not null"
+    rows = vectors.where(usable).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+
+    def searched(block: list) -> DataFrame:
+        asked = codes_of(pa.array([r["embedding"] for r in block], pa.list_(pa.float32())), dims)
+        shared = rows.sparkSession.sparkContext.broadcast(([r["vec_id"] for r in block], asked))  # QUERY_BLOCK codes
+
+        def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            codes, ids, n = [], [], 0
+            for b in batches:
+                codes.append(codes_of(b.column("embedding"), dims))
+                ids.append(b.column("vec_id").to_numpy())
+                n += b.num_rows
+                if n >= CHUNK:
+                    yield np.concatenate(codes), np.concatenate(ids)
+                    codes, ids, n = [], [], 0
+            if n:
+                yield np.concatenate(codes), np.concatenate(ids)
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, asked = shared.value
+            for codes, ids in chunks(batches):
+                index = Index(codes, ids, k)
+                found = [index.search(q) for q in asked]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), [len(i) for i, _ in found])), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([d for _, d in found]).astype(np.int32))], names=["query_id", "vec_id", "distance"])
+
+        return rows.mapInArrow(nearest, "query_id long, vec_id long, distance int")
+
+    found, block = None, []
+    for r in queries.where(usable).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).toLocalIterator():
+        block.append(r)
+        if len(block) == QUERY_BLOCK:
+            found, block = searched(block) if found is None else found.unionByName(searched(block)), []
+    if block:
+        found = searched(block) if found is None else found.unionByName(searched(block))
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, distance int")
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    active, found, done = asked, None, None
-    for radius in range(SEGMENT + 1):
-        masks = F.array(*(F.lit(sum(1 << i for i in bits)) for bits in combinations(range(SEGMENT), radius)))
-        probes = active.select("query_id", "asked", F.posexplode("asked").alias("segment", "own")).withColumn("mask", F.explode(masks)).select("query_id", "asked", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["segment", "value"]).withColumn("distance", _distance("asked", "code")).select("query_id", "distance", F.explode("ids").alias("vec_id")).distinct()
-        pool = met if found is None else found.unionByName(met).distinct()
-        pool = pool.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        last = radius == SEGMENT
-        full = pool.groupBy("query_id").agg((F.lit(last) | ((F.count("*") == k) & (F.max("distance") < segments * (radius + 1)))).alias("full"))
-        state = checkpointed(pool.join(full, "query_id"))
-        finished = state.where("full").select("query_id", "rank", "vec_id", "distance")
-        done = finished if done is None else done.unionByName(finished)
-        found = state.where("not full").select("query_id", "distance", "vec_id")
-        active = active.join(finished.select("query_id").distinct(), "query_id", "left_anti")
-        if active.isEmpty():
-            break
-    return done
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
