@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.retrieval import top_ranked, vector_top_k  # noqa: F401
-
 MAX_PATHS, MAX_SAMPLES, PAGE_CHUNKS = 500, 20, 15
 NO_CONTEXT = "No code context available."
 #: Levels of sections in a structure.

@@ -114,11 +114,6 @@ def keyed(spark, d):
     return code, pages
 
 
-def _combined(lists_of: list[str]) -> str:
-    """SQL of the fusion of text lists over several corpora."""
-    return " UNION ALL ".join(lists_of)
-
-
 CODE_LIST = f"SELECT query_id, id AS chunk_id, 0 AS list_no, rank - 1 AS r FROM (WITH {CODE_TEXT.replace('corpus AS (SELECT', 'corpus AS (SELECT DISTINCT')} SELECT * FROM lists WHERE rank <= {2 * K})"
 WIKI_LIST = f"SELECT query_id, id AS chunk_id, 1 AS list_no, rank - 1 AS r FROM (WITH {WIKI_TEXT.replace('corpus AS (SELECT', 'corpus AS (SELECT DISTINCT')} SELECT * FROM lists WHERE rank <= {2 * K})"
 FUSE_ALL = FUSE.replace("WHERE r < 20 ", "")
@@ -188,12 +183,17 @@ def shared_words(query: str, documents: list[str]) -> list[float]:
     return [float(len(asked & set(x.lower().split()))) for x in documents]
 
 
-@query("RET-12")
+CODE_CORPUS = ACTIVE_CORPUS.replace("corpus AS (SELECT chunk_id AS id", "corpus AS (SELECT DISTINCT 'code:' || file_path || ':' || start_line || ':' || end_line AS id")
+PAGE_CORPUS = f"{T.WIKI}, {T.QUERIES}, corpus AS (SELECT DISTINCT 'wiki:' || slug || ':' || section_path || ':' || title AS id, content AS body FROM wiki)"
+CROSS = f"c AS ({_hybrid_sql(CODE_CORPUS, 3 * K)}), w AS ({_hybrid_sql(PAGE_CORPUS, 3 * K)}), u AS (SELECT query_id, chunk_id, 0 AS list_no, rank - 1 AS r FROM c UNION ALL SELECT query_id, chunk_id, 1, rank - 1 FROM w"
+
+
+@query("RET-12", f"WITH {CROSS}), g AS (WITH {FUSE_ALL}) SELECT * FROM g WHERE rank <= {K}")
 def ret_12(spark, d):
     return cross_corpus(spark, d, 2).where(F.col("rank") <= K)
 
 
-@query("RET-13")
+@query("RET-13", f"WITH {CROSS} UNION ALL SELECT query_id, 'ast:' || substr(chunk_id, 6), 2, rank - 1 FROM c), g AS (WITH {FUSE_ALL}) SELECT * FROM g WHERE rank <= {K}")
 def ret_13(spark, d):
     return cross_corpus(spark, d, 3).where(F.col("rank") <= K)
 
