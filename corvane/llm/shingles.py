@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     inverse = pow(_BASE, -1, 1 << 64)
     return tuple(np.concatenate([np.ones(1, np.uint64), np.full(n, b % (1 << 64), np.uint64)]).cumprod(dtype=np.uint64) for b in (_BASE, inverse))
@@ -36,7 +36,7 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(joined, np.uint8)
     edge = np.diff(_SPACE[buf].astype(np.int8), prepend=1)
     first, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _powers(1 << max(20, len(buf).bit_length()))
+    up, down = powers(1 << max(20, len(buf).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * up[: len(buf)], dtype=np.uint64)])
     hashes = mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
     begins = np.cumsum([0, *(len(r) + 1 for r in raws)])

@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import packed, parts_for, ragged, slices, unpacked
-from corvane.llm.shingles import mix
+from corvane.llm.shingles import mix, powers
 from corvane.llm.suffix import SuffixArray
 
 WIDTH, SEED = 50, 20
@@ -68,24 +69,36 @@ def anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return of, at - begins[of], value[at], start[first] - begins[of], start[last] + WIDTH - begins[of]
 
 
+def range_hashes(raws: list[bytes], of: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from begin to end of the texts `of`."""
+    lengths = np.array([len(r) for r in raws], np.int64)
+    begins = (np.cumsum(lengths) - lengths)[of] + begin
+    buf = np.frombuffer(b"".join(raws), np.uint8)
+    up, down = powers(1 << max(20, len(buf).bit_length()))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * up[: len(buf)], dtype=np.uint64)])
+    return mix((total[begins + end - begin] - total[begins]) * down[begins] + (end - begin).astype(np.uint64))
+
+
 def _documents(t: pa.Table) -> tuple[np.ndarray, list[bytes], list[int | None]]:
     """A part's ids (null last), texts and ids as given, in a fixed order."""
     rows = sorted(((LAST_ID if i is None else i, r or b"", i) for i, r in zip(t.column("doc_id").to_pylist(), t.column("raw").to_pylist(), strict=True)), key=lambda x: x[:2])
     return np.array([x[0] for x in rows], np.int64), [x[1] for x in rows], [x[2] for x in rows]
 
 
-def _posted(raws: list[bytes]) -> tuple[np.ndarray, ...]:
-    """All anchors of a part, sorted by hash, row and place: hash, row, place, begin, end; is it the first with its hash."""
-    found = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 2]
+def _posted(raws: list[bytes], whole: bool = False) -> tuple[np.ndarray, ...]:
+    """All anchors of a part, sorted by hash, row and place: hash, row, place, begin, end; is it the first with its hash; if whole, a hash of all bytes from begin to end."""
+    none = np.zeros(0, np.int64)
+    found = [[none, none, np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint64)]]
     for a, b in slices([len(r) for r in raws], SLICE):
-        of, *rest = anchors(raws[a:b])
-        found.append([of + a, *rest])
-    of, at, value, begin, end = (np.concatenate([f[i] for f in found]) for i in range(5))
+        of, at, value, begin, end = anchors(raws[a:b])
+        hashed = range_hashes(raws[a:b], of, begin, end) if whole else value
+        found.append([of + a, at, value, begin, end, hashed])
+    of, at, value, begin, end, hashed = (np.concatenate([f[i] for f in found]) for i in range(6))
     order = np.lexsort((at, of, value))
     value = value[order]
     new = np.ones(len(value), bool)
     new[1:] = value[1:] != value[:-1]
-    return value, of[order], at[order], begin[order], end[order], new
+    return value, of[order], at[order], begin[order], end[order], new, hashed[order]
 
 
 def windows_of_earlier(strings: list[bytes], ids: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -113,7 +126,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def post(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, raws, _ = _documents(pa.Table.from_batches(batches))
-        value, of, _, _, _, new = _posted(raws)
+        value, of, _, _, _, new, _ = _posted(raws)
         if not len(value):
             return
         heads = np.flatnonzero(new)
@@ -145,25 +158,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def contexts(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         ids, raws, _ = _documents(left)
-        value, of, at, begin, end, new = _posted(raws)
+        value, of, at, begin, end, new, hashed = _posted(raws, whole=True)
         by_bucket = sorted(zip(right.column("bucket").to_pylist(), right.column("flags"), right.column("n").to_pylist(), strict=True), key=lambda x: x[0])
         shared = np.concatenate([np.unpackbits(np.frombuffer(f.as_buffer(), np.uint8), count=n) for _, f, n in by_bucket]).astype(bool) if by_bucket else np.zeros(0, bool)
         keep = np.flatnonzero(shared[np.cumsum(new) - 1]) if len(value) else np.zeros(0, np.int64)
-        to = bucket_of(mix(value[keep]))
-        keep = keep[np.argsort(to, kind="stable")]
-        to.sort()
+        to, lead = bucket_of(mix(value[keep])), at - begin
+        same = mix(hashed[keep] + mix(value[keep] + lead[keep].astype(np.uint64)))
+        by = np.lexsort((same, to))  # stable: of one context the smallest id comes first
+        keep, to, same = keep[by], to[by], same[by]
+        head = np.ones(len(keep), bool)
+        head[1:] = (same[1:] != same[:-1]) | (value[keep[1:]] != value[keep[:-1]])
         rows: list[tuple[int, bytes]] = []
-        for some in np.split(keep, np.flatnonzero(np.diff(to)) + 1) if len(keep) else []:
-            seen: dict[tuple[int, int, bytes], list] = {}
-            for v, o, p, a, b in zip(value[some].tolist(), of[some].tolist(), at[some].tolist(), begin[some].tolist(), end[some].tolist(), strict=True):
-                one = seen.setdefault((v, p - a, raws[o][a:b]), [ids[o], 0, []])  # the smallest id comes first
-                one[1] += ids[o] == one[0]
-                one[2] += (o, a)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(keep)]]) if len(keep) else np.zeros(1, np.int64)
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            some, starts = keep[x:y], np.flatnonzero(head[x:y])
+            first, n = some[starts], np.diff(starts, append=y - x)
+            own = np.add.reduceat(ids[of[some]] == np.repeat(ids[of[first]], n), starts, dtype=np.int32)
             columns = {
-                "hash": pa.array([k[0] for k in seen], pa.uint64()), "lead": pa.array([k[1] for k in seen], pa.uint8()), "context": pa.array([k[2] for k in seen], pa.binary()),
-                "doc_id": pa.array([x[0] for x in seen.values()], pa.int64()), "own": pa.array([x[1] for x in seen.values()], pa.int32()), "places": pa.array([x[2] for x in seen.values()], pa.list_(pa.int32())),
+                "hash": pa.array(value[first]), "lead": pa.array(lead[first].astype(np.uint8)), "context": pa.array([raws[o][i:j] for o, i, j in zip(of[first].tolist(), begin[first].tolist(), end[first].tolist(), strict=True)], pa.binary()),
+                "doc_id": pa.array(ids[of[first]]), "own": pa.array(own), "places": pa.ListArray.from_arrays(pa.array(2 * np.append(starts, y - x), pa.int32()), pa.array(np.stack([of[some], begin[some]], 1).ravel(), pa.int32())),
             }
-            rows.append((int(bucket_of(mix(value[some[:1]]))[0]), packed(columns)))
+            rows.append((int(to[x]), packed(columns)))
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "part", "rows"])
 
     sent = parts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(contexts, "bucket int, part int, rows binary")
@@ -178,7 +193,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         head[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (same[order[1:]] != same[order[:-1]])
         group = np.cumsum(head) - 1
         first = order[head]
-        full = (np.int64(1) << np.fromiter((len(c) - WIDTH + 1 for c in context), np.int64, len(ids))) - 1
+        full = (np.int64(1) << (pc.binary_length(t.column("context")).to_numpy() - WIDTH + 1).astype(np.int64)) - 1
         # contexts that are alone with their hash have no other string in common with a smaller id
         h = hashes[first]
         several = np.zeros(len(first), bool)

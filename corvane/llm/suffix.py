@@ -33,19 +33,17 @@ class SuffixArray:
     def _direct(self, at: np.ndarray) -> np.ndarray:
         """Sort these suffixes by their symbols, those still tied chunk by chunk; equal strings by place."""
         order = at[np.argsort(self.keys[at], kind="stable")]
-        group = np.cumsum(np.concatenate([[0], np.diff(self.keys[order]) != 0]))
+        tied, of = np.arange(len(order)), np.cumsum(np.concatenate([[0], np.diff(self.keys[order]) != 0])) if len(order) else order
         for chunk in range(1, int(self.left.max(initial=0)) // CHUNK + 1):
-            size = np.bincount(group)
-            tied = np.flatnonzero(size[group] > 1)
+            alone = np.diff(of, prepend=-1, append=-1) != 0
+            tied, of = (x[~(alone[:-1] & alone[1:])] for x in (tied, of))
             if not len(tied):
                 break
-            some, of = order[tied], group[tied]
+            some = order[tied]
             key = self._key(some, chunk)
-            again = np.lexsort((some, key, of))
+            again = np.lexsort((key, of))  # stable, so that equal ones stay in place order
             order[tied], key = some[again], key[again]
-            split = np.zeros(len(order), np.int64)
-            split[tied[1:]] = (of[1:] == of[:-1]) & (key[1:] != key[:-1])
-            group = group + np.cumsum(split)
+            of = np.cumsum(np.concatenate([[0], (of[1:] != of[:-1]) | (key[1:] != key[:-1])]))
         return order
 
     def _sorted(self) -> np.ndarray:
@@ -96,13 +94,7 @@ class SuffixArray:
             if not len(rows):
                 break
             x, y = self._key(a[rows], chunk), self._key(b[rows], chunk)
-            equal = x == y
-            part = np.where(equal, CHUNK, 0)
-            going = ~equal
-            for j in range(CHUNK):
-                shift = 9 * (CHUNK - 1 - j)
-                going &= (x >> shift) == (y >> shift)
-                part += going
-            same[rows] += part
-            open_[rows] = equal
+            differ = x ^ y
+            same[rows] += sum((differ < 1 << 9 * j).astype(np.int8) for j in range(CHUNK))
+            open_[rows] = differ == 0
         return np.concatenate([[0], np.minimum(same, most)])
