@@ -4,7 +4,8 @@ Every string of WIDTH bytes has an anchor, the smallest hashed SEED-gram in it,
 Documents are dealt into parts. A part posts its distinct anchors; those of more than one document send the bytes
 around them, once for each distinct context of a part, to where all contexts of an anchor meet. There a suffix array,
 by two-stage sorting, puts equal strings of WIDTH bytes side by side, adjacent common prefixes delimit them, and all
-but those of the smallest doc_id are marked. The marks go back to the parts and are cut out of the bytes.
+but those of the smallest doc_id are marked. The marks go back to the parts and are cut out of the bytes. Contexts of
+one anchor count as equal if 64-bit hashes of their bytes are.
 
 Null texts count as empty; texts shorter than WIDTH lose nothing. A null doc_id counts as larger than any other; rows
 with equal doc_id are one document, and none of them is earlier. An empty table gives no rows. Extra columns are left
