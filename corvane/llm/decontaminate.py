@@ -1,8 +1,10 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched by block-max WAND.
 
-Every passage of every document is a query against the index of benchmark items; all items with a score over the
-threshold are retrieved, and an item is reported for a document if enough of its question and of its answer (its last
-sentences) stand in the document as runs of words.
+A document's query is all its words that stand in runs of words which the index holds, wherever in the document; all
+items with a score over their threshold are retrieved, and an item is reported for a document if enough of its question
+and of its answer (its last sentences) stand in the document as runs of words. An item's threshold is the least score
+that such an overlap can have, so every item that would be reported is retrieved, however long it is, however far apart
+its parts stand and whatever block of the benchmark it is indexed with.
 
 The index goes to the executors in blocks of at most BLOCK_BYTES of item text, one pass over the documents for each
 block, so no broadcast grows with the benchmark. Null and empty texts and items give no match; an item shorter than a
@@ -27,10 +29,6 @@ from corvane.llm.common import as_bytes
 K1, B = 1.2, 0.75
 #: A score of 1, less what rounding may take.
 LEAST = 1 - 1e-5
-#: Words of a passage, and how far the next one begins.
-PASSAGE, STRIDE = 96, 48  # a passage is two strides long
-#: A passage is retrieved for an item at this share of the score of the item's own words.
-RETRIEVE = 0.5
 #: Words of a run; shares of the question's and the answer's words that must be covered by runs.
 RUN, QUESTION, ANSWER = 5, 0.6, 0.5
 #: The answer is as many last sentences as have this many words, or the last quarter where they are over half.
@@ -45,6 +43,7 @@ _SENTENCE = re.compile(rb"(?<=[.!?])\s+")
 class Index:
     """Postings of items by term. A weight is the item's BM25 weight over its threshold, so a score of 1 retrieves it.
 
+    runs: sorted hashes of the items' runs by their length; it is less than RUN for items that are shorter.
     Items are numbered; `range` of them in a row make a block, and block_max holds a term's greatest weight in each.
     """
 
@@ -56,6 +55,7 @@ class Index:
     postings: list[list[tuple[int, float]]] = field(default_factory=list)
     block_max: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.float32))
     most: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
+    runs: dict[int, np.ndarray] = field(default_factory=dict)
 
     def search(self, query: list[int]) -> list[int]:
         """Items with a score of 1 or more over these distinct terms, by block-max WAND."""
@@ -97,24 +97,46 @@ class Index:
         while c[1] < len(c[0]) and c[0][c[1]][0] < item:
             c[1] += 1
 
-    def open_passages(self, terms: np.ndarray) -> np.ndarray:
-        """Starts of the passages whose greatest weights, overall and then block by block, can still reach a score of 1. terms: of each word, -1 for none."""
-        halves = -(-len(terms) // STRIDE)
-        at = np.flatnonzero(terms >= 0)
-        pairs = np.unique(at // STRIDE * len(self.most) + terms[at])
-        half, term = np.divmod(pairs, len(self.most))
-        total = np.bincount(half, weights=self.most[term], minlength=halves + 1)
-        reach = total[:-1] + total[1:] >= LEAST
-        if not reach.any():
-            return np.zeros(0, np.int64)
-        near = reach.copy()
-        near[1:] |= reach[:-1]
-        some = near[half]
-        half, term = half[some], term[some]
-        heads = np.flatnonzero(np.diff(half, prepend=-1))
-        by_block = np.zeros((halves + 1, self.block_max.shape[1]), np.float32)
-        by_block[half[heads]] = np.add.reduceat(self.block_max[term], heads, axis=0)
-        return np.flatnonzero(reach & ((by_block[:-1] + by_block[1:]).max(1) >= LEAST)) * STRIDE
+    def query(self, terms: np.ndarray) -> list[int]:
+        """Distinct terms of a document that stand in runs of the index. terms: of each word, -1 for none."""
+        covered = np.zeros(len(terms) + 1, np.int64)
+        for n, known in self.runs.items():
+            starts = _whole(terms, n)
+            hashes = _hashes(terms, starts, n)
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            starts = starts[known[at] == hashes]
+            covered[starts] += 1
+            np.subtract.at(covered, starts + n, 1)
+        return np.unique(terms[np.cumsum(covered[:-1]) > 0]).tolist()
+
+
+def _whole(terms: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the runs of n words that all have a term."""
+    if len(terms) < n:
+        return np.zeros(0, np.int64)
+    lacking = np.concatenate([[0], np.cumsum(terms < 0)])
+    return np.flatnonzero(lacking[n:] == lacking[:-n])
+
+
+def _hashes(terms: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(n):
+        out = (out ^ (terms[starts + k].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _threshold(words: list[bytes], cut: int, weights: dict[bytes, float]) -> float:
+    """The least score of the item's words in a document that holds enough of its question and answer; an item shorter than a run needs all.
+
+    A word's weight is dealt out evenly over its places, so covered places never sum to more than their words score.
+    """
+    tf = Counter(words)
+    if len(words) < RUN:
+        return sum(weights.values())
+    places = [weights[w] / tf[w] for w in words]
+    parts = ((places[:cut], QUESTION), (places[cut:], ANSWER))
+    return sum(sum(sorted(p)[: math.ceil(share * len(p) - 1e-9)]) for p, share in parts)
 
 
 def build(items: list[tuple]) -> Index:
@@ -139,7 +161,7 @@ def build(items: list[tuple]) -> Index:
     index.range = max(RANGE, -(-n // RANGES))
     for item, words in enumerate(index.words):
         weights = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean)) for w, tf in Counter(words).items()}
-        threshold = RETRIEVE * sum(weights.values())
+        threshold = _threshold(words, index.answer_from[item], weights)
         for w in sorted(weights):
             index.postings[index.term[w]].append((item, weights[w] / threshold))
     index.block_max = np.zeros((max(1, len(df)), max(1, -(-n // index.range))), np.float32)
@@ -147,6 +169,11 @@ def build(items: list[tuple]) -> Index:
         for item, weight in postings:
             index.block_max[t, item // index.range] = max(index.block_max[t, item // index.range], weight)
     index.most = index.block_max.max(1)
+    runs: dict[int, list[np.ndarray]] = {}
+    for words in index.words:
+        terms, size = np.array([index.term[w] for w in words], np.int64), min(RUN, len(words))
+        runs.setdefault(size, []).append(_hashes(terms, _whole(terms, size), size))
+    index.runs = {size: np.unique(np.concatenate(x)) for size, x in sorted(runs.items())}
     return index
 
 
@@ -174,10 +201,7 @@ def matches(index: Index, raw: bytes) -> list[tuple]:
     if not words or not index.ids:
         return []
     terms = np.array([index.term.get(w, -1) for w in words], np.int64)
-    found = set()
-    for s in index.open_passages(terms).tolist():
-        query = np.unique(terms[s : s + PASSAGE])
-        found.update(index.search(query[query >= 0].tolist()))
+    found = index.search(index.query(terms))
     if not found:
         return []
     runs, out = _runs(words), []

@@ -339,6 +339,32 @@ def test_decontamination(spark, data, docs, empty):
     assert decontaminate.leaks(d, nothing).count() == 0
 
 
+def test_decontamination_misses_no_overlap(spark, monkeypatch):
+    rng = random.Random(5)
+    text = lambda n, v: " ".join(f"v{rng.randrange(v)}" for _ in range(n))
+    filler = lambda n: " ".join(f"fill{rng.randrange(10**6)}" for _ in range(n))
+    long, question, answer = text(400, 10**6), text(30, 10**6) + ".", text(20, 10**6) + "."
+    items = [(1, long), (2, f"{question} {answer}"), (3, "four words of text")] + [(i, f"{text(rng.randrange(1, 60), 40)}. {text(9, 40)}.") for i in range(4, 60)]
+    docs = [(1, f"{filler(200)} {long} {filler(200)}"), (2, f"{question} {filler(200)} {answer}"), (3, f"{answer} {filler(90)} {' '.join(question.split()[:19])}")]
+    docs += [(4, "so Four words\nof text"), (5, question), (6, ""), (7, f" {filler(150)} ".join(" ".join(long.split()[i : i + 5]) for i in range(0, 400, 8)))]
+    docs += [(100 + i, " ".join(f"{' '.join(t.split()[a : a + 7])} {filler(120)}" for a in range(0, 60, 8))) for i, t in items] + [(200 + i, text(400, 40)) for i in range(20)]
+    index = decontaminate.build([(i, t.encode()) for i, t in items])
+    want = set()
+    for d, t in docs:
+        w = words(t)
+        for k, i in enumerate(index.ids):
+            q, a = decontaminate.overlap(index, k, decontaminate._runs(w), w)
+            if q >= decontaminate.QUESTION and a >= decontaminate.ANSWER:
+                want.add((d, i))
+    assert {(1, 1), (2, 2), (3, 2), (4, 3), (7, 1)} <= want
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for block in (1 << 20, 4000):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, benchmark).collect()} == want
+        assert {r["doc_id"] for r in decontaminate.clean(d, benchmark).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def der(*parts):
     body = b"".join(parts)
     return b"\x30" + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")) + body
