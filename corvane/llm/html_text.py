@@ -1,8 +1,9 @@
 """Visible text of web pages, laid out.
 
 A tokenizer feeds a tree builder that closes tags the way browsers imply (a block ends a paragraph, an item ends the
-item before it, a cell ends a cell), up to a depth of DEPTH; what is deeper hangs on the last level. Elements that are
-never shown, or hidden by attribute or inline style, are dropped. The rest is rendered: white space collapses, blocks
+item before it, a cell ends a cell), up to a depth of DEPTH; what is deeper hangs on the last level, yet opens, hides and
+closes as before. Elements that are never shown, or hidden by attribute or inline style, are dropped; of drawings only
+their text is shown. The rest is rendered: white space collapses, blocks
 start on a line of their own with a blank line around paragraphs and their like, list items get a bullet or number and
 an indent, table cells are padded to columns, preformatted text stays as it is.
 
@@ -25,47 +26,99 @@ DEPTH = 150
 CELL_WIDTH = 40
 # Element names by how they behave (fixed values of the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = frozenset("script style noscript template head title meta link base iframe object embed audio video canvas svg math datalist select option textarea area param source track".split())
-RAW = frozenset("script style textarea title noscript iframe template".split())
+UNSEEN = frozenset("script style noscript noframes template title meta link base iframe object embed audio video canvas datalist area param source track".split())
+RAW = frozenset("script style textarea title noscript noframes iframe template".split())
+#: Elements that are never shown inside svg or math, ones that hold ordinary content there, and ones that end svg and math.
+UNSEEN_IN = {"svg": frozenset("defs symbol clippath mask pattern marker metadata desc".split()), "math": frozenset(["annotation", "annotation-xml"])}
+HOLDS_HTML = frozenset("foreignobject mi mo mn ms mtext".split())
+LEAVES = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+CELLS = frozenset(["td", "th", "table"])
+#: End tags that reach out of a cell.
+OUTER = frozenset("tr td th table thead tbody tfoot body html".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset form hr article section main header footer nav aside address details".split())
 BLOCK = SPACED | frozenset("html body div li dt dd tr td th thead tbody tfoot caption summary figcaption legend center dir menu".split())
 #: Starting one of these closes open ones of the set, up to the boundary.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
-_SPAN = re.compile(r"""colspan\s*=\s*["']?(\d{1,3})""", re.I)
-_START = re.compile(r"""start\s*=\s*["']?(-?\d{1,9})""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+(?:\s+[a-z-]+)*)\s*(!\s*important)?\s*(?=;|$)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_SPAN = re.compile(r"\s*(\d{1,3})")
+_START = re.compile(r"\s*(-?\d{1,9})")
 _BLANK = re.compile(r"[ \t\r\n\f]+")
 
 
 class Node:
-    __slots__ = ("children", "hidden", "tag", "with_")
+    """hidden: with all it holds; shown: its own text is visible; space: svg, math, or drawn for text of a drawing."""
 
-    def __init__(self, tag: str, with_: str = "", hidden: bool = False):
-        self.tag, self.with_, self.hidden, self.children = tag, with_, hidden, []
+    __slots__ = ("children", "hidden", "shown", "space", "tag", "with_")
+
+    def __init__(self, tag: str, with_: str = "", hidden: bool = False, shown: bool = True, space: str = ""):
+        self.tag, self.with_, self.hidden, self.shown, self.space, self.children = tag, with_, hidden, shown, space, []
+
+
+def attributes(rest: str) -> dict[str, str]:
+    """Names, in lower case, and values of a start tag; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        out.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def _hiding(given: dict[str, str]) -> tuple[bool, bool | None]:
+    """Whether an element is not displayed, and whether its text is visible; None as around it."""
+    style: dict[str, tuple[bool, str]] = {}
+    for m in _STYLE.finditer(_COMMENT.sub(" ", given.get("style", ""))):
+        name, important = m[1].lower(), bool(m[3])
+        if important or not style.get(name, (False, ""))[0]:
+            style[name] = (important, m[2].lower())
+    display = style["display"][1] if "display" in style else "none" if "hidden" in given else ""
+    visibility = style.get("visibility", (False, ""))[1]
+    return display == "none", {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(visibility)
+
+
+def _space(tag: str, parent: Node) -> str:
+    if tag in ("svg", "math"):
+        return tag
+    if not parent.space or tag in HOLDS_HTML:
+        return ""
+    return "drawn" if tag == "text" and parent.space == "svg" else parent.space
 
 
 def parse(html: str) -> Node:
-    """The tree of a page, under a root of its own."""
+    """The tree of a page, under a root of its own. Tags of html, head and body make no nodes: what a head may hold is never shown anyway, and what it can't hold ends it."""
     root = Node("html")
-    stack, at = [root], 0
+    stack, at, dim = [root], 0, False
+    places: dict[str, list[int]] = {}  # where the open elements of a name stand in the stack
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            node = stack.pop()
+            places[node.tag].pop()
+            if len(stack) >= DEPTH and node.tag in BLOCK:
+                node.children.append(Node("div"))
 
     def text(s: str) -> None:
-        if s:
-            stack[-1].children.append(s)
+        top = stack[-1]
+        if s and top.space != "svg":
+            top.children.append(s if top.shown else " ")
 
     def close(tags: set[str], until: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in until:
-                return
-            if stack[k].tag in tags:
-                del stack[k:]
-                close(tags, until)
-                return
+        while (k := last(tags)) > last(until):
+            cut(k)
 
     while m := _TOKEN.search(html, at):
         text(unescape(html[at : m.start()]))
@@ -76,35 +129,74 @@ def parse(html: str) -> Node:
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "table") and tag not in ("tr", "td", "th", "table", "thead", "tbody", "tfoot", "body", "html"):
-                    break  # an end tag doesn't reach out of a cell
+            k = last((tag,))
+            if k and (tag in OUTER or last(CELLS) <= k):  # other end tags don't reach out of a cell
+                cut(k)
             continue
-        if tag in ("html", "body"):
+        if stack[-1].space and tag in LEAVES:
+            while stack[-1].space:
+                cut(len(stack) - 1)
+        if tag in ("html", "head", "body"):
             continue
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in BLOCK:
             close({"p"}, {"table", "td", "th", "li", "button", "dd"})
-        if tag in ("td", "th") and stack[-1].tag not in ("tr",):
-            if any(n.tag == "table" for n in stack):
-                stack.append(Node("tr"))
-                stack[-2].children.append(stack[-1])
-        hidden = tag in UNSEEN or bool(rest) and _HIDDEN.search(rest) is not None
-        node = Node(tag, rest if tag in ("td", "th", "ol") else "", hidden)
-        stack[-1].children.append(node)
+        if tag in ("td", "th") and stack[-1].tag not in ("tr",) and last(("table",)) and len(stack) < DEPTH:
+            row = Node("tr", shown=stack[-1].shown)
+            stack[-1].children.append(row)
+            push(row)
+        parent = stack[-1]
+        space, given = _space(tag, parent), {}
+        if rest and (tag in ("td", "th", "ol", "optgroup") or _MAY_HIDE.search(rest)):
+            given = attributes(rest)
+        unseen, visible = _hiding(given) if given else (False, None)
+        unseen |= tag in UNSEEN or parent.space in UNSEEN_IN and tag in UNSEEN_IN[parent.space]
+        node = Node(tag, given.get("start" if tag == "ol" else "colspan", ""), unseen, parent.shown if visible is None else visible, space)
+        dim |= not node.shown
+        empty = rest.endswith("/") and (bool(parent.space) or space in ("svg", "math"))
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-        elif tag not in VOID and not (rest.endswith("/") and tag not in BLOCK) and len(stack) < DEPTH:
-            stack.append(node)
+            if not empty:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                if tag == "textarea" and node.shown:
+                    node.children.append(unescape(html[at : end.start() if end else len(html)]))
+                at = end.end() if end else len(html)
+            parent.children.append(node)
+        elif tag in VOID or empty:
+            parent.children.append(node)
+        elif len(stack) < DEPTH:
+            parent.children.append(node)
+            push(node)
+        else:  # too deep for a node: its text goes to the last level, or nowhere
+            if not unseen:
+                if tag in BLOCK:
+                    parent.children.append(Node("div"))
+                node.children = parent.children
+            push(node)
+        if tag == "optgroup" and node.shown and given.get("label"):
+            node.children.append(given["label"])
     text(unescape(html[at:]))
+    if dim:
+        _prune(root)
     return root
 
 
+def _prune(node: Node) -> bool:
+    """Blanks in place of elements without visible text; whether any is left. Cells stay, for their columns."""
+    kept, some = [], False
+    for child in node.children:
+        if isinstance(child, str):
+            some |= node.shown and bool(child.strip())
+        elif not child.hidden:
+            left = _prune(child) or child.shown
+            some |= left
+            if not left and child.tag not in ("td", "th"):
+                child = " "
+        kept.append(child)
+    node.children = kept
+    return some
+
+
 class Lines:
     """Lines under way: words join with single spaces, blocks ask for line breaks."""
 
@@ -175,16 +267,25 @@ def _render(nodes: list, out: Lines, depth: int, keep: bool) -> None:
             out.block(2)
             out.raw(["---"])
             out.block(2)
-        elif tag == "pre":
-            out.block(2)
+        elif tag in ("pre", "textarea"):
+            gap = 2 if tag == "pre" else 1
+            out.block(gap)
             inner = Lines()
             _render(node.children, inner, depth, True)
             inner.line()
             out.raw([x.rstrip() for x in "\n".join(inner.lines).strip("\n").split("\n")] if inner.lines else [])
-            out.block(2)
+            out.block(gap)
+        elif tag in ("option", "optgroup"):
+            out.block(1)
+            _render(node.children, out, depth, keep)
+            out.block(1)
+        elif tag == "mtd" or tag == "text" and node.space == "drawn":
+            out.words(" ")
+            _render(node.children, out, depth, keep)
+            out.words(" ")
         elif tag in ("ul", "ol", "menu", "dir"):
             out.block(1 if depth else 2)
-            first = _START.search(node.with_) if tag == "ol" else None
+            first = _START.match(node.with_) if tag == "ol" else None
             number = int(first[1]) if first else 1
             for child in node.children:
                 if isinstance(child, Node) and child.tag == "li" and not child.hidden:
@@ -233,7 +334,7 @@ def _table(table: Node, out: Lines, depth: int) -> None:
                 if isinstance(cell, Node) and cell.tag in ("td", "th") and not cell.hidden:
                     inner = Lines()
                     _render(cell.children, inner, depth, False)
-                    span = _SPAN.search(cell.with_)
+                    span = _SPAN.match(cell.with_)
                     cells.append((inner.done() or [""], max(1, int(span[1])) if span else 1))
                 else:
                     _render([cell], out, depth, False)

@@ -222,6 +222,23 @@ def test_html():
     assert html_text.render("<table><td>a<td colspan=2>b<tr><td>c") == "a | b\nc"
 
 
+def test_html_keeps_visible_text():
+    render = html_text.render
+    assert render("<head><title>t</title><body><p>text") == "text" and render("<html><head><meta charset=x><div>a</div>b") == "a\nb"
+    assert render('<p title="a hidden gem">a<p class="menu hidden lg:block">b<p aria-hidden=true>c<p data-x=\'style="display:none"\'>d') == "a\n\nb\n\nc\n\nd"
+    assert render("<b HIDDEN>no</b><b hidden=''>no</b><b style='color:red; DISPLAY : none !important'>no</b><b style=display:none>no</b>a") == "a"
+    assert render("<div style='visibility:hidden'>no<b style='visibility:visible'>a</b>no</div><p style='visibility:hidden'>no</p>b") == "a\nb"
+    assert render("x<select><option>one<option selected>two</select>y<textarea>\na &amp;\n  b</textarea>z") == "x\none\ntwo\ny\na &\n  b\nz"
+    assert render("<datalist><option>no</datalist><math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>") == "x=1"
+    assert render("a<svg><style/><title>no</title><defs><text>no</text></defs>no<g><text x=1>in<tspan>side</tspan></text><text>b</text></g></svg>c") == "a inside b c"
+    assert render("<svg><path d=1><p>after") == "after"
+    assert render('<ol data-start=7><li>a</ol><table><tr><td data-colspan="2">b<td>c') == "1. a\n\nb | c"
+    for depth in (10, 149, 150, 151, 400):
+        assert render("<div>" * depth + "<span hidden>no<b>no</b></span>a<section style='display:none'><div>no</div>no</section><div>b</div>c" + "</div>" * depth + "d") == "a\nb\nc\nd"
+        assert render("<div>" * depth + "a" + "</div>" * depth + "<p hidden>no</p><ul><li>b</ul>") == "a\n\n- b"
+    assert render("<td><b>" + "<i>" * 200_000 + "a" + "</b>" * 200_000) == "a"
+
+
 def test_html_rows(spark):
     d = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "<p>x", 1), (3, "<p>x", 1), (None, "<td>y", 1)], "page_id long, html string, text int")
     assert sorted(map(tuple, html_text.extract(d).collect()), key=key) == [(1, None, None), (2, "", 0), (3, "x", 1), (3, "x", 1), (None, "y", 1)]
