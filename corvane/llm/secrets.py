@@ -2,7 +2,8 @@
 
 Plain patterns find assignments, access keys and long hex runs. Candidates in base64 or hex are decoded, and reported
 only if what they hold parses: a signed token's header is JSON with an algorithm, DER nests lengths that fill their
-container exactly, an SSH key is a sequence of length-prefixed strings. Null text counts as empty: no span. Spans are
+container exactly, an SSH key is a sequence of length-prefixed strings. Line ends may be escaped (JSON, .env), keys may be
+wrapped in lines of one width with any indentation, and base64 may have either alphabet. Null text counts as empty: no span. Spans are
 in code points, end exclusive; equal spans of different kinds are all kept.
 """
 
@@ -27,11 +28,25 @@ BASE = {
     "hex": (re.compile(r"[0-9a-f]{24,}"), lambda m: True),
 }
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+#: The same for headers with white space before or after the brace, where a token begins.
+JWT_SPACED = re.compile(r"(?<![A-Za-z0-9_-])(?:e[yw]|I[ACH]|C[QSXgin]|D[QSX])[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([^-]*+(?:-(?!----)[^-]*+)*+)-----END \1-----")
+PEM_HEADER = re.compile(r"\s*([A-Za-z][A-Za-z0-9-]*):[^\S\n]*([^\n]*)\n")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]*")
 BLOB = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+URL_BLOB = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_-]{39,}={0,2}")
 HEX = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+_NEXT = r"[ \t]*\\?\r?\n\s*"
+#: Two lines or more of base64 or hex, the first of the length that one line needs; the lines; how keys may begin.
+WRAPPED = [
+    (re.compile(rf"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{{40,}}+(?:{_NEXT}[A-Za-z0-9+/]+)+={{0,2}}"), re.compile(r"[A-Za-z0-9+/]+={0,2}"), re.compile(r"M[A-P]|AAAA|b3Bl")),
+    (re.compile(rf"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{{40,}}+(?:{_NEXT}[A-Za-z0-9_-]+)+={{0,2}}"), re.compile(r"[A-Za-z0-9_-]+={0,2}"), re.compile(r"M[A-P]|AAAA|b3Bl")),
+    (re.compile(rf"(?<![0-9a-fA-F])[0-9a-fA-F]{{64,}}+(?:{_NEXT}[0-9a-fA-F]+)+"), re.compile(r"[0-9a-fA-F]+"), re.compile(r"30|000000|6f70656e", re.I)),
+]
+#: Escaped line ends and tabs.
+ESCAPED = re.compile(r"\\+[nrt]")
 #: Texts that match none of these (a linear-time engine) hold no span of any kind.
-SCREEN = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|eyJ|-----BEGIN |[A-Za-z0-9+/]{40}|[0-9a-fA-F]{64}"
+SCREEN = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|eyJ|(?:e[yw]|I[ACH]|C[QSXgin]|D[QSX])[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+\.|-----BEGIN |[A-Za-z0-9+/]{40}|[A-Za-z0-9_-]{40}|[0-9a-fA-F]{64}"
 
 
 def _decoded(text: str) -> bytes:
@@ -103,15 +118,85 @@ def is_ssh(raw: bytes) -> bool:
     return at == len(raw) and len(parts) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", parts[0]) is not None
 
 
+def is_pem(body: str) -> bool:
+    """DER or an SSH key under optional headers, or what such headers say is encrypted: whole blocks of the cipher."""
+    headers, at = {}, 0
+    while m := PEM_HEADER.match(body, at):
+        headers[m[1].lower()] = m[2].strip()
+        at = m.end()
+    if not PEM_BODY.fullmatch(body, at):
+        return False
+    raw = _decoded(body[at:])
+    if "ENCRYPTED" in headers.get("proc-type", ""):
+        vector = re.fullmatch(r"[A-Za-z0-9-]+,((?:[0-9A-Fa-f]{2})+)", headers.get("dek-info", ""))
+        return vector is not None and len(raw) >= 16 and len(raw) % (len(vector[1]) // 2) == 0
+    return is_der(raw) or is_ssh(raw)
+
+
+def _own_length(raw: bytes) -> int | None:
+    """Bytes that a DER value or an OpenSSH container takes by its own account; None for others."""
+    if raw[:1] == b"\x30" and len(raw) > 6:
+        width = raw[1] & 127 if raw[1] & 128 else 0
+        return 2 + width + (int.from_bytes(raw[2 : 2 + width], "big") if width else raw[1])
+    if raw.startswith(b"openssh-key-v1\0"):
+        at, left = 15, 3
+        while left and at + 4 <= len(raw):
+            at += 4 + int.from_bytes(raw[at : at + 4], "big")
+            left -= 1
+        if not left and at + 4 <= len(raw):
+            keys = int.from_bytes(raw[at : at + 4], "big")
+            at, left = at + 4, keys + 1
+            while left and at + 4 <= len(raw):
+                at += 4 + int.from_bytes(raw[at : at + 4], "big")
+                left -= 1
+            return None if left else at
+    return None
+
+
+def _wrapped(text: str) -> list[tuple[int, int, str]]:
+    """Keys in lines of one width, the last one as long at most. Where a key begins, it says itself where it ends, or it ends with the lines of its width or the shorter one after them."""
+    out = []
+    for block, line, begins in WRAPPED:
+        digits = line is WRAPPED[-1][1]
+        for m in block.finditer(text):
+            spans = [x.span() for x in line.finditer(text, *m.span())]
+            sizes = [len(text[a:b].rstrip("=")) for a, b in spans]
+            for i, (start, _) in enumerate(spans):
+                if not begins.match(text, start):
+                    continue
+                j = i + 1
+                while j < len(spans) and sizes[j] == sizes[i]:
+                    j += 1
+                whole = j
+                if j < len(spans) and sizes[j] < sizes[i]:
+                    j += 1
+                joined = "".join(text[a:b].rstrip("=") for a, b in spans[i:j])
+                decode = (lambda x: bytes.fromhex(x[: len(x) // 2 * 2])) if digits else _decoded
+                n = _own_length(decode(joined))
+                for end in range(whole, j + 1) if n is None else (range(i + 1, j + 1)):
+                    size = sizes[i] * (min(end, whole) - i) + (sizes[end - 1] if end > whole else 0)
+                    if n is not None and size != (2 * n if digits else -(-4 * n // 3)):
+                        continue
+                    raw = decode(joined[:size])
+                    if is_der(raw):
+                        out.append((start, spans[end - 1][1], "der"))
+                    elif is_ssh(raw):
+                        out.append((start, spans[end - 1][1], "ssh"))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans, by start, then kind."""
     out = []
     for kind, (pattern, holds) in BASE.items():
         out += [(*m.span(), kind) for m in pattern.finditer(text) if holds(m)]
     out += [(*m.span(), "jwt") for m in JWT.finditer(text) if is_jwt(m[0])]
-    out += [(*m.span(), "pem") for m in PEM.finditer(text) if is_der(raw := _decoded(m[2])) or is_ssh(raw)]
-    for pattern, decode in ((BLOB, _decoded), (HEX, lambda x: bytes.fromhex(x))):
-        for m in pattern.finditer(text):
+    plain = ESCAPED.sub(lambda m: " " * (len(m[0]) - 1) + "\n", text)  # of the same length
+    out += [(*m.span(), "jwt") for m in JWT_SPACED.finditer(plain) if is_jwt(m[0])]
+    out += [(*m.span(), "pem") for m in PEM.finditer(plain) if is_pem(m[2])]
+    out += _wrapped(plain)
+    for pattern, decode in ((BLOB, _decoded), (URL_BLOB, _decoded), (HEX, lambda x: bytes.fromhex(x))):
+        for m in pattern.finditer(plain):
             raw = decode(m[0])
             if is_der(raw):
                 out.append((*m.span(), "der"))

@@ -408,6 +408,35 @@ def test_secrets(spark, docs):
     assert {r["doc_id"]: r["text"] for r in secrets.redact(d).collect()} == {1: "a [secret] b [secret]", 2: None, 3: "clean"}
 
 
+def test_secrets_as_keys_are_kept(spark):
+    import regex
+
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    rng = random.Random(3)
+    key = der(b"\2\1\0", *(b"\2\x3c" + rng.randbytes(60) for _ in range(6)))
+    openssh = b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + b"\0\0\0\1" + string(rng.randbytes(51)) + string(rng.randbytes(136))
+    public = string(b"ssh-rsa") + string(b"\1\0\1") + string(rng.randbytes(257))
+    b64 = lambda x: base64.b64encode(x).decode()
+    lines = lambda x, n, end="\n": end.join(x[i : i + n] for i in range(0, len(x), n))
+    pem = lambda x, end="\n", head="": f"-----BEGIN RSA PRIVATE KEY-----{end}{head}{lines(b64(x), 64, end)}{end}-----END RSA PRIVATE KEY-----"
+    token = lambda h: ".".join(base64.urlsafe_b64encode(x.encode()).decode().rstrip("=") for x in (h, '{"sub": "a user"}', "signature"))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    forms = [(pem(key), "pem"), (pem(key, "\\n"), "pem"), (pem(key, "\\\\r\\\\n"), "pem"), (pem(openssh, "\\n"), "pem"), (pem(key, "\n    "), "pem"), (pem(rng.randbytes(320), head=head), "pem")]
+    forms += [(pem(rng.randbytes(320), "\\n", head.replace("\n", "\\n")), "pem"), (pem(key, head="Comment: mine\n\n"), "pem")]
+    forms += [(lines(b64(x), n, end), kind) for x, kind in ((key, "der"), (openssh, "ssh"), (public, "ssh")) for n in (64, 76) for end in ("\n", "\r\n      ", "\\n", " \\\n  ")]
+    forms += [(base64.urlsafe_b64encode(x).decode().rstrip("="), k) for x, k in ((key, "der"), (public, "ssh"))] + [(lines(base64.urlsafe_b64encode(key).decode(), 64), "der"), (lines(key.hex(), 64), "der")]
+    forms += [(token(h), "jwt") for h in ('{ "alg": "HS256"}', '{\n "alg": "HS256"}', '\n{"alg": "HS256"}', ' {"alg": "HS256"}', '{\r\n\t"alg":"none"}')]
+    for text, kind in forms:
+        for before, after in (("key: ", ""), ("", "\nnext: line"), ('{"k": "', '"}'), ("so\\n", "\\nand more"), ("é\n", "\n\nmore words")):
+            whole = before + text + after
+            assert (len(before), len(before) + len(text), kind) in secrets.find(whole), (whole, secrets.find(whole))
+            assert regex.search(secrets.SCREEN, whole)
+    for text in (pem(key[:-1]), pem(rng.randbytes(320)), pem(rng.randbytes(321), head=head), lines(b64(key[:-1]), 64), lines(b64(rng.randbytes(300)), 76), token('{ "typ": "JWT"}')):
+        assert not [k for _, _, k in secrets.find(text) if k in ("pem", "der", "ssh", "jwt")]
+    d = spark.createDataFrame([(i, f"a {t} b") for i, (t, _) in enumerate(forms)], "doc_id long, text string")
+    assert {r["text"] for r in secrets.redact(d).collect()} == {"a [secret] b"}
+
+
 def test_screen_hides_nothing(plain):
     import regex
 
