@@ -385,8 +385,8 @@ def prompts(tasks, snippets, none: str = "(no context retrieved)"):
 
 
 def model_outputs(spark, d):
-    """Model answers that hold a patch of a document's first lines, as a tag, a fence or bare."""
-    lines = F.slice(F.split("text", "\n"), 1, 4)
+    """Model answers that hold a patch of all lines of a document, as a tag, a fence or bare."""
+    lines = F.split("text", "\n")
     body = F.concat(F.lit("--- a/f.txt\n+++ b/f"), F.col("doc_id"), F.lit(".txt\n@@ -1,9 +1,9 @@\n"), F.array_join(F.transform(lines, lambda x, i: F.concat(F.when(i == 1, "-").when(i == 2, "+").otherwise(""), x)), "\n"))
     m = F.col("doc_id") % 3
     return T.read(spark, d, "documents").select("doc_id", F.when(m == 0, F.concat(F.lit("Here:\n<diff>"), body, F.lit("</diff> done"))).when(m == 1, F.concat(F.lit("```text\nno\n```\n```diff\n"), body, F.lit("\n```"))).otherwise(F.concat(body, F.lit("</s> trailing"))).alias("response"))

@@ -207,3 +207,18 @@ def test_stream_states_equal_batch(spark, data):
     from corvane.plans import streams
 
     assert values(streams.str_04(spark, data), "repository_id", "branch", "status", "ignored") == values(streams.str_04_batch(spark, data), "repository_id", "branch", "status", "ignored")
+
+
+def test_model_outputs_hold_all_lines(spark, tmp_path):
+    from corvane.plans import analytics
+
+    n = {0: 40, 1: 3000, 2: 41, 3: 1}
+    spark.createDataFrame([(i, "\n".join(f"w{k}" for k in range(c))) for i, c in n.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    mark = {1: "-", 2: "+"}
+    for r in analytics.flt_11(spark, str(tmp_path)).collect():
+        assert r["patch"].split("\n")[3:] == [f"{mark.get(k, '')}w{k}" for k in range(n[r["doc_id"]])]
+    for r in analytics.flt_12(spark, str(tmp_path)).collect():
+        c = n[r["doc_id"]]
+        own = c - 1 if c > 2 else c
+        assert r["patch"].split("\n")[2:-1] == [f"@@ -1,{own} +1,{own} @@", *(f"{mark.get(k, ' ')}w{k}" for k in range(c))]
+    assert {(r["doc_id"], *r["paths"]) for r in analytics.flt_13(spark, str(tmp_path)).collect()} == {(i, f"f{i}.txt") for i in n}
