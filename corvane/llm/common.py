@@ -61,6 +61,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(first - starts, lengths)
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, sorted, the place of one of each, and the number of each value among them."""
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    place = np.empty(len(h), np.int64)
+    place[order] = np.cumsum(new) - 1
+    some = order[new]
+    return h[some], some, place
+
+
 def parts_for(df: DataFrame, mb: int = 24) -> int:
     """How many groups to deal the documents into, so that a group holds about `mb` MB of what the files take."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

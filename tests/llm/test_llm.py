@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import attention, components, decontaminate, hamming, html_text, langid, lm_score, mixing, ngram_join, quality, registry, secrets, suffix
+from corvane.llm import attention, components, decontaminate, hamming, html_text, langid, lm_score, mixing, ngram_join, quality, registry, secrets, shingles, suffix
 from corvane.llm import substring_dedup as dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, raw string, part int, size long, reps int, rep long"
@@ -270,34 +270,120 @@ def test_lm_base_and_order(spark, docs, plain, empty):
     assert lm_score.score(empty).count() == 0
 
 
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    got = lm_score.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert got["score"] > got["base"]
+
+
+def toy_model(rng, size=60, end=55, steps=30):
+    """A trained model over ids of which every third begins a word, and the counts it is built on."""
+    begins = (np.arange(size) % 3 == 0) | (np.arange(size) == end)
+    sequence = rng.integers(0, 50, 3000).astype(np.int32)
+    counts = np.bincount(sequence, minlength=size).astype(float)
+    table = np.bincount(attention.neighbours(sequence), minlength=size * (attention.CELLS + attention.NEIGHBOURS)).reshape(size, -1)
+    m, met, _ = attention.train(attention.untrained(counts, table, begins, end), sequence, least_steps=steps)
+    assert met.sum() == (steps * attention.BATCH) * attention.WINDOW
+    return m, attention.after_cells(table, counts, m.group()), counts
+
+
 def test_attention_scores_each_id_once():
     rng = np.random.default_rng(0)
-    sequence = rng.integers(0, 50, 3000)
-    classes = attention.group_ids(sequence, 60, 55)
-    m = attention.train(sequence.astype(np.int32), classes, attention.within_classes(classes, np.bincount(sequence, minlength=60)), steps=30)
-    texts = [rng.integers(0, 50, n) for n in (1, 31, 32, 33, 58, 59, 200)]
-    got = m.log_probabilities(np.concatenate(texts), np.array([len(t) for t in texts]), 55)
-    step = attention.WINDOW - attention.OVERLAP
-    for t, total in zip(texts, got, strict=True):
-        inputs, want = np.concatenate([[55], t[:-1]]), 0.0
+    m, _, _ = toy_model(rng)
+    texts = [rng.integers(0, 50, n).astype(np.int32) for n in (1, 31, 32, 33, 60, 61, 200)]
+    chosen, odds = m.logs(np.concatenate(texts), np.array([len(t) for t in texts]), 55)
+    step, table, begin = attention.WINDOW - attention.OVERLAP, m.embedded(), 0
+    for t in texts:
+        inputs = np.concatenate([[55], t[:-1]])
         for k in range(len(t)):
             low = 0 if k < attention.WINDOW else -(-(k - attention.WINDOW + 1) // step) * step
-            y = m.forward(inputs[None, low : k + 1])[-1][0, -1] @ m.head + m.bias
-            want += y[classes[t[k]]] - np.log(np.exp(y).sum()) + m.within[t[k]]
-        assert total == pytest.approx(want, rel=1e-4)
+            y = m.forward(inputs[None, low : k + 1], table)[-1][0, -1]
+            side = int(m.begins[t[k]])
+            logits = y @ m.head[side] + m.bias[side]
+            assert chosen[begin + k] == pytest.approx(logits[m.classes[t[k]]] - np.log(np.exp(logits).sum()), abs=1e-3)
+            assert odds[begin + k] == pytest.approx(y @ m.start[:-1] + m.start[-1], abs=1e-3)
+        begin += len(t)
     # no place looks ahead
     a, b = texts[-1].copy(), texts[-1].copy()
     b[-1] = (b[-1] + 1) % 50
-    assert np.allclose(m.forward(a[None, :32])[-1][0, :31], m.forward(np.concatenate([a[:31], b[-1:]])[None])[-1][0, :31])
+    assert np.allclose(m.forward(a[None, :32], table)[-1][0, :31], m.forward(np.concatenate([a[:31], b[-1:]])[None], table)[-1][0, :31])
+
+
+def test_gradients():
+    """A small step of training lowers the loss that it is for."""
+    rng = np.random.default_rng(1)
+    m, _, _ = toy_model(rng)
+    t = np.tile(rng.integers(0, 50, 7), 60).astype(np.int32)
+
+    def loss(m):
+        chosen, odds = m.logs(t, np.array([len(t)]), 55)
+        return -(chosen - attention.softplus(np.where(m.begins[t], -odds, odds))).mean()
+
+    trained, _, _ = attention.train(m, np.concatenate([[55], t]).astype(np.int32), least_steps=150)
+    assert loss(trained) < 0.5 * loss(m)
+
+
+def test_word_probabilities_sum_to_one():
+    """Over all words of up to three ids, known or not, and the end, after the same words."""
+    rng = np.random.default_rng(2)
+    size, end = 12, 11
+    begins = (np.arange(size) % 3 == 0) | (np.arange(size) == end)
+    sequence = rng.integers(0, 11, 4000).astype(np.int32)
+    counts = np.bincount(sequence, minlength=size).astype(float)
+    table = np.bincount(attention.neighbours(sequence), minlength=size * (attention.CELLS + attention.NEIGHBOURS)).reshape(size, -1)
+    m, _, _ = attention.train(attention.untrained(counts, table, begins, end), sequence, least_steps=50)
+    after, new = attention.after_cells(table, counts, m.group()), np.full(size, 0.4)
+    go_on = [i for i in range(size) if not begins[i]]
+    heads = [i for i in range(size) if begins[i] and i != end]
+    tails = [[]]
+    vocabulary = []
+    for _ in range(4):
+        vocabulary += [[h, *t] for h in heads for t in tails]
+        tails = [[*t, i] for t in tails for i in go_on]
+    seen = np.zeros(len(vocabulary), np.int64)
+    for i in heads:  # the words with a first id occur as often as it does
+        own = [k for k, w in enumerate(vocabulary) if w[0] == i][:5]
+        seen[own] = np.diff(np.linspace(0, counts[i], len(own) + 1).astype(int))
+    before = [7, 3, 7]
+    total = 0.0
+    texts, places = [], []
+    for k in range(len(vocabulary)):
+        texts.append([*(vocabulary[j] for j in before), vocabulary[k], [end]])
+        places.append([*before, k, len(vocabulary)])
+    texts.append([*(vocabulary[j] for j in before), [end]])
+    places.append([*before, len(vocabulary)])
+    flat = [w for t in texts for w in t]
+    place = np.array([p for t in places for p in t])
+    n = np.array([len(t) for t in texts])
+    logs = lm_score.word_logs(m, after, new, end, np.array([i for w in flat for i in w], np.int32), np.array([len(w) for w in flat]), np.append(seen, 1)[place], place, n)
+    ends = np.cumsum(n)
+    total = np.exp(logs[ends[:-1] - 2]).sum() + np.exp(logs[-1])
+    assert 0.8 < total <= 1 + 1e-4  # longer words have the rest
+
+
+def test_words_before_in_the_text():
+    place, texts = np.array([4, 2, 4, 4, 9, 4, 9]), np.array([5, 2])
+    again, at = lm_score.earlier(place, texts)
+    assert again.tolist() == [0, 0, 1, 2, 0, 0, 0] and at.tolist() == [0, 1, 2, 3, 4, 0, 1]
 
 
 def test_subwords_rebuild_the_text():
     with open(lm_score.VOCABULARY_FILE, "rb") as f:
         s = lm_score.Subwords(f.read())
-    raws = [b"Hello  world, hello", b"", "ñandú   中".encode(), b"\xff x"]
-    ids, lengths = s.encode(raws)
-    for raw, part in zip(raws, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
-        assert part[-1] == s.end and s.encoding.decode(part[:-1].tolist()) == "".join(" " + w.decode("utf-8", "replace") for w in raw.split())
+    words = sorted({"Hello", "world,", "ñandú", "中", "\u00a0x\u00a0", "x" * 1000, "don't", "\u3000", "a\u00a0"})
+    ids, n = s.encode([w.encode() for w in words] + [b"", b"\xff"])
+    for w, part in zip([*words, None, "\ufffd"], np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert part.tolist() == [s.end] if w is None else s.encoding.decode(part.tolist()) == " " + w
+        assert s.begins[part].tolist() == [True] + [False] * (len(part) - 1)
+    w = lm_score.Words([b"b A b", b"", b" a\tc "])
+    assert [w.spelled()[i] for i in w.place] == [b"b", b"a", b"b", b"", b"", b"a", b"c", b""] and w.counts.tolist() == [4, 1, 3]
+
+
+def test_words_longer_than_a_chunk(monkeypatch):
+    raws = [b"one two  three", b"", b"x" * 300 + b" y " * 50, b"one  "]
+    want = shingles.word_hashes(raws)
+    monkeypatch.setattr(shingles, "CHUNK", 7)
+    got = shingles.word_hashes(raws)
+    assert (got[0] == want[0]).all() and got[1].tolist() == want[1].tolist() == [3, 0, 51, 1]
 
 
 def test_mixing(spark, docs, plain, empty):
