@@ -1,19 +1,22 @@
 """Visible text of web pages, laid out.
 
 A tokenizer feeds a tree builder that closes tags the way browsers imply (a block ends a paragraph, an item ends the
-item before it, a cell ends a cell), up to a depth of DEPTH; what is deeper hangs on the last level, yet opens, hides and
-closes as before. Elements that are never shown, or hidden by attribute or inline style, are dropped; of drawings only
+item before it, a cell ends a cell), up to a depth of DEPTH, as browsers have one; what is deeper hangs on the last level,
+yet opens, hides and closes as before. Elements that are never shown, or hidden by attribute or inline style, are dropped; of drawings only
 their text is shown. The rest is rendered: white space collapses, blocks
 start on a line of their own with a blank line around paragraphs and their like, list items get a bullet or number and
-an indent, table cells are padded to columns, preformatted text stays as it is.
+an indent, table cells are padded to columns (over rows and columns that they span, and wrapped at CELL_WIDTH),
+preformatted text stays as it is. A tag that no `>` ends is text. Time grows in proportion to a page's length.
 
 Null html gives null text; empty html, and text without tags, are rendered as they are. Nothing raises on broken
-markup. Repeated pages are rendered each; extra columns are left out.
+markup. Repeated pages are rendered each, an empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -21,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 150
-#: A column is padded to this width at most.
-CELL_WIDTH = 40
+DEPTH = 512
+#: Cells are wrapped at this width; a column is padded to WIDEST at most, where a word is as long as that.
+CELL_WIDTH, WIDEST = 40, 120
 # Element names by how they behave (fixed values of the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNSEEN = frozenset("script style noscript noframes template title meta link base iframe object embed audio video canvas datalist area param source track".split())
@@ -44,23 +47,29 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _MAY_HIDE = re.compile(r"hidden|style", re.I)
 _STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+(?:\s+[a-z-]+)*)\s*(!\s*important)?\s*(?=;|$)", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-_SPAN = re.compile(r"\s*(\d{1,3})")
-_START = re.compile(r"\s*(-?\d{1,9})")
+_NUMBER = re.compile(r"\s*(-?\d{1,9})")
 _BLANK = re.compile(r"[ \t\r\n\f]+")
 
 
 class Node:
     """hidden: with all it holds; shown: its own text is visible; space: svg, math, or drawn for text of a drawing."""
 
-    __slots__ = ("children", "hidden", "shown", "space", "tag", "with_")
+    __slots__ = ("children", "given", "hidden", "shown", "space", "tag")
 
-    def __init__(self, tag: str, with_: str = "", hidden: bool = False, shown: bool = True, space: str = ""):
-        self.tag, self.with_, self.hidden, self.shown, self.space, self.children = tag, with_, hidden, shown, space, []
+    def __init__(self, tag: str, given: dict[str, str] | None = None, hidden: bool = False, shown: bool = True, space: str = ""):
+        self.tag, self.given, self.hidden, self.shown, self.space, self.children = tag, given or {}, hidden, shown, space, []
+
+    def number(self, name: str, least: int, most: int) -> int:
+        """An attribute's number, 1 where there is none."""
+        m = _NUMBER.match(self.given.get(name, ""))
+        return min(most, max(least, int(m[1]))) if m else 1
 
 
 def attributes(rest: str) -> dict[str, str]:
@@ -83,6 +92,31 @@ def _hiding(given: dict[str, str]) -> tuple[bool, bool | None]:
     return display == "none", {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(visibility)
 
 
+class TagEnds:
+    """Where tags end, outside of quotes, on pages where some don't: no stretch is looked through twice in vain."""
+
+    def __init__(self, html: str):
+        self.html, self.places = html, [m.start() for m in _SPECIAL.finditer(html)]
+        self.last = {q: html.rfind(q) for q in "\"'"}
+        self.dead: set[int] = set()
+
+    def after(self, at: int) -> int:
+        """The place of the `>` that ends a tag whose name ends at `at`, or -1."""
+        seen = []
+        k = bisect_left(self.places, at)
+        while k < len(self.places) and k not in self.dead:
+            seen.append(k)
+            place = self.places[k]
+            quote = self.html[place]
+            if quote == ">":
+                return place
+            if place >= self.last[quote]:
+                break
+            k = bisect_left(self.places, self.html.index(quote, place + 1)) + 1
+        self.dead.update(seen)
+        return -1
+
+
 def _space(tag: str, parent: Node) -> str:
     if tag in ("svg", "math"):
         return tag
@@ -94,7 +128,7 @@ def _space(tag: str, parent: Node) -> str:
 def parse(html: str) -> Node:
     """The tree of a page, under a root of its own. Tags of html, head and body make no nodes: what a head may hold is never shown anyway, and what it can't hold ends it."""
     root = Node("html")
-    stack, at, dim = [root], 0, False
+    stack, at, dim, ends = [root], 0, False, None
     places: dict[str, list[int]] = {}  # where the open elements of a name stand in the stack
 
     def last(tags) -> int:
@@ -120,12 +154,24 @@ def parse(html: str) -> Node:
         while (k := last(tags)) > last(until):
             cut(k)
 
+    said = 0  # what is before has become text or tags
     while m := _TOKEN.search(html, at):
-        text(unescape(html[at : m.start()]))
         at = m.end()
+        if m[2] is not None:
+            whole = _REST.match(html, at) if ends is None else None
+            if whole is None:
+                ends = ends or TagEnds(html)
+                close_at = ends.after(at)
+                if close_at < 0:  # no tag
+                    continue
+                rest, at = html[at:close_at], close_at + 1
+            else:
+                rest, at = whole[1], whole.end()
+        text(unescape(html[said : m.start()]))
+        said = at
         if m[2] is None:
             continue
-        tag, rest = m[2].lower(), m[3]
+        tag = m[2].lower()
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
@@ -152,7 +198,7 @@ def parse(html: str) -> Node:
             given = attributes(rest)
         unseen, visible = _hiding(given) if given else (False, None)
         unseen |= tag in UNSEEN or parent.space in UNSEEN_IN and tag in UNSEEN_IN[parent.space]
-        node = Node(tag, given.get("start" if tag == "ol" else "colspan", ""), unseen, parent.shown if visible is None else visible, space)
+        node = Node(tag, given, unseen, parent.shown if visible is None else visible, space)
         dim |= not node.shown
         empty = rest.endswith("/") and (bool(parent.space) or space in ("svg", "math"))
         if tag in RAW:
@@ -160,7 +206,7 @@ def parse(html: str) -> Node:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 if tag == "textarea" and node.shown:
                     node.children.append(unescape(html[at : end.start() if end else len(html)]))
-                at = end.end() if end else len(html)
+                at = said = end.end() if end else len(html)
             parent.children.append(node)
         elif tag in VOID or empty:
             parent.children.append(node)
@@ -175,7 +221,7 @@ def parse(html: str) -> Node:
             push(node)
         if tag == "optgroup" and node.shown and given.get("label"):
             node.children.append(given["label"])
-    text(unescape(html[at:]))
+    text(unescape(html[said:]))
     if dim:
         _prune(root)
     return root
@@ -285,8 +331,7 @@ def _render(nodes: list, out: Lines, depth: int, keep: bool) -> None:
             out.words(" ")
         elif tag in ("ul", "ol", "menu", "dir"):
             out.block(1 if depth else 2)
-            first = _START.match(node.with_) if tag == "ol" else None
-            number = int(first[1]) if first else 1
+            number = node.number("start", -(10**9), 10**9) if tag == "ol" else 1
             for child in node.children:
                 if isinstance(child, Node) and child.tag == "li" and not child.hidden:
                     inner = Lines()
@@ -317,8 +362,39 @@ def _render(nodes: list, out: Lines, depth: int, keep: bool) -> None:
             _render(node.children, out, depth, keep)
 
 
+def _wrapped(lines: list[str]) -> list[str]:
+    """Lines of CELL_WIDTH characters at most, but for longer words."""
+    out = []
+    for line in lines:
+        if len(line) <= CELL_WIDTH:
+            out.append(line)
+            continue
+        now: list[str] = []
+        size = 0
+        for word in line.split(" "):
+            if now and size + len(word) > CELL_WIDTH:
+                out.append(" ".join(now))
+                now, size = [], 0
+            now.append(word)
+            size += len(word) + 1
+        out.append(" ".join(now))
+    return out
+
+
+def _holds(node: Node, tags: tuple[str, ...]) -> bool:
+    todo = [node]
+    while todo:
+        for child in todo.pop().children:
+            if isinstance(child, Node) and not child.hidden:
+                if child.tag in tags:
+                    return True
+                todo.append(child)
+    return False
+
+
 def _table(table: Node, out: Lines, depth: int) -> None:
     rows: list[list[tuple[list[str], int]]] = []
+    held: dict[int, int] = {}  # rows that a cell above still takes of a column
     todo = list(reversed(table.children))
     while todo:
         node = todo.pop()
@@ -327,18 +403,28 @@ def _table(table: Node, out: Lines, depth: int) -> None:
         elif node.hidden:
             continue
         elif node.tag in ("thead", "tbody", "tfoot"):
+            held = {}
             todo += reversed(node.children)
         elif node.tag == "tr":
-            cells = []
+            cells, column, left = [], 0, {c: n - 1 for c, n in held.items() if n > 1}
             for cell in node.children:
                 if isinstance(cell, Node) and cell.tag in ("td", "th") and not cell.hidden:
+                    while column in held:
+                        cells.append(([""], 1))
+                        column += 1
                     inner = Lines()
                     _render(cell.children, inner, depth, False)
-                    span = _SPAN.match(cell.with_)
-                    cells.append((inner.done() or [""], max(1, int(span[1])) if span else 1))
+                    lines, span, tall = inner.done() or [""], cell.number("colspan", 1, 1000), cell.number("rowspan", 0, 65534)
+                    if max(map(len, lines)) > CELL_WIDTH and not _holds(cell, ("table", "pre", "textarea")):
+                        lines = _wrapped(lines)
+                    cells.append((lines, span))
+                    if tall != 1:
+                        left |= dict.fromkeys(range(column, column + span), tall - 1 if tall else 65534)
+                    column += span
                 else:
                     _render([cell], out, depth, False)
             rows.append(cells)
+            held = left
         else:
             _render([node], out, depth, False)
             out.block(1)
@@ -347,7 +433,7 @@ def _table(table: Node, out: Lines, depth: int) -> None:
         column = 0
         for lines, span in cells:
             if span == 1:
-                width[column] = min(CELL_WIDTH, max(width.get(column, 0), *(len(x) for x in lines)))
+                width[column] = min(WIDEST, max(width.get(column, 0), *(len(x) for x in lines)))
             column += span
     laid = []
     for cells in rows:
@@ -355,13 +441,14 @@ def _table(table: Node, out: Lines, depth: int) -> None:
             parts, column = [], 0
             for lines, span in cells:
                 wide = sum(width.get(c, 0) for c in range(column, column + span)) + 3 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(min(wide, CELL_WIDTH * span)))
+                parts.append((lines[k] if k < len(lines) else "").ljust(min(wide, WIDEST)))
                 column += span
             laid.append(" | ".join(parts).rstrip())
     out.raw(laid)
 
 
 def render(html: str) -> str:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * DEPTH + 1000))  # a nested table takes two calls a level
     out = Lines()
     _render(parse(html).children, out, 0, False)
     return "\n".join(x.rstrip() for x in out.done()).strip("\n")
