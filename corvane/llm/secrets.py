@@ -3,8 +3,10 @@
 Plain patterns find assignments, access keys and long hex runs. Candidates in base64 or hex are decoded, and reported
 only if what they hold parses: a signed token's header is JSON with an algorithm, DER nests lengths that fill their
 container exactly, an SSH key is a sequence of length-prefixed strings. Line ends may be escaped (JSON, .env), keys may be
-wrapped in lines of one width with any indentation, and base64 may have either alphabet. Null text counts as empty: no span. Spans are
-in code points, end exclusive; equal spans of different kinds are all kept.
+wrapped in lines of one width with any indentation, and base64 may have either alphabet.
+
+Null text counts as empty: no span. Spans are in code points, end exclusive; equal spans of different kinds are all kept.
+Repeated rows are scanned each, an empty table gives no rows; a column of the input called spans is replaced.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ BASE = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
     "hex": (re.compile(r"[0-9a-f]{24,}"), lambda m: True),
 }
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: The same for headers with white space before or after the brace, where a token begins.
-JWT_SPACED = re.compile(r"(?<![A-Za-z0-9_-])(?:e[yw]|I[ACH]|C[QSXgin]|D[QSX])[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Parts of a signed token, joined by dots; how its header begins, and how one with white space before or after the brace does.
+PARTS = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}+")
+HEADER = re.compile(r"(?:e[yw]|I[ACH]|C[QSXgin]|D[QSX])[A-Za-z0-9_-]{10,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([^-]*+(?:-(?!----)[^-]*+)*+)-----END \1-----")
 PEM_HEADER = re.compile(r"\s*([A-Za-z][A-Za-z0-9-]*):[^\S\n]*([^\n]*)\n")
 PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]*")
@@ -57,13 +59,33 @@ def _decoded(text: str) -> bytes:
         return b""
 
 
-def is_jwt(token: str) -> bool:
-    """The first part decodes to a JSON object that names an algorithm, the second to one too."""
+def _object(part: str) -> dict | None:
+    """What a part of a token decodes to, if it is a JSON object."""
     try:
-        header, claims = (json.loads(_decoded(p)) for p in token.split(".")[:2])
+        found = json.loads(_decoded(part))
     except (ValueError, RecursionError):
-        return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of signed tokens: the header is a JSON object that names an algorithm, the claims are one too. Each part is decoded twice at most."""
+    for m in PARTS.finditer(text):
+        parts = m[0].split(".")
+        begins = [m.start()]
+        for p in parts:
+            begins.append(begins[-1] + len(p) + 1)
+        k = 0
+        while k + 2 < len(parts):
+            part = parts[k]
+            starts = {0} if HEADER.match(part) else set()
+            if (at := part.find("eyJ")) >= 0:
+                starts.add(at)
+            found = [at for at in sorted(starts) if parts[k + 1] and isinstance((_object(part[at:]) or {}).get("alg"), str)]
+            if found and _object(parts[k + 1]) is not None:
+                yield begins[k] + found[0], begins[k + 2] + len(parts[k + 2])
+                k += 2
+            k += 1
 
 
 def _elements(raw: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -104,18 +126,23 @@ def is_der(raw: bytes) -> bool:
     return large
 
 
+def _names_key(raw: bytes) -> bool:
+    """Whether the bytes begin with the length-prefixed name of a key type."""
+    n = int.from_bytes(raw[:4], "big")
+    return n <= 64 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", raw[4 : 4 + n]) is not None
+
+
 def is_ssh(raw: bytes) -> bool:
-    """An OpenSSH container, or length-prefixed strings that fill the bytes, the first a key type."""
+    """An OpenSSH container or length-prefixed strings that fill the bytes, the first a key type."""
     if raw.startswith(b"openssh-key-v1\0"):
-        return True
-    parts, at = [], 0
+        return _own_length(raw) == len(raw)
+    at, n_parts = 0, 0
+    if not _names_key(raw):
+        return False
     while at + 4 <= len(raw):
-        n = int.from_bytes(raw[at : at + 4], "big")
-        if at + 4 + n > len(raw):
-            return False
-        parts.append(raw[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(raw) and len(parts) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", parts[0]) is not None
+        at += 4 + int.from_bytes(raw[at : at + 4], "big")
+        n_parts += 1
+    return at == len(raw) and n_parts >= 2
 
 
 def is_pem(body: str) -> bool:
@@ -140,12 +167,11 @@ def _own_length(raw: bytes) -> int | None:
         return 2 + width + (int.from_bytes(raw[2 : 2 + width], "big") if width else raw[1])
     if raw.startswith(b"openssh-key-v1\0"):
         at, left = 15, 3
-        while left and at + 4 <= len(raw):
+        while left and at + 4 <= len(raw):  # cipher, key function and its options
             at += 4 + int.from_bytes(raw[at : at + 4], "big")
             left -= 1
-        if not left and at + 4 <= len(raw):
-            keys = int.from_bytes(raw[at : at + 4], "big")
-            at, left = at + 4, keys + 1
+        if not left and at + 4 <= len(raw) and (keys := int.from_bytes(raw[at : at + 4], "big")):
+            at, left = at + 4, keys + 1  # public keys and the private part
             while left and at + 4 <= len(raw):
                 at += 4 + int.from_bytes(raw[at : at + 4], "big")
                 left -= 1
@@ -161,20 +187,26 @@ def _wrapped(text: str) -> list[tuple[int, int, str]]:
         for m in block.finditer(text):
             spans = [x.span() for x in line.finditer(text, *m.span())]
             sizes = [len(text[a:b].rstrip("=")) for a, b in spans]
-            for i, (start, _) in enumerate(spans):
+            decode = (lambda x: bytes.fromhex(x[: len(x) // 2 * 2])) if digits else _decoded
+            run = len(spans)  # where lines of one size end
+            for i in range(len(spans) - 1, -1, -1):
+                start = spans[i][0]
+                if i + 1 < len(spans) and sizes[i + 1] != sizes[i]:
+                    run = i + 1
                 if not begins.match(text, start):
                     continue
-                j = i + 1
-                while j < len(spans) and sizes[j] == sizes[i]:
-                    j += 1
-                whole = j
-                if j < len(spans) and sizes[j] < sizes[i]:
-                    j += 1
-                joined = "".join(text[a:b].rstrip("=") for a, b in spans[i:j])
-                decode = (lambda x: bytes.fromhex(x[: len(x) // 2 * 2])) if digits else _decoded
-                n = _own_length(decode(joined))
-                for end in range(whole, j + 1) if n is None else (range(i + 1, j + 1)):
-                    size = sizes[i] * (min(end, whole) - i) + (sizes[end - 1] if end > whole else 0)
+                head = decode(text[start : start + min(sizes[i], 128)])
+                der, openssh = head[:1] == b"\x30", head.startswith(b"openssh-key-v1\0")
+                if not (der or openssh or _names_key(head)):
+                    continue
+                last = run + (run < len(spans) and sizes[run] < sizes[i])
+                if der:  # it says itself how long it is
+                    n = _own_length(head)
+                    last = min(last, i - (-(2 * n if digits else -(-4 * n // 3)) // sizes[i])) if n else i
+                joined = "".join(text[a:b].rstrip("=") for a, b in spans[i:last])
+                n = _own_length(decode(joined)) if der or openssh else None
+                for end in range(i + 1, last + 1) if n is not None else range(run, last + 1):
+                    size = sizes[i] * (min(end, run) - i) + (sizes[end - 1] if end > run else 0)
                     if n is not None and size != (2 * n if digits else -(-4 * n // 3)):
                         continue
                     raw = decode(joined[:size])
@@ -190,9 +222,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
     out = []
     for kind, (pattern, holds) in BASE.items():
         out += [(*m.span(), kind) for m in pattern.finditer(text) if holds(m)]
-    out += [(*m.span(), "jwt") for m in JWT.finditer(text) if is_jwt(m[0])]
     plain = ESCAPED.sub(lambda m: " " * (len(m[0]) - 1) + "\n", text)  # of the same length
-    out += [(*m.span(), "jwt") for m in JWT_SPACED.finditer(plain) if is_jwt(m[0])]
+    out += [(a, b, "jwt") for a, b in tokens(plain)]
     out += [(*m.span(), "pem") for m in PEM.finditer(plain) if is_pem(m[2])]
     out += _wrapped(plain)
     for pattern, decode in ((BLOB, _decoded), (URL_BLOB, _decoded), (HEX, lambda x: bytes.fromhex(x))):
@@ -206,7 +237,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` with spans array<struct<start, end, kind>>."""
+    """The columns `keep` with spans array<struct<start, end, kind>>, which replaces a column of that name."""
+    keep = [c for c in keep if c != "spans"]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
