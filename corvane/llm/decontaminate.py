@@ -9,6 +9,9 @@ its parts stand and whatever block of the benchmark it is indexed with.
 The index goes to the executors in blocks of at most BLOCK_BYTES of item text, one pass over the documents for each
 block, so no broadcast grows with the benchmark. Null and empty texts and items give no match; an item shorter than a
 run of words must occur whole. Repeated item ids are items of their own; repeated document rows are reported once.
+Document frequencies, the number of items and their mean length are those of the whole benchmark for every block. Rows
+of documents without an id are not reported, yet `clean` drops them if they hold an item. An empty table of documents
+gives no rows, an empty benchmark no matches; extra columns stay in `clean` and are left out of `leaks`.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import as_bytes
+from corvane.llm.common import as_bytes, checkpointed
 
 K1, B = 1.2, 0.75
 #: A score of 1, less what rounding may take.
@@ -139,9 +142,23 @@ def _threshold(words: list[bytes], cut: int, weights: dict[bytes, float]) -> flo
     return sum(sum(sorted(p)[: math.ceil(share * len(p) - 1e-9)]) for p, share in parts)
 
 
-def build(items: list[tuple]) -> Index:
-    """items: (id, text as bytes)."""
-    index = Index([], [], [])
+@dataclass
+class Corpus:
+    """Of a whole benchmark: items, their mean length in words, and in how many of them words occur."""
+
+    n: int
+    mean: float
+    df: dict[bytes, int]
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Corpus:
+        words = [w for w in (t.lower().split() for t in texts) if w]
+        return cls(len(words), sum(map(len, words)) / max(1, len(words)), Counter(w for x in words for w in set(x)))
+
+
+def build(items: list[tuple], corpus: Corpus | None = None) -> Index:
+    """items: (id, text as bytes); corpus: of the benchmark that they are a block of, or all of where it is left out."""
+    index, corpus = Index([], [], []), corpus or Corpus.of([text for _, text in items])
     for i, text in items:
         words = text.lower().split()
         if words:
@@ -154,17 +171,16 @@ def build(items: list[tuple]) -> Index:
                 last += len(sentence.split())
             index.answer_from.append(len(words) - (last if last <= len(words) // 2 else -(-len(words) // 4)))
     n = len(index.words)
-    mean = sum(map(len, index.words)) / max(1, n)
-    df = Counter(w for words in index.words for w in set(words))
-    index.term = {w: k for k, w in enumerate(sorted(df))}
-    index.postings = [[] for _ in df]
+    df, terms = corpus.df, {w for words in index.words for w in words}
+    index.term = {w: k for k, w in enumerate(sorted(terms))}
+    index.postings = [[] for _ in terms]
     index.range = max(RANGE, -(-n // RANGES))
     for item, words in enumerate(index.words):
-        weights = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean)) for w, tf in Counter(words).items()}
+        weights = {w: math.log(1 + (corpus.n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / corpus.mean)) for w, tf in Counter(words).items()}
         threshold = _threshold(words, index.answer_from[item], weights)
         for w in sorted(weights):
             index.postings[index.term[w]].append((item, weights[w] / threshold))
-    index.block_max = np.zeros((max(1, len(df)), max(1, -(-n // index.range))), np.float32)
+    index.block_max = np.zeros((max(1, len(terms)), max(1, -(-n // index.range))), np.float32)
     for t, postings in enumerate(index.postings):
         for item, weight in postings:
             index.block_max[t, item // index.range] = max(index.block_max[t, item // index.range], weight)
@@ -212,14 +228,32 @@ def matches(index: Index, raw: bytes) -> list[tuple]:
     return out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """Items in blocks of at most about BLOCK_BYTES of text, read one block at a time."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple], Corpus]]:
+    """Items in blocks of at most about BLOCK_BYTES of text, read one block at a time, with the benchmark's figures for their words."""
     items = benchmark.where("text is not null and item_id is not null").select("item_id", F.col("text").cast("binary").alias("raw"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each word of an item once, with the item's block; and each item's length, without a word."""
+        for batch in batches:
+            out: list[tuple] = []
+            for block, raw in zip(batch.column("block").to_pylist(), as_bytes(batch.column("raw")), strict=True):
+                words = raw.lower().split()
+                if words:
+                    out.append((block, None, len(words)))
+                    out += [(block, w, 1) for w in set(words)]
+            yield pa.RecordBatch.from_pydict({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate((("block", pa.int32()), ("word", pa.binary()), ("n", pa.int64())))})
+
     size = items.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()[0]
     n = size // BLOCK_BYTES + 1
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "raw"), F.lit(n)).cast("int"))
+    words = items.mapInArrow(counted, "block int, word binary, n long").groupBy("block", "word").agg(F.sum("n").alias("n"), F.count("*").alias("items"))
+    if n > 1:  # a block's words go to the driver with it, and no others
+        total = words.where("word is not null").groupBy("word").agg(F.sum("n").alias("total"))
+        words = checkpointed(words.where("word is not null").join(total, "word").select("block", "word", F.col("total").alias("n"), "items").unionByName(words.where("word is null")))
+    totals = words.where("word is null").agg(F.sum("items"), F.sum("n")).first()
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "raw"), F.lit(n)) == k)
-        yield sorted((r["item_id"], bytes(r["raw"])) for r in part.toLocalIterator())
+        df = {bytes(r["word"]): r["n"] for r in words.where(F.col("word").isNotNull() & (F.col("block") == k)).toLocalIterator()}
+        yield sorted((r["item_id"], bytes(r["raw"])) for r in items.where(F.col("block") == k).toLocalIterator()), Corpus(totals[0] or 0, (totals[1] or 0) / max(1, totals[0] or 0), df)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -227,7 +261,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     raw = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("binary").alias("raw"))
     out = None
     for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(build(block))  # of at most about BLOCK_BYTES of text
+        shared = docs.sparkSession.sparkContext.broadcast(build(*block))  # of at most about BLOCK_BYTES of text
 
         def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -241,10 +275,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold an item; rows with null text or id stay, extra columns too. One pass: rows are kept or dropped where they are searched, no join."""
+    """docs without the rows that hold an item; rows with null text stay, extra columns too. One pass: rows are kept or dropped where they are searched, no join."""
     out = docs
     for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(build(block))
+        shared = docs.sparkSession.sparkContext.broadcast(build(*block))
 
         def kept(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
