@@ -28,9 +28,11 @@ def hash_below(col: Column, share: float) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a copy in the shared folder of spark.checkpoint.dir; without that setting (tests) in a temporary one."""
+    """Cut the lineage by a copy in the shared folder of spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary folder; a cluster has no folder that all its machines see, so that is an error."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from corvane.llm import decontaminate, hamming, html_text, langid, lm_score, mixing, ngram_join, quality, secrets, substring_dedup
 
 QUERIES = {
@@ -16,7 +15,6 @@ QUERIES = {
     "op8_source_mixing": mixing.op8,
     "op9_benchmark_decontamination": decontaminate.op9,
     "op10_secret_scan": secrets.op10,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_hamming_top_k": hamming.ORACLE_SQL}

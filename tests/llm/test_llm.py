@@ -239,6 +239,43 @@ def test_html_keeps_visible_text():
     assert render("<td><b>" + "<i>" * 200_000 + "a" + "</b>" * 200_000) == "a"
 
 
+def test_html_tables():
+    render = html_text.render
+    assert render("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a | b\n  | c\nd | e"
+    assert render("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td colspan=2 rowspan=2>d<td>e<tr><td>f</table>") == "a | b\n  | c\n  | d    | e\n  |   |  | f"
+    assert render("<table><tbody><tr><td rowspan=9>a<tbody><tr><td>b</table>") == "a\nb"
+    long = "many words that make a cell " * 3
+    rows = render(f"<table><tr><td>{long}<td>x<tr><td>y<td>z</table>").split("\n")
+    assert len({r.index("|") for r in rows if "|" in r}) == 1 and max(map(len, rows)) < 50 and " ".join(r.split("|")[0].strip() for r in rows[:3]).split() == long.split()
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<a " * 300_000, '<a b="x" ' * 100_000, '<a ">" ' * 100_000, "<a \"'> <b '\"> " * 50_000, "<!" * 300_000, "<ul><li>" * 5000 + "x", "<table><tr><td>" * 3000 + "x", "<p " + "a " * 300_000 + ">x", "<td colspan=1000 rowspan=9999>x" * 2000):
+        html_text.render(page)
+    assert time.perf_counter() - began < 60
+    assert html_text.render('a <b "x <i>c</i> d') == 'a <b "x c d'
+    assert html_text.render("<div>" * 300 + "<ul><li>deep</ul><p style='display:none'>no") == "- deep"
+
+
+def test_secrets_take_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    for text in ("eyJ" * 300_000, "eyJ." * 100_000, "secret " * 100_000, "0" * 10**6, ("A" * 40 + "\n" * 50) * 5000, "-----BEGIN A-----" * 30_000, ("MIIB" * 16 + "\n") * 20_000, "AKIA" * 200_000):
+        secrets.find(text)
+    assert time.perf_counter() - began < 60
+
+
+def test_openssh_lengths_are_parsed():
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    whole = b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + b"\0\0\0\1" + string(b"p" * 51) + string(b"k" * 136)
+    assert secrets.is_ssh(whole)
+    assert not secrets.is_ssh(b"openssh-key-v1\0" + b"\xff" * 60) and not secrets.is_ssh(whole[:-1]) and not secrets.is_ssh(whole + b"x")
+
+
 def test_html_rows(spark):
     d = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "<p>x", 1), (3, "<p>x", 1), (None, "<td>y", 1)], "page_id long, html string, text int")
     assert sorted(map(tuple, html_text.extract(d).collect()), key=key) == [(1, None, None), (2, "", 0), (3, "x", 1), (3, "x", 1), (None, "y", 1)]
@@ -462,8 +499,14 @@ def test_decontamination_misses_no_overlap(spark, monkeypatch):
     assert {(1, 1), (2, 2), (3, 2), (4, 3), (7, 1)} <= want
     d = spark.createDataFrame(docs, "doc_id long, text string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole = decontaminate.Corpus.of([t.encode() for _, t in items])
     for block in (1 << 20, 4000):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        seen = []
+        for part, corpus in decontaminate._blocks(spark.createDataFrame(items, "item_id long, text string")):
+            assert (corpus.n, corpus.mean) == (whole.n, pytest.approx(whole.mean)) and corpus.df == {w: whole.df[w] for w in {w for _, t in part for w in t.lower().split()}}
+            seen += part
+        assert sorted(seen) == sorted((i, t.encode()) for i, t in items)
         assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, benchmark).collect()} == want
         assert {r["doc_id"] for r in decontaminate.clean(d, benchmark).collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
@@ -552,7 +595,9 @@ def test_pipeline(spark, data, docs):
 def test_registered_queries(spark, data):
     import duckdb
 
-    assert len([k for k in registry.QUERIES if k.startswith("op")]) == 10 and "pipeline" in registry.QUERIES
+    import __spark_entry__ as entry
+
+    assert len(registry.QUERIES) == 10 and {*registry.QUERIES, "pipeline"} <= set(entry.queries())
     for name in ("op5_html_extraction", "op8_source_mixing", "op9_benchmark_decontamination", "op10_secret_scan"):
         assert registry.QUERIES[name](spark, data).count() > 0
     c = duckdb.connect()
