@@ -2,13 +2,18 @@
 
 Documents with equal shingle sets form a class, stood for by its smallest doc_id. Each class sorts its shingles rarest
 first (by a bounded table of hashed document frequencies over all documents) and posts a prefix that any partner must
-share. A prefix shingle that several classes post names a group by the smallest class it holds; each class is sent once
-to each group it is named in, by bands of length, in blocks of bounded size: first a sketch of it, which the length
-and suffix filters need, then, if a pair of it is left, its whole set, on which the positional filter works and pairs
-are verified. A group whose own name is in an earlier group goes into that one, so a class is sent to few. A spanning forest of the links goes on to the components, so a group of near copies never becomes all its pairs.
+share. Classes meet on prefix n-grams; n-grams with the same smallest class travel together (and with those of that
+class's own smallest one), so that near copies, which share most of their prefixes, are sent once and not once for each
+n-gram. Where they meet, an index of prefix n-grams with their positions gives the candidates, which the length and the
+positional filter thin out; then the suffix filter, halving ranges of hashes, on sketches; and what is left is verified on
+whole sets, in the group of the pair's first common prefix n-gram and nowhere else, unless both are joined by then.
+
+A group of over BLOCK members is cut into blocks: members meet those of their block and a few pivots that visit all
+blocks. Members that this leaves apart from the largest component of the group then visit all other blocks. So k near
+copies take about k rows, never all pairs of them or of their blocks. Joined pairs leave as a spanning forest.
 
 Rows with equal doc_id count as one document. Null and empty texts, and texts of white space, have no shingle and link
-with nothing. Null ids form no links. An empty table gives no rows. Extra columns are ignored.
+with nothing. Null ids form no links. An empty table gives no rows. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import as_bytes, checkpointed, slices
+from corvane.llm.common import as_bytes, checkpointed, ragged, slices
 from corvane.llm.components import components
 from corvane.llm.shingles import mix, shingle_sets
 
 #: Cells of the table of document frequencies; a fixed size, whatever the input.
 CELLS = 1 << 20
 CELL_BLOCK = 1 << 14
-#: Most members of a group that meet in one task.
-BLOCK = 1024
+#: Members of a group that meet in one task, about; of a larger group, how many visit all blocks.
+BLOCK, PIVOTS = 512, 8
+#: Large groups that are broadcast, at most; beyond, they are shuffled. Ways that rows of one key are dealt in joins.
+MOST_LARGE, SALTS = 1_000_000, 16
 #: Bits of the map of documents that are sent to a group.
 BITMAP = 1 << 23
 #: Bytes of text hashed at a time.
@@ -95,91 +102,90 @@ def _sketch(h: np.ndarray) -> bytes:
     return np.minimum(np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def _survivors(sketches: list[bytes], sizes: np.ndarray, guest: np.ndarray, percent: int) -> np.ndarray:
-    """Which members have a partner within the length and suffix filters: sets of x and y members whose counts by range differ by d in all have (x + y - d) / 2 in common at most."""
-    width = min(map(len, sketches))
-    table = np.array([np.frombuffer(s, np.uint8).reshape(width, -1).sum(1) for s in sketches], np.int32)
-    keep = np.zeros(len(sizes), bool)
-    for i in range(len(sizes) - 1):
-        small, large = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
-        at = i + 1 + np.flatnonzero((100 * small >= percent * large) & ~(guest[i] & guest[i + 1 :]))
-        if len(at):
-            total = sizes[i] + sizes[at]
-            ok = at[(total - np.abs(table[at] - table[i]).sum(1)) // 2 >= -(-percent * total // (100 + percent))]
-            keep[ok] = True
-            keep[i] |= len(ok) > 0
+class Group:
+    """Classes that meet: their ids, sizes and roles, and the prefix n-grams of this group, with their positions in the rare-first order."""
+
+    def __init__(self, rep: np.ndarray, size: np.ndarray, guest: np.ndarray, visits: np.ndarray, few: np.ndarray, again: bool, grams: list[np.ndarray], places: list[np.ndarray], percent: int):
+        self.rep, self.size, self.guest, self.visits, self.few, self.again, self.percent = rep, size, guest, visits, few, again, percent
+        self.order = np.lexsort((rep, size))  # small sets first
+        rank = np.empty(len(rep), np.int64)
+        rank[self.order] = np.arange(len(rep))
+        member = np.repeat(np.arange(len(rep)), [len(g) for g in grams])
+        h, place = np.concatenate(grams), np.concatenate(places)
+        by = np.lexsort((rank[member], h))
+        self.member, self.place = member[by], place[by]
+        run = np.flatnonzero(np.concatenate([[True], h[by[1:]] != h[by[:-1]]]))
+        self.start = np.repeat(run, np.diff(np.append(run, len(by))))
+        own = np.argsort(self.member, kind="stable")
+        self.own = np.split(own, np.cumsum(np.bincount(self.member, minlength=len(rep)))[:-1])
+
+    def candidates(self, y: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Smaller members x that share a prefix n-gram with y within the length and positional filters, and the places of their first shared one in x and in y."""
+        at = self.own[y]
+        n = at - self.start[at]
+        some = ragged(self.start[at], n)
+        x, i, j = self.member[some], self.place[some], np.repeat(self.place[at], n)
+        sx, sy = self.size[x], int(self.size[y])
+        need = -(-self.percent * (sx + sy) // (100 + self.percent))
+        ok = (100 * sx >= self.percent * sy) & (np.minimum(sx - i, sy - j) >= need) & ~(self.guest[x] & self.guest[y]) & ~(self.visits[x] & self.visits[y])
+        resident, visitor = np.where(self.visits[x], self.rep[y], self.rep[x]), np.where(self.visits[x], self.rep[x], self.rep[y])
+        few = np.where(self.visits[x], self.few[y], self.few[x])
+        apart = self.visits[x] | self.visits[y]
+        ok &= np.where(apart, ~(few & (resident < visitor)), not self.again)
+        x, i, j = x[ok], i[ok], j[ok]
+        first = np.lexsort((j, x))
+        first = first[np.concatenate([[True], np.diff(x[first]) != 0])] if len(x) else first
+        return x[first], i[first], j[first]
+
+
+def _survivors(group: Group, sketches: list[bytes]) -> np.ndarray:
+    """Which members have a candidate within the suffix filter: sets of x and y members whose counts by range differ by d in all have (x + y - d) / 2 in common at most. Ranges are halved until the pair is out or they are as fine as the sketches."""
+    width = min(map(len, sketches), default=1)
+    levels = [np.array([np.frombuffer(s, np.uint8).reshape(width, -1).sum(1) for s in sketches], np.int32)]
+    while levels[0].shape[1] > 8:
+        levels.insert(0, levels[0].reshape(len(sketches), -1, 2).sum(2))
+    keep = np.zeros(len(sketches), bool)
+    for y in group.order.tolist():
+        x, _, _ = group.candidates(y)
+        x = x[~keep[x] | ~keep[y]]
+        total = group.size[x] + group.size[y]
+        need = -(-group.percent * total // (100 + group.percent))
+        for table in levels:
+            ok = (total - np.abs(table[x] - table[y]).sum(1)) // 2 >= need
+            x, total, need = x[ok], total[ok], need[ok]
+            if not len(x):
+                break
+        keep[x] = True
+        keep[y] |= len(x) > 0
     return keep
 
 
-def _positional(x: np.ndarray, y: np.ndarray, need: int, places: tuple[dict, int]) -> bool:
-    """Can two rare-first sets, from their first common member in x's prefix on, still have `need` in common?"""
-    place, prefix = places
-    for j, v in enumerate(y.tolist()):
-        i = place.get(v)
-        if i is not None and i < prefix:
-            return min(i, j) + min(len(x) - i, len(y) - j) >= need
-    return True
-
-
-def _linked(sets: list[np.ndarray], other: np.ndarray, guest: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Linked pairs (i, j) with i < j, guests with guests left out; where `other` has both values, only pairs of a False and a True."""
-    two = other.any() and not other.all()
-    sizes = np.array([len(s) for s in sets])
-    if len(sets) <= 24:
-        for i, x in enumerate(sets):
-            place = None
-            for j in range(i + 1, len(sets)):
-                small, large = sorted((len(x), len(sets[j])))
-                if 100 * small < percent * large or (guest[i] and guest[j]) or (two and other[i] == other[j]):
-                    continue
-                if place is None:
-                    place = {v: k for k, v in enumerate(x.tolist())}
-                need = least_overlap(len(x), len(sets[j]), percent)
-                if _positional(x, sets[j], need, (place, len(x) - -(-percent * len(x) // 100) + 1)) and np.isin(sets[j], x, assume_unique=True).sum() >= need:
-                    yield i, j
-        return
-    flat = np.concatenate(sets)
-    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    row, keep = np.repeat(np.arange(len(sets)), sizes), count[column] > 1
-    rank = np.cumsum(count > 1) - 1
-    row, column = row[keep], rank[column[keep]]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    width = 2048
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [start, start + width])
-        part = np.zeros((len(sets), width), np.float32)
-        part[row[a:b], column[a:b] - start] = 1
-        common += part @ part.T
-    ok = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    ok &= ~(guest[:, None] & guest[None, :])
-    if two:
-        ok &= other[:, None] != other[None, :]
-    i, j = np.nonzero(np.triu(ok, 1))
-    yield from zip(i.tolist(), j.tolist(), strict=True)
-
-
-def _forest(n: int, links: Iterator[tuple[int, int]]) -> list[int]:
-    """Root of each of n members: the first of those it is joined with."""
-    parent = list(range(n))
+def _joined(group: Group, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Linked pairs that join members not joined before. sets: whole, rare-first. A pair whose first common prefix n-gram is another group's is left to that."""
+    parent = list(range(len(sets)))
+    whole = [np.sort(s) for s in sets]
 
     def find(i: int) -> int:
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
-    for i, j in links:
-        a, b = find(i), find(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [find(i) for i in range(n)]
+    for y in group.order.tolist():
+        for x, i, j in zip(*(v.tolist() for v in group.candidates(y)), strict=True):
+            a, b = find(x), find(y)
+            if a == b or np.isin(sets[x][:i], sets[y][:j], assume_unique=True).any():
+                continue
+            large = whole[y]
+            at = np.minimum(np.searchsorted(large, whole[x]), len(large) - 1)
+            if int((large[at] == whole[x]).sum()) >= least_overlap(len(large), len(whole[x]), group.percent):
+                parent[max(a, b)] = min(a, b)
+                yield x, y
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row, and the columns `keep`."""
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
-    raw = docs.select(*dict.fromkeys(["doc_id", *keep]), F.col("text").cast("binary").alias("raw"))
+    raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
     table = spark.sparkContext.broadcast(_frequencies(raw.select("raw"), n))  # CELLS numbers
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +194,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, keep: tuple
             for a, b in slices([len(r) for r in raws], SLICE):
                 h, sizes = shingle_sets(raws[a:b], n)
                 s1, s2 = _signatures(h, sizes)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in batch.schema.names if c != "raw"), pa.array(sizes), pa.array(s1), pa.array(s2)], names=[*(c for c in batch.schema.names if c != "raw"), "n_shingles", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(sizes), pa.array(s1), pa.array(s2)], names=["doc_id", "n_shingles", "s1", "s2"])
 
     def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,29 +207,37 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, keep: tuple
                 place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(sizes), pa.array(s1), pa.array(s2), _listed(h[place < np.repeat(long, sizes)], long)], names=["doc_id", "n_shingles", "s1", "s2", "prefix"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in raw.drop("raw").schema)
-    rows = raw.mapInArrow(summed, f"{fields}n_shingles long, s1 long, s2 long")
-    posted = raw.select("doc_id", "raw").where("doc_id is not null").mapInArrow(prefixed, "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>")
-    classes = checkpointed(rows.where("doc_id is not null and n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    rows = checkpointed(raw.mapInArrow(summed, "doc_id long, n_shingles long, s1 long, s2 long"))
+    posted = raw.where("doc_id is not null").mapInArrow(prefixed, "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>")
+    classes = checkpointed(rows.where("doc_id is not null and n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     prefixes = posted.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"))
-    entries = prefixes.select("rep", F.explode("prefix").alias("h"))
+    entries = prefixes.select("rep", F.posexplode("prefix").alias("place", "h"))
     named = entries.groupBy("h").agg(F.min("rep").alias("label"), F.count("*").alias("n")).where("n > 1").select("h", "label")
-    shared = checkpointed(entries.join(named, "h").select("label", "rep").distinct())
-    joined = shared.join(classes, "rep")
-    earlier = joined.groupBy(F.col("rep").alias("label")).agg(F.min("label").alias("earlier"))
-    merged = joined.join(earlier, "label").select(F.col("earlier").alias("label"), "rep", "s1", "s2", "n_shingles").distinct()
+    # an n-gram may be in many prefixes; the row that names it is one, and adaptive execution splits such keys
+    shared = checkpointed(entries.join(named, "h").groupBy("label", "rep").agg(F.collect_list("place").alias("places")))  # places of one prefix
+    moved = shared.groupBy(F.col("rep").alias("label")).agg(F.min("label").alias("to")).where("to < label")
+    moved = moved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    merged = shared.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(moved, ["label", "salt"], "left")
+    merged = merged.groupBy(F.coalesce("to", "label").alias("label"), "rep").agg(F.flatten(F.collect_list("places")).alias("places"))
     # Two classes within the length filter share a band or have neighbouring ones; a class goes to its own, and to the
     # next as a guest. Guests are not compared with each other there.
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(percent / 100) * (1 + 1e-9))).cast("int")
-    sent = checkpointed(merged.select("label", "rep", "s1", "s2", F.posexplode(F.array(band, band + 1)).alias("guest", "band")))
-    crowd = sent.groupBy("label", "band").agg(F.count("*").alias("n"), F.min("guest").alias("first")).where("n > 1 and first = 0").select("label", "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = checkpointed(
-        sent.join(crowd, ["label", "band"])
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("rep", "s1", "s2", F.struct("label", "band", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), (F.col("own") > F.col("with")).alias("upper"), (F.col("guest") == 1).alias("guest")).alias("to"))
-        .groupBy("rep", "s1", "s2").agg(F.collect_list("to").alias("to"))  # as many as a set has prefix shingles, at most, by two bands and blocks
-    )
+    sent = checkpointed(merged.join(classes, "rep").select("label", "rep", "s1", "s2", "places", F.posexplode(F.array(band, band + 1)).alias("guest", "band")))
+    crowd = sent.groupBy("label", "band").agg(F.count("*").alias("n"), F.min("guest").alias("first")).where("n > 1 and first = 0").drop("first")
+    large = checkpointed(crowd.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    n_large = large.count()
+    hot = sent.join(F.broadcast(large) if n_large <= MOST_LARGE else large, ["label", "band"], "left")
+    small = hot.where("n is null").drop("n", "blocks").join(crowd.where(F.col("n") <= BLOCK).drop("n"), ["label", "band"], "left_semi")
+    flag = lambda x: F.lit(x)
+    place = lambda block, visits, few: F.struct("label", "band", block.cast("int").alias("block"), visits.alias("visits"), few.alias("few"), (F.col("guest") == 1).alias("guest"), "places").alias("to")
+    placed = small.select("rep", "s1", "s2", place(F.lit(0), flag(False), flag(False)))
+    crowded = None
+    if n_large:
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        pivot = F.pmod(F.xxhash64(F.lit("pivot"), "rep"), F.lit(1 << 30)) < F.lit(PIVOTS << 30) / F.col("n")
+        crowded = hot.where("n is not null").withColumn("own", own).withColumn("pivot", pivot)
+        visits = crowded.where("pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own")
+        placed = placed.unionByName(crowded.select("rep", "s1", "s2", place(F.col("own"), flag(False), F.col("pivot")))).unionByName(visits.select("rep", "s1", "s2", place(F.col("block"), flag(True), flag(True))))
     listed = raw.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "raw")
 
     def texts_of(some: DataFrame) -> DataFrame:
@@ -241,62 +255,89 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, keep: tuple
 
         return some.join(listed.withColumn("cell", cell("rep")).mapInArrow(marked, "rep long, raw binary"), "rep")
 
-    to = "array<struct<label:long,band:int,low:int,high:int,upper:boolean,guest:boolean>>"
-    group = ["label", "band", "low", "high"]
+    role = "label:long,band:int,block:int,visits:boolean,few:boolean,guest:boolean"
+    to, group = f"array<struct<{role},places:array<int>>>", ["label", "band", "block"]
+    fields = f"{role.replace(':', ' ').replace(',', ', ')}, places array<int>"
 
-    def sets_of(part: pa.RecordBatch, raws: list[bytes]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-        """The rows whose text has the signature asked for (rows with equal ids may differ in text), and their sets."""
+    def sets_of(part: pa.RecordBatch, raws: list[bytes]) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        """The rows whose text has the signature asked for (rows with equal ids may differ in text), and their sets, rare first."""
         h, sizes = shingle_sets(raws, n)
         s1, s2 = _signatures(h, sizes)
         same = (s1 == part.column("s1").to_numpy()) & (s2 == part.column("s2").to_numpy())
-        return part.filter(pa.array(same)), h[np.repeat(same, sizes)], sizes[same]
-
-    def with_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws = as_bytes(batch.column("raw"))
-            for a, b in slices([len(r) for r in raws], SLICE):
-                part, h, sizes = sets_of(batch.slice(a, b - a), raws[a:b])
-                sketches = [_sketch(x) for x in np.split(h, np.cumsum(sizes)[:-1])] if len(sizes) else []
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "s1", "s2", "to")), pa.array(sizes), pa.array(sketches, pa.binary())], names=["rep", "s1", "s2", "to", "size", "sketch"])
-
-    sketched = texts_of(placed).select("rep", "s1", "s2", "to", "raw").mapInArrow(with_sketches, f"rep long, s1 long, s2 long, to {to}, size long, sketch binary")
-    sketched = sketched.select("rep", "s1", "s2", "size", "sketch", F.explode("to").alias("to")).select("to.*", "rep", "s1", "s2", "size", "sketch")
+        h, sizes = h[np.repeat(same, sizes)], sizes[same]
+        return part.filter(pa.array(same)), np.split(_rare_first(h, sizes, table.value), np.cumsum(sizes)[:-1]) if len(sizes) else []
 
-    def screened(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches)
-        keep = _survivors([x.as_py() for x in t.column("sketch")], t.column("size").to_numpy(), t.column("guest").to_numpy(), percent)
-        yield from t.filter(pa.array(keep)).drop_columns(["size", "sketch"]).to_batches()
+    def with_(columns, names: list[str]):
+        """Rows (rep, s1, s2, to) with what `columns` makes of their sets instead of the text."""
 
-    left = sketched.groupBy(*group).applyInArrow(screened, "label long, band int, low int, high int, upper boolean, guest boolean, rep long, s1 long, s2 long")
-    left = checkpointed(left.groupBy("rep", "s1", "s2").agg(F.collect_list(F.struct("label", "band", "low", "high", "upper", "guest")).alias("to")))
-
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws = as_bytes(batch.column("raw"))
-            for a, b in slices([len(r) for r in raws], SLICE):
-                part, h, sizes = sets_of(batch.slice(a, b - a), raws[a:b])
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("to"), _listed(_rare_first(h, sizes, table.value), sizes)], names=["rep", "to", "members"])
-
-    sets = texts_of(left).select("rep", "s1", "s2", "to", "raw").mapInArrow(with_sets, f"rep long, to {to}, members array<long>")
-    sets = sets.select("rep", "members", F.explode("to").alias("to")).select("to.*", "rep", "members")
-
-    def verified(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches)
-        rep, upper, guest = (t.column(c).to_numpy() for c in ("rep", "upper", "guest"))
-        order = np.lexsort((upper, rep))
-        order = order[np.concatenate([[True], np.diff(rep[order]) != 0])]
-        lists = t.column("members").combine_chunks()
-        flat, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        members = [flat[at[i] : at[i + 1]] for i in order]
-        root = _forest(len(order), _linked(members, upper[order], guest[order], percent))
-        found = [(rep[order[i]], rep[order[r]]) for i, r in enumerate(root) if r != i]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-    links = sets.groupBy(*group).applyInArrow(verified, "a long, b long")
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raws = as_bytes(batch.column("raw"))
+                for a, b in slices([len(r) for r in raws], SLICE):
+                    part, sets = sets_of(batch.slice(a, b - a), raws[a:b])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "s1", "s2", "to")), *columns(sets, part)], names=["rep", "s1", "s2", "to", *names])
+
+        return made
+
+    def sketches(sets: list[np.ndarray], part: pa.RecordBatch) -> list[pa.Array]:
+        prefix = [s[: len(s) - -(-percent * len(s) // 100) + 1] for s in sets]
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([_sketch(s) for s in sets], pa.binary()), _listed(np.concatenate([*prefix, np.zeros(0, np.uint64)]), np.array([len(p) for p in prefix], np.int64))]
+
+    def members(sets: list[np.ndarray], part: pa.RecordBatch) -> list[pa.Array]:
+        return [_listed(np.concatenate([*sets, np.zeros(0, np.uint64)]), np.array([len(s) for s in sets], np.int64))]
+
+    def arrays(t: pa.Table, column: str, kind: type) -> list[np.ndarray]:
+        lists = t.column(column).combine_chunks()
+        flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        return [flat[a:b].view(kind) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def group_of(t: pa.Table, size: np.ndarray, grams: list[np.ndarray], again: bool) -> Group:
+        rep, guest, visits, few = (t.column(c).to_numpy() for c in ("rep", "guest", "visits", "few"))
+        return Group(rep, size, guest, visits, few, again, grams, arrays(t, "places", np.int32), percent)
+
+    def linked(placed: DataFrame, again: bool) -> DataFrame:
+        """Links (a, b) that join what meets. again: residents have met each other before."""
+        placed = checkpointed(placed.groupBy("rep", "s1", "s2").agg(F.collect_list("to").alias("to")))  # as many as a set has prefix shingles, at most, and blocks of those that visit
+        sketched = texts_of(placed).select("rep", "s1", "s2", "to", "raw").mapInArrow(with_(sketches, ["size", "sketch", "prefix"]), f"rep long, s1 long, s2 long, to {to}, size long, sketch binary, prefix array<long>")
+        sketched = sketched.select("rep", "s1", "s2", "size", "sketch", "prefix", F.explode("to").alias("to")).withColumn("grams", F.transform("to.places", lambda p: F.get("prefix", p))).select("to.*", "grams", "rep", "s1", "s2", "size", "sketch")
+
+        def screened(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(batches)
+            keep = _survivors(group_of(t, t.column("size").to_numpy(), arrays(t, "grams", np.uint64), again), [x.as_py() for x in t.column("sketch")])
+            yield from t.filter(pa.array(keep)).drop_columns(["size", "sketch", "grams"]).to_batches()
+
+        left = sketched.groupBy(*group).applyInArrow(screened, f"{fields}, rep long, s1 long, s2 long")
+        left = checkpointed(left.groupBy("rep", "s1", "s2").agg(F.collect_list(F.struct(*group, "visits", "few", "guest", "places")).alias("to")))
+        sets = texts_of(left).select("rep", "s1", "s2", "to", "raw").mapInArrow(with_(members, ["members"]), f"rep long, s1 long, s2 long, to {to}, members array<long>")
+        sets = sets.select("rep", "members", F.explode("to").alias("to")).select("to.*", "rep", "members")
+
+        def verified(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(batches)
+            whole, rep = arrays(t, "members", np.uint64), t.column("rep").to_numpy()
+            grams = [s[p] for s, p in zip(whole, arrays(t, "places", np.int32), strict=True)]
+            found = list(_joined(group_of(t, np.array([len(s) for s in whole], np.int64), grams, again), whole))
+            yield pa.RecordBatch.from_arrays([pa.array([rep[x] for x, _ in found], pa.int64()), pa.array([rep[y] for _, y in found], pa.int64())], names=["a", "b"])
+
+        return sets.groupBy(*group).applyInArrow(verified, "a long, b long")
+
+    links = linked(placed, False)
+    if crowded is not None:
+        links = checkpointed(links)
+        found = components(links).withColumnRenamed("node", "rep")
+        met = checkpointed(crowded.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+        largest = met.groupBy("label", "band", "component").agg(F.count("*").alias("m")).groupBy("label", "band").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+        met = checkpointed(met.join(F.broadcast(largest) if n_large <= MOST_LARGE else largest, ["label", "band"]).withColumn("apart", F.col("component") != F.col("most")))
+        if not met.isEmpty():
+            visits = met.where("apart").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own")
+            rest = met.select("rep", "s1", "s2", place(F.col("own"), flag(False), F.col("apart"))).unionByName(visits.select("rep", "s1", "s2", place(F.col("block"), flag(True), flag(True))))
+            links = links.unionByName(linked(rest, True))
     found = components(links).withColumnRenamed("node", "rep")
-    of_class = classes.select("s1", "s2", "n_shingles", "rep").join(found, "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    own_id = F.coalesce("component_id", F.col("doc_id"))
-    return rows.join(of_class, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own_id).alias("component_id"), *(c for c in keep if c != "doc_id"))
+    # classes of one document without links need no join; the others' rows are dealt by salt, as one class may have many
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    of_class = classes.join(found, "rep", "left").where("component is not null or copies > 1").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    full, none = rows.where("doc_id is not null and n_shingles > 0").withColumn("salt", salt), rows.where("doc_id is null or n_shingles = 0")
+    out = full.join(of_class, ["s1", "s2", "n_shingles", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -199,11 +199,17 @@ def test_ngram_join(spark, docs, plain, empty, n, percent):
     assert ngram_join.ngram_components(empty, n, percent).count() == 0
 
 
-def test_blocks_of_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("pivots", [8, 1])
+def test_blocks_of_large_groups(spark, monkeypatch, pivots):
+    """Groups of several blocks, of one component and of many."""
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join([*base[: rng.randrange(55, 60)], *(f"x{i}y{k}" for k in range(rng.randrange(4)))])) for i in range(50)]
+    for i in range(100, 160):  # one rare passage in texts of six kinds
+        kind = [f"k{i % 6}n{j}" for j in range(50)]
+        rows.append((i, " ".join(["rare", "words", "of", "some", *kind[: rng.randrange(46, 50)]])))
     want, _ = grouped(rows, 4, 85)
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()} == want
 
