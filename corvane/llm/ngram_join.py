@@ -9,8 +9,8 @@ positional filter thin out; then the suffix filter, halving ranges of hashes, on
 whole sets, in the group of the pair's first common prefix n-gram and nowhere else, unless both are joined by then.
 
 A group of over BLOCK members is cut into blocks: members meet those of their block and a few pivots that visit all
-blocks. Members that this leaves apart from the largest component of the group then visit all other blocks. So k near
-copies take about k rows, never all pairs of them or of their blocks. Joined pairs leave as a spanning forest.
+blocks. Members that their block doesn't join to the pivot that most are joined to then visit all other blocks. So k
+near copies take about k rows, never all pairs of them or of their blocks. Joined pairs leave as a spanning forest.
 
 Rows with equal doc_id count as one document. Null and empty texts, and texts of white space, have no shingle and link
 with nothing. Null ids form no links. An empty table gives no rows. Columns other than doc_id and text are ignored.
@@ -37,10 +37,13 @@ CELL_BLOCK = 1 << 14
 BLOCK, PIVOTS = 512, 8
 #: Large groups that are broadcast, at most; beyond, they are shuffled. Ways that rows of one key are dealt in joins.
 MOST_LARGE, SALTS = 1_000_000, 16
+FREQUENCY_BITS = 26
 #: Bits of the map of documents that are sent to a group.
 BITMAP = 1 << 23
 #: Bytes of text hashed at a time.
 SLICE = 1_000_000
+#: Candidate pairs looked at together.
+PAIRS = 20_000
 
 
 def _frequencies(raw: DataFrame, n: int) -> np.ndarray:
@@ -72,9 +75,15 @@ def _frequencies(raw: DataFrame, n: int) -> np.ndarray:
 
 
 def _rare_first(h: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Each set's shingles by (frequency, hash)."""
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    return h[np.lexsort((h, table[(h & np.uint64(CELLS - 1)).astype(np.int64)], doc))]
+    """Each set's shingles by (frequency, hash); they come by hash. Frequencies of 2**FREQUENCY_BITS - 1 and more count as equal."""
+    n = np.minimum(table[(h & np.uint64(CELLS - 1)).astype(np.int64)], (1 << FREQUENCY_BITS) - 1).astype(np.uint64)
+    own = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    width = len(h).bit_length()
+    if width + FREQUENCY_BITS + len(sizes).bit_length() > 64:
+        return h[np.lexsort((h, n, own))]
+    key = (((own << np.uint64(FREQUENCY_BITS)) | n) << np.uint64(width)) | np.arange(len(h), dtype=np.uint64)
+    key.sort()
+    return h[(key & np.uint64((1 << width) - 1)).astype(np.int64)]
 
 
 def _signatures(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,35 +116,39 @@ class Group:
 
     def __init__(self, rep: np.ndarray, size: np.ndarray, guest: np.ndarray, visits: np.ndarray, few: np.ndarray, again: bool, grams: list[np.ndarray], places: list[np.ndarray], percent: int):
         self.rep, self.size, self.guest, self.visits, self.few, self.again, self.percent = rep, size, guest, visits, few, again, percent
-        self.order = np.lexsort((rep, size))  # small sets first
-        rank = np.empty(len(rep), np.int64)
-        rank[self.order] = np.arange(len(rep))
+        self.rank = np.empty(len(rep), np.int64)
+        self.rank[np.lexsort((rep, size))] = np.arange(len(rep))  # small sets first
         member = np.repeat(np.arange(len(rep)), [len(g) for g in grams])
         h, place = np.concatenate(grams), np.concatenate(places)
-        by = np.lexsort((rank[member], h))
-        self.member, self.place = member[by], place[by]
-        run = np.flatnonzero(np.concatenate([[True], h[by[1:]] != h[by[:-1]]]))
-        self.start = np.repeat(run, np.diff(np.append(run, len(by))))
-        own = np.argsort(self.member, kind="stable")
-        self.own = np.split(own, np.cumsum(np.bincount(self.member, minlength=len(rep)))[:-1])
-
-    def candidates(self, y: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Smaller members x that share a prefix n-gram with y within the length and positional filters, and the places of their first shared one in x and in y."""
-        at = self.own[y]
-        n = at - self.start[at]
-        some = ragged(self.start[at], n)
-        x, i, j = self.member[some], self.place[some], np.repeat(self.place[at], n)
-        sx, sy = self.size[x], int(self.size[y])
-        need = -(-self.percent * (sx + sy) // (100 + self.percent))
-        ok = (100 * sx >= self.percent * sy) & (np.minimum(sx - i, sy - j) >= need) & ~(self.guest[x] & self.guest[y]) & ~(self.visits[x] & self.visits[y])
-        resident, visitor = np.where(self.visits[x], self.rep[y], self.rep[x]), np.where(self.visits[x], self.rep[x], self.rep[y])
-        few = np.where(self.visits[x], self.few[y], self.few[x])
-        apart = self.visits[x] | self.visits[y]
-        ok &= np.where(apart, ~(few & (resident < visitor)), not self.again)
-        x, i, j = x[ok], i[ok], j[ok]
-        first = np.lexsort((j, x))
-        first = first[np.concatenate([[True], np.diff(x[first]) != 0])] if len(x) else first
-        return x[first], i[first], j[first]
+        by = np.lexsort((self.rank[member], h))
+        self.member, self.place, h = member[by], place[by], h[by]
+        run = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        self.start = np.repeat(run, np.diff(np.append(run, len(h))))
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """Pairs x, y that share a prefix n-gram within the length and positional filters, x the smaller set, and the places of their first shared one in x and in y; about PAIRS at a time, by the rank of y."""
+        entry = np.argsort(self.rank[self.member], kind="stable")
+        n = entry - self.start[entry]
+        entry, n = entry[n > 0], n[n > 0]
+        for a, b in slices(n.tolist(), PAIRS):
+            at, count = entry[a:b], n[a:b]
+            some = ragged(self.start[at], count)
+            x, y, i, j = self.member[some], np.repeat(self.member[at], count), self.place[some], np.repeat(self.place[at], count)
+            sx, sy = self.size[x], self.size[y]
+            ok = (100 * sx >= self.percent * sy) & (np.minimum(sx - i, sy - j) >= -(-self.percent * (sx + sy) // (100 + self.percent)))
+            # guests meet in the band before; here only to be joined to pivots
+            ok &= ~(self.guest[x] & self.guest[y]) | ((self.visits[x] | self.visits[y]) & (not self.again))
+            x, y, i, j = x[ok], y[ok], i[ok], j[ok]
+            if self.again or self.visits.any():
+                vx, vy = self.visits[x], self.visits[y]
+                resident, visitor = np.where(vx, y, x), np.where(vx, x, y)
+                ok = np.where(vx | vy, ~(vx & vy) & ~(self.few[resident] & (self.rep[resident] < self.rep[visitor])), not self.again)
+                x, y, i, j = x[ok], y[ok], i[ok], j[ok]
+            if len(x):
+                first = np.lexsort((j, x, self.rank[y]))
+                x, y = x[first], y[first]
+                new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+                yield x[new], y[new], i[first][new], j[first][new]
 
 
 def _survivors(group: Group, sketches: list[bytes]) -> np.ndarray:
@@ -145,33 +158,33 @@ def _survivors(group: Group, sketches: list[bytes]) -> np.ndarray:
     while levels[0].shape[1] > 8:
         levels.insert(0, levels[0].reshape(len(sketches), -1, 2).sum(2))
     keep = np.zeros(len(sketches), bool)
-    for y in group.order.tolist():
-        x, _, _ = group.candidates(y)
-        x = x[~keep[x] | ~keep[y]]
+    for x, y, _, _ in group.candidates():
+        new = ~keep[x] | ~keep[y]
+        x, y = x[new], y[new]
         total = group.size[x] + group.size[y]
-        need = -(-group.percent * total // (100 + group.percent))
+        least = -(-group.percent * total // (100 + group.percent))
         for table in levels:
-            ok = (total - np.abs(table[x] - table[y]).sum(1)) // 2 >= need
-            x, total, need = x[ok], total[ok], need[ok]
+            ok = (total - np.abs(table[x] - table[y]).sum(1)) // 2 >= least
+            x, y, total, least = x[ok], y[ok], total[ok], least[ok]
             if not len(x):
                 break
-        keep[x] = True
-        keep[y] |= len(x) > 0
+        keep[x] = keep[y] = True
     return keep
 
 
-def _joined(group: Group, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Linked pairs that join members not joined before. sets: whole, rare-first. A pair whose first common prefix n-gram is another group's is left to that."""
+def _joined(group: Group, sets: list[np.ndarray]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Linked pairs that join members not joined before, and a root for each member. sets: whole, rare-first. A pair whose first common prefix n-gram is another group's is left to that."""
     parent = list(range(len(sets)))
     whole = [np.sort(s) for s in sets]
+    out = []
 
     def find(i: int) -> int:
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
-    for y in group.order.tolist():
-        for x, i, j in zip(*(v.tolist() for v in group.candidates(y)), strict=True):
+    for pairs in group.candidates():
+        for x, y, i, j in zip(*(v.tolist() for v in pairs), strict=True):
             a, b = find(x), find(y)
             if a == b or np.isin(sets[x][:i], sets[y][:j], assume_unique=True).any():
                 continue
@@ -179,7 +192,8 @@ def _joined(group: Group, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
             at = np.minimum(np.searchsorted(large, whole[x]), len(large) - 1)
             if int((large[at] == whole[x]).sum()) >= least_overlap(len(large), len(whole[x]), group.percent):
                 parent[max(a, b)] = min(a, b)
-                yield x, y
+                out.append((x, y))
+    return out, [find(i) for i in range(len(sets))]
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -223,11 +237,11 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     # next as a guest. Guests are not compared with each other there.
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(percent / 100) * (1 + 1e-9))).cast("int")
     sent = checkpointed(merged.join(classes, "rep").select("label", "rep", "s1", "s2", "places", F.posexplode(F.array(band, band + 1)).alias("guest", "band")))
-    crowd = sent.groupBy("label", "band").agg(F.count("*").alias("n"), F.min("guest").alias("first")).where("n > 1 and first = 0").drop("first")
+    crowd = sent.groupBy("label", "band").agg(F.count("*").alias("n"), F.min("guest").alias("first"))
     large = checkpointed(crowd.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
     n_large = large.count()
     hot = sent.join(F.broadcast(large) if n_large <= MOST_LARGE else large, ["label", "band"], "left")
-    small = hot.where("n is null").drop("n", "blocks").join(crowd.where(F.col("n") <= BLOCK).drop("n"), ["label", "band"], "left_semi")
+    small = hot.where("n is null").join(crowd.where((F.col("n") <= BLOCK) & (F.col("n") > 1) & (F.col("first") == 0)).select("label", "band"), ["label", "band"], "left_semi")
     flag = lambda x: F.lit(x)
     place = lambda block, visits, few: F.struct("label", "band", block.cast("int").alias("block"), visits.alias("visits"), few.alias("few"), (F.col("guest") == 1).alias("guest"), "places").alias("to")
     placed = small.select("rep", "s1", "s2", place(F.lit(0), flag(False), flag(False)))
@@ -235,7 +249,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     if n_large:
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
         pivot = F.pmod(F.xxhash64(F.lit("pivot"), "rep"), F.lit(1 << 30)) < F.lit(PIVOTS << 30) / F.col("n")
-        crowded = hot.where("n is not null").withColumn("own", own).withColumn("pivot", pivot)
+        crowded = hot.where("first = 0").withColumn("own", own).withColumn("pivot", pivot)
         visits = crowded.where("pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own")
         placed = placed.unionByName(crowded.select("rep", "s1", "s2", place(F.col("own"), flag(False), F.col("pivot")))).unionByName(visits.select("rep", "s1", "s2", place(F.col("block"), flag(True), flag(True))))
     listed = raw.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "raw")
@@ -315,22 +329,31 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
             t = pa.Table.from_batches(batches)
             whole, rep = arrays(t, "members", np.uint64), t.column("rep").to_numpy()
             grams = [s[p] for s, p in zip(whole, arrays(t, "places", np.int32), strict=True)]
-            found = list(_joined(group_of(t, np.array([len(s) for s in whole], np.int64), grams, again), whole))
-            yield pa.RecordBatch.from_arrays([pa.array([rep[x] for x, _ in found], pa.int64()), pa.array([rep[y] for _, y in found], pa.int64())], names=["a", "b"])
-
-        return sets.groupBy(*group).applyInArrow(verified, "a long, b long")
+            g = group_of(t, np.array([len(s) for s in whole], np.int64), grams, again)
+            found, root = _joined(g, whole)
+            out = [(int(rep[x]), int(rep[y]), None, None, None) for x, y in found]
+            pivots = np.flatnonzero(g.few)
+            if len(pivots) and not again:
+                pivots = pivots[np.argsort(rep[pivots])].tolist()
+                out += [(int(rep[k]), None, key[0].as_py(), key[1].as_py(), [int(rep[p]) for p in pivots if root[p] == root[k]]) for k in np.flatnonzero(~g.visits).tolist()]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["a", "b", "label", "band", "pivots"])
+
+        return sets.groupBy(*group).applyInArrow(verified, "a long, b long, label long, band int, pivots array<long>")
 
     links = linked(placed, False)
     if crowded is not None:
         links = checkpointed(links)
-        found = components(links).withColumnRenamed("node", "rep")
-        met = checkpointed(crowded.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-        largest = met.groupBy("label", "band", "component").agg(F.count("*").alias("m")).groupBy("label", "band").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        met = checkpointed(met.join(F.broadcast(largest) if n_large <= MOST_LARGE else largest, ["label", "band"]).withColumn("apart", F.col("component") != F.col("most")))
-        if not met.isEmpty():
+        held = links.where("label is not null").select("label", "band", F.col("a").alias("rep"), "pivots")
+        most = held.select("label", "band", F.explode("pivots").alias("pivot")).groupBy("label", "band", "pivot").agg(F.count("*").alias("m")).groupBy("label", "band").agg(F.max_by("pivot", F.struct("m", "pivot")).alias("most"))
+        held = held.join(F.broadcast(most) if n_large <= MOST_LARGE else most, ["label", "band"]).where(F.array_contains("pivots", F.col("most"))).select("rep", "label", "band", F.lit(True).alias("held"))
+        met = checkpointed(crowded.join(held, ["rep", "label", "band"], "left").withColumn("apart", F.col("held").isNull()))
+        away = met.where("apart").select("label", "band").distinct()
+        if not away.isEmpty():
             visits = met.where("apart").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own")
-            rest = met.select("rep", "s1", "s2", place(F.col("own"), flag(False), F.col("apart"))).unionByName(visits.select("rep", "s1", "s2", place(F.col("block"), flag(True), flag(True))))
-            links = links.unionByName(linked(rest, True))
+            rest = met.join(F.broadcast(away) if n_large <= MOST_LARGE else away, ["label", "band"], "left_semi").select("rep", "s1", "s2", place(F.col("own"), flag(False), F.col("apart")))
+            links = links.unionByName(linked(rest.unionByName(visits.select("rep", "s1", "s2", place(F.col("block"), flag(True), flag(True)))), True))
+    links = links.where("b is not null").select("a", "b")
     found = components(links).withColumnRenamed("node", "rep")
     # classes of one document without links need no join; the others' rows are dealt by salt, as one class may have many
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")

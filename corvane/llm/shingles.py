@@ -73,8 +73,10 @@ def shingle_sets(raws: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(h + np.where(whole, counts[doc], n).astype(np.uint64))
     take = (left >= n) | (whole & (left == counts[doc]))
     h, doc = h[take], doc[take]
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+    sizes = np.bincount(doc, minlength=len(raws))
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        h[a:b].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     return h[new], np.bincount(doc[new], minlength=len(raws))
