@@ -43,5 +43,11 @@ def clean_messages(messages: DataFrame) -> DataFrame:
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """CHT-04: n rows in a seeded order."""
+    """CHT-04: n rows in a seeded order. `sample_counts` tells how many that keeps and skips."""
     return rows.withColumn("draw", F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))).orderBy("draw", key).limit(n)
+
+
+def sample_counts(rows: DataFrame, cleaned: DataFrame, key: str, n: int) -> DataFrame:
+    """CHT-04: rows kept by a sample of n of the cleaned ones, and skipped by cleaning."""
+    total = rows.agg(F.countDistinct(key).alias("total")).crossJoin(cleaned.agg(F.countDistinct(key).alias("clean")))  # one row each
+    return total.select(F.least("clean", F.lit(n)).alias("kept"), (F.col("total") - F.col("clean")).alias("skipped"))

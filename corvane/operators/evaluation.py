@@ -11,7 +11,7 @@ from corvane.functions.text import provider_and_model
 
 STATUS_RANK = {"error": 0, "missing_patch": 1, "patch_failed": 2, "unresolved": 3, "resolved": 4}
 COUNTS = ["total", "submitted", "completed", "resolved", "unresolved", "empty_patch", "error"]
-LABEL_ORDER = ["baseline", "lighthouse"]
+LABEL_ORDER = ("baseline",)
 CELL = ["family", "context_source", "chunking_strategy", "codegen_model", "embedding_model"]
 
 
@@ -75,7 +75,7 @@ def overall_table(summary: DataFrame, base: str, other: str) -> DataFrame:
     return rows.groupBy("m.metric").pivot("run_id", [base, other]).agg(F.first("m.n")).withColumnsRenamed({base: "base", other: "other"}).withColumn("difference", signed(F.col("other") - F.col("base")))
 
 
-def score_rows(summary: DataFrame, label: Column, first: list[str] = LABEL_ORDER) -> DataFrame:
+def score_rows(summary: DataFrame, label: Column, first: tuple[str, ...] = LABEL_ORDER) -> DataFrame:
     """EVA-06: share of resolved tasks in percent; labels in a fixed order, then by name."""
     place = F.coalesce(F.array_position(F.array(*map(F.lit, first)), F.col("label")), F.lit(0))
     rows = summary.withColumn("label", label).withColumn("score_pct", F.when(F.col("total") == 0, 0.0).otherwise(F.col("resolved") / F.col("total") * 100.0))
@@ -96,10 +96,20 @@ def pass_at_k_by_task(runs: DataFrame, k_values: list[int], group: list[str] | N
 
 
 def macro_pass_at_k(runs: DataFrame, k_values: list[int], group: list[str] | None = None) -> DataFrame:
-    """EVA-08: the mean over tasks."""
+    """EVA-08: the mean over tasks. `comparable` says whether the runs may be taken together."""
     return pass_at_k_by_task(runs, k_values, group).groupBy(*(group or []), "k").agg(F.avg("pass_at_k").alias("pass_at_k"))
 
 
+def comparable(runs: DataFrame, same: tuple[str, ...] = ("family", "version")) -> DataFrame:
+    """EVA-08, JOI-05: the runs, or an error if they differ in family, version (those of these columns that there are) or tasks."""
+    given = [c for c in same if c in runs.columns]
+    if given and runs.select(*given).distinct().limit(2).count() > 1:
+        raise ValueError(f"runs differ in {' or '.join(given)}")
+    if not same_tasks(runs).isEmpty():
+        raise ValueError("runs have different tasks")
+    return runs
+
+
 def same_tasks(runs: DataFrame) -> DataFrame:
     """EVA-08, SET-03: run and task of every task that some other run has and this one lacks; empty if runs agree."""
     n_runs = runs.agg(F.countDistinct("run_id")).first()[0]
@@ -183,7 +193,9 @@ def planned_cells(grid: DataFrame, measured: DataFrame) -> DataFrame:
 
 
 def seeded_subset(tasks: DataFrame, n: int, seed: int) -> DataFrame:
-    """EVA-16: n tasks drawn by a seeded hash, in their own order. tasks: task_id, position."""
+    """EVA-16: n tasks drawn by a seeded hash, in their own order; an error where there are not so many. tasks: task_id, position."""
+    if not 0 < n <= tasks.count():
+        raise ValueError(f"no subset of {n} tasks")
     drawn = tasks.withColumn("draw", F.md5(F.concat(F.lit(str(seed)), F.col("task_id").cast("string")).cast("binary"))).orderBy("draw", "task_id").limit(n)
     return drawn.drop("draw").withColumn("position", F.row_number().over(Window.orderBy("position")))
 

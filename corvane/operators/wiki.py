@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from json import loads
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MAX_PATHS, MAX_SAMPLES, PAGE_CHUNKS = 500, 20, 15
 NO_CONTEXT = "No code context available."
-#: Levels of sections in a structure.
-MAX_DEPTH = 6
 
 
 def block(path: Column, start: Column, end: Column, content: Column, language: Column | None = None) -> Column:
@@ -27,20 +30,37 @@ def outline(chunks: DataFrame, keys: list[str], paths: int = MAX_PATHS, samples:
 
 
 def pages_of(structures: DataFrame, json: str = "structure_json") -> DataFrame:
-    """WIK-02: pages of nested sections, with the path of slugs. A fixed number of levels, each an explode."""
-    page = "struct<slug:string,title:string,description:string,source_file_hints:array<string>>"
-    section = f"struct<slug:string,pages:array<{page}>>"
-    for _ in range(MAX_DEPTH - 1):
-        section = f"struct<slug:string,pages:array<{page}>,subsections:array<{section}>>"
+    """WIK-02: pages of nested sections, however deep, with the path of slugs. A structure is one row, so one task walks it."""
     ids = [c for c in structures.columns if c != json]
-    level = structures.select(*ids, F.explode(F.from_json(F.col(json), f"struct<sections:array<{section}>>")["sections"]).alias("s")).withColumn("section_path", F.col("s.slug"))
-    out = None
-    for depth in range(MAX_DEPTH):
-        found = level.select(*ids, "section_path", F.explode("s.pages").alias("p")).select(*ids, "section_path", "p.slug", "p.title", F.coalesce("p.description", F.lit("")).alias("description"), F.coalesce("p.source_file_hints", F.array().cast("array<string>")).alias("source_file_hints"))
-        out = found if out is None else out.unionByName(found)
-        if depth + 1 < MAX_DEPTH:
-            level = level.select(*ids, F.col("section_path").alias("above"), F.explode("s.subsections").alias("s")).withColumn("section_path", F.concat_ws("/", "above", "s.slug")).drop("above")
-    return out
+    schema = StructType([*structures.select(*ids).schema, *StructType.fromDDL("section_path string, slug string, title string, description string, source_file_hints array<string>")])
+    text = lambda x: None if x is None else str(x)
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, given in enumerate(batch.column(json).to_pylist()):
+                todo = [(s, []) for s in reversed(_sections(given))]
+                while todo:
+                    section, above = todo.pop()
+                    path = [*above, text(section.get("slug")) or ""]
+                    for p in section.get("pages") or []:
+                        at.append(i)
+                        rows.append(("/".join(path), text(p.get("slug")), text(p.get("title")), text(p.get("description")) or "", [text(h) for h in p.get("source_file_hints") or []]))
+                    todo += [(s, path) for s in reversed(section.get("subsections") or [])]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.string()] * 4 + [pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in ids), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=schema.names)
+
+    return structures.mapInArrow(walked, schema)
+
+
+def _sections(structure: str | None) -> list[dict]:
+    """Sections of a structure's JSON; none if it isn't one."""
+    try:
+        found = loads(structure or "{}")
+    except ValueError:
+        return []
+    return [s for s in found.get("sections") or [] if isinstance(s, dict)] if isinstance(found, dict) else []
 
 
 def staged_pages(pages: DataFrame, batch: Column, order: list[str]) -> DataFrame:

@@ -328,9 +328,9 @@ def cht_04(spark, d):
 # Text functions
 
 
-@query("FLT-03", "SELECT user_id, list_distinct_ordered AS sources FROM (SELECT user_id, list_transform(list_sort(list(DISTINCT event_id)), lambda x: 'k' || (x % 3)) AS l FROM events WHERE event_id % 4 = 0 GROUP BY 1) t, LATERAL (SELECT list_filter(t.l, lambda x, i: list_position(t.l, x) = i) AS list_distinct_ordered)")
+@query("FLT-03", "SELECT user_id, list_distinct_ordered AS sources FROM (SELECT user_id, list_transform(list_sort(list(DISTINCT event_id)), lambda x: 'k' || (x % 3)) AS l FROM events GROUP BY 1) t, LATERAL (SELECT list_filter(t.l, lambda x, i: list_position(t.l, x) = i) AS list_distinct_ordered)")
 def flt_03(spark, d):
-    e = T.read(spark, d, "events").where("event_id % 4 = 0").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_set("event_id")), lambda x: F.concat(F.lit("k"), x % 3)).alias("l"), F.lit(5).alias("k"))
+    e = T.read(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_set("event_id")), lambda x: F.concat(F.lit("k"), x % 3)).alias("l"), F.lit(5).alias("k"))
     return e.where(text.bounded_top_k(F.col("k"), 1, 100) > 0).select("user_id", text.requested_sources(F.col("l")).alias("sources"))
 
 

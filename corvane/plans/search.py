@@ -84,12 +84,12 @@ def ranked_by(rows, score):
 
 def lists(spark, d, n):
     """Ranked lists of suppliers for each market segment, by several measures."""
-    s = T.read(spark, d, "supplier").select(F.col("s_suppkey").alias("chunk_id"), "s_acctbal").crossJoin(T.read(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").alias("query_id")))
+    s = T.read(spark, d, "supplier").select(F.col("s_suppkey").alias("chunk_id"), "s_acctbal").crossJoin(T.read(spark, d, "nation").select(F.col("n_nationkey").alias("query_id")))
     measures = [F.col("s_acctbal"), F.pmod(F.col("chunk_id") * 7 + F.col("query_id"), F.lit(31)).cast("double"), F.pmod(F.col("chunk_id") * 13 + F.col("query_id"), F.lit(17)).cast("double")]
     return [ranked_by(s, m) for m in measures[:n]]
 
 
-LISTS = """base AS (SELECT s_suppkey AS chunk_id, s_acctbal, n_nationkey AS query_id FROM supplier, nation WHERE n_nationkey < 5),
+LISTS = """base AS (SELECT s_suppkey AS chunk_id, s_acctbal, n_nationkey AS query_id FROM supplier, nation),
 l0 AS (SELECT query_id, chunk_id, 0 AS list_no, row_number() OVER (PARTITION BY query_id ORDER BY s_acctbal DESC, chunk_id) - 1 AS r FROM base), l1 AS (SELECT query_id, chunk_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY (chunk_id * 7 + query_id) % 31 DESC, chunk_id) - 1 FROM base), l2 AS (SELECT query_id, chunk_id, 2, row_number() OVER (PARTITION BY query_id ORDER BY (chunk_id * 13 + query_id) % 17 DESC, chunk_id) - 1 FROM base)"""
 FUSE = "f AS (SELECT query_id, chunk_id, sum(CAST(1.0 AS DOUBLE) / (61 + r)) AS score, min({'l': list_no, 'r': r}) AS first FROM u WHERE r < 20 GROUP BY ALL) SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first.l, first.r) AS INTEGER) AS rank FROM f"
 
@@ -171,10 +171,12 @@ def cross_corpus(spark, d, n: int):
 
 @query("RET-11")
 def ret_11(spark, d):
-    """Expansion off: pool of the fused lists, reranked by shared words."""
-    pool = cross_corpus(spark, d, 2).where(F.col("rank") <= min(3 * K, 50))
+    """Keywords are the items' identifiers; the pool of the fused lists is reranked by shared words."""
     code, pages = keyed(spark, d)
-    candidates = pool.join(code.unionByName(pages), "chunk_id").join(T.queries(spark, d), "query_id")
+    q = T.queries(spark, d)
+    keywords = T.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(retrieval.terms_of(F.col("text"))).alias("keywords"))
+    found = retrieval.expanded([(c, embedded(c, "content")) for c in (code, pages)], q.join(keywords, "query_id"), lambda rows: embedded(rows, "query"), min(3 * K, 50))
+    candidates = found.join(code.unionByName(pages), "chunk_id").join(q, "query_id")
     return retrieval.rerank(candidates, shared_words, K)
 
 
@@ -211,17 +213,18 @@ def failing(query: str, documents: list[str]) -> list[float]:
     raise RuntimeError("no reranker")
 
 
-GREP = r"asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(list_transform(string_split_regex(text, '[^A-Za-z]+'), lambda w: lower(w)), lambda w: length(w) >= 8)[1:4]) AS term FROM benchmark)"
+GREP = r"asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(list_transform(string_split_regex(text, '[^A-Za-z]+'), lambda w: w), lambda w: length(w) >= 8)) AS term FROM benchmark)"
 
 
 def grep_terms(spark, d):
-    w = F.filter(F.transform(F.split("text", "[^A-Za-z]+"), F.lower), lambda x: F.length(x) >= 8)
-    return T.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(w, 1, 4).alias("terms"))
+    w = F.filter(F.split("text", "[^A-Za-z]+"), lambda x: F.length(x) >= 8)
+    return T.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("terms"))
 
 
-@query("RET-15", f"WITH {T.FILES}, {GREP}, s AS (SELECT query_id, file_path, CAST(count(*) AS DOUBLE) AS score FROM files, asked WHERE contains(lower(content), term) GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= {K}")
+@query("RET-15", f"WITH {T.FILES}, {GREP}, s AS (SELECT query_id, file_path, CAST(count(*) AS DOUBLE) AS score FROM files, asked WHERE CASE WHEN term = lower(term) THEN contains(lower(content), term) ELSE contains(content, term) END GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= {K}")
 def ret_15(spark, d):
-    return retrieval.contains_any(T.files(spark, d), grep_terms(spark, d), K, "file_path")
+    files = T.files(spark, d).where(~retrieval.is_test(F.col("file_path")))
+    return retrieval.contains_any(files, grep_terms(spark, d), K, "file_path", smart_case=True)
 
 
 @query("RET-16", r"WITH w AS (SELECT item_id, list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}'), lambda t: lower(t) NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this')) AS ts FROM benchmark) SELECT item_id, list_filter(ts, lambda t, i: list_position(list_transform(ts, lambda u: lower(u)), lower(t)) = i)[1:12] AS terms FROM w")
@@ -243,7 +246,7 @@ def joi_01(spark, d):
     return retrieval.hydrate(retrieval.text_top_k(rows, T.queries(spark, d), K), rows).select("query_id", "rank", "chunk_id", "file_path", "start_line")
 
 
-REPOS = "repos AS (SELECT CAST(c_custkey AS VARCHAR) AS repository_id, c_custkey AS external_id, c_custkey % 3 = 0 AS is_private, c_acctbal AS added_at FROM customer), users AS (SELECT DISTINCT user_id FROM events WHERE user_id < 20)"
+REPOS = "repos AS (SELECT CAST(c_custkey AS VARCHAR) AS repository_id, c_custkey AS external_id, c_custkey % 3 = 0 AS is_private, c_acctbal AS added_at FROM customer), users AS (SELECT DISTINCT user_id FROM events)"
 
 
 def repositories(spark, d):
@@ -255,7 +258,7 @@ b AS (SELECT CAST(o_custkey AS VARCHAR) AS repository_id, list_sort(list(DISTINC
 SELECT s.user_id, s.repository_id, added_at, coalesce(branches, []) AS branches FROM seen s JOIN repos USING (repository_id) LEFT JOIN b USING (repository_id) WHERE NOT ((s.user_id + external_id) % 10 = 0 AND external_id % 2 = 0)""")
 def joi_02(spark, d):
     e, repos = T.read(spark, d, "events"), repositories(spark, d)
-    users = e.where("user_id < 20").select("user_id").distinct()
+    users = e.select("user_id").distinct()
     grants = e.select("user_id", F.col("event_id").cast("string").alias("repository_id"))
     hidden = repos.where("external_id % 2 = 0").crossJoin(F.broadcast(users)).where("(user_id + external_id) % 10 = 0").select("user_id", "repository_id")
     branches = T.read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("repository_id"), F.col("o_orderpriority").alias("branch"))
@@ -290,10 +293,10 @@ def wik_01(spark, d):
     return wiki.outline(T.chunks(spark, d).where("publish_id <> 'v1'"), ["repository_id", "branch"])
 
 
-@query("WIK-02")
+@query("WIK-02", f"WITH {T.WIKI} SELECT section_path AS generation_id, CASE WHEN row_number() OVER (PARTITION BY section_path ORDER BY slug, title) = 1 THEN section_path ELSE section_path || '/more' END AS section_path, slug, title, '' AS description, CAST([] AS VARCHAR[]) AS source_file_hints FROM wiki")
 def wik_02(spark, d):
     """Pages as nested structures: a section for each host, a subsection for each of its pages."""
-    w = T.wiki_pages(spark, d).where("title <> ''").groupBy("section_path").agg(F.collect_list(F.struct("slug", "title")).alias("pages"))
+    w = T.wiki_pages(spark, d).groupBy("section_path").agg(F.array_sort(F.collect_list(F.struct("slug", "title"))).alias("pages"))
     section = F.struct(F.col("section_path").alias("slug"), F.slice("pages", 1, 1).alias("pages"), F.array(F.struct(F.lit("more").alias("slug"), F.slice("pages", F.lit(2), F.greatest(F.lit(0), F.size("pages") - 1)).alias("pages"))).alias("subsections"))
     return wiki.pages_of(w.select("section_path", F.to_json(F.struct(F.array(section).alias("sections"))).alias("structure_json")).withColumnRenamed("section_path", "generation_id"))
 
@@ -333,17 +336,17 @@ def wik_06(spark, d):
     return wiki.latest_generation(generations(spark, d))
 
 
-@query("WIK-07", f"WITH {GENERATIONS}, {T.WIKI}, latest AS ({LATEST.format('WHERE status = ' + chr(39) + 'completed' + chr(39))}) SELECT repository_id, branch, slug, CAST(row_number() OVER (PARTITION BY repository_id, branch ORDER BY section_path, slug) AS INTEGER) AS position FROM latest JOIN wiki ON page_id = generation_id % 250")
+@query("WIK-07", f"WITH {GENERATIONS}, {T.WIKI}, latest AS ({LATEST.format('WHERE status = ' + chr(39) + 'completed' + chr(39))}) SELECT repository_id, branch, slug, CAST(row_number() OVER (PARTITION BY repository_id, branch ORDER BY section_path, slug) AS INTEGER) AS position FROM latest JOIN wiki ON page_id = generation_id % (SELECT count(*) FROM wiki)")
 def wik_07(spark, d):
-    g = generations(spark, d)
-    pages = g.select("generation_id", (F.col("generation_id") % 250).alias("page_id")).join(T.wiki_pages(spark, d), "page_id")
+    g, n = generations(spark, d), T.wiki_pages(spark, d).count()
+    pages = g.select("generation_id", (F.col("generation_id") % n).alias("page_id")).join(T.wiki_pages(spark, d), "page_id")
     return wiki.latest_pages(g, pages).select("repository_id", "branch", "slug", "position")
 
 
-@query("WIK-08", "SELECT CAST(user_id AS VARCHAR) AS repository_id, ['INDEXING', 'PENDING', 'FAILED', 'INDEXED'][min(p)] AS index_status FROM (SELECT user_id, 1 + (event_id % 4 + user_id % 4) % 4 AS p FROM events WHERE event_id % 7 = user_id % 7) GROUP BY 1")
+@query("WIK-08", "SELECT CAST(user_id AS VARCHAR) AS repository_id, ['INDEXING', 'PENDING', 'FAILED', 'INDEXED'][min(p)] AS index_status FROM (SELECT user_id, 1 + least(3, user_id % 4 + event_id % 2) AS p FROM events) GROUP BY 1")
 def wik_08(spark, d):
-    names = F.element_at(F.array(*map(F.lit, ["indexing", "pending", "failed", "indexed"])), (1 + (F.col("event_id") % 4 + F.col("user_id") % 4) % 4).cast("int"))
-    b = T.read(spark, d, "events").where("event_id % 7 = user_id % 7").select(F.col("user_id").cast("string").alias("repository_id"), F.col("event_id").cast("string").alias("branch"), names.alias("status"))
+    names = F.element_at(F.array(*map(F.lit, ["indexing", "pending", "failed", "indexed"])), (1 + F.least(F.lit(3), F.col("user_id") % 4 + F.col("event_id") % 2)).cast("int"))
+    b = T.read(spark, d, "events").select(F.col("user_id").cast("string").alias("repository_id"), F.col("event_id").cast("string").alias("branch"), names.alias("status"))
     return registry.index_status(b)
 
 

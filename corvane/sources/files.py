@@ -19,8 +19,9 @@ def repository_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-06: the last record of each task in JSON lines; blank lines are skipped, numbers coerced, a record without task_id is an error, and so is an empty file."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    """SRC-06: the last record of each task in JSON lines (by file, then place in it); blank lines are skipped, numbers coerced, a record without task_id is an error, and so is an empty file."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))  # ids grow within a block of a file
+    lines = spark.read.text(path).withColumn("line", place).where(F.trim("value") != "")
     field = lambda n: F.trim(F.get_json_object("value", f"$.{n}"))
     task = field("task_id")
     checked = F.when(F.coalesce(task, F.lit("")) == "", F.raise_error(F.concat(F.lit("no task_id: "), "value")).cast("string")).otherwise(task)
