@@ -4,7 +4,8 @@ A vector's code has a bit for each component over 0. Codes are cut into segments
 codes by each segment's value. A query looks up its own segments' values, then those one bit away, two bits, and so on.
 After radius r in all s segments every code not yet met differs in s * (r + 1) bits or more, so a query is done in a
 task once its kth verified distance there is less; the tasks' k best then meet. Equal codes are indexed once, with
-their k smallest ids, so no bucket grows with copies. Queries go out in blocks of QUERY_BLOCK.
+their k smallest ids, so no bucket grows with copies. Queries are dealt into blocks of about QUERY_BLOCK by Spark, and
+codes are sent as bits, once for each block.
 
 Null vectors have no code and are in no result; null and missing components count as 0, those beyond `dims` are
 ignored. Ties go to the smaller id. A query finds itself too. With fewer than k vectors all are returned; an empty
@@ -24,9 +25,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import ragged
 
 SEGMENT = 16
-QUERY_BLOCK = 2048
-#: Codes that a task indexes together.
-CHUNK = 200_000
+#: Queries of a block, codes that a task indexes together, and tasks at least where codes are not few, about.
+QUERY_BLOCK, CHUNK, LEAST_PARTS = 1 << 17, 200_000, 32
 
 
 @functools.cache
@@ -86,42 +86,37 @@ class Index:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int = 64) -> DataFrame:
     """vectors, queries: vec_id, embedding. query_id, rank, vec_id, distance of the k nearest of each query."""
     usable = "vec_id is not null and embedding is not null"
-    rows = vectors.where(usable).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
 
-    def searched(block: list) -> DataFrame:
-        asked = codes_of(pa.array([r["embedding"] for r in block], pa.list_(pa.float32())), dims)
-        shared = rows.sparkSession.sparkContext.broadcast(([r["vec_id"] for r in block], asked))  # QUERY_BLOCK codes
-
-        def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            codes, ids, n = [], [], 0
+    def coded(rows: DataFrame) -> DataFrame:
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                codes.append(codes_of(b.column("embedding"), dims))
-                ids.append(b.column("vec_id").to_numpy())
-                n += b.num_rows
-                if n >= CHUNK:
-                    yield np.concatenate(codes), np.concatenate(ids)
-                    codes, ids, n = [], [], 0
-            if n:
-                yield np.concatenate(codes), np.concatenate(ids)
-
-        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, asked = shared.value
-            for codes, ids in chunks(batches):
-                index = Index(codes, ids, k)
-                found = [index.search(q) for q in asked]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), [len(i) for i, _ in found])), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([d for _, d in found]).astype(np.int32))], names=["query_id", "vec_id", "distance"])
-
-        return rows.mapInArrow(nearest, "query_id long, vec_id long, distance int")
-
-    found, block = None, []
-    for r in queries.where(usable).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            found, block = searched(block) if found is None else found.unionByName(searched(block)), []
-    if block:
-        found = searched(block) if found is None else found.unionByName(searched(block))
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, distance int")
+                codes = codes_of(b.column("embedding"), dims)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "code"])
+
+        return rows.where(usable).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(made, "vec_id long, code binary")
+
+    def table(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint16).reshape(t.num_rows, -1)
+        return t.column("vec_id").to_numpy(), codes
+
+    def nearest(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        (ids, codes), (names, asked) = table(left), table(right)
+        index = Index(codes, ids, k) if left.num_rows and right.num_rows else None
+        found = [index.search(q) for q in asked] if index else []
+        names = names if index else names[:0]
+        flat = lambda i, kind: np.concatenate([x[i] for x in found] or [np.zeros(0)]).astype(kind)
+        return pa.table([pa.array(np.repeat(names, [len(x) for x, _ in found]).astype(np.int64)), pa.array(flat(0, np.int64)), pa.array(flat(1, np.int32))], names=["query_id", "vec_id", "distance"])
+
+    # Each part of the codes meets each block of the queries in a task of its own, where the part is indexed once for
+    # the block; neither goes through the driver.
+    n = vectors.where(usable).count()
+    parts = max(-(-n // CHUNK), min(LEAST_PARTS, n // 8192 + 1))
+    blocks = max(1, -(-queries.where(usable).count() // QUERY_BLOCK))
+    deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = coded(vectors).withColumn("part", deal(parts, "part")).withColumn("block", every(blocks))
+    asked = coded(queries).withColumn("block", deal(blocks, "block")).withColumn("part", every(parts))
+    found = held.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(nearest, "query_id long, vec_id long, distance int")
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
