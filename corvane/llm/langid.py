@@ -3,7 +3,8 @@
 The script of a word narrows the candidate languages, hashed character n-grams score the word under each of them, and
 a Viterbi pass with a switching penalty labels spans. A document's language is the one with most letters in its spans,
 its score their share. Null text, and text without a letter: `und` with score 0. Ties go to the language that sorts
-first. Without training rows everything with a letter is `und` too.
+first. Without training rows everything with a letter is `und` too. Repeated rows are labelled each, an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -184,7 +185,8 @@ def fit(docs: DataFrame, held: int = 2, folds: int = 4) -> Model:
 
 
 def label(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` with lang_pred, score and spans array<struct<first, end, lang>>."""
+    """The columns `keep` with lang_pred, score and spans array<struct<first, end, lang>>, which replace columns of these names."""
+    keep = [c for c in keep if c not in ("lang_pred", "score", "spans")]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded: two tables of SLOTS rows a language
     span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))

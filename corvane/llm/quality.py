@@ -6,7 +6,8 @@ has not seen. The second model minimises
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 
-Null and empty texts get the score of all-zero features. Repeated rows are scored each; extra columns are kept by
+Null and empty texts get the score of all-zero features. Repeated rows are scored each, an empty table gives no rows;
+without labels to learn from every score is 0.5. Extra columns are kept by
 :func:`score` as they are, except that ``score`` and ``predicted`` are replaced.
 """
 
@@ -168,14 +169,16 @@ def score(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD
     """The columns `keep` (else all) of docs, with score and predicted. Without a network every score is 0.5."""
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
 
+    raw = "raw" + "_" * (1 + max((len(c) for c in docs.columns), default=0))  # no column's name
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(r or b"") for r in batch.column("raw__").to_pylist()]).reshape(-1, N_FEATURES)
+            x = np.array([features(r or b"") for r in batch.column(raw).to_pylist()]).reshape(-1, N_FEATURES)
             s = network.score(x) if network else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     schema = docs.select(*kept).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
-    return docs.select(*kept, F.col("text").cast("binary").alias("raw__")).mapInArrow(scored, schema)
+    return docs.select(*kept, F.col("text").cast("binary").alias(raw)).mapInArrow(scored, schema)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
