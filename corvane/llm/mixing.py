@@ -4,7 +4,8 @@ A source's target is min(cap, level * weight), cap being `max_epochs` times its
 sum to the budget; that is what clamping at the cap and dealing out the excess by weight comes to. Each document is
 then taken floor(target / size) times, and once more where a seeded threshold and the words still owed to the target
 say so. Sources sort by code point, null last; a null or empty text has size 0 and is taken 0 words. An empty table
-gives no rows. Columns of the input called size, source_size, target or reps are replaced. Repeated rows count as documents of their own.
+gives no rows. Columns of the input called size, source_size, target or reps are replaced. Repeated rows count as documents of their
+own; those that differ in other columns only are told apart by a hash of them, so reruns take the same ones.
 """
 
 from __future__ import annotations
@@ -47,9 +48,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 def _dealt(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = pa.Table.from_batches(batches)
-    size, threshold, rate = (t.column(c).to_numpy() for c in ("size", "threshold", "rate"))
+    size, threshold, rate, tie = (t.column(c).to_numpy() for c in ("size", "threshold", "rate", "tie"))
     # large documents first, so that the small ones settle what is still owed
-    order = np.lexsort((threshold, -np.floor(np.log2(np.maximum(size, 1)))))
+    order = np.lexsort((tie, threshold, -np.floor(np.log2(np.maximum(size, 1)))))
     reps, owed = np.zeros(len(size), np.int64), 0.0
     for i, n, u, r in zip(order.tolist(), size[order].tolist(), threshold[order].tolist(), rate[order].tolist(), strict=True):
         owed += (r % 1) * n
@@ -65,7 +66,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     keep = [c for c in (["doc_id", "source"] if keep is None else keep) if c not in ("size", "source_size", "target", "reps")]
     row = F.struct(*keep)
     kind = docs.select(row.alias("row")).schema["row"].dataType
-    sized = docs.select(row.alias("row"), "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.col("text")).alias("h"))
+    sized = docs.select(row.alias("row"), "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.col("text")).alias("h"), F.xxhash64(row).alias("tie"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goal = targets(totals.select("source", "source_size"), weights, share, max_epochs).join(totals.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "n")
     ready = (
@@ -73,7 +74,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         .withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "h"), F.ceil(F.col("n") / SHARD)))
         .withColumn("threshold", F.pmod("h", F.lit(1 << 30)).cast("double") / (1 << 30))
         .withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_epochs)))).otherwise(0.0))
-        .select("row", "source", "size", "source_size", "target", "shard", "threshold", "rate")
+        .select("row", "source", "size", "source_size", "target", "shard", "threshold", "rate", "tie")
     )
     dealt = ready.groupBy("source", "shard").applyInArrow(_dealt, f"row {kind.simpleString()}, source string, size long, source_size long, target double, reps long")
     return dealt.select("row.*", "size", "source_size", "target", "reps")
