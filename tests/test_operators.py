@@ -222,3 +222,63 @@ def test_model_outputs_hold_all_lines(spark, tmp_path):
         own = c - 1 if c > 2 else c
         assert r["patch"].split("\n")[2:-1] == [f"@@ -1,{own} +1,{own} @@", *(f"{mark.get(k, ' ')}w{k}" for k in range(c))]
     assert {(r["doc_id"], *r["paths"]) for r in analytics.flt_13(spark, str(tmp_path)).collect()} == {(i, f"f{i}.txt") for i in n}
+
+
+def test_sections_at_any_depth(spark):
+    import json
+
+
+    section = {"slug": "s9", "pages": [{"slug": "deep", "title": "t"}]}
+    for k in range(8, -1, -1):
+        section = {"slug": f"s{k}", "pages": [], "subsections": [section]}
+    rows = [("g", json.dumps({"sections": [section, {"slug": "b", "pages": [{"slug": "p", "source_file_hints": ["x"]}]}]})), ("none", None), ("bad", "{"), ("empty", "{}")]
+    got = wiki.pages_of(spark.createDataFrame(rows, "id string, structure_json string")).orderBy("slug").collect()
+    assert [tuple(r) for r in got] == [("g", "/".join(f"s{k}" for k in range(10)), "deep", "t", "", []), ("g", "b", "p", None, "", ["x"])]
+
+
+def test_vectors_that_are_zero_or_broken(spark):
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [1.0]), (5, None), (6, [-1.0, 0.0])], "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(9, [2.0, 0.0])], "query_id long, embedding array<double>")
+    assert [(r["chunk_id"], r["score"]) for r in retrieval.vector_top_k(v, q, 5).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0), (6, -1.0)]
+    with pytest.raises(ValueError):
+        retrieval.vector_top_k(v, v.withColumnRenamed("chunk_id", "query_id"), 5)
+
+
+def test_terms_by_smart_case(spark, monkeypatch):
+
+    monkeypatch.setattr(retrieval, "TERM_BLOCK", 2)
+    d = spark.createDataFrame([("a", "Some Token here"), ("b", "token HERE"), ("c", None), ("d", "")], "chunk_id string, content string")
+    q = spark.createDataFrame([(1, ["Token", "here", "he", "zz"]), (2, ["token"]), (3, [])], "query_id long, terms array<string>")
+    got = lambda smart: {(r["query_id"], r["chunk_id"]): r["score"] for r in retrieval.contains_any(d, q, 9, smart_case=smart).collect()}
+    assert got(True) == {(1, "a"): 3.0, (1, "b"): 2.0, (2, "a"): 1.0, (2, "b"): 1.0}
+    assert got(False) == {(1, "a"): 3.0, (1, "b"): 3.0, (2, "a"): 1.0, (2, "b"): 1.0}
+    paths = spark.createDataFrame([("src/tests/a.py",), ("test_a.py",), ("a_test.go",), ("src/latest.py",)], "p string")
+    assert [r[0] for r in paths.select(retrieval.is_test(F.col("p"))).collect()] == [True, True, True, False]
+
+
+def test_expanded_search(spark):
+
+    d = spark.createDataFrame([("a", "red fish"), ("b", "blue bird"), ("c", "green tree")], "chunk_id string, content string")
+    vectors = lambda rows, column: rows.withColumn("embedding", retrieval.hashed_vector(F.col(column)))
+    q = spark.createDataFrame([(1, "red fish", ["bird"]), (2, "green tree", [])], "query_id long, query string, keywords array<string>")
+    got = retrieval.expanded([(d, vectors(d, "content"))], q, lambda rows: vectors(rows, "query"), 2)
+    best = {r["query_id"]: r["chunk_id"] for r in got.where("rank = 1").collect()}
+    assert best == {1: "a", 2: "c"} and got.where("rank > 2").count() == 0
+
+
+def test_runs_that_differ(spark):
+
+    runs = lambda rows: spark.createDataFrame(rows, "run_id string, family string, task_id string, resolved boolean")
+    same = runs([("a", "f", "t", True), ("b", "f", "t", False)])
+    assert evaluation.comparable(same).count() == 2
+    for rows in ([("a", "f", "t", True), ("b", "g", "t", False)], [("a", "f", "t", True), ("b", "f", "u", False)]):
+        with pytest.raises(ValueError):
+            evaluation.comparable(runs(rows))
+    tasks = spark.createDataFrame([(i, i) for i in range(5)], "task_id long, position long")
+    assert evaluation.seeded_subset(tasks, 5, 1).count() == 5
+    for n in (0, 6):
+        with pytest.raises(ValueError):
+            evaluation.seeded_subset(tasks, n, 1)
+    c = spark.createDataFrame([(1,), (2,), (3,)], "conv_id long")
+    assert tuple(chat.sample_counts(c, c.where("conv_id < 3"), "conv_id", 1).first()) == (1, 1)
