@@ -1,4 +1,4 @@
-"""A folder that all executors share: under spark.checkpoint.dir where that is set, else a temporary one (tests)."""
+"""A folder that all executors share: under spark.checkpoint.dir where that is set, else, in a local session (tests), a temporary one."""
 
 from __future__ import annotations
 
@@ -10,4 +10,6 @@ from pyspark.sql import SparkSession
 
 def scratch(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return f"{shared}/{name}-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='spark-')}/{name}"
