@@ -5,7 +5,9 @@ Documents are dealt into parts. A part posts its distinct anchors; those of more
 around them, once for each distinct context of a part, to where all contexts of an anchor meet. There a suffix array,
 by two-stage sorting, puts equal strings of WIDTH bytes side by side, adjacent common prefixes delimit them, and all
 but those of the smallest doc_id are marked. The marks go back to the parts and are cut out of the bytes. Contexts of
-one anchor count as equal if 64-bit hashes of their bytes are.
+one anchor count as equal if 64-bit hashes of their bytes are. An anchor with more than HOT distinct contexts (a line
+that is everywhere, between ever new neighbours) would bring them all to one task; its strings of WIDTH bytes are sent
+one by one instead, each to where its own hash says. The result is the same either way.
 
 Null texts count as empty; texts shorter than WIDTH lose nothing. A null doc_id counts as larger than any other; rows
 with equal doc_id are one document, and none of them is earlier. An empty table gives no rows. Extra columns are left
@@ -28,6 +30,8 @@ from corvane.llm.shingles import mix, powers
 from corvane.llm.suffix import SuffixArray
 
 WIDTH, SEED = 50, 20
+#: Contexts of an anchor that may meet in one task.
+HOT = 4096
 LAST_ID = (1 << 63) - 1
 #: Bytes of text, and of contexts, worked on at a time.
 SLICE, CONTEXTS = 1_000_000, 500_000
@@ -102,6 +106,39 @@ def _posted(raws: list[bytes], whole: bool = False) -> tuple[np.ndarray, ...]:
     return value, of[order], at[order], begin[order], end[order], new, hashed[order]
 
 
+def _same(value: np.ndarray, lead: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """A hash by which contexts of an anchor count as equal: of their bytes and the anchor's place in them."""
+    return mix(hashed + mix(value + lead.astype(np.uint64)))
+
+
+def _contexts_of(value: np.ndarray, heads: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """How many distinct contexts each anchor of a part has; the anchors are sorted, `heads` are the first of each."""
+    n = np.diff(heads, append=len(value))
+    out = np.ones(len(heads), np.int64)
+    several = np.flatnonzero(np.repeat(n > 1, n))
+    if len(several):
+        group, key = np.repeat(np.arange(len(heads)), n)[several], same[several]
+        order = np.lexsort((key, group))
+        group, key = group[order], key[order]
+        new = np.ones(len(group), bool)
+        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        out = np.maximum(out, np.bincount(group[new], minlength=len(heads)))
+    return out
+
+
+def _strings(raws: list[bytes], of: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All strings of WIDTH bytes from begin to end of the texts `of`, by text: their text, place and hash."""
+    order = np.argsort(of, kind="stable")
+    of, begin, n = of[order], begin[order], (end - begin)[order] - WIDTH + 1
+    at, of = ragged(begin, n), np.repeat(of, n)
+    value = np.zeros(len(of), np.uint64)
+    for a, b in slices([len(r) for r in raws], SLICE):
+        x, y = np.searchsorted(of, [a, b])
+        if x < y:
+            value[x:y] = range_hashes(raws[a:b], of[x:y] - a, at[x:y], at[x:y] + WIDTH)
+    return of, at, value
+
+
 def windows_of_earlier(strings: list[bytes], ids: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """For each string a mask: bit i is set if its `width` bytes from i also stand in a string with a smaller id."""
     sa = SuffixArray(strings)
@@ -118,8 +155,8 @@ def windows_of_earlier(strings: list[bytes], ids: np.ndarray, width: int = WIDTH
     return masks
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and spans (of removed bytes)."""
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and spans (of removed bytes). Anchors of more than `hot` contexts are split; the result doesn't depend on it."""
     n_parts = parts_for(docs)
     bits = max(1, (n_parts - 1).bit_length())
     bucket_of = lambda v: (v >> np.uint64(64 - bits)).astype(np.int32)
@@ -127,11 +164,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def post(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, raws, _ = _documents(pa.Table.from_batches(batches))
-        value, of, _, _, _, new, _ = _posted(raws)
+        value, of, at, begin, _, new, hashed = _posted(raws, whole=True)
         if not len(value):
             return
         heads = np.flatnonzero(new)
         many = np.maximum.reduceat(ids[of], heads) > np.minimum.reduceat(ids[of], heads)
+        n_contexts = np.minimum(_contexts_of(value, heads, _same(value, at - begin, hashed)), 0x7FFF)
+        many = (2 * n_contexts + many).astype(np.uint16)
         value = value[heads]
         cuts = np.flatnonzero(np.diff(bucket_of(value))) + 1
         columns = [[int(bucket_of(v[:1])[0]) for v in np.split(value, cuts)], [v.tobytes() for v in np.split(value, cuts)], [m.tobytes() for m in np.split(many, cuts)]]
@@ -144,40 +183,49 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             part += batch.column("part").to_pylist()
             hashes += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("hashes")]
-            many += [np.frombuffer(x.as_buffer(), bool) for x in batch.column("many")]
+            many += [np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column("many")]
         flat = np.concatenate(hashes)
         order = np.argsort(flat, kind="stable")
         new = np.concatenate([[True], np.diff(flat[order]) != 0])
         group = np.cumsum(new) - 1
-        shared = (np.bincount(group) > 1) | (np.bincount(group, weights=np.concatenate(many)[order]) > 0)
-        flags = np.empty(len(flat), bool)
-        flags[order] = shared[group]
-        for p, f in zip(part, np.split(flags, np.cumsum([len(h) for h in hashes])[:-1]), strict=True):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "bucket": pa.array([key[0].as_py()], pa.int32()), "flags": pa.array([np.packbits(f).tobytes()], pa.binary()), "n": pa.array([len(f)], pa.int32())})
+        codes = np.concatenate(many)[order]
+        shared = (np.bincount(group) > 1) | (np.bincount(group, weights=codes & 1) > 0)
+        split = shared & (np.bincount(group, weights=codes >> 1) > hot)
+        flags = np.empty((2, len(flat)), bool)
+        flags[:, order] = np.stack([shared, split])[:, group]
+        for p, f in zip(part, np.split(flags, np.cumsum([len(h) for h in hashes])[:-1], axis=1), strict=True):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "bucket": pa.array([key[0].as_py()], pa.int32()), "flags": pa.array([np.packbits(f[0]).tobytes()], pa.binary()), "split": pa.array([np.packbits(f[1]).tobytes()], pa.binary()), "n": pa.array([f.shape[1]], pa.int32())})
 
-    flags = posts.groupBy("bucket").applyInArrow(share, "part int, bucket int, flags binary, n int")
+    flags = posts.groupBy("bucket").applyInArrow(share, "part int, bucket int, flags binary, split binary, n int")
 
     def contexts(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         ids, raws, _ = _documents(left)
         value, of, at, begin, end, new, hashed = _posted(raws, whole=True)
-        by_bucket = sorted(zip(right.column("bucket").to_pylist(), right.column("flags"), right.column("n").to_pylist(), strict=True), key=lambda x: x[0])
-        shared = np.concatenate([np.unpackbits(np.frombuffer(f.as_buffer(), np.uint8), count=n) for _, f, n in by_bucket]).astype(bool) if by_bucket else np.zeros(0, bool)
-        keep = np.flatnonzero(shared[np.cumsum(new) - 1]) if len(value) else np.zeros(0, np.int64)
-        to, lead = bucket_of(mix(value[keep])), at - begin
-        same = mix(hashed[keep] + mix(value[keep] + lead[keep].astype(np.uint64)))
+        by_bucket = sorted(right.select(["bucket", "flags", "split", "n"]).to_pylist(), key=lambda r: r["bucket"])
+        shared, split = (np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(r[c], np.uint8), count=r["n"]).astype(bool) for r in by_bucket]]) for c in ("flags", "split"))
+        anchor = np.cumsum(new) - 1
+        keep, cut_up = (np.flatnonzero(x[anchor]) for x in (shared & ~split, split))
+        lead = at - begin
+        same = _same(value[keep], lead[keep], hashed[keep])
+        string_of, string_at, string = _strings(raws, of[cut_up], begin[cut_up], end[cut_up])
+        # what is sent: contexts by their anchors, then strings of split anchors by their own hashes
+        value, same, of = np.append(value[keep], string), np.append(same, string), np.append(of[keep], string_of)
+        lead = np.append(lead[keep], np.zeros_like(string_at))
+        begin, end = np.append(begin[keep], string_at), np.append(end[keep], string_at + WIDTH)
+        to = bucket_of(mix(value))
         by = np.lexsort((same, to))  # stable: of one context the smallest id comes first
-        keep, to, same = keep[by], to[by], same[by]
-        head = np.ones(len(keep), bool)
-        head[1:] = (same[1:] != same[:-1]) | (value[keep[1:]] != value[keep[:-1]])
+        value, same, of, lead, begin, end, to = (x[by] for x in (value, same, of, lead, begin, end, to))
+        head = np.ones(len(to), bool)
+        head[1:] = (same[1:] != same[:-1]) | (value[1:] != value[:-1])
         rows: list[tuple[int, bytes]] = []
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(keep)]]) if len(keep) else np.zeros(1, np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]]) if len(to) else np.zeros(1, np.int64)
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            some, starts = keep[x:y], np.flatnonzero(head[x:y])
-            first, n = some[starts], np.diff(starts, append=y - x)
-            own = np.add.reduceat(ids[of[some]] == np.repeat(ids[of[first]], n), starts, dtype=np.int32)
+            starts = np.flatnonzero(head[x:y])
+            first, n = x + starts, np.diff(starts, append=y - x)
+            own = np.add.reduceat(ids[of[x:y]] == np.repeat(ids[of[first]], n), starts, dtype=np.int32)
             columns = {
                 "hash": pa.array(value[first]), "lead": pa.array(lead[first].astype(np.uint8)), "context": pa.array([raws[o][i:j] for o, i, j in zip(of[first].tolist(), begin[first].tolist(), end[first].tolist(), strict=True)], pa.binary()),
-                "doc_id": pa.array(ids[of[first]]), "own": pa.array(own), "places": pa.ListArray.from_arrays(pa.array(2 * np.append(starts, y - x), pa.int32()), pa.array(np.stack([of[some], begin[some]], 1).ravel(), pa.int32())),
+                "doc_id": pa.array(ids[of[first]]), "own": pa.array(own), "places": pa.ListArray.from_arrays(pa.array(2 * np.append(starts, y - x), pa.int32()), pa.array(np.stack([of[x:y], begin[x:y]], 1).ravel(), pa.int32())),
             }
             rows.append((int(to[x]), packed(columns)))
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "part", "rows"])

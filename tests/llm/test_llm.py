@@ -147,16 +147,29 @@ def test_substring_dedup(spark, docs, plain, empty):
     assert dedup.remove_repeats(empty).count() == 0
 
 
-def test_substring_dedup_planted(spark):
+@pytest.mark.parametrize("hot", [dedup.HOT, 2, 0])
+def test_substring_dedup_planted(spark, hot):
     rng = random.Random(3)
     make = lambda n: "".join(rng.choice("abcdefg ") for _ in range(n))
     passages = [make(n) for n in (49, 50, 51, 120, 400)]
     rows = [(i, make(rng.randint(0, 80)) + rng.choice(passages) + make(rng.randint(0, 80)) + rng.choice(passages)[: rng.randint(40, 400)]) for i in range(80)]
     rows += [(100, "a" * 300), (101, "a" * 120), (102, "ab" * 100)]
-    got = dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    rows += [(200 + i, make(60) + "a line that stands everywhere, between ever new neighbours" + make(60)) for i in range(40)]
+    got = dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(removed(rows))
 
 
+def test_substring_dedup_long(spark):
+    """Two texts longer than a slice share a passage across a slice's end; the later one loses it and nothing else."""
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    passage = make(300_000)
+    rows = [(1, make(900_000) + "Q" + passage + "R" + make(900_000)), (2, make(1_200_000) + "S" + passage + "T" + make(10))]
+    for hot in (dedup.HOT, 0):
+        got = dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()
+        assert sorted(map(tuple, got)) == [(1, 2_100_002, 0, 0), (2, 1_500_012, 300_000, 1)]
+
+
 def grouped(rows, n, percent):
     """By brute force: set sizes and smallest linked ids."""
     sets = {}
