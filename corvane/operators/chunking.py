@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import language_of, lines_of
+from corvane.operators.numbering import numbered
 
 MAX_LINES, OVERLAP = 50, 10
 #: Starts of blocks by language (regular expressions on a line); prose starts one at a paragraph.
@@ -84,5 +85,4 @@ def duplicate_report(chunks: DataFrame) -> DataFrame:
 
 def staged(chunks: DataFrame, batch: Column) -> DataFrame:
     """SRC-04: chunks numbered from 0 in each batch by file and line."""
-    order = Window.partitionBy("batch_id").orderBy("repository_id", "branch", "file_path", "start_line")
-    return chunks.withColumn("batch_id", batch).withColumn("seq_index", (F.row_number().over(order) - 1).cast("int"))
+    return numbered(chunks.withColumn("batch_id", batch), ["batch_id"], ["repository_id", "branch", "file_path", "start_line"], "seq_index")

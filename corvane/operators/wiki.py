@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corvane.operators.numbering import numbered
+
 MAX_PATHS, MAX_SAMPLES, PAGE_CHUNKS = 500, 20, 15
 NO_CONTEXT = "No code context available."
 
@@ -65,8 +67,8 @@ def _sections(structure: str | None) -> list[dict]:
 
 def staged_pages(pages: DataFrame, batch: Column, order: list[str]) -> DataFrame:
     """WIK-03: an empty row for each page, numbered in its batch, hints as JSON."""
-    numbered = pages.withColumn("batch_id", batch)
-    return numbered.withColumns({"seq_index": (F.row_number().over(Window.partitionBy("batch_id").orderBy(*order)) - 1).cast("int"), "content": F.lit(""), "source_files": F.to_json("source_file_hints")}).drop("source_file_hints")
+    placed = numbered(pages.withColumn("batch_id", batch), ["batch_id"], order, "seq_index")
+    return placed.withColumns({"content": F.lit(""), "source_files": F.to_json("source_file_hints")}).drop("source_file_hints")
 
 
 def page_contexts(pages: DataFrame, hits: DataFrame) -> DataFrame:

@@ -44,21 +44,30 @@ def index_batch(changed: DataFrame, chunks: DataFrame, pointers: DataFrame, batc
 
 
 def incremental_index(files: DataFrame, store: str):
-    """STR-03: a foreachBatch function that indexes the files (FILE, content) that a batch of coalesced pushes touches.
+    """STR-03: a foreachBatch function that indexes the files (FILE, content) that a batch of coalesced pushes changes.
 
-    Each batch writes what it publishes to folders named by the stream's batch id, so a batch that runs again replaces
-    its own output. Readers take, for each file, the pointer of the greatest batch.
+    pushes: repository_id, branch and, where known, changed_files (array of paths); without it, or where it is null, the
+    whole branch counts as changed, files that only the store knows included. A changed file without content is withdrawn.
+    Each batch writes its chunks, vectors, pointers and cleanup (files with the version it replaces) to folders named by
+    the stream's batch id, so a batch that runs again replaces its own output. Readers take, for each file, the pointer
+    of the greatest batch.
     """
 
     def run(pushes: DataFrame, batch_id: int) -> None:
-        branches = pushes.select(F.col("repository_id").cast("string").alias("repository_id"), "branch").distinct()
-        changed = files.join(branches, ["repository_id", "branch"], "left_semi")
         spark = pushes.sparkSession
-        empty = spark.createDataFrame([], "repository_id string, branch string, file_path string, active_publish_id string")
+        named = F.col("changed_files") if "changed_files" in pushes.columns else F.lit(None).cast("array<string>")
+        pushed = pushes.select(F.col("repository_id").cast("string").alias("repository_id"), "branch", named.alias("changed_files"))
+        pointers = spark.createDataFrame([], ", ".join(f"{c} string" for c in [*FILE, "active_publish_id"]))
+        if batch_id:
+            pointers = pointers.unionByName(current_pointers(spark.read.parquet(f"{store}/pointers").where(F.col("batch") < batch_id)))
+        whole = pushed.where("changed_files is null").select("repository_id", "branch").distinct()
+        known = files.select(*FILE).unionByName(pointers.where("active_publish_id is not null").select(*FILE))
+        paths = pushed.select("repository_id", "branch", F.explode("changed_files").alias("file_path")).unionByName(known.join(whole, ["repository_id", "branch"], "left_semi")).distinct()
+        changed = paths.join(files.select(*FILE, "content"), FILE, "left")
         none = changed.select(F.lit("").alias("chunk_id"), *FILE, F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), "content", F.lit("").alias("chunk_hash"), F.lit("").alias("publish_id")).where("false")
-        published = index_batch(changed, none, empty, f"b{batch_id}")
-        published.chunks.write.mode("overwrite").parquet(f"{store}/chunks/batch={batch_id}")
-        published.pointers.write.mode("overwrite").parquet(f"{store}/pointers/batch={batch_id}")
+        published = index_batch(changed, none, pointers.join(paths, FILE, "left_semi"), f"b{batch_id}")
+        for part in ("chunks", "vectors", "cleanup", "pointers"):
+            getattr(published, part).write.mode("overwrite").parquet(f"{store}/{part}/batch={batch_id}")
 
     return run
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.operators import answers, chat, chunking, evaluation, patches, registry, retrieval, versioning, wiki
+from corvane.operators.numbering import numbered
 from corvane.sources import files as S
 from corvane.streaming import push
 
@@ -282,3 +283,31 @@ def test_runs_that_differ(spark):
             evaluation.seeded_subset(tasks, n, 1)
     c = spark.createDataFrame([(1,), (2,), (3,)], "conv_id long")
     assert tuple(chat.sample_counts(c, c.where("conv_id < 3"), "conv_id", 1).first()) == (1, 1)
+
+
+def test_numbers_over_ranges(spark):
+    """Numbers are dense in each group, null keys and large groups included, however the ranges are cut."""
+    d = spark.range(0, 2000, 1, 7).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("g"), F.col("id").cast("string").alias("o"), F.lit("x").alias("within"))
+    got = numbered(d, ["g"], ["o"], "n").collect()
+    for g in ("hot", None):
+        own = sorted((r["n"], r["o"]) for r in got if r["g"] == g)
+        assert [n for n, _ in own] == list(range(len(own))) and [o for _, o in own] == sorted(o for _, o in own)
+    assert len(got) == 2000 and numbered(d.where("false"), ["g"], ["o"], "n").count() == 0
+
+
+def test_incremental_index_over_batches(spark, tmp_path):
+    """A second push changes one file and deletes one: only these are written again, and what they replace is listed."""
+    store = f"file://{tmp_path}/store"
+    text_of = lambda n: "".join(f"{n}{i}\n" for i in range(3))
+    first = spark.createDataFrame([("1", "main", f, text_of(f)) for f in "abc"], f"{FILE}, content string")
+    push.incremental_index(first, store)(spark.createDataFrame([("1", "main")], "repository_id string, branch string"), 0)
+    second = spark.createDataFrame([("1", "main", "a", text_of("new")), ("1", "main", "b", text_of("unseen"))], f"{FILE}, content string")
+    pushes = spark.createDataFrame([("1", "main", ["a", "c"])], "repository_id string, branch string, changed_files array<string>")
+    for _ in range(2):  # running again replaces
+        push.incremental_index(second, store)(pushes, 1)
+    read = lambda part: spark.read.parquet(f"{store}/{part}")
+    assert sorted((r[0], r[1] or "") for r in push.current_pointers(read("pointers")).select("file_path", "active_publish_id").collect()) == [("a", "b1"), ("b", "b0"), ("c", "")]
+    assert values(read("cleanup").where("batch = 1"), "file_path", "previous_publish_id") == [("a", "b0"), ("c", "b0")]
+    assert values(read("chunks").where("batch = 1"), "file_path", "publish_id") == values(read("vectors").where("batch = 1"), "file_path", "publish_id") == [("a", "b1")]
+    push.incremental_index(second, store)(pushes.withColumn("changed_files", F.lit(None).cast("array<string>")), 2)
+    assert sorted((r[0], r[1] or "") for r in push.current_pointers(read("pointers")).select("file_path", "active_publish_id").collect()) == [("a", "b2"), ("b", "b2"), ("c", "")]
