@@ -99,6 +99,7 @@ def _posted(raws: list[bytes], whole: bool = False) -> tuple[np.ndarray, ...]:
         hashed = range_hashes(raws[a:b], of, begin, end) if whole else value
         found.append([of + a, at, value, begin, end, hashed])
     of, at, value, begin, end, hashed = (np.concatenate([f[i] for f in found]) for i in range(6))
+    value = mix(value)  # anchors are smallest hashes; ranges of these hold equal numbers of them
     order = np.lexsort((at, of, value))
     value = value[order]
     new = np.ones(len(value), bool)
