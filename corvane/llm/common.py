@@ -20,6 +20,12 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
+def unlike(columns: list[str], *names: str) -> list[str]:
+    """The columns whose names are none of these in any case: Spark doesn't tell names apart by case."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def hash_below(col: Column, share: float) -> Column:
     """True for about this share of the values, always the same ones."""
     if share >= 1:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import decontaminate, hamming, html_text, langid, lm_score, mixing, ngram_join, quality, secrets, substring_dedup
+from corvane.llm import decontaminate, hamming, html_text, langid, lm_score, mixing, ngram_join, quality, runs, secrets, substring_dedup
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mixing": mixing.op8,
     "op9_benchmark_decontamination": decontaminate.op9,
     "op10_secret_scan": secrets.op10,
+    "op13_periodic_runs": runs.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_hamming_top_k": hamming.ORACLE_SQL}
