@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import decontaminate, hamming, html_text, langid, lm_score, mixing, ngram_join, quality, runs, secrets, substring_dedup
+from corvane.llm import bpe, decontaminate, dialogue, hamming, html_text, langid, lm_score, mixing, ngram_join, quality, runs, secrets, substring_dedup
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_source_mixing": mixing.op8,
     "op9_benchmark_decontamination": decontaminate.op9,
     "op10_secret_scan": secrets.op10,
+    "op11_conversation_repair": dialogue.op11,
+    "op12_bpe_coding": bpe.op12,
     "op13_periodic_runs": runs.op13,
 }
 
