@@ -1,10 +1,11 @@
 """Byte-level BPE by a table of distinct words: encode each word once, join ids back by position, decode by a join of ids to pieces.
 
-Texts are split in Spark into words that no merge crosses: a special token of the tokenizer, other characters between white
-space with one space before them, or white space. Documents are packed in groups; a group's words are numbered and its
-texts kept as numbers. The distinct words of all groups are encoded once each by the tokenizer, their ids joined to the
-table of pieces, and both brought back to the groups that hold the word, where a text's numbers put them in place. So a
-word travels once for a group, not once for an occurrence, and no text is shuffled.
+Texts are split in tasks into words that no merge crosses: a special token of the tokenizer, other characters between white
+space with one space before them, cut before punctuation that follows a plain letter or digit, or white space. Documents
+are packed in groups, a group's words are numbered and its texts kept as numbers, in a table bucketed by group. The words
+of all groups are dealt by word, so that each distinct word is encoded once, and its ids go back to the groups that hold
+the word, where a text's numbers put them in place and the ids meet their pieces. So a word travels once for a group, not
+once for an occurrence, and no text is shuffled.
 
 A null text counts as empty and gives no ids and an empty text. Special tokens in a text become their own ids. Repeated
 rows give repeated results, an empty table none. Columns of the input called ids or decoded, in any case, are replaced.
@@ -14,24 +15,29 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import checkpointed, packed, slices, unlike, unpacked
+from corvane.llm.common import packed, parts_for, shared_folder, slices, unlike, unpacked
 
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 #: A tokenizer is broadcast up to this size, its pieces are a table of as many rows as it has ids.
 MAX_TOKENIZER_BYTES = 16 << 20
 #: Words of a group.
-GROUP = 1 << 21
-# The characters with the Unicode property White_Space.
-WHITE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+GROUP = 1 << 22
+# The characters with the Unicode property White_Space; ASCII punctuation; letters and digits in every version of Unicode.
+WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+MARKS = r"!-/:-@\[-`{-~"
+PLAIN = r"0-9A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u024F"
+WORD = re.compile(f" ?[{MARKS}]*+[{PLAIN}]++(?=[{MARKS}{WHITE}]|\\Z)| ?[{MARKS}]++(?=[{WHITE}]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
 def read(tokenizer_file: str) -> str:
@@ -58,58 +64,38 @@ def tokenizer(source: str):
     return t
 
 
-def split_words(text: Column, source: str) -> Column:
-    """Words of the text in order; joined they give it back, and each is encoded by itself as it is in the text."""
-    special = "|".join(re.escape(a["content"]) for a in sorted(json.loads(source)["added_tokens"], key=lambda a: -len(a["content"])))
-    other, ends = (f"(?:(?!{special})[^{WHITE}])++", rf"{special}|\z") if special else (f"[^{WHITE}]++", r"\z")
-    pattern = "|".join([*([special] if special else []), f"\\x20?{other}", f"[{WHITE}]+(?={ends})", f"[{WHITE}]+(?![^{WHITE}])", f"[{WHITE}]+"])
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+def special_tokens(source: str) -> re.Pattern | None:
+    """The special tokens, longest first, in one group."""
+    contents = sorted((a["content"] for a in json.loads(source)["added_tokens"]), key=lambda c: -len(c))
+    return re.compile("(" + "|".join(map(re.escape, contents)) + ")") if contents else None
 
 
-def pieces(spark: SparkSession, source: str) -> DataFrame:
-    """id, piece: the bytes of every id, in hexadecimal. In the vocabulary a printable byte stands for itself, the others are numbered from U+0100."""
+def split_words(text: str, special: re.Pattern | None) -> list[str]:
+    """Words of the text in order; joined they give it back, and each is encoded by itself as it is in the text. A special token ends white space as the end of the text does."""
+    if special is None or not special.search(text):
+        return WORD.findall(text)
+    return [w for i, x in enumerate(special.split(text)) for w in ([x] if i % 2 else WORD.findall(x))]
+
+
+def spelled(source: str) -> list[bytes]:
+    """The bytes of every id. In the vocabulary a printable byte stands for itself, the others are numbered from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in set(shown)]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(others)}
     t = json.loads(source)
     named = {i: token for token, i in t["model"]["vocab"].items()} | {a["id"]: a["content"] for a in t["added_tokens"]}
-    spelled = lambda token: bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-    return spark.createDataFrame([(i, spelled(token).hex()) for i, token in named.items()], "id int, piece string")
+    raw = lambda token: bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+    return [raw(named.get(i, "")) for i in range(max(named) + 1)]
 
 
-def spell(rows: DataFrame, keys: list[str], table: DataFrame) -> DataFrame:
-    """keys, ids and their bytes (raw), by a join of ids to pieces. Keys tell the rows apart; ids that have no piece are passed over."""
+def decode(rows: DataFrame, keys: list[str], tokenizer_file: str = TOKENIZER_FILE) -> DataFrame:
+    """keys and decoded, the text of the column ids, by a join of ids to pieces; keys tell the rows apart. Bytes that are not UTF-8 become U+FFFD, ids without a piece are passed over. Null ids count as none."""
+    table = rows.sparkSession.createDataFrame([(i, raw.hex()) for i, raw in enumerate(spelled(read(tokenizer_file)))], "id int, piece string")
     each = rows.select(*keys, F.posexplode_outer("ids").alias("i", "id"))
     found = each.join(F.broadcast(table), "id", "left")  # as many rows as the tokenizer has ids
-    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "id", "piece")))).alias("l"))
-    return listed.select(*keys, F.transform("l", lambda x: x["id"]).alias("ids"), F.unhex(F.array_join(F.transform("l", lambda x: x["piece"]), "")).alias("raw"))
-
-
-def decode(rows: DataFrame, keys: list[str], tokenizer_file: str = TOKENIZER_FILE) -> DataFrame:
-    """keys and decoded, the text of the column ids; bytes that are not UTF-8 become U+FFFD. Null ids count as none."""
-    spelled = spell(rows, keys, pieces(rows.sparkSession, read(tokenizer_file)))
-    return spelled.select(*keys, F.make_valid_utf8(F.col("raw").cast("string")).alias("decoded"))
-
-
-def _grouped(n_keep: int, names: list[str]):
-    """Packs documents in groups: the group's distinct words, and its documents with their words as numbers."""
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            lists = batch.column(n_keep)
-            sizes = np.diff(lists.offsets.to_numpy().astype(np.int64))
-            for a, b in slices((sizes + 1).tolist(), GROUP):
-                own = lists.slice(a, b - a)
-                coded = own.flatten().dictionary_encode()
-                numbers = coded.indices.to_numpy().astype(np.uint16 if len(coded.dictionary) <= 1 << 16 else np.uint32)
-                ends = np.concatenate([[0], np.cumsum(sizes[a:b])])
-                placed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers))
-                documents = {n: batch.column(i).slice(a, b - a) for i, n in enumerate(names)} | {"~numbers": placed}
-                yield pa.RecordBatch.from_pydict({"part": pa.array([group], pa.int64()), "words": pa.array([packed({"word": coded.dictionary})], pa.binary()), "documents": pa.array([packed(documents)], pa.binary())})
-                group += 1
-
-    return grouped
+    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("i", "piece")))).alias("l"))
+    raw = F.unhex(F.array_join(F.transform("l", lambda x: x["piece"]), ""))
+    return listed.select(*keys, F.make_valid_utf8(raw.cast("string")).alias("decoded"))
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,46 +103,87 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, words in zip(batch.column("part").to_pylist(), batch.column("words"), strict=True):
             word = unpacked(words).column("word").combine_chunks()
-            yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(word), part)), "number": pa.array(np.arange(len(word), dtype=np.int32)), "word": word.cast(pa.string())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(word), part)), "number": pa.array(np.arange(len(word), dtype=np.int32)), "word": word})
+
+
+def _bucketed(groups: DataFrame, buckets: int) -> DataFrame:
+    """The groups as a table in the shared folder, bucketed by part: each is written once and read where its part belongs."""
+    spark, name = groups.sparkSession, f"bpe_{uuid.uuid4().hex}"
+    groups.write.option("path", f"{shared_folder(spark)}/{name}").bucketBy(buckets, "part").saveAsTable(name)
+    return spark.table(name)
 
 
 def encode(docs: DataFrame, keep: list[str], text: str = "text", tokenizer_file: str = TOKENIZER_FILE) -> DataFrame:
     """The columns `keep` with ids array<int>, what the tokenizer gives for the whole text without adding special tokens, and decoded, the text of these ids."""
     spark, source = docs.sparkSession, read(tokenizer_file)
-    shared = spark.sparkContext.broadcast(source)
+    shared, special = spark.sparkContext.broadcast(source), special_tokens(source)
     keep = unlike(keep, "ids", "decoded")
-    rows = docs.select(*keep, split_words(F.col(text), source).alias("~words"))
-    groups = checkpointed(rows.mapInArrow(_grouped(len(keep), keep), "part long, words binary, documents binary"))
+    rows = docs.select(*keep, F.col(text).cast("string").alias("~text"))
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(shared.value)
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents packed in groups: a group's distinct words, and its documents with their words as numbers, frequent words first."""
+        group = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = [e.ids for e in t.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            texts = batch.column(len(keep))
+            for a, b in slices([n or 0 for n in pc.binary_length(texts).to_pylist()], 4 * GROUP):
+                split = [split_words(t or "", special) for t in texts.slice(a, b - a).to_pylist()]
+                ends = np.cumsum([0, *map(len, split)])
+                coded = pa.array([w for ws in split for w in ws], pa.string()).dictionary_encode()
+                place = coded.indices.to_numpy()
+                order = np.argsort(-np.bincount(place, minlength=len(coded.dictionary)), kind="stable")
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order))
+                numbers = rank[place]
+                bytes_of = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((numbers >> np.uint32(8 * i)).astype(np.uint8 if i < 2 else np.uint16))) for i in range(3)]
+                documents = {n: batch.column(i).slice(a, b - a) for i, n in enumerate(keep)} | {f"~{i}": x for i, x in enumerate(bytes_of)}
+                words = pa.array([packed({"word": coded.dictionary.take(pa.array(order))})], pa.binary())
+                yield pa.RecordBatch.from_pydict({"part": pa.array([group], pa.int64()), "words": words, "documents": pa.array([packed(documents)], pa.binary())})
+                group += 1
 
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of each row's word; words are sorted, and each is encoded once."""
+        t, last, ids_of_last = tokenizer(shared.value), None, b""
+        for batch in batches:
+            words = batch.column("word")
+            new = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False) if batch.num_rows else np.zeros(0, bool)
+            heads = np.concatenate([[0], np.flatnonzero(new) + 1])[: batch.num_rows]
+            distinct = words.take(pa.array(heads)).to_pylist()
+            known = bool(distinct) and distinct[0] == last
+            ids = [np.array(e.ids, np.int32).tobytes() for e in t.encode_batch_fast(distinct[known:], add_special_tokens=False)]
+            ids = [ids_of_last] * known + ids
+            if distinct:
+                last, ids_of_last = distinct[-1], ids[-1]
+            yield pa.RecordBatch.from_pydict({"part": batch.column("part"), "number": batch.column("number"), "ids": pa.array(ids, pa.binary()).take(pa.array(np.cumsum(np.concatenate([[0], new]))[: batch.num_rows]))})
+
+    n_parts = parts_for(docs, 64)
+    groups = _bucketed(rows.mapInArrow(grouped, "part long, words binary, documents binary"), n_parts)
     words = groups.select("part", "words").mapInArrow(_words, "part long, number int, word string")
-    distinct = words.select("word").distinct().mapInArrow(encoded, "word string, ids array<int>")
-    back = words.join(spell(distinct, ["word"], pieces(spark, source)), "word").select("part", "number", "ids", "raw")
+    back = words.repartition(n_parts, "word").sortWithinPartitions("word").mapInArrow(encoded, "part long, number int, ids binary")
 
     def placed(left: pa.Table, right: pa.Table) -> pa.Table:
         documents = unpacked(left.column("documents")[0])
-        order = np.argsort(right.column("number").to_numpy())
-        ids, raw = (right.column(c).combine_chunks().take(pa.array(order)) for c in ("ids", "raw"))
-        lists = documents.column("~numbers").combine_chunks()
-        numbers, ends = pa.array(lists.values.to_numpy().astype(np.int64)), lists.offsets.to_numpy()
-        own = ids.take(numbers)
-        n = np.concatenate([[0], np.cumsum(np.diff(own.offsets.to_numpy()))])[ends]
-        of_documents = pa.ListArray.from_arrays(pa.array(n, pa.int32()), own.flatten())
-        spelled = raw.cast(pa.large_binary()).take(numbers)
-        at = np.frombuffer(spelled.buffers()[1], np.int64)[ends] if len(spelled) else np.zeros(len(ends), np.int64)
-        data = spelled.buffers()[2] or b""
-        texts = [bytes(memoryview(data)[a:b]).decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return pa.table([*(documents.column(c) for c in keep), of_documents, pa.array(texts, pa.string())], names=[*keep, "ids", "decoded"])
+        ids = right.column("ids").combine_chunks().take(pa.array(np.argsort(right.column("number").to_numpy())))
+        sizes = pc.binary_length(ids).to_numpy() // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids.to_pylist()), np.int32)))
+        low, high, top = (documents.column(f"~{i}").combine_chunks() for i in range(3))
+        numbers = low.values.to_numpy().astype(np.int64) + (high.values.to_numpy().astype(np.int64) << 8) + (top.values.to_numpy().astype(np.int64) << 16)
+        n = np.concatenate([[0], np.cumsum(sizes[numbers])])[low.offsets.to_numpy()]
+        flat = lists.take(pa.array(numbers)).flatten()
+        pieces = piece_table(shared.value).take(flat)  # ids meet their pieces
+        at = np.frombuffer(pieces.buffers()[1], np.int64)[n] if len(pieces) else np.zeros(len(n), np.int64)
+        data = memoryview(pieces.buffers()[2] or b"")
+        texts = [bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return pa.table([*(documents.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(n, pa.int32()), flat), pa.array(texts, pa.string())], names=[*keep, "ids", "decoded"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     return groups.select("part", "documents").groupBy("part").cogroup(back.groupBy("part")).applyInArrow(placed, f"{fields}ids array<int>, decoded string")
 
 
+@lru_cache(maxsize=2)
+def piece_table(source: str) -> pa.Array:
+    return pa.array(spelled(source), pa.large_binary())
+
+
 def op12(spark, sf_dir: str) -> DataFrame:
     coded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")

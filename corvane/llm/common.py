@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of bytes other than ASCII white space.
@@ -33,13 +33,20 @@ def hash_below(col: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), col), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a copy in the shared folder of spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary folder; a cluster has no folder that all its machines see, so that is an error."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary folder; a cluster has no folder that all its machines see, so that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a copy in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
