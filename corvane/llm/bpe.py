@@ -3,9 +3,9 @@
 Texts are split in tasks into words that no merge crosses: a special token of the tokenizer, other characters between white
 space with one space before them, cut before punctuation that follows a plain letter or digit, or white space. Documents
 are packed in groups, a group's words are numbered and its texts kept as numbers, in a table bucketed by group. The words
-of all groups are dealt by word, so that each distinct word is encoded once, and its ids go back to the groups that hold
-the word, where a text's numbers put them in place and the ids meet their pieces. So a word travels once for a group, not
-once for an occurrence, and no text is shuffled.
+of all groups are dealt to ranges by their hash, where each distinct word is encoded once, and its ids go back to the
+groups that hold the word, where a text's numbers put them in place and the ids meet their pieces. So a word travels once
+for a group, packed with others of its range, not once for an occurrence, and no text is shuffled.
 
 A null text counts as empty and gives no ids and an empty text. Special tokens in a text become their own ids. Repeated
 rows give repeated results, an empty table none. Columns of the input called ids or decoded, in any case, are replaced.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +32,8 @@ from corvane.llm.common import packed, parts_for, shared_folder, slices, unlike,
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 #: A tokenizer is broadcast up to this size, its pieces are a table of as many rows as it has ids.
 MAX_TOKENIZER_BYTES = 16 << 20
-#: Words of a group.
-GROUP = 1 << 22
+#: Bytes of text in a group, MB of text for a range of hashes.
+GROUP, RANGE_MB = 6 << 20, 64
 # The characters with the Unicode property White_Space; ASCII punctuation; letters and digits in every version of Unicode.
 WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 MARKS = r"!-/:-@\[-`{-~"
@@ -98,12 +99,16 @@ def decode(rows: DataFrame, keys: list[str], tokenizer_file: str = TOKENIZER_FIL
     return listed.select(*keys, F.make_valid_utf8(raw.cast("string")).alias("decoded"))
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each word of a group."""
-    for batch in batches:
-        for part, words in zip(batch.column("part").to_pylist(), batch.column("words"), strict=True):
-            word = unpacked(words).column("word").combine_chunks()
-            yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(word), part)), "number": pa.array(np.arange(len(word), dtype=np.int32)), "word": word})
+def squeezed(numbers: np.ndarray, data: bytes) -> bytes:
+    """Lengths and the bytes they measure, compressed."""
+    raw = numbers.astype(np.uint32).tobytes() + data
+    return np.array([len(numbers), len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def released(value: bytes) -> tuple[np.ndarray, bytes]:
+    n, size = np.frombuffer(value[:16], np.int64).tolist()
+    raw = pa.decompress(value[16:], decompressed_size=size, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint32, n), raw[4 * n :]
 
 
 def _bucketed(groups: DataFrame, buckets: int) -> DataFrame:
@@ -118,6 +123,8 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", tokenizer_file:
     spark, source = docs.sparkSession, read(tokenizer_file)
     shared, special = spark.sparkContext.broadcast(source), special_tokens(source)
     keep = unlike(keep, "ids", "decoded")
+    n_ranges, small = parts_for(docs, RANGE_MB), len(spelled(source)) <= 1 << 16
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("words", pa.binary())]))
     rows = docs.select(*keep, F.col(text).cast("string").alias("~text"))
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +132,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", tokenizer_file:
         group = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = batch.column(len(keep))
-            for a, b in slices([n or 0 for n in pc.binary_length(texts).to_pylist()], 4 * GROUP):
+            for a, b in slices([n or 0 for n in pc.binary_length(texts).to_pylist()], GROUP):
                 split = [split_words(t or "", special) for t in texts.slice(a, b - a).to_pylist()]
                 ends = np.cumsum([0, *map(len, split)])
                 coded = pa.array([w for ws in split for w in ws], pa.string()).dictionary_encode()
@@ -136,35 +143,45 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", tokenizer_file:
                 numbers = rank[place]
                 bytes_of = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((numbers >> np.uint32(8 * i)).astype(np.uint8 if i < 2 else np.uint16))) for i in range(3)]
                 documents = {n: batch.column(i).slice(a, b - a) for i, n in enumerate(keep)} | {f"~{i}": x for i, x in enumerate(bytes_of)}
-                words = pa.array([packed({"word": coded.dictionary.take(pa.array(order))})], pa.binary())
-                yield pa.RecordBatch.from_pydict({"part": pa.array([group], pa.int64()), "words": words, "documents": pa.array([packed(documents)], pa.binary())})
+                words = [w.encode() for w in coded.dictionary.take(pa.array(order)).to_pylist()]
+                at = np.fromiter((zlib.crc32(w) % n_ranges for w in words), np.uint32, len(words))
+                by_range = np.argsort(at, kind="stable")
+                heads = np.flatnonzero(np.diff(at[by_range], prepend=-1))
+                held = [(int(at[own[0]]), squeezed(np.array([len(words[i]) for i in own]), b"".join([words[i] for i in own]))) for own in np.split(by_range, heads[1:]) if len(own)]
+                blob = squeezed(at, packed(documents))
+                yield pa.RecordBatch.from_pydict({"part": pa.array([group], pa.int64()), "words": pa.array([[{"at": a, "words": w} for a, w in held]], kind), "documents": pa.array([blob], pa.binary())})
                 group += 1
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ids of each row's word; words are sorted, and each is encoded once."""
-        t, last, ids_of_last = tokenizer(shared.value), None, b""
-        for batch in batches:
-            words = batch.column("word")
-            new = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False) if batch.num_rows else np.zeros(0, bool)
-            heads = np.concatenate([[0], np.flatnonzero(new) + 1])[: batch.num_rows]
-            distinct = words.take(pa.array(heads)).to_pylist()
-            known = bool(distinct) and distinct[0] == last
-            ids = [np.array(e.ids, np.int32).tobytes() for e in t.encode_batch_fast(distinct[known:], add_special_tokens=False)]
-            ids = [ids_of_last] * known + ids
-            if distinct:
-                last, ids_of_last = distinct[-1], ids[-1]
-            yield pa.RecordBatch.from_pydict({"part": batch.column("part"), "number": batch.column("number"), "ids": pa.array(ids, pa.binary()).take(pa.array(np.cumsum(np.concatenate([[0], new]))[: batch.num_rows]))})
-
-    n_parts = parts_for(docs, 64)
-    groups = _bucketed(rows.mapInArrow(grouped, "part long, words binary, documents binary"), n_parts)
-    words = groups.select("part", "words").mapInArrow(_words, "part long, number int, word string")
-    back = words.repartition(n_parts, "word").sortWithinPartitions("word").mapInArrow(encoded, "part long, number int, ids binary")
+    def encoded(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of a range's words, each encoded once, back to the groups in the order that they came in."""
+        t, table = tokenizer(shared.value), pa.Table.from_batches(batches)
+        lists, flat = [], []
+        for value in table.column("words").to_pylist():
+            sizes, raw = released(value)
+            ends = np.cumsum(sizes, dtype=np.int64)
+            lists.append(len(sizes))
+            flat.append(pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(raw)]))
+        coded = pa.chunked_array(flat).combine_chunks().dictionary_encode()
+        of_words = [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
+        for part, own in zip(table.column("part").to_pylist(), np.split(coded.indices.to_numpy(), np.cumsum(lists)[:-1]), strict=True):
+            ids = [of_words[i] for i in own.tolist()]
+            value = squeezed(np.array([len(x) for x in ids]), np.concatenate(ids).astype(np.uint16 if small else np.uint32).tobytes())
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "at": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([value], pa.binary())})
+
+    groups = _bucketed(rows.mapInArrow(grouped, "part long, words array<struct<at: int, words: binary>>, documents binary"), n_ranges)
+    words = groups.select("part", F.inline("words"))
+    back = words.groupBy("at").applyInArrow(encoded, "part long, at int, ids binary")
 
     def placed(left: pa.Table, right: pa.Table) -> pa.Table:
-        documents = unpacked(left.column("documents")[0])
-        ids = right.column("ids").combine_chunks().take(pa.array(np.argsort(right.column("number").to_numpy())))
-        sizes = pc.binary_length(ids).to_numpy() // 4
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids.to_pylist()), np.int32)))
+        ranges, blob = released(left.column("documents")[0].as_py())
+        documents = unpacked(pa.scalar(blob))
+        came = [released(v) for v in right.sort_by("at").column("ids").to_pylist()]
+        order = np.empty(len(ranges), np.int64)
+        order[np.argsort(ranges, kind="stable")] = np.arange(len(ranges))
+        sizes = np.concatenate([n for n, _ in came]).astype(np.int64) if came else np.zeros(0, np.int64)
+        flat = np.concatenate([np.frombuffer(x, np.uint16 if small else np.uint32) for _, x in came]).astype(np.int32) if came else np.zeros(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat)).take(pa.array(order))
+        sizes = sizes[order]
         low, high, top = (documents.column(f"~{i}").combine_chunks() for i in range(3))
         numbers = low.values.to_numpy().astype(np.int64) + (high.values.to_numpy().astype(np.int64) << 8) + (top.values.to_numpy().astype(np.int64) << 16)
         n = np.concatenate([[0], np.cumsum(sizes[numbers])])[low.offsets.to_numpy()]

@@ -55,7 +55,7 @@ def test_every_character_is_white_or_not_as_in_the_library(spark, library):
 
 
 def test_groups(spark, data, library, monkeypatch):
-    monkeypatch.setattr(bpe, "GROUP", 1500)
+    monkeypatch.setattr(bpe, "GROUP", 6000)
     d = spark.read.parquet(f"{data}/documents.parquet")
     check(bpe.encode(d, ["doc_id", "text"]).collect(), library)
 
