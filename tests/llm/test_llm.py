@@ -616,7 +616,7 @@ def test_registered_queries(spark, data):
 
     import __spark_entry__ as entry
 
-    assert len(registry.QUERIES) == 10 and {*registry.QUERIES, "pipeline"} <= set(entry.queries())
+    assert len(registry.QUERIES) == 13 and {*registry.QUERIES, "pipeline"} <= set(entry.queries())
     for name in ("op5_html_extraction", "op8_source_mixing", "op9_benchmark_decontamination", "op10_secret_scan"):
         assert registry.QUERIES[name](spark, data).count() > 0
     c = duckdb.connect()
