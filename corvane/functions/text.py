@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,6 +23,12 @@ MAX_FILE_BYTES = 1_000_000
 # Words that a retrieval query leaves out (fixed values).
 QUERY_STOP_WORDS = ["the", "and", "for", "with", "from", "that", "this"]
 
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once a row however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 _COMPARE = {"==": operator.eq, "eq": operator.eq, "!=": operator.ne, "ne": operator.ne, ">": operator.gt, "gt": operator.gt, "<": operator.lt, "lt": operator.lt, ">=": operator.ge, "gte": operator.ge, "<=": operator.le, "lte": operator.le}
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import text
-from corvane.operators import registry, retrieval, versioning, wiki
+from corvane.operators import registry, retrieval, text_index, vector_index, versioning, wiki
 from corvane.plans import tables as T
+from corvane.sources.scratch import scratch
 
 QUERIES, SQL = {}, {}
 K = 5
@@ -41,9 +42,28 @@ def flt_01(spark, d):
     return T.read(spark, d, "events").where(text.where_all({"event_type": "click", "value": {">": 1.5, "lte": 90}, "user_id": {"in": [1, 2, 3, 5, 8, 13, 21, 34]}}) & text.where_all({"event_type": {"like": "c%"}})).select("event_id")
 
 
+def vector_index_of(spark, d) -> str:
+    """An index of all vectors, written to the shared folder."""
+    path = scratch(spark, "vectors")
+    vector_index.build(T.vectors(spark, d), path)
+    return path
+
+
 @query("RET-02")
 def ret_02(spark, d):
-    return retrieval.approximate_top_k(T.vectors(spark, d), vector_queries(spark, d), 10)
+    """Searches the index on disk, by its folder alone."""
+    return vector_index.search(spark, vector_index_of(spark, d), vector_queries(spark, d), 10)
+
+
+@query("RET-02-recall")
+def ret_02_recall(spark, d):
+    """Of each query's exact 10 best how many the index finds, and how many vectors it scores exactly of all there are."""
+    path, q = vector_index_of(spark, d), vector_queries(spark, d)
+    exact = retrieval.vector_top_k(T.vectors(spark, d), q, 10)
+    found = vector_index.search(spark, path, q, 10).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    model = vector_index.load(spark, path)
+    hits = exact.join(found, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count("hit").alias("found"), F.count("*").alias("wanted"))
+    return hits.withColumns({"scored_exactly": F.lit(model.depth), "vectors": F.lit(int(model.counts.sum()))})
 
 
 @query("RET-03", f"WITH {HITS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM scored), kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n) AS INTEGER) AS rank FROM ranked WHERE n <= {4 * K} AND label < 5) SELECT query_id, chunk_id, score, rank FROM kept WHERE rank <= {K}")
@@ -68,9 +88,23 @@ def active(spark, d):
     return versioning.active_only(T.chunks(spark, d), T.pointers(spark, d))
 
 
+def text_index_of(spark, d, terms) -> str:
+    """An index of all active chunks, written to the shared folder."""
+    path = scratch(spark, "postings")
+    text_index.build(active(spark, d), path, terms=terms)
+    return path
+
+
 @query("RET-04", f"WITH {ACTIVE_CORPUS}, {TEXT} SELECT query_id, id AS chunk_id, score, rank FROM lists WHERE rank <= {2 * K}")
 def ret_04(spark, d):
-    return retrieval.text_top_k(active(spark, d), T.queries(spark, d), 2 * K)
+    """Searches the index on disk for words as they are."""
+    return text_index.search(spark, text_index_of(spark, d, retrieval.terms_of), T.queries(spark, d), 2 * K)
+
+
+@query("RET-04-english")
+def ret_04_english(spark, d):
+    """Searches an index of stems."""
+    return text_index.search(spark, text_index_of(spark, d, text_index.english_terms), T.queries(spark, d), 2 * K, terms=text_index.english_terms)
 
 
 @query("RET-05", f"WITH {ACTIVE_CORPUS}, asked AS (SELECT DISTINCT query_id, unnest(string_split(lower(query), ' ')) AS term FROM queries), s AS (SELECT query_id, id AS chunk_id, CAST(count(*) AS DOUBLE) AS score FROM corpus, asked WHERE contains(lower(body), term) GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= {K}")

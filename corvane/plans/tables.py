@@ -37,8 +37,7 @@ def pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("query"))
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +99,7 @@ versioned AS (SELECT *, md5(content) AS chunk_hash, unnest(CASE doc_id % 4 WHEN
 chunks AS (SELECT *, md5(concat_ws('|', repository_id, branch, file_path, start_line, publish_id)) AS chunk_id FROM versioned)"""
 POINTERS = "pointers AS (SELECT source AS repository_id, lang AS branch, 'doc/' || doc_id || '.txt' AS file_path, CASE WHEN doc_id % 4 <> 3 THEN 'v2' END AS active_publish_id FROM documents WHERE doc_id % 4 <> 0)"
 ACTIVE = "active AS (SELECT c.* FROM chunks c LEFT JOIN (SELECT *, true AS has_pointer FROM pointers) p USING (repository_id, branch, file_path) WHERE p.active_publish_id = c.publish_id OR (p.has_pointer IS NULL AND c.publish_id = 'legacy'))"
-QUERIES = r"queries AS (SELECT item_id AS query_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:2], ' ') AS query FROM benchmark)"
+QUERIES = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 WIKI = "wiki AS (SELECT page_id, url AS slug, regexp_extract(url, '^https?://([^/]+)', 1) AS section_path, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, html AS content FROM pages)"
 RESULTS = """results AS (SELECT task_id, run_id, resolved, task_id % 7 <> 0 AS prediction_present, task_id % 7 > 1 AS patch_exists, task_id % 7 > 2 AS patch_applied, ['t0', 't1', 't2', 't3'] AS pytest_targets,
   CASE WHEN resolved THEN [] ELSE list_transform(range(0, (task_id + length(run_id)) % 3 + 1), lambda i: 't' || i) END AS failing_tests

@@ -96,14 +96,6 @@ def test_fusion(spark):
     assert [r["chunk_id"] for r in retrieval.fuse([ranked(spark, ["x", "y"]), ranked(spark, ["z", "w"])]).orderBy("rank").collect()] == ["x", "z", "y", "w"]
 
 
-def test_approximate_recall(spark, data):
-    v = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    q = v.where("chunk_id % 25 = 0").withColumnRenamed("chunk_id", "query_id")
-    exact = set(values(retrieval.vector_top_k(v, q, 10), "query_id", "chunk_id"))
-    near = set(values(retrieval.approximate_top_k(v, q, 10), "query_id", "chunk_id"))
-    assert len(exact & near) / len(exact) >= 0.9
-
-
 def test_rerank_and_failures(spark):
     d = spark.createDataFrame([(1, "q", "a", "one", 1), (1, "q", "b", "three", 2)], "query_id int, query string, chunk_id string, content string, rank int")
     assert [r["chunk_id"] for r in retrieval.rerank(d, lambda q, t: [float(len(x)) for x in t], 2).orderBy("new_rank").collect()] == ["b", "a"]
