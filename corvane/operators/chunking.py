@@ -1,20 +1,17 @@
-"""Files to chunks. Every function takes and gives DataFrames and has no UDF."""
+"""Files to chunks."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions import blocks
 from corvane.functions.text import language_of, lines_of
 from corvane.operators.numbering import numbered
 
 MAX_LINES, OVERLAP = 50, 10
-#: Starts of blocks by language (regular expressions on a line); prose starts one at a paragraph.
-BOUNDARIES = {
-    "python": r"^(class |def |async def |@)", "javascript": r"^(export |function |class |const |async )", "typescript": r"^(export |function |class |interface |const |async )",
-    "java": r"^\s{0,4}(public |private |protected |class |interface )", "go": r"^(func |type |var |const )", "rust": r"^(pub |fn |impl |struct |enum |trait |mod )", "markdown": r"^#{1,6} ",
-}
 
 
 def chunk_hash(content: Column) -> Column:
@@ -22,60 +19,53 @@ def chunk_hash(content: Column) -> Column:
     return F.md5(content.cast("binary"))
 
 
-def sliding_windows(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
-    """CHK-01: windows of max_lines lines that share `overlap` lines; the last ends with the file. Blank files give none."""
+def window_spans(total: Column, max_lines: int, overlap: int) -> Column:
+    """First and last lines, from 1, of windows over so many lines; the last ends with the file."""
     step = max_lines - overlap
     if step < 1:
         raise ValueError("windows must advance")
+    last = F.greatest(F.lit(0), F.ceil((total - max_lines) / F.lit(float(step)))).cast("int") * step
+    return F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda at: F.struct((at + 1).alias("start_line"), F.least(at + max_lines, total).alias("end_line")))
+
+
+def _cut(files: DataFrame, spans: Callable[[Column], Column]) -> DataFrame:
+    """Chunks of files that are not blank, by spans of their lines; without spans there are none."""
     others = [c for c in files.columns if c != "content"]
-    split = files.where(F.col("content").rlike(r"\S")).withColumn("lines", lines_of(F.col("content"))).withColumn("total", F.size("lines"))
-    last = F.greatest(F.lit(0), F.ceil((F.col("total") - max_lines) / F.lit(float(step)))).cast("int") * step
-    windows = split.select(*others, "lines", "total", F.explode(F.sequence(F.lit(0), last, F.lit(step))).alias("at"))
-    content = F.array_join(F.slice("lines", F.col("at") + 1, F.lit(max_lines)), "")
-    out = windows.select(*others, (F.col("at") + 1).alias("start_line"), F.least(F.col("at") + max_lines, F.col("total")).alias("end_line"), content.alias("content"))
-    return out.withColumn("chunk_hash", chunk_hash(F.col("content")))
+    split = files.where(F.col("content").rlike(r"\S")).withColumn("lines", lines_of(F.col("content"))).withColumn("spans", spans(F.size("lines")))
+    each = split.select(*others, "lines", F.inline("spans"))
+    content = F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "")
+    return each.select(*others, "start_line", "end_line", content.alias("content")).withColumn("chunk_hash", chunk_hash(F.col("content")))
 
 
-def structural_blocks(files: DataFrame, budget: int = 500, boundaries: dict[str, str] | None = None) -> DataFrame:
-    """CHK-02: blocks of lines that start at a boundary of the language, packed up to `budget` characters of non-space text.
+def sliding_windows(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
+    """CHK-01: windows of max_lines lines that share `overlap` lines; the last ends with the file. Blank files give none."""
+    return _cut(files, lambda total: window_spans(total, max_lines, overlap))
+
 
-    Structural by patterns, not by a parser. files: any columns with content and language; language null gives none.
-    A block over the budget stands alone.
+def structural_blocks(files: DataFrame, budget: int = 500) -> DataFrame:
+    """CHK-02: blocks of the text's structure, cut and joined up to `budget` characters that are not white space.
+
+    files: any columns with content and language; language null gives none, nor does a text that breaks its language's
+    rules. A line over the budget stands alone.
     """
-    table = F.create_map(*[F.lit(x) for pair in (boundaries or BOUNDARIES).items() for x in pair])
-    others = [c for c in files.columns if c != "content"]
-    lines = files.where(F.col("content").rlike(r"\S") & F.col("language").isNotNull()).withColumn("lines", lines_of(F.col("content")))
-    pattern = F.coalesce(F.try_element_at(table, F.col("language")), F.lit(r"^\S"))
-    blank = lambda x: F.length(F.regexp_replace(x, r"\s", "")) == 0
-    size = lambda x: F.length(F.regexp_replace(x, r"\s", ""))
-    prose = F.try_element_at(table, F.col("language")).isNull()
-
-    def packed(state: Column, line: Column) -> Column:
-        """Fold over a file's lines: starts of chunks, size of the chunk in hand, was the last line blank."""
-        at = state["n"] + 1
-        starts_block = F.when(prose, state["blank"] & ~blank(line)).otherwise(F.regexp_like(line, pattern))
-        new = (at == 1) | (starts_block & (state["size"] + size(line) > budget)) | (state["size"] + size(line) > 2 * budget)
-        return F.struct(
-            F.when(new, F.concat(state["starts"], F.array(at))).otherwise(state["starts"]).alias("starts"),
-            F.when(new, size(line)).otherwise(state["size"] + size(line)).alias("size"),
-            blank(line).alias("blank"),
-            at.alias("n"),
-        )
-
-    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("size"), F.lit(True).alias("blank"), F.lit(0).alias("n"))
-    starts = F.aggregate("lines", zero, packed, lambda s: s["starts"])
-    cut = lines.withColumn("starts", starts).select(*others, "lines", "starts", F.posexplode("starts").alias("i", "start_line"))
-    end = F.coalesce(F.get(F.col("starts"), F.col("i") + 1) - 1, F.size("lines"))
-    out = cut.select(*others, "start_line", end.alias("end_line"), F.array_join(F.slice("lines", F.col("start_line"), end - F.col("start_line") + 1), "").alias("content"))
-    return out.withColumn("chunk_hash", chunk_hash(F.col("content")))
+    return _cut(files, lambda _: blocks.spans(budget)("content", "language"))
 
 
 def chunk_files(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP, budget: int = 500) -> DataFrame:
-    """CHK-03: structural chunks where the language is known, sliding windows for the rest. files: repository_id, branch, file_path, content."""
+    """CHK-03: structural chunks where the language is known, sliding windows for the rest and where structure fails. files: repository_id, branch, file_path, content."""
     known = files.withColumn("language", language_of(F.col("file_path")))
-    structural = structural_blocks(known.where(F.col("language").isNotNull()), budget)
-    sliding = sliding_windows(known.where(F.col("language").isNull()), max_lines, overlap)
-    return structural.unionByName(sliding)
+    return _cut(known, lambda total: F.coalesce(blocks.spans(budget)("content", "language"), window_spans(total, max_lines, overlap)))
+
+
+def overlapping(chunks: DataFrame, windows: DataFrame, keys: list[str], lines: int = 64) -> DataFrame:
+    """Pairs of chunks and windows of a file that share lines: keys, the ids of both, and how many lines they share.
+
+    Rows of a file meet by stretches of `lines` lines; a pair is kept in the first stretch that both reach.
+    """
+    reach = lambda d, p: d.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ("chunk_id", "start_line", "end_line")]).withColumn("stretch", F.explode(F.sequence(F.floor(F.col(f"{p}_start_line") / lines), F.floor(F.col(f"{p}_end_line") / lines))))
+    met = reach(chunks, "c").join(reach(windows, "w"), [*keys, "stretch"])
+    first, last = F.greatest("c_start_line", "w_start_line"), F.least("c_end_line", "w_end_line")
+    return met.where((first <= last) & (F.col("stretch") == F.floor(first / lines))).select(*keys, F.col("c_chunk_id").alias("chunk_id"), F.col("w_chunk_id").alias("window_id"), (last - first + 1).alias("shared"))
 
 
 def duplicate_report(chunks: DataFrame) -> DataFrame:

@@ -52,31 +52,35 @@ def build(corpus: DataFrame, path: str, id_column: str = "chunk_id", text_column
     dealt.write.mode("overwrite").option("path", f"{path}/postings").bucketBy(buckets, "term", "slice").sortBy("term", "slice", "id").saveAsTable(_table(path))
 
 
+def layout(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(f"{path}/layout").first()["buckets"]
+
+
 def postings(spark: SparkSession, path: str) -> DataFrame:
     """The index's postings as a bucketed table; named in the session's catalog if it isn't yet."""
     name = _table(path)
     if not spark.catalog.tableExists(name):
         found = spark.read.parquet(f"{path}/postings")
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-        buckets = int(spark.read.parquet(f"{path}/layout").first()["buckets"])
-        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (term, slice) SORTED BY (term, slice, id) INTO {buckets} BUCKETS LOCATION '{path}/postings'")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (term, slice) SORTED BY (term, slice, id) INTO {layout(spark, path)} BUCKETS LOCATION '{path}/postings'")
     return spark.table(name)
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, id_column: str = "chunk_id", terms: Callable[[Column], Column] = terms_of) -> DataFrame:
     """Rows that hold every term of a query, by BM25, the k best. queries: query_id, query. `terms` as in `build`."""
-    # a join on the bucketed columns and the id may use the buckets as they are
+    # what is looked up is dealt as the buckets are; a join on their columns and the id may use them as they are
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    dealt = lambda d: d.repartition(layout(spark, path), "term", "slice")
     table, totals = postings(spark, path), spark.read.parquet(f"{path}/totals").first()
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     known = asked.join(spark.read.parquet(f"{path}/terms"), "term", "left")
     whole = known.groupBy("query_id").agg(F.count("*").alias("n_terms"), F.count("df").alias("n_known"), F.min_by("term", F.struct("df", "term")).alias("rarest")).where("n_terms = n_known")
     known = known.join(whole, "query_id").drop("n_known")
     first = known.where("term = rarest").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    found = first.join(table, ["term", "slice"]).select("query_id", "n_terms", "df", "id", "tf", "length")
+    found = dealt(first).join(table, ["term", "slice"]).select("query_id", "n_terms", "df", "id", "tf", "length")
     rest = known.where("term <> rarest").select("query_id", "term", "df", "slices")
     looked_up = found.select("query_id", "n_terms", "id").join(rest, "query_id").withColumn("slice", _slice("id"))
-    others = looked_up.join(table, ["term", "slice", "id"]).select("query_id", "n_terms", "df", "id", "tf", "length")
+    others = dealt(looked_up).join(table, ["term", "slice", "id"]).select("query_id", "n_terms", "df", "id", "tf", "length")
     idf = F.log(1 + (F.lit(totals["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.lit(totals["mean"])))
     scored = found.unionByName(others).groupBy("query_id", "n_terms", "id").agg(F.count("*").alias("met"), F.sum(weight).alias("score")).where("met = n_terms")

@@ -101,9 +101,17 @@ def chk_01(spark, d):
     return chunking.sliding_windows(T.files(spark, d), T.MAX_LINES, T.OVERLAP).select("repository_id", "branch", "file_path", "start_line", "end_line", "content")
 
 
-@query("CHK-02")
+@query("CHK-02", f"WITH {T.BLOCKS} SELECT *, md5(content) AS chunk_hash FROM blocks")
 def chk_02(spark, d):
-    return chunking.structural_blocks(T.files(spark, d).withColumn("language", F.lit("prose")))
+    return T.structural(spark, d)
+
+
+@query("CHK-02-windows", f"WITH {T.WINDOWS}, {T.BLOCKS} SELECT file_path, b.start_line AS block, w.start_line AS win, least(b.end_line, w.end_line) - greatest(b.start_line, w.start_line) + 1 AS shared FROM blocks b JOIN windows w USING (repository_id, branch, file_path) WHERE b.start_line <= w.end_line AND w.start_line <= b.end_line")
+def chk_02_windows(spark, d):
+    """Which windows of a file the structural chunks share lines with."""
+    named = lambda x: x.withColumn("chunk_id", F.col("start_line"))
+    met = chunking.overlapping(named(T.structural(spark, d)), named(chunking.sliding_windows(T.files(spark, d), T.MAX_LINES, T.OVERLAP)), ["repository_id", "branch", "file_path"], 16)
+    return met.select("file_path", F.col("chunk_id").alias("block"), F.col("window_id").alias("win"), "shared")
 
 
 @query("CHK-03")

@@ -194,12 +194,15 @@ def ret_10(spark, d):
     return retrieval.hydrate(found, pages).withColumn("snippet", text.snippet(F.col("content"))).drop("content")
 
 
+def structural_keyed(spark, d):
+    """The structural corpus: the same files in blocks, under keys of their own."""
+    return T.structural(spark, d).select(retrieval.code_key(F.col("file_path"), F.col("start_line"), F.col("end_line"), "ast").alias("chunk_id"), "content").dropDuplicates(["chunk_id"])
+
+
 def cross_corpus(spark, d, n: int):
     """Hybrid lists of each corpus, fused; the first n corpora of code, wiki, structural."""
     q = embedded(T.queries(spark, d), "query")
-    code, pages = keyed(spark, d)
-    ast = code.withColumn("chunk_id", F.regexp_replace("chunk_id", "^code:", "ast:"))
-    found = [retrieval.hybrid(c, embedded(c, "content"), q, 3 * K).select("query_id", "chunk_id", "rank") for c in (code, pages, ast)[:n]]
+    found = [retrieval.hybrid(c, embedded(c, "content"), q, 3 * K).select("query_id", "chunk_id", "rank") for c in (*keyed(spark, d), structural_keyed(spark, d))[:n]]
     return retrieval.fuse(found)
 
 
@@ -229,7 +232,10 @@ def ret_12(spark, d):
     return cross_corpus(spark, d, 2).where(F.col("rank") <= K)
 
 
-@query("RET-13", f"WITH {CROSS} UNION ALL SELECT query_id, 'ast:' || substr(chunk_id, 6), 2, rank - 1 FROM c), g AS (WITH {FUSE_ALL}) SELECT * FROM g WHERE rank <= {K}")
+BLOCK_CORPUS = f"{T.BLOCKS}, {T.QUERIES}, corpus AS (SELECT DISTINCT 'ast:' || file_path || ':' || start_line || ':' || end_line AS id, content AS body FROM blocks)"
+
+
+@query("RET-13", f"WITH {CROSS} UNION ALL SELECT query_id, chunk_id, 2, rank - 1 FROM ({_hybrid_sql(BLOCK_CORPUS, 3 * K)})), g AS (WITH {FUSE_ALL}) SELECT * FROM g WHERE rank <= {K}")
 def ret_13(spark, d):
     return cross_corpus(spark, d, 3).where(F.col("rank") <= K)
 

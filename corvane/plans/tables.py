@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators.chunking import sliding_windows
+from corvane.operators.chunking import sliding_windows, structural_blocks
 
 MAX_LINES, OVERLAP = 20, 5
 
@@ -19,6 +19,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("source").alias("repository_id"), F.col("lang").alias("branch"), F.concat(F.lit("doc/"), "doc_id", F.lit(".txt")).alias("file_path"), F.col("text").alias("content"), "doc_id")
 
 
+def structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural chunks of all files, which are prose."""
+    f = files(spark, sf_dir).drop("doc_id").withColumn("language", F.lit("prose"))
+    return structural_blocks(f, BUDGET).drop("language")
+
+
 def _versions() -> F.Column:
     """Rule of the test tables: by doc_id % 4 legacy; v1 and v2; v2; v1."""
     m = F.col("doc_id") % 4
@@ -94,6 +100,12 @@ WINDOWS = rf"""{FILES},
 file_lines AS (SELECT *, regexp_extract_all(content, '[^\n]*\n|[^\n]+$') AS ls FROM files WHERE regexp_matches(content, '\S')),
 starts AS (SELECT *, unnest(range(0, CAST(greatest(0, ceil((len(ls) - {MAX_LINES}) / {float(MAX_LINES - OVERLAP)})) AS BIGINT) * {MAX_LINES - OVERLAP} + 1, {MAX_LINES - OVERLAP})) AS s FROM file_lines),
 windows AS (SELECT repository_id, branch, file_path, doc_id, CAST(s + 1 AS INTEGER) AS start_line, CAST(least(s + {MAX_LINES}, len(ls)) AS INTEGER) AS end_line, array_to_string(ls[s + 1:s + {MAX_LINES}], '') AS content FROM starts)"""
+BUDGET = 500
+#: Blocks of prose: lines joined while they fit the budget.
+BLOCKS = rf"""block_lines AS (SELECT source AS repository_id, lang AS branch, 'doc/' || doc_id || '.txt' AS file_path, regexp_extract_all(text, '[^\n]*\n|[^\n]+$') AS ls FROM documents WHERE regexp_matches(text, '\S')),
+folded AS (SELECT *, list_reduce(list_transform(ls, lambda l, i: {{'starts': [CAST(i AS BIGINT)], 'size': CAST(length(regexp_replace(l, '[ \t\n\r\x0b\x0c]', '', 'g')) AS BIGINT)}}), lambda a, x: {{'starts': CASE WHEN a.size + x.size > {BUDGET} THEN list_concat(a.starts, x.starts) ELSE a.starts END, 'size': CASE WHEN a.size + x.size > {BUDGET} THEN x.size ELSE a.size + x.size END}}).starts AS ss FROM block_lines),
+cut AS (SELECT repository_id, branch, file_path, ls, unnest(ss) AS s, unnest(list_append(list_transform(ss[2:], lambda s: s - 1), CAST(len(ls) AS BIGINT))) AS e FROM folded),
+blocks AS (SELECT repository_id, branch, file_path, CAST(s AS INTEGER) AS start_line, CAST(e AS INTEGER) AS end_line, array_to_string(ls[s:e], '') AS content FROM cut)"""
 CHUNKS = f"""{WINDOWS},
 versioned AS (SELECT *, md5(content) AS chunk_hash, unnest(CASE doc_id % 4 WHEN 0 THEN ['legacy'] WHEN 1 THEN ['v1', 'v2'] WHEN 2 THEN ['v2'] ELSE ['v1'] END) AS publish_id FROM windows),
 chunks AS (SELECT *, md5(concat_ws('|', repository_id, branch, file_path, start_line, publish_id)) AS chunk_id FROM versioned)"""
