@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.numbering import last_known, ranged
+
 FILE = ["repository_id", "branch", "file_path"]
 LEGACY = "legacy"
 
@@ -80,46 +81,45 @@ def drop_batch(staged: DataFrame, batch: str) -> DataFrame:
     return staged.where(F.col("batch_id") != batch)
 
 
-@dataclass
-class Branch:
-    """State of a branch under status events, late ones ignored (PUB-06)."""
-
-    status: str = "pending"
-    target_commit: str | None = None
-    last_commit: str | None = None
-    indexed_at: object = None
-
-    def apply(self, status: str, latest: str | None, target: str | None, at: object) -> bool:
-        """False if the event came too late: it reports an end for a commit that is no longer the target."""
-        if target is not None:
-            self.target_commit = target
-        if status in ("failed", "indexed") and latest is not None and self.target_commit and latest != self.target_commit:
-            return False
-        matches = latest is not None and latest == self.target_commit
-        if latest is not None and (status != "indexed" or self.target_commit is None or matches):
-            self.last_commit = latest
-        self.status = status
-        if status == "indexed":
-            self.indexed_at = at
-            if matches:
-                self.target_commit = None
-        return True
-
-
-def _text(x: object) -> str | None:
-    return None if x is None or pd.isna(x) else str(x)
+BRANCH = ["repository_id", "branch"]
+EVENT = ["ts", "status", "latest_commit", "target_commit"]
 
 
-def branch_states(events: DataFrame) -> DataFrame:
-    """PUB-06 in batch: state of each branch after its events in order of ts. events: repository_id, branch, status, latest_commit, target_commit, ts. A branch's events are folded in one task; they are few."""
+def _late(target: Column) -> Column:
+    """Whether an event reports an end for a commit that is not the target: `indexed` under any target, `failed` under one that is not empty."""
+    guarded = (F.col("status") == "indexed") | ((F.col("status") == "failed") & (target != ""))
+    return F.coalesce(guarded & target.isNotNull() & (F.col("latest_commit") != target), F.lit(False))
 
-    def folded(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, ignored = Branch(), 0
-        for r in pdf.sort_values("ts", kind="stable").itertuples():
-            ignored += not state.apply(r.status, _text(r.latest_commit), _text(r.target_commit), r.ts)
-        return pd.DataFrame({"repository_id": [key[0]], "branch": [key[1]], "status": [state.status], "target_commit": [state.target_commit], "last_commit": [state.last_commit], "indexed_at": [state.indexed_at], "ignored": [ignored]})
 
-    return events.groupBy("repository_id", "branch").applyInPandas(folded, "repository_id string, branch string, status string, target_commit string, last_commit string, indexed_at timestamp, ignored int")
+def branch_states(events: DataFrame) -> DataFrame:
+    """PUB-06: state of each branch after its events, by ts, ties by status and commits. events: repository_id, branch, status, latest_commit, target_commit, ts.
+
+    An event that is late for its own target changes nothing. The others with a target set it until the next one does,
+    or until an end for it is reported, which clears it. So the target that an event meets is the last one set, if no
+    row since then has reported its end: two running values over the events in their order, found range by range. What a
+    branch ends with are the last of the events that count, which Spark combines before it shuffles. `ignored` counts
+    the late ones.
+    """
+    rows = ranged(events.select(*BRANCH, *EVENT).withColumn("row__", F.monotonically_increasing_id()), BRANCH, [*EVENT, "row__"])
+    order = [*EVENT, "row__"]
+    own = F.col("target_commit")
+    sets = F.when(own.isNotNull() & ~_late(own), F.struct(*order))
+    rows = last_known(rows, BRANCH, order, sets, "set__")
+    held = F.col("set__.target_commit")
+    ends = (F.col("status") == "indexed") & (F.col("latest_commit") == F.coalesce(own, held))
+    rows = last_known(rows.withColumn("ends__", F.coalesce(ends & ~_late(own), F.lit(False))), BRANCH, order, F.when(F.col("ends__"), F.col("set__")), "ended__", own=False)
+    met = F.coalesce(own, F.when(~F.col("set__").eqNullSafe(F.col("ended__")), held))  # the target that the event meets
+    rows = rows.withColumn("met__", met).withColumn("late__", _late(F.col("met__")))
+    counts, last = ~F.col("late__"), F.struct(*order)
+    matched = F.coalesce((F.col("status") == "indexed") & (F.col("latest_commit") == F.col("met__")), F.lit(False))
+    reached = counts & F.col("latest_commit").isNotNull() & ((F.col("status") != "indexed") | F.col("met__").isNull() | matched)
+    left = F.struct(F.when(~matched, F.col("met__")).alias("t"))
+    of = lambda value, when: F.max_by(value, F.when(when, last))
+    found = rows.groupBy(*BRANCH).agg(
+        of("status", counts).alias("status"), of(left, counts)["t"].alias("target_commit"), of("latest_commit", reached).alias("last_commit"),
+        of("ts", counts & (F.col("status") == "indexed")).alias("indexed_at"), F.count_if("late__").cast("int").alias("ignored"),
+    )
+    return found.withColumn("status", F.coalesce("status", F.lit("pending")))
 
 
 def upsert(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

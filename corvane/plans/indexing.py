@@ -190,9 +190,25 @@ def pub_05(spark, d):
     return versioning.drop_batch(src_04(spark, d), "b1").groupBy("batch_id").agg(F.count("*").alias("n"))
 
 
-@query("PUB-06")
+#: Events of branches in order, the target each meets, and the state each branch ends in.
+BRANCH_STATES = """ev AS (SELECT CAST(user_id AS VARCHAR) AS repository_id, event_type AS branch, ['pending', 'indexing', 'indexed', 'failed'][event_id % 4 + 1] AS status, CASE WHEN event_id % 4 >= 2 THEN 'c' || (event_id // 8) END AS latest, CASE WHEN event_id % 4 = 0 THEN 'c' || (event_id // 8) END AS target, ts FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY repository_id, branch ORDER BY ts, status, latest NULLS FIRST, target NULLS FIRST) AS n FROM ev),
+s AS (SELECT *, last_value(CASE WHEN target IS NOT NULL THEN {'n': n, 't': target} END IGNORE NULLS) OVER (PARTITION BY repository_id, branch ORDER BY n) AS held FROM o),
+e AS (SELECT *, held.n AS stretch, coalesce(bool_or(status = 'indexed' AND latest = held.t) OVER (PARTITION BY repository_id, branch, held.n ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM s),
+m AS (SELECT *, CASE WHEN NOT ended THEN held.t END AS met FROM e), l AS (SELECT *, coalesce(latest <> met AND status IN ('indexed', 'failed'), false) AS late FROM m),
+states AS (SELECT repository_id, branch, arg_max(status, n) FILTER (NOT late) AS status, arg_max({'t': CASE WHEN status = 'indexed' AND latest = met THEN NULL ELSE met END}, n) FILTER (NOT late) AS left_, arg_max(latest, n) FILTER (NOT late AND latest IS NOT NULL AND (status <> 'indexed' OR met IS NULL OR latest = met)) AS last_commit,
+strftime(max(ts) FILTER (NOT late AND status = 'indexed'), '%Y-%m-%d %H:%M:%S.%f') AS indexed_at, CAST(count_if(late) AS INTEGER) AS ignored FROM l GROUP BY ALL)"""
+STATES_SQL = f"WITH {BRANCH_STATES} SELECT repository_id, branch, status, left_.t AS target_commit, last_commit, indexed_at, ignored FROM states"
+
+
+def written_out(states):
+    """The time of indexing as text, the same in every time zone."""
+    return states.withColumn("indexed_at", F.date_format("indexed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query("PUB-06", STATES_SQL)
 def pub_06(spark, d):
-    return versioning.branch_states(status_events(spark, d))
+    return written_out(versioning.branch_states(status_events(spark, d)))
 
 
 def status_events(spark, d):

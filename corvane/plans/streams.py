@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane.operators import evaluation as E
 from corvane.operators.versioning import branch_states
 from corvane.plans import tables as T
-from corvane.plans.indexing import status_events
+from corvane.plans.indexing import STATES_SQL, status_events, written_out
 from corvane.sources import files as S
 from corvane.sources.scratch import scratch
 from corvane.streaming import push
@@ -60,7 +60,7 @@ def str_03(spark, d):
     return push.current_pointers(spark.read.parquet(f"{work}/store/pointers"))
 
 
-@query("STR-04")
+@query("STR-04", STATES_SQL)
 def str_04(spark, d):
     """The states that a stream of status events ends in."""
     work = scratch(spark, "str04")
@@ -74,12 +74,12 @@ def str_04(spark, d):
     q = push.branch_state_stream(events).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{work}/checkpoint").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     out = spark.read.parquet(f"{work}/out")
-    return out.groupBy("repository_id", "branch").agg(F.max_by(F.struct("status", "target_commit", "last_commit", "ignored"), "batch").alias("s")).select("repository_id", "branch", "s.*")
+    return written_out(push.latest_states(out))
 
 
-@query("STR-04-batch")
+@query("STR-04-batch", STATES_SQL)
 def str_04_batch(spark, d):
-    return branch_states(status_events(spark, d)).drop("indexed_at")
+    return written_out(branch_states(status_events(spark, d)))
 
 
 @query("SRC-06", "SELECT 't' || (doc_id % 100) AS task_id, 'p' || max(doc_id) AS model_patch, CASE WHEN max(doc_id) % 2 = 0 THEN max(doc_id) END AS input_tokens FROM documents GROUP BY 1")

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from corvane.operators.chunking import sliding_windows
 from corvane.operators.retrieval import hashed_vector
-from corvane.operators.versioning import FILE, Branch, _text, publish_incremental
+from corvane.operators.versioning import EVENT, FILE, publish_incremental
 
 PAYLOAD = "struct<ref:string,before:string,after:string,repository:struct<id:long,full_name:string,clone_url:string>>"
 
@@ -77,18 +78,81 @@ def current_pointers(pointers: DataFrame) -> DataFrame:
     return pointers.groupBy(*FILE).agg(F.max_by("active_publish_id", "batch").alias("active_publish_id"))
 
 
-STATE = "status string, target_commit string, last_commit string, ignored int"
-
-
-def branch_state_stream(events: DataFrame) -> DataFrame:
-    """STR-04: the state of each branch after each batch of its status events; late ends are ignored. events as for branch_states."""
+STATE = "status string, target_commit string, last_commit string, indexed_at timestamp, ignored int"
+
+
+class BranchStates(StatefulProcessor):
+    """Keeps a branch's state between batches; with `idle` it forgets branches without events for so long."""
+
+    def __init__(self, idle: pd.Timedelta | None = None):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", STATE)
+
+    def _row(self, key: tuple, state: tuple, expired: bool) -> pd.DataFrame:
+        out = pd.DataFrame([[*key, *state, expired]], columns=["repository_id", "branch", "status", "target_commit", "last_commit", "indexed_at", "ignored", "expired"])
+        return out.astype({"indexed_at": "datetime64[us]"})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        """A batch's events of a branch at once, as in versioning.branch_states: the target that each meets, then the last of those that count."""
+        status, target, last, at, ignored = self.state.get() if self.state.exists() else ("pending", None, None, None, 0)
+        d = pd.concat(rows).sort_values(EVENT, kind="stable", na_position="first", ignore_index=True)
+        blank = lambda c: d[c].where(d[c].notna(), None).astype(object)
+        kind, latest, own = blank("status"), blank("latest_commit"), blank("target_commit")
+
+        def late(t: pd.Series) -> pd.Series:
+            return t.notna() & latest.notna() & (latest != t) & ((kind == "indexed") | ((kind == "failed") & (t != "")))
+
+        sets = own.notna() & ~late(own)
+        stretch = sets.cumsum()  # 0 goes on from the last batch
+        held = own.where(sets).ffill().where(stretch > 0, target)
+        ends = (kind == "indexed") & latest.notna() & (latest == own.where(own.notna(), held)) & ~late(own)
+        ended = ends.groupby(stretch).cumsum() - ends > 0
+        met = own.where(own.notna(), held.where(~ended, None)).astype(object)
+        met = met.where(met.notna(), None)
+        too_late = late(met)
+        counts = d.index[~too_late]
+        if len(counts):
+            matched = (kind == "indexed") & latest.notna() & (latest == met)
+            status = kind[counts[-1]]
+            target = None if matched[counts[-1]] else met[counts[-1]]
+            reached = counts[(latest.notna() & ((kind != "indexed") | met.isna() | matched))[counts]]
+            last = latest[reached[-1]] if len(reached) else last
+            indexed = counts[(kind == "indexed")[counts]]
+            at = d["ts"][indexed[-1]].to_pydatetime() if len(indexed) else at
+        state = (status, target, last, at, ignored + int(too_late.sum()))
+        self.state.update(state)
+        if self.idle is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(int((d["ts"].max() + self.idle).timestamp() * 1000))
+        yield self._row(key, state, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.state.get()
+        self.state.clear()
+        yield self._row(key, state, True)
+
+    def close(self) -> None:
+        pass
+
+
+def branch_state_stream(events: DataFrame, idle: str | None = None, late: str = "1 hour") -> DataFrame:
+    """STR-04: the state of each branch after each batch of its status events, as PUB-06 gives it for all of them; late ends are ignored. events as for branch_states.
+
+    With `idle` (a time such as "30 days") a branch without events for so long, in event time with a watermark of `late`
+    behind, is forgotten; its last state comes once more, marked expired. Batches come in order of ts; within one, the
+    order is branch_states'. Sets the state store that the operator needs.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.select("repository_id", "branch", *EVENT)
+    rows = rows.withWatermark("ts", late) if idle else rows
+    processor = BranchStates(pd.Timedelta(idle) if idle else None)
+    return rows.groupBy("repository_id", "branch").transformWithStateInPandas(processor, f"repository_id string, branch string, {STATE}, expired boolean", "Update", "EventTime" if idle else "None")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, target, last, ignored = state.get if state.exists else ("pending", None, None, 0)
-        branch = Branch(status, target, last)
-        for r in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
-            ignored += not branch.apply(r.status, _text(r.latest_commit), _text(r.target_commit), r.ts)
-        state.update((branch.status, branch.target_commit, branch.last_commit, ignored))
-        yield pd.DataFrame({"repository_id": [key[0]], "branch": [key[1]], "status": [branch.status], "target_commit": [branch.target_commit], "last_commit": [branch.last_commit], "ignored": [ignored]})
 
-    return events.groupBy("repository_id", "branch").applyInPandasWithState(step, f"repository_id string, branch string, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+def latest_states(states: DataFrame) -> DataFrame:
+    """The last state of each branch among those that batches (column batch) gave."""
+    return states.groupBy("repository_id", "branch").agg(F.max_by(F.struct("status", "target_commit", "last_commit", "indexed_at", "ignored"), "batch").alias("s")).select("repository_id", "branch", "s.*")
