@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import blocks
-from corvane.functions.text import language_of, lines_of
+from corvane.functions.text import language_of, lines_of, once
 from corvane.operators.numbering import numbered
 
 MAX_LINES, OVERLAP = 50, 10
@@ -28,10 +26,10 @@ def window_spans(total: Column, max_lines: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda at: F.struct((at + 1).alias("start_line"), F.least(at + max_lines, total).alias("end_line")))
 
 
-def _cut(files: DataFrame, spans: Callable[[Column], Column]) -> DataFrame:
-    """Chunks of files that are not blank, by spans of their lines; without spans there are none."""
+def _cut(files: DataFrame, spans: Column) -> DataFrame:
+    """Chunks of files that are not blank, by spans of their lines (column lines); without spans there are none."""
     others = [c for c in files.columns if c != "content"]
-    split = files.where(F.col("content").rlike(r"\S")).withColumn("lines", lines_of(F.col("content"))).withColumn("spans", spans(F.size("lines")))
+    split = files.where(F.col("content").rlike(r"\S")).withColumn("lines", lines_of(F.col("content"))).withColumn("spans", spans)
     each = split.select(*others, "lines", F.inline("spans"))
     content = F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "")
     return each.select(*others, "start_line", "end_line", content.alias("content")).withColumn("chunk_hash", chunk_hash(F.col("content")))
@@ -39,7 +37,16 @@ def _cut(files: DataFrame, spans: Callable[[Column], Column]) -> DataFrame:
 
 def sliding_windows(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
     """CHK-01: windows of max_lines lines that share `overlap` lines; the last ends with the file. Blank files give none."""
-    return _cut(files, lambda total: window_spans(total, max_lines, overlap))
+    step = max_lines - overlap
+    if step < 1:
+        raise ValueError("windows must advance")
+    others = [c for c in files.columns if c != "content"]
+    split = files.where(F.col("content").rlike(r"\S")).withColumn("lines", lines_of(F.col("content"))).withColumn("total", F.size("lines"))
+    last = F.greatest(F.lit(0), F.ceil((F.col("total") - max_lines) / F.lit(float(step)))).cast("int") * step
+    windows = split.select(*others, "lines", "total", F.explode(F.sequence(F.lit(0), last, F.lit(step))).alias("at"))
+    content = F.array_join(F.slice("lines", F.col("at") + 1, F.lit(max_lines)), "")
+    out = windows.select(*others, (F.col("at") + 1).alias("start_line"), F.least(F.col("at") + max_lines, F.col("total")).alias("end_line"), content.alias("content"))
+    return out.withColumn("chunk_hash", chunk_hash(F.col("content")))
 
 
 def structural_blocks(files: DataFrame, budget: int = 500) -> DataFrame:
@@ -48,13 +55,14 @@ def structural_blocks(files: DataFrame, budget: int = 500) -> DataFrame:
     files: any columns with content and language; language null gives none, nor does a text that breaks its language's
     rules. A line over the budget stands alone.
     """
-    return _cut(files, lambda _: blocks.spans(budget)("content", "language"))
+    return _cut(files, blocks.spans(budget)("content", "language"))
 
 
 def chunk_files(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP, budget: int = 500) -> DataFrame:
     """CHK-03: structural chunks where the language is known, sliding windows for the rest and where structure fails. files: repository_id, branch, file_path, content."""
     known = files.withColumn("language", language_of(F.col("file_path")))
-    return _cut(known, lambda total: F.coalesce(blocks.spans(budget)("content", "language"), window_spans(total, max_lines, overlap)))
+    windows = once(F.size("lines"), lambda total: window_spans(total, max_lines, overlap))
+    return _cut(known, F.coalesce(blocks.spans(budget)("content", "language"), windows))
 
 
 def overlapping(chunks: DataFrame, windows: DataFrame, keys: list[str], lines: int = 64) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.stemming import stemmed
-from corvane.operators.retrieval import BM25_B, BM25_K1, terms_of, top_ranked
+from corvane.operators.retrieval import by_rarest, terms_of
 
 #: Rows of a term in a slice, postings in a bucket.
 SLICE_ROWS, BUCKET_ROWS = 1 << 20, 1 << 23
@@ -71,17 +71,9 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, id_column
     # what is looked up is dealt as the buckets are; a join on their columns and the id may use them as they are
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     dealt = lambda d: d.repartition(layout(spark, path), "term", "slice")
-    table, totals = postings(spark, path), spark.read.parquet(f"{path}/totals").first()
+    table = postings(spark, path)
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     known = asked.join(spark.read.parquet(f"{path}/terms"), "term", "left")
-    whole = known.groupBy("query_id").agg(F.count("*").alias("n_terms"), F.count("df").alias("n_known"), F.min_by("term", F.struct("df", "term")).alias("rarest")).where("n_terms = n_known")
-    known = known.join(whole, "query_id").drop("n_known")
-    first = known.where("term = rarest").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    found = dealt(first).join(table, ["term", "slice"]).select("query_id", "n_terms", "df", "id", "tf", "length")
-    rest = known.where("term <> rarest").select("query_id", "term", "df", "slices")
-    looked_up = found.select("query_id", "n_terms", "id").join(rest, "query_id").withColumn("slice", _slice("id"))
-    others = dealt(looked_up).join(table, ["term", "slice", "id"]).select("query_id", "n_terms", "df", "id", "tf", "length")
-    idf = F.log(1 + (F.lit(totals["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.lit(totals["mean"])))
-    scored = found.unionByName(others).groupBy("query_id", "n_terms", "id").agg(F.count("*").alias("met"), F.sum(weight).alias("score")).where("met = n_terms")
-    return top_ranked(scored.select("query_id", F.col("id").alias(id_column), F.round("score", 6).alias("score")), k, id_column)
+    first = lambda d: dealt(d.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))).join(table, ["term", "slice"])
+    others = lambda d: dealt(d.withColumn("slice", _slice("id"))).join(table, ["term", "slice", "id"])
+    return by_rarest(known, spark.read.parquet(f"{path}/totals"), k, id_column, first, others)
