@@ -90,8 +90,10 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def parts_for(df: DataFrame, mb: int = 24) -> int:
     """How many groups to deal the documents into, so that a group holds about `mb` MB of what the files take."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1 << 20, size // (mb << 20) + 1)) if size < 1 << 50 else least
+    if size >= 1 << 50:  # unknown, or a product of guesses
+        texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+        size = df.agg(F.coalesce(F.sum(sum(texts, F.lit(8).cast("long"))), F.lit(0))).first()[0]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (mb << 20) + 1)
 
 
 def packed(columns: dict[str, pa.Array]) -> bytes:

@@ -258,7 +258,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple], Corpus]]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, question_share, answer_share of each leak."""
-    raw = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    raw = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     out = None
     for block in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(build(*block))  # of at most about BLOCK_BYTES of text
@@ -276,14 +276,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold an item; rows with null text stay, extra columns too. One pass: rows are kept or dropped where they are searched, no join."""
-    out = docs
+    out, at = docs, [c.lower() for c in docs.columns].index("text")
     for block in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(build(*block))
 
         def kept(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                yield batch.filter(pa.array([t is None or not matches(index, t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([t is None or not matches(index, t.encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         out = out.mapInArrow(kept, docs.schema)
     return out

@@ -462,7 +462,7 @@ def extract(pages: DataFrame) -> DataFrame:
             text = [None if h is None else render(h) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(text, pa.string()), pa.array([None if t is None else len(t.split("\n")) if t else 0 for t in text], pa.int32())], names=["page_id", "text", "n_lines"])
 
-    return pages.select("page_id", "html").mapInArrow(extracted, "page_id long, text string, n_lines int")
+    return pages.select(F.col("page_id").alias("page_id"), F.col("html").alias("html")).mapInArrow(extracted, "page_id long, text string, n_lines int")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

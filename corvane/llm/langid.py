@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import fold, hash_below, slices
+from corvane.llm.common import fold, hash_below, slices, unlike
 
 SLOTS = 1 << 16
 SWITCH_PENALTY = 12.0
@@ -150,6 +150,7 @@ class Model:
 def fit(docs: DataFrame, held: int = 2, folds: int = 4) -> Model:
     """Counts of n-grams and scripts over about MAX_PER_LANG training documents a language, drawn by hash."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held))
+    known = known.select("doc_id", F.col("lang").alias("lang"), F.col("text").alias("text"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
@@ -186,7 +187,7 @@ def fit(docs: DataFrame, held: int = 2, folds: int = 4) -> Model:
 
 def label(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns `keep` with lang_pred, score and spans array<struct<first, end, lang>>, which replace columns of these names."""
-    keep = [c for c in keep if c not in ("lang_pred", "score", "spans")]
+    keep = unlike(keep, "lang_pred", "score", "spans")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded: two tables of SLOTS rows a language
     span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
@@ -194,7 +195,7 @@ def label(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [t or "" for t in batch.column("~text").to_pylist()]
             langs, scores, spans = [], [], []
             for a, b in slices([len(t) for t in texts], 500_000):
                 x, y, z = m.label(texts[a:b])
@@ -204,7 +205,7 @@ def label(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)], names=[*keep, "lang_pred", "score", "spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(labelled, f"{fields}, lang_pred string, score double, spans array<struct<first:int,end:int,lang:string>>")
+    return docs.select(*keep, F.col("text").alias("~text")).mapInArrow(labelled, f"{fields}, lang_pred string, score double, spans array<struct<first:int,end:int,lang:string>>")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD
+from corvane.llm.common import WORD, unlike
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents of a source that are dealt out together.
@@ -63,10 +63,9 @@ def _dealt(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: int = 11, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (doc_id, source by default) with size, source_size, target and reps. Sources are few (a row each is sorted in one task); documents of a source are dealt out in shards of about SHARD rows."""
-    keep = [c for c in (["doc_id", "source"] if keep is None else keep) if c not in ("size", "source_size", "target", "reps")]
+    keep = unlike(["doc_id", "source"] if keep is None else keep, "size", "source_size", "target", "reps")
     row = F.struct(*keep)
-    kind = docs.select(row.alias("row")).schema["row"].dataType
-    sized = docs.select(row.alias("row"), "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.col("text")).alias("h"), F.xxhash64(row).alias("tie"))
+    sized = docs.select(row.alias("row"), F.col("source").alias("source"), words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.col("text")).alias("h"), F.xxhash64(row).alias("tie"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goal = targets(totals.select("source", "source_size"), weights, share, max_epochs).join(totals.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "n")
     ready = (
@@ -76,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         .withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_epochs)))).otherwise(0.0))
         .select("row", "source", "size", "source_size", "target", "shard", "threshold", "rate", "tie")
     )
-    dealt = ready.groupBy("source", "shard").applyInArrow(_dealt, f"row {kind.simpleString()}, source string, size long, source_size long, target double, reps long")
+    dealt = ready.groupBy("source", "shard").applyInArrow(_dealt, ready.select("row", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("reps")).schema)
     return dealt.select("row.*", "size", "source_size", "target", "reps")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import fold, hash_below
+from corvane.llm.common import fold, hash_below, unlike
 
 SYMBOLS = b"!|#$%&*.,:;?@=/<>{}()[]_-\"'"
 THRESHOLD = 0.3
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Ne
 
 def score(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (else all) of docs, with score and predicted. Without a network every score is 0.5."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    kept = unlike(docs.columns if keep is None else keep, "score", "predicted")
 
     raw = "raw" + "_" * (1 + max((len(c) for c in docs.columns), default=0))  # no column's name
 

@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import unlike
+
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 BASE = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
@@ -238,28 +240,28 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` with spans array<struct<start, end, kind>>, which replaces a column of that name."""
-    keep = [c for c in keep if c != "spans"]
+    keep = unlike(keep, "spans")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("text")
+            text = batch.column("~text")
             hit = pc.match_substring_regex(text, SCREEN).to_pylist()
             spans = [[{"start": a, "end": b, "kind": k} for a, b, k in find(text[i].as_py())] if h else [] for i, h in enumerate(hit)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(spans, kind)], names=[*keep, "spans"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    source = docs if "text" in keep else docs.select(*keep, "text")
-    return source.select(*dict.fromkeys([*keep, "text"])).mapInArrow(scanned, f"{fields}spans array<struct<start:int,end:int,kind:string>>")
+    return docs.select(*keep, F.col("text").alias("~text")).mapInArrow(scanned, f"{fields}spans array<struct<start:int,end:int,kind:string>>")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span, overlapping ones merged, replaced by the mark; other columns stay."""
     columns = docs.columns
+    place = [c.lower() for c in columns].index("text")
 
     def redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("text")
+            text = batch.column(place)
             out = text.to_pylist()
             for i, h in enumerate(pc.match_substring_regex(text, SCREEN).to_pylist()):
                 if h and (spans := find(out[i])):
@@ -269,7 +271,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                             parts += [out[i][at:a], mark]
                         at = max(at, b)
                     out[i] = "".join(parts) + out[i][at:]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == place else batch.column(i) for i in range(len(columns))], names=columns)
 
     return docs.mapInArrow(redacted, docs.schema)
 
