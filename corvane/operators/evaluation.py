@@ -96,8 +96,15 @@ def pass_at_k_by_task(runs: DataFrame, k_values: list[int], group: list[str] | N
 
 
 def macro_pass_at_k(runs: DataFrame, k_values: list[int], group: list[str] | None = None) -> DataFrame:
-    """EVA-08: the mean over tasks. `comparable` says whether the runs may be taken together."""
-    return pass_at_k_by_task(runs, k_values, group).groupBy(*(group or []), "k").agg(F.avg("pass_at_k").alias("pass_at_k"))
+    """EVA-08: the mean over tasks. Runs without groups must be `comparable`."""
+    return pass_at_k_by_task(runs if group else comparable(runs), k_values, group).groupBy(*(group or []), "k").agg(F.avg("pass_at_k").alias("pass_at_k"))
+
+
+def common_tasks(runs: DataFrame) -> DataFrame:
+    """EVA-08: the runs over the tasks that all of them have."""
+    n_runs = runs.agg(F.countDistinct("run_id")).first()[0]
+    shared = runs.groupBy("task_id").agg(F.countDistinct("run_id").alias("n")).where(F.col("n") == n_runs).select("task_id")
+    return runs.join(shared, "task_id", "left_semi")
 
 
 def comparable(runs: DataFrame, same: tuple[str, ...] = ("family", "version")) -> DataFrame:

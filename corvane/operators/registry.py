@@ -10,14 +10,31 @@ STATUS_PRIORITY = ["INDEXING", "PENDING", "FAILED", "INDEXED"]
 
 
 def visible(repositories: DataFrame, users: DataFrame, grants: DataFrame, hidden: DataFrame, branches: DataFrame) -> DataFrame:
-    """JOI-02: repositories that each user sees: public or granted, not hidden, with sorted branches. Public ones are paired with every user asked for; users are the request's, not all."""
-    public = repositories.where(~F.col("is_private")).select("repository_id").crossJoin(F.broadcast(users.select("user_id")))
+    """JOI-02: repositories that each user sees: public or granted, not hidden, with sorted branches. This lists every public repository for every user asked for; `visibility` and `sees` don't."""
+    public = repositories.where(~F.col("is_private")).select("repository_id").crossJoin(users.select("user_id"))
     granted = grants.join(users, "user_id", "left_semi").join(repositories.select("repository_id"), "repository_id", "left_semi").select("repository_id", "user_id")
     seen = public.unionByName(granted).distinct().join(hidden, ["user_id", "repository_id"], "left_anti")
     listed = branches.groupBy("repository_id").agg(F.array_sort(F.collect_set("branch")).alias("branches"))
     return seen.join(listed, "repository_id", "left").join(repositories.select("repository_id", "added_at"), "repository_id").select("user_id", "repository_id", "added_at", F.coalesce("branches", F.array().cast("array<string>")).alias("branches"))
 
 
+def visibility(repositories: DataFrame, users: DataFrame, grants: DataFrame, hidden: DataFrame) -> DataFrame:
+    """JOI-02: what tells a user's repositories from the public ones, a row a user: private ones granted and not hidden, and public ones hidden, both sorted. Its size is that of grants and hides, not of users times repositories."""
+    known = repositories.select("repository_id", "is_private")
+    own = lambda d: d.join(users, "user_id", "left_semi").select("user_id", "repository_id").distinct().join(known, "repository_id")
+    private = own(grants).where("is_private").join(hidden, ["user_id", "repository_id"], "left_anti").groupBy("user_id").agg(F.array_sort(F.collect_list("repository_id")).alias("granted"))
+    away = own(hidden).where(~F.col("is_private")).groupBy("user_id").agg(F.array_sort(F.collect_list("repository_id")).alias("hidden"))
+    none = F.array().cast("array<string>")
+    return users.select("user_id").distinct().join(private, "user_id", "left").join(away, "user_id", "left").select("user_id", F.coalesce("granted", none).alias("granted"), F.coalesce("hidden", none).alias("hidden"))
+
+
+def sees(pairs: DataFrame, repositories: DataFrame, grants: DataFrame, hidden: DataFrame) -> DataFrame:
+    """JOI-02: those of the pairs (user_id, repository_id, and any other columns) whose user sees the repository."""
+    named = pairs.join(repositories.select("repository_id", "is_private"), "repository_id").join(hidden.select("user_id", "repository_id"), ["user_id", "repository_id"], "left_anti")
+    granted = grants.select("user_id", "repository_id", F.lit(True).alias("granted")).distinct()
+    return named.join(granted, ["user_id", "repository_id"], "left").where(~F.col("is_private") | F.col("granted")).select(*pairs.columns)
+
+
 def branch_available(requests: DataFrame, chunks: DataFrame, pointers: DataFrame) -> DataFrame:
     """JOI-03: may a branch be searched: its repository has no data, or the branch is in chunks or pointers."""
     have = chunks.select("repository_id", "branch").union(pointers.select("repository_id", "branch")).distinct()
@@ -41,10 +58,17 @@ def resolved(requests: DataFrame, repositories: DataFrame) -> DataFrame:
 
 
 def in_repository(rows: DataFrame, requests: DataFrame) -> DataFrame:
-    """JOI-04: rows of each request's repository; all rows for a request without one. The two cases are separate joins, so that rows are not compared with every request."""
-    some = requests.where("resolved_id is not null").select("query_id", F.col("resolved_id").alias("repository_id"))
-    every = requests.where("resolved_id is null").select("query_id")
-    return rows.join(some, "repository_id").select("query_id", *rows.columns).unionByName(rows.crossJoin(F.broadcast(every)).select("query_id", *rows.columns))
+    """JOI-04: those of the rows found for requests (query_id, repository_id, ...) that lie in the request's repository; a request without one keeps all that it found."""
+    scope = requests.select("query_id", "resolved_id")
+    return rows.join(scope, "query_id").where(F.col("resolved_id").isNull() | (F.col("resolved_id") == F.col("repository_id"))).select(*rows.columns)
+
+
+def scope_sizes(rows: DataFrame, requests: DataFrame) -> DataFrame:
+    """JOI-04: how many rows each request may search: its repository's, or all without one. Rows are counted once a repository; requests meet the counts."""
+    counts = rows.groupBy("repository_id").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("all"))  # one row
+    met = requests.join(counts, F.col("resolved_id") == F.col("repository_id"), "left").crossJoin(F.broadcast(total))
+    return met.groupBy("query_id").agg(F.sum(F.when(F.col("resolved_id").isNull(), F.col("all")).otherwise(F.col("n"))).alias("n")).where("n > 0")
 
 
 def index_status(branches: DataFrame) -> DataFrame:
@@ -59,6 +83,11 @@ def requested_minus_indexed(requested: DataFrame, indexed: DataFrame) -> DataFra
     return requested.join(indexed.select("repository_id", "branch"), ["repository_id", "branch"], "left_anti")
 
 
+def first_rows(rows: DataFrame, key: str, n: int | None) -> DataFrame:
+    """SRC-10: the first n rows by key, all without n. Each task keeps n rows before any are moved."""
+    return rows if n is None else rows.orderBy(key).limit(n)
+
+
 def slice_by_ids(rows: DataFrame, ids: list, key: str) -> DataFrame:
     """SRC-10: rows of the requested ids in the order of the request; unknown ids are an error."""
     spark = rows.sparkSession

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.operators import answers as A
 from corvane.operators import chat
 from corvane.operators import evaluation as E
+from corvane.operators import prompts as prompting
 from corvane.plans import tables as T
 
 QUERIES, SQL = {}, {}
@@ -86,9 +88,10 @@ def eva_07(spark, d):
 TASKS = f"{T.RUNS}, t AS (SELECT task_id, count(DISTINCT run_id) AS n, CAST(count_if(resolved) AS BIGINT) AS c FROM runs GROUP BY 1), tk AS (SELECT task_id, n, c, k, {PASS} AS pass_at_k FROM t, (SELECT unnest([1, 2, 3, 5]) AS k))"
 
 
-@query("EVA-08", f"WITH {TASKS} SELECT k, avg(pass_at_k) AS pass_at_k FROM tk GROUP BY 1")
+@query("EVA-08", f"WITH {TASKS} SELECT k, avg(pass_at_k) AS pass_at_k FROM tk WHERE n = (SELECT count(DISTINCT run_id) FROM runs) GROUP BY 1")
 def eva_08(spark, d):
-    return E.macro_pass_at_k(T.runs(spark, d), [1, 2, 3, 5])
+    """Over the tasks that all runs have; runs over others are no runs to compare."""
+    return E.macro_pass_at_k(E.common_tasks(T.runs(spark, d)), [1, 2, 3, 5])
 
 
 @query("EVA-08-tasks", f"WITH {TASKS} SELECT task_id, n, c, k, pass_at_k FROM tk")
@@ -372,14 +375,46 @@ def flt_09(spark, d):
     return T.read(spark, d, "benchmark").select("item_id", text.search_query(F.concat(F.lit("T"), "item_id"), F.col("text"), apis, context, F.array(F.lit("s"))).alias("query"))
 
 
-@query("FLT-10", r"SELECT conv_id, 'Task ' || conv_id || E'\n' || string_agg('[' || turn || '] ' || text, E'\n' ORDER BY turn) AS prompt FROM conversations GROUP BY 1")
-def flt_10(spark, d):
+BLOCKS = {
+    "code": "'[' || n || '] doc/' || doc_id || '.txt lines ' || n || '-' || (n + 1) || CASE WHEN doc_id % 3 = 0 THEN E'\\nreason: seen' ELSE '' END || E'\\n' || regexp_replace(text, '\\s+$', '')",
+    "wiki": "'[' || n || '] t' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' in s' ELSE '' END || E'\\n' || regexp_replace(text, '\\s+$', '')",
+}
+BLOCKS["fused"] = f"CASE WHEN doc_id % 2 = 1 THEN {BLOCKS['wiki']} ELSE {BLOCKS['code']} END"
+
+
+def _prompt_sql(kind: str) -> str:
+    above, none = prompting.KINDS[kind]
+    return f"""WITH r AS (SELECT doc_id, text, doc_id % 97 AS query_id, row_number() OVER (PARTITION BY doc_id % 97 ORDER BY doc_id) AS n FROM documents WHERE doc_id % 97 < 40), b AS (SELECT query_id, string_agg({BLOCKS[kind]}, E'\\n\\n' ORDER BY n) AS body FROM r WHERE n <= 5 GROUP BY 1)
+SELECT item_id AS query_id, md5('Task ' || item_id || E'\\n\\n' || '{above}' || E'\\n' || coalesce(body, '{none}') || CASE WHEN item_id % 2 = 0 THEN E'\\n\\nAnswer with a patch.' ELSE '' END) AS prompt FROM benchmark LEFT JOIN b ON query_id = item_id"""
+
+
+def ranked_snippets(spark, d):
+    """Five documents for each of some tasks, as code or as pages."""
+    n = F.col("doc_id")
+    rows = T.read(spark, d, "documents").where(n % 97 < 40).withColumn("rank", F.row_number().over(Window.partitionBy(n % 97).orderBy("doc_id"))).where("rank <= 5")
+    return rows.select((n % 97).alias("query_id"), "rank", F.when(n % 2 == 1, "wiki").otherwise("code").alias("corpus"), F.concat(F.lit("doc/"), n, F.lit(".txt")).alias("file_path"), F.col("rank").alias("start_line"), (F.col("rank") + 1).alias("end_line"), F.concat(F.lit("t"), n).alias("title"), F.when(n % 2 == 0, "s").otherwise("").alias("section_path"), F.col("text").alias("content"), F.when(n % 3 == 0, " seen ").otherwise(" ").alias("reason"))
+
+
+def prompt_query(kind: str):
+    def run(spark, d):
+        tasks = T.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("Task "), "item_id").alias("head"), F.when(F.col("item_id") % 2 == 0, "Answer with a patch.").alias("tail"))
+        return prompting.prompts(tasks, ranked_snippets(spark, d), kind).select("query_id", F.md5(F.col("prompt").cast("binary")).alias("prompt"))
+
+    return run
+
+
+for _kind in prompting.KINDS:
+    query("FLT-10" if _kind == "code" else f"FLT-10-{_kind}", _prompt_sql(_kind))(prompt_query(_kind))
+
+
+@query("FLT-10-turns", r"SELECT conv_id, 'Task ' || conv_id || E'\n' || string_agg('[' || turn || '] ' || text, E'\n' ORDER BY turn) AS prompt FROM conversations GROUP BY 1")
+def flt_10_turns(spark, d):
     c = T.read(spark, d, "conversations")
-    return prompts(c.select(F.col("conv_id").alias("query_id")).distinct().withColumn("head", F.concat(F.lit("Task "), "query_id")), c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.concat(F.lit("["), "turn", F.lit("] "), "text").alias("block"))).select(F.col("query_id").alias("conv_id"), "prompt")
+    return listed(c.select(F.col("conv_id").alias("query_id")).distinct().withColumn("head", F.concat(F.lit("Task "), "query_id")), c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.concat(F.lit("["), "turn", F.lit("] "), "text").alias("block"))).select(F.col("query_id").alias("conv_id"), "prompt")
 
 
-def prompts(tasks, snippets, none: str = "(no context retrieved)"):
-    """FLT-10: a task's head and its snippets in order. Snippets of a task are as many as its top k."""
+def listed(tasks, snippets, none: str = "(no context retrieved)"):
+    """A head and the blocks under it in order. A conversation makes one prompt."""
     blocks = snippets.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n").alias("body"))
     return tasks.join(blocks, "query_id", "left").withColumn("prompt", F.concat_ws("\n", "head", F.coalesce("body", F.lit(none))))
 

@@ -83,6 +83,11 @@ def src_10(spark, d):
     return registry.slice_by_ids(T.read(spark, d, "benchmark"), [17, 3, 29], "item_id")
 
 
+@query("SRC-10-first", "SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 7")
+def src_10_first(spark, d):
+    return registry.first_rows(T.read(spark, d, "benchmark"), "item_id", 7)
+
+
 @query("SRC-14", "SELECT event_id, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND isfinite(value)")
 def src_14(spark, d):
     from corvane.operators.answers import finite_points

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from corvane.functions import text
@@ -206,13 +208,30 @@ def cross_corpus(spark, d, n: int):
     return retrieval.fuse(found)
 
 
-@query("RET-11")
+POOL = min(3 * K, 50)
+CODE_CORPUS = ACTIVE_CORPUS.replace("corpus AS (SELECT chunk_id AS id", "corpus AS (SELECT DISTINCT 'code:' || file_path || ':' || start_line || ':' || end_line AS id")
+PAGE_CORPUS = f"{T.WIKI}, {T.QUERIES}, corpus AS (SELECT DISTINCT 'wiki:' || slug || ':' || section_path || ':' || title AS id, content AS body FROM wiki)"
+KEYWORDS = "queries AS (SELECT item_id AS query_id, coalesce(nullif(array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 8), ' '), ''), text) AS query FROM benchmark)"
+
+
+def _three_lists(corpus: str) -> str:
+    return f"""WITH {corpus}, {TEXT}, v AS ({VECTOR_LIST.format(n=0)}), kw AS (SELECT * FROM (WITH {corpus.replace(T.QUERIES, KEYWORDS)}, {TEXT} SELECT * FROM lists)),
+u AS (SELECT * FROM v WHERE r < {POOL} UNION ALL SELECT query_id, id, 1, rank - 1 FROM lists WHERE rank <= {POOL} UNION ALL SELECT query_id, id, 2, rank - 1 FROM kw WHERE rank <= {POOL}), g AS (WITH {FUSE_ALL}) SELECT query_id, chunk_id, rank FROM g WHERE rank <= {POOL}"""
+
+
+SHARED_WORDS = "CAST(len(list_intersect(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w <> ''), list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w <> ''))) AS DOUBLE)"
+RERANKED = "SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS INTEGER) AS new_rank, rerank_score FROM scored QUALIFY new_rank <= {}"
+
+
+@query("RET-11", f"""WITH c AS ({_three_lists(CODE_CORPUS)}), w AS ({_three_lists(PAGE_CORPUS)}), u AS (SELECT query_id, chunk_id, 0 AS list_no, rank - 1 AS r FROM c UNION ALL SELECT query_id, chunk_id, 1, rank - 1 FROM w), g AS (WITH {FUSE_ALL}),
+bodies AS (SELECT id, body FROM (WITH {CODE_CORPUS} SELECT * FROM corpus) UNION ALL SELECT id, body FROM (WITH {PAGE_CORPUS} SELECT * FROM corpus)),
+scored AS (SELECT g.query_id, chunk_id, rank, {SHARED_WORDS.format('text', 'body')} AS rerank_score FROM g JOIN bodies ON id = chunk_id JOIN benchmark ON item_id = query_id WHERE rank <= {POOL}) {RERANKED.format(K)}""")
 def ret_11(spark, d):
-    """Keywords are the items' identifiers; the pool of the fused lists is reranked by shared words."""
+    """Keywords are the items' long words; the pool of the fused lists is reranked by shared words."""
     code, pages = keyed(spark, d)
     q = T.queries(spark, d)
-    keywords = T.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(retrieval.terms_of(F.col("text"))).alias("keywords"))
-    found = retrieval.expanded([(c, embedded(c, "content")) for c in (code, pages)], q.join(keywords, "query_id"), lambda rows: embedded(rows, "query"), min(3 * K, 50))
+    keywords = T.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 8).alias("keywords"))
+    found = retrieval.expanded([(c, embedded(c, "content")) for c in (code, pages)], q.join(keywords, "query_id"), lambda rows: embedded(rows, "query"), POOL)
     candidates = found.join(code.unionByName(pages), "chunk_id").join(q, "query_id")
     return retrieval.rerank(candidates, shared_words, K)
 
@@ -222,8 +241,6 @@ def shared_words(query: str, documents: list[str]) -> list[float]:
     return [float(len(asked & set(x.lower().split()))) for x in documents]
 
 
-CODE_CORPUS = ACTIVE_CORPUS.replace("corpus AS (SELECT chunk_id AS id", "corpus AS (SELECT DISTINCT 'code:' || file_path || ':' || start_line || ':' || end_line AS id")
-PAGE_CORPUS = f"{T.WIKI}, {T.QUERIES}, corpus AS (SELECT DISTINCT 'wiki:' || slug || ':' || section_path || ':' || title AS id, content AS body FROM wiki)"
 CROSS = f"c AS ({_hybrid_sql(CODE_CORPUS, 3 * K)}), w AS ({_hybrid_sql(PAGE_CORPUS, 3 * K)}), u AS (SELECT query_id, chunk_id, 0 AS list_no, rank - 1 AS r FROM c UNION ALL SELECT query_id, chunk_id, 1, rank - 1 FROM w"
 
 
@@ -298,11 +315,34 @@ b AS (SELECT CAST(o_custkey AS VARCHAR) AS repository_id, list_sort(list(DISTINC
 SELECT s.user_id, s.repository_id, added_at, coalesce(branches, []) AS branches FROM seen s JOIN repos USING (repository_id) LEFT JOIN b USING (repository_id) WHERE NOT ((s.user_id + external_id) % 10 = 0 AND external_id % 2 = 0)""")
 def joi_02(spark, d):
     e, repos = T.read(spark, d, "events"), repositories(spark, d)
-    users = e.select("user_id").distinct()
-    grants = e.select("user_id", F.col("event_id").cast("string").alias("repository_id"))
-    hidden = repos.where("external_id % 2 = 0").crossJoin(F.broadcast(users)).where("(user_id + external_id) % 10 = 0").select("user_id", "repository_id")
     branches = T.read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("repository_id"), F.col("o_orderpriority").alias("branch"))
-    return registry.visible(repos, users, grants, hidden, branches)
+    return registry.visible(repos, e.select("user_id").distinct(), grants_of(e), hides_of(e, repos), branches)
+
+
+def grants_of(e):
+    return e.select("user_id", F.col("event_id").cast("string").alias("repository_id"))
+
+
+def hides_of(e, repos):
+    """Users hide the even repositories whose number and theirs sum to a multiple of ten."""
+    users = e.select("user_id").distinct().withColumn("m", F.pmod(-F.col("user_id"), F.lit(10)))
+    return repos.where("external_id % 2 = 0").withColumn("m", F.col("external_id") % 10).join(users, "m").select("user_id", "repository_id")
+
+
+@query("JOI-02-classes", f"""WITH {REPOS}, h AS (SELECT user_id, repository_id FROM users, repos WHERE external_id % 2 = 0 AND (user_id + external_id) % 10 = 0), g AS (SELECT DISTINCT user_id, repository_id FROM events JOIN repos ON external_id = event_id WHERE is_private AND (user_id, repository_id) NOT IN (SELECT (user_id, repository_id) FROM h))
+SELECT user_id, coalesce((SELECT list(repository_id ORDER BY repository_id) FROM g WHERE g.user_id = users.user_id), []) AS granted, coalesce((SELECT list(repository_id ORDER BY repository_id) FROM h JOIN repos USING (repository_id) WHERE h.user_id = users.user_id AND NOT is_private), []) AS hidden FROM users""")
+def joi_02_classes(spark, d):
+    """A row a user instead of a row for each user and public repository."""
+    e, repos = T.read(spark, d, "events"), repositories(spark, d)
+    return registry.visibility(repos, e.select("user_id").distinct(), grants_of(e), hides_of(e, repos))
+
+
+@query("JOI-02-pairs", f"WITH {REPOS} SELECT event_id, user_id, repository_id FROM (SELECT event_id, user_id, CAST(event_id % 97 + 1 AS VARCHAR) AS repository_id FROM events) JOIN repos USING (repository_id) WHERE (NOT is_private OR (user_id, external_id) IN (SELECT (user_id, event_id) FROM events)) AND NOT ((user_id + external_id) % 10 = 0 AND external_id % 2 = 0)")
+def joi_02_pairs(spark, d):
+    """Which of some pairs of user and repository may be seen."""
+    e, repos = T.read(spark, d, "events"), repositories(spark, d)
+    pairs = e.select("event_id", "user_id", (F.col("event_id") % 97 + 1).cast("string").alias("repository_id"))
+    return registry.sees(pairs, repos, grants_of(e), hides_of(e, repos))
 
 
 @query("JOI-03", f"WITH {T.FILES}, have AS (SELECT DISTINCT repository_id, branch FROM files WHERE doc_id % 11 = 0), q AS (SELECT DISTINCT repository_id, branch FROM files) SELECT repository_id, branch, repository_id NOT IN (SELECT repository_id FROM have) OR (repository_id, branch) IN (SELECT (repository_id, branch) FROM have) AS available FROM q")
@@ -323,7 +363,17 @@ def joi_04(spark, d):
     f = T.files(spark, d)
     q = T.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 4 == 0, "nowhere").otherwise(F.concat(F.lit("src"), F.col("item_id") % 20)).alias("reference"))
     repos = f.select("repository_id").distinct().withColumn("external_id", F.hash("repository_id"))
-    return registry.in_repository(f.select("repository_id", "file_path"), registry.resolved(q, repos)).groupBy("query_id").agg(F.count("*").alias("n"))
+    return registry.scope_sizes(f, registry.resolved(q, repos))
+
+
+@query("JOI-04-hits", f"WITH {ACTIVE_CORPUS}, {TEXT}, q AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN 'nowhere' ELSE 'src' || (item_id % 20) END AS reference FROM benchmark) SELECT query_id, l.id AS chunk_id FROM lists l JOIN active a ON a.chunk_id = l.id JOIN q USING (query_id) WHERE rank <= {2 * K} AND (reference = 'nowhere' OR reference = repository_id OR reference NOT IN (SELECT repository_id FROM files))")
+def joi_04_hits(spark, d):
+    """What a search found, within the repositories asked for."""
+    f, rows = T.files(spark, d), active(spark, d)
+    q = T.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 4 == 0, "nowhere").otherwise(F.concat(F.lit("src"), F.col("item_id") % 20)).alias("reference"))
+    repos = f.select("repository_id").distinct().withColumn("external_id", F.hash("repository_id"))
+    hits = retrieval.hydrate(retrieval.text_top_k(rows, T.queries(spark, d), 2 * K).select("query_id", "chunk_id"), rows.select("chunk_id", "repository_id"))
+    return registry.in_repository(hits, registry.resolved(q, repos)).select("query_id", "chunk_id")
 
 
 @query("WIK-01", rf"""WITH {T.CHUNKS}, f AS (SELECT repository_id, branch, file_path, row_number() OVER (PARTITION BY repository_id, branch ORDER BY file_path) AS n FROM (SELECT DISTINCT repository_id, branch, file_path FROM chunks)), p AS (SELECT repository_id, branch, string_agg(file_path, E'\n' ORDER BY file_path) AS paths FROM f WHERE n <= 500 GROUP BY ALL),
@@ -390,7 +440,7 @@ def wik_08(spark, d):
     return registry.index_status(b)
 
 
-@query("UDF-01")
+@query("UDF-01", "SELECT *, [CAST(length(text) AS FLOAT), CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS FLOAT)] AS embedding FROM benchmark")
 def udf_01(spark, d):
     return retrieval.embed(T.read(spark, d, "benchmark"), length_vectors, "text")
 
@@ -400,7 +450,7 @@ def length_vectors(texts: list[str]) -> list[list[float]]:
     return [[float(len(t)), float(len(t.split()))] for t in texts]
 
 
-@query("UDF-03")
+@query("UDF-03", "SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1] AS generated, '' AS error FROM benchmark")
 def udf_03(spark, d):
     return retrieval.generate(T.read(spark, d, "benchmark"), first_word, "text")
 
@@ -409,7 +459,23 @@ def first_word(t: str) -> str:
     return t.split()[0]
 
 
-@query("UDF-04")
+@query("UDF-03-json", "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN [] ELSE list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:2] END AS keywords, CASE item_id % 3 WHEN 0 THEN 'not the JSON asked for' ELSE '' END AS error FROM benchmark")
+def udf_03_json(spark, d):
+    """Keywords as JSON from system and user messages; a third of the replies are no JSON and fall back."""
+    b = T.read(spark, d, "benchmark")
+    asked = b.select("item_id", retrieval.messages(("system", F.lit("Give two keywords.")), ("user", F.concat_ws(" ", F.col("item_id").cast("string"), "text"))).alias("messages"))
+    made = retrieval.structured(retrieval.generate(asked, two_words, "messages"), "keywords array<string>", fallback=F.struct(F.array().cast("array<string>").alias("keywords")))
+    return made.select("item_id", "generated.keywords", "error")
+
+
+def two_words(messages: list[dict]) -> str:
+    number, *words = messages[-1]["content"].split()
+    if int(number) % 3 == 0:
+        return "I can't."
+    return "```json\n" + json.dumps({"keywords": words[:2]}) + "\n```"
+
+
+@query("UDF-04", f"WITH {ACTIVE_CORPUS}, {TEXT}, scored AS (SELECT query_id, id AS chunk_id, rank, {SHARED_WORDS.format('query', 'body')} AS rerank_score FROM lists JOIN corpus USING (id) JOIN queries USING (query_id) WHERE rank <= {2 * K}) {RERANKED.format(K)}")
 def udf_04(spark, d):
     rows, q = active(spark, d), T.queries(spark, d)
     ranked = retrieval.text_top_k(rows, q, 2 * K).select("query_id", "chunk_id", "rank")

@@ -119,6 +119,17 @@ def src_09(spark, d):
     return S.manifest_errors(spark.read.schema(S.MANIFEST).json(f"{work}/m").select(F.explode("tasks").alias("t")).select("t.*"))
 
 
+@query("SRC-09-config", "SELECT CAST(item_id % 10 AS BIGINT) AS family, rule FROM (SELECT item_id, unnest(['task_count differs from the config', 'seed differs from the config', 'python_version_target differs from the config']) AS rule FROM benchmark WHERE item_id % 10 = item_id) WHERE rule[1:1] = 't' OR (rule[1:1] = 's' AND item_id % 2 = 1) OR (rule[1:1] = 'p' AND item_id % 3 = 0)")
+def src_09_config(spark, d):
+    """Manifests that differ from their config: all in the number of tasks, some in the seed or the version."""
+    work = scratch(spark, "src09")
+    n = F.col("item_id")
+    own = F.struct(F.lit("fix").alias("task_type"), (F.lit(100) + n).alias("task_count"), F.lit(1).alias("shared_library_repo_count"), F.lit("one").alias("consumer_repo_mode"), F.when(n % 3 != 0, "3.13").alias("python_version_target"), F.array(F.lit("none"), F.lit("code")).alias("context_modes"), (n % 2).alias("seed"))
+    T.read(spark, d, "benchmark").where("item_id % 10 = item_id").select(n.cast("string").alias("family"), own.alias("generation_config")).write.json(f"{work}/m")
+    config = {"task_type": "fix", "task_count": 10, "shared_library_repo_count": 1, "consumer_repo_mode": "one", "python_version_target": "3.13", "context_modes": ["none", "code"], "seed": 0}
+    return S.config_errors(spark.read.schema(S.MANIFEST).json(f"{work}/m"), config).withColumn("family", F.col("family").cast("long"))
+
+
 @query("SRC-11", f"WITH {T.ANSWERS} SELECT run_id, idx, completion, multi_step, money FROM classed")
 def src_11(spark, d):
     from corvane.operators.answers import annotated
@@ -137,6 +148,15 @@ def src_12(spark, d):
     return S.pricing(rows).select("provider", "model", "region", "input_rate")
 
 
+@query("SRC-13-table", """WITH c AS (SELECT source, count(*)::VARCHAR AS documents, coalesce(CAST(CAST(sum(n_chars) AS BIGINT) AS VARCHAR), '-') AS characters FROM documents GROUP BY 1), w AS (SELECT greatest(6, max(length(source))) AS a, greatest(9, max(length(documents))) AS b, greatest(10, max(length(characters))) AS c FROM c),
+t AS (SELECT 0 AS line_no, 'source' AS x, 'documents' AS y, 'characters' AS z UNION ALL SELECT 1, repeat('-', a), repeat('-', b), repeat('-', w.c) FROM w UNION ALL SELECT 1 + row_number() OVER (ORDER BY source), source, documents, characters FROM c)
+SELECT CAST(line_no AS BIGINT) AS line_no, rtrim(rpad(x, CAST(a AS INTEGER), ' ') || '  ' || rpad(y, CAST(b AS INTEGER), ' ') || '  ' || rpad(z, CAST(w.c AS INTEGER), ' ')) AS line FROM t, w""")
+def src_13_table(spark, d):
+    """Sources with their documents as lines of text."""
+    rows = T.read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("characters"))
+    return S.text_table(rows, ["source"])
+
+
 @query("SRC-13", "SELECT item_id, text FROM benchmark")
 def src_13(spark, d):
     """A round trip."""

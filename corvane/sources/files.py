@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import is_indexable
+from corvane.operators.numbering import numbered
 
 #: Columns of an answer record that aren't flags.
 RECORD_COLUMNS = ["idx", "split", "question", "gold_answer", "pred_answer", "error_type", "answer_style", "problem_cluster", "completion"]
@@ -56,7 +57,8 @@ def report(rows: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-MANIFEST = "family string, version string, tasks array<struct<task_id:string,task_type:string,title:string,problem_statement:string,repo_a_id:long,repo_b_id:long,pytest_targets:array<string>,visible_api_names:array<string>>>"
+CONFIG = "task_type string, task_count long, shared_library_repo_count long, consumer_repo_mode string, python_version_target string, context_modes array<string>, seed long"
+MANIFEST = f"family string, version string, generation_config struct<{CONFIG.replace(' string', ':string').replace(' long', ':long').replace(' array', ':array')}>, " + "tasks array<struct<task_id:string,task_type:string,title:string,problem_statement:string,repo_a_id:long,repo_b_id:long,pytest_targets:array<string>,visible_api_names:array<string>>>"
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -64,6 +66,14 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("multiLine", "true").json(path).select("family", "version", F.explode("tasks").alias("t")).select("family", "version", "t.*")
 
 
+def config_errors(manifests: DataFrame, config: dict) -> DataFrame:
+    """SRC-09: settings in which a manifest's generation_config is not the config: family, rule. A setting that the config lacks must be absent."""
+    kinds = dict(part.rsplit(" ", 1) for part in CONFIG.split(", "))
+    wanted = {c: F.lit(None).cast(kind) if config.get(c) is None else (F.array(*map(F.lit, config[c])) if isinstance(config[c], (list, tuple)) else F.lit(config[c])).cast(kind) for c, kind in kinds.items()}
+    differ = F.array(*[F.when(~F.col(f"generation_config.{c}").eqNullSafe(v), F.lit(f"{c} differs from the config")) for c, v in wanted.items()])
+    return manifests.select("family", F.explode(F.filter(differ, lambda x: x.isNotNull())).alias("rule"))
+
+
 def manifest_errors(tasks: DataFrame) -> DataFrame:
     """SRC-09: the rules that each task breaks: task_id, rule."""
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
@@ -87,6 +97,19 @@ def pricing(rows: DataFrame, column: str = "value", provider: str = "provider")
     return d.select(provider, "model", F.explode(F.coalesce("m.regions", own)).alias("region", "r")).select(provider, "model", "region", F.col("r.generation_input_per_million_usd").alias("input_rate"), F.col("r.generation_output_per_million_usd").alias("output_rate"), F.col("r.embedding_input_per_million_usd").alias("embedding_rate"))
 
 
+def text_table(rows: DataFrame, order: list[str], columns: list[str] | None = None) -> DataFrame:
+    """SRC-13: rows as lines of a table with padded columns, under names and a rule: line_no (0 and 1 for these), line. Nulls show as -."""
+    columns = columns or rows.columns
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    widths = rows.agg(*[F.coalesce(F.max(F.length(cell(c))), F.lit(0)).alias(c) for c in columns]).first()
+    width = {c: max(len(c), widths[c]) for c in columns}
+    spark = rows.sparkSession
+    head = spark.createDataFrame([(0, "  ".join(c.ljust(width[c]) for c in columns)), (1, "  ".join("-" * width[c] for c in columns))], "line_no long, line string")
+    line = F.concat_ws("  ", *[F.rpad(cell(c), width[c], " ") for c in columns])
+    body = numbered(rows.withColumn("one__", F.lit(1)), ["one__"], order, "n__").select((F.col("n__") + 2).cast("long").alias("line_no"), line.alias("line"))
+    return head.unionByName(body).withColumn("line", F.rtrim("line"))
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     """SRC-13: JSON lines; Spark's commit makes them visible at once."""
     rows.write.mode("overwrite").json(path)
