@@ -57,7 +57,22 @@ def str_03(spark, d):
     stream = spark.readStream.schema("repository_id string, branch string").parquet(f"{work}/pushes")
     q = stream.writeStream.foreachBatch(push.incremental_index(files, f"{work}/store")).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return push.current_pointers(spark.read.parquet(f"{work}/store/pointers"))
+    return push.pointer_log(spark, f"{work}/store").drop("batch")
+
+
+@query("STR-03-pushes", r"SELECT source AS repository_id, lang AS branch, 'doc/' || doc_id || '.txt' AS file_path, coalesce(regexp_matches(text, '\S'), false) AS active FROM documents")
+def str_03_pushes(spark, d):
+    """A stream of pushes that each name a document, coalesced by branch and indexed; a last push closes the sessions before it."""
+    files = T.files(spark, d)
+    work = scratch(spark, "str03")
+    n = F.col("doc_id")
+    one = files.select("repository_id", "branch", F.lit("b").alias("before_commit"), F.concat(F.lit("c"), n).alias("after_commit"), F.timestamp_seconds(1_000_000 + n * 600).alias("ts"), n.alias("push_id"), F.array("file_path").alias("changed_files"))
+    end = files.agg((F.max("doc_id") + 10_000).alias("n")).select(F.lit("end").alias("repository_id"), F.lit("end").alias("branch"), F.lit("b").alias("before_commit"), F.lit("c").alias("after_commit"), F.timestamp_seconds(1_000_000 + F.col("n") * 600).alias("ts"), F.col("n").alias("push_id"), F.array().cast("array<string>").alias("changed_files"))
+    one.write.parquet(f"{work}/pushes")
+    end.write.mode("append").parquet(f"{work}/pushes")
+    stream = spark.readStream.schema(one.schema).parquet(f"{work}/pushes")
+    push.index_pushes(stream, files.select("repository_id", "branch", "file_path", "content"), f"{work}/store", f"{work}/checkpoint", "1 hour").awaitTermination()
+    return push.pointer_log(spark, f"{work}/store").select("repository_id", "branch", "file_path", F.col("active_publish_id").isNotNull().alias("active"))
 
 
 @query("STR-04", STATES_SQL)
