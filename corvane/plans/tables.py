@@ -64,10 +64,10 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns({"pytest_targets": tests(F.lit(3)), "failing_tests": F.when(F.col("resolved"), F.array().cast("array<string>")).otherwise(tests(((F.col("task_id") + F.length("run_id")) % 3).cast("int")))})
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five repeats over sources: a task is a source, resolved where most of its documents of the repeat are good."""
+def runs(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
+    """Five repeats over sources, which change with every so many documents: a task is a source, resolved where most of its documents of the repeat are good."""
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
-    return d.groupBy(F.col("source").alias("task_id"), (F.col("doc_id") % 5).alias("run_id")).agg((F.avg("quality") >= 0.85).alias("resolved"))
+    return d.groupBy(F.col("source").alias("task_id"), (F.floor(F.col("doc_id") / every) % 5).alias("run_id")).agg((F.avg("quality") >= 0.85).alias("resolved"))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
