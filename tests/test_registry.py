@@ -51,3 +51,10 @@ def test_lists_of_hides_are_made_once_a_set(spark, tables):
     got = registry.visibility(*tables)
     assert values(got) == values(registry.visibility(*apart(tables))) and got.count() == USERS
     assert shuffled(spark, got) < 10 * (USERS + REPOS)
+
+
+def test_pairs_seen_are_not_shuffled(spark, tables):
+    branches = spark.createDataFrame([("1", "b"), ("1", "a")], "repository_id string, branch string")
+    got = registry.visible(*tables, branches)
+    assert values(got) == values(registry.visible(*apart(tables), branches)) and got.count() > USERS * REPOS / 2
+    assert shuffled(spark, got) < 10 * (USERS + REPOS)
