@@ -58,3 +58,12 @@ def test_pairs_seen_are_not_shuffled(spark, tables):
     got = registry.visible(*tables, branches)
     assert values(got) == values(registry.visible(*apart(tables), branches)) and got.count() > USERS * REPOS / 2
     assert shuffled(spark, got) < 10 * (USERS + REPOS)
+
+
+def test_pairs_asked_for_meet_sets(spark, tables):
+    repos, users, grants, hidden = tables
+    pairs = users.withColumn("repository_id", (F.col("user_id") * 7 % REPOS).cast("string"))
+    got = registry.sees(pairs, repos, grants, hidden)
+    assert got.columns == ["user_id", "repository_id"]
+    assert values(got) == values(registry.sees(pairs.drop("hides"), *apart(tables)[:1], *apart(tables)[2:]))
+    assert shuffled(spark, got) < 10 * (USERS + REPOS)
