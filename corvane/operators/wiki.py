@@ -78,10 +78,10 @@ def page_contexts(pages: DataFrame, hits: DataFrame) -> DataFrame:
     return pages.join(gathered, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(NO_CONTEXT)))
 
 
-def fill_content(staged: DataFrame, content: DataFrame) -> DataFrame:
-    """WIK-05: generated content by batch and slug; pages without any keep theirs."""
-    new = content.select("batch_id", "slug", F.col("content").alias("new"))
-    return staged.join(new, ["batch_id", "slug"], "left").withColumn("content", F.coalesce("new", "content")).drop("new")
+def fill_content(staged: DataFrame, content: DataFrame, page: str = "slug") -> DataFrame:
+    """WIK-05: generated content by batch and the column that tells its pages apart; pages without any keep theirs."""
+    new = content.select("batch_id", page, F.col("content").alias("new"))
+    return staged.join(new, ["batch_id", page], "left").withColumn("content", F.coalesce("new", "content")).drop("new")
 
 
 def latest_generation(generations: DataFrame, completed: bool = False) -> DataFrame:
