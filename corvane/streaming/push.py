@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -144,53 +145,50 @@ STATE = "status string, target_commit string, last_commit string, indexed_at tim
 class BranchStates(StatefulProcessor):
     """Keeps a branch's state between batches; with `idle` it forgets branches without events for so long."""
 
-    def __init__(self, idle: pd.Timedelta | None = None):
+    def __init__(self, idle: timedelta | None = None):
         self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", STATE)
 
-    def _row(self, key: tuple, state: tuple, expired: bool) -> pd.DataFrame:
-        out = pd.DataFrame([[*key, *state, expired]], columns=["repository_id", "branch", "status", "target_commit", "last_commit", "indexed_at", "ignored", "expired"])
-        return out.astype({"indexed_at": "datetime64[us]"})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        """A batch's events of a branch at once, as in versioning.branch_states: the target that each meets, then the last of those that count."""
-        status, target, last, at, ignored = self.state.get() if self.state.exists() else ("pending", None, None, None, 0)
-        d = pd.concat(rows).sort_values(EVENT, kind="stable", na_position="first", ignore_index=True)
-        blank = lambda c: d[c].where(d[c].notna(), None).astype(object)
-        kind, latest, own = blank("status"), blank("latest_commit"), blank("target_commit")
-
-        def late(t: pd.Series) -> pd.Series:
-            return t.notna() & latest.notna() & (latest != t) & ((kind == "indexed") | ((kind == "failed") & (t != "")))
-
-        sets = own.notna() & ~late(own)
-        stretch = sets.cumsum()  # 0 goes on from the last batch
-        held = own.where(sets).ffill().where(stretch > 0, target)
-        ends = (kind == "indexed") & latest.notna() & (latest == own.where(own.notna(), held)) & ~late(own)
-        ended = ends.groupby(stretch).cumsum() - ends > 0
-        met = own.where(own.notna(), held.where(~ended, None)).astype(object)
-        met = met.where(met.notna(), None)
-        too_late = late(met)
-        counts = d.index[~too_late]
-        if len(counts):
-            matched = (kind == "indexed") & latest.notna() & (latest == met)
-            status = kind[counts[-1]]
-            target = None if matched[counts[-1]] else met[counts[-1]]
-            reached = counts[(latest.notna() & ((kind != "indexed") | met.isna() | matched))[counts]]
-            last = latest[reached[-1]] if len(reached) else last
-            indexed = counts[(kind == "indexed")[counts]]
-            at = d["ts"][indexed[-1]].to_pydatetime() if len(indexed) else at
-        state = (status, target, last, at, ignored + int(too_late.sum()))
-        self.state.update(state)
-        if self.idle is not None:
+    def _row(self, key: tuple, state: tuple, expired: bool) -> Row:
+        status, target, last, at, ignored = state
+        return Row(repository_id=key[0], branch=key[1], status=status, target_commit=target, last_commit=last, indexed_at=at, ignored=ignored, expired=expired)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        """A batch's events of a branch one by one, as in versioning.branch_states: the target that each meets, then what it leaves if it counts."""
+        status, target, last, at, ignored = self.state.get() or ("pending", None, None, None, 0)
+        held, ended, newest = target, False, None
+        for ts, kind, latest, own in sorted((tuple(r[c] for c in EVENT) for r in rows), key=lambda e: [(x is not None, x) for x in e]):
+            newest = ts if ts is not None else newest
+
+            def late(t: str | None) -> bool:
+                return t is not None and latest is not None and latest != t and (kind == "indexed" or (kind == "failed" and t != ""))
+
+            own_late = late(own)
+            if own is not None and not own_late:
+                held, ended = own, False
+            met = own if own is not None else None if ended else held
+            ends = kind == "indexed" and latest is not None and not own_late and latest == (own if own is not None else held)
+            if late(met):
+                ignored += 1
+            else:
+                matched = kind == "indexed" and latest is not None and latest == met
+                status, target = kind, None if matched else met
+                if latest is not None and (kind != "indexed" or met is None or matched):
+                    last = latest
+                if kind == "indexed":
+                    at = ts
+            ended = ended or ends
+        self.state.update((status, target, last, at, ignored))
+        if self.idle is not None and newest is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(int((d["ts"].max() + self.idle).timestamp() * 1000))
-        yield self._row(key, state, False)
+            self.handle.registerTimer(int((newest + self.idle).timestamp() * 1000))
+        yield self._row(key, (status, target, last, at, ignored), False)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         state = self.state.get()
         self.state.clear()
         yield self._row(key, state, True)
@@ -209,8 +207,8 @@ def branch_state_stream(events: DataFrame, idle: str | None = None, late: str =
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = events.select("repository_id", "branch", *EVENT)
     rows = rows.withWatermark("ts", late) if idle else rows
-    processor = BranchStates(pd.Timedelta(idle) if idle else None)
-    return rows.groupBy("repository_id", "branch").transformWithStateInPandas(processor, f"repository_id string, branch string, {STATE}, expired boolean", "Update", "EventTime" if idle else "None")
+    processor = BranchStates(pd.Timedelta(idle).to_pytimedelta() if idle else None)
+    return rows.groupBy("repository_id", "branch").transformWithState(processor, f"repository_id string, branch string, {STATE}, expired boolean", "Update", "EventTime" if idle else "None")
 
 
 def latest_states(states: DataFrame) -> DataFrame:

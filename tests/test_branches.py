@@ -1,8 +1,10 @@
 """Branch states in batch and in streams against events taken one by one."""
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corvane.operators import numbering, versioning
@@ -114,3 +116,25 @@ def test_idle_branches_are_forgotten(spark, streamed):
     gone = out.where("expired").collect()
     assert [(r["branch"], r["status"], r["target_commit"], r["ignored"]) for r in gone] == [("m", "indexing", "a", 1)]
     assert push.latest_states(out).where("branch = 'm'").first()["last_commit"] == "z"  # its target was forgotten
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_branch_takes_rows_without_a_frame(seed):
+    """A frame for each branch took some 20 ms."""
+    class State:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    rows = sorted((("r", "m", *e[2:]) for e in made(seed + 20, 90)), key=lambda e: e[5])
+    row = lambda e: Row(repository_id=e[0], branch=e[1], ts=datetime(2024, 1, 1) + timedelta(seconds=e[5]), status=e[2], latest_commit=e[3], target_commit=e[4])
+    states = push.BranchStates()
+    states.state = State()
+    for a in (0, 30, 60):
+        (out,) = states.handleInputRows(("r", "m"), iter([row(e) for e in rows[a : a + 30]]), None)
+    (want,) = one_by_one(rows)
+    at = None if out["indexed_at"] is None else int((out["indexed_at"] - datetime(2024, 1, 1)).total_seconds())
+    assert (out["repository_id"], out["branch"], out["status"], out["target_commit"], out["last_commit"], at, out["ignored"]) == want
