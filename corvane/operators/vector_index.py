@@ -246,9 +246,12 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
         for batch in batches:
             at, x = matrix(batch.column("asked"), m.dim)
             x = m.padded(x)
-            cells = m.nearest(x, m.probes)
-            row = np.repeat(np.arange(len(at)), cells.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(at[row])), pa.array(list(x[row]), pa.list_(pa.float64())), pa.array(cells.ravel().astype(np.int32))], names=["query_id", "asked", "at_cell"])
+            for a in range(0, len(at), 64):  # each goes to all its cells
+                cells = m.nearest(x[a : a + 64], m.probes)
+                row = a + np.repeat(np.arange(len(cells)), cells.shape[1])
+                own = x[row]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, own.shape[1]), pa.int32()), pa.array(own.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(at[row])), lists, pa.array(cells.ravel().astype(np.int32))], names=["query_id", "asked", "at_cell"])
 
     parts = F.get(F.array(*[F.lit(int(s)) for s in split]), F.col("at_cell"))
     key = lambda cell, block, part: ((F.col(cell).cast("long") * blocks + F.col(block)) * int(split.max()) + F.col(part)).alias("meet")
