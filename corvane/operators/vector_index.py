@@ -53,8 +53,12 @@ class Model:
         return np.argsort(-(x @ self.centres.T), axis=1, kind="stable")[:, :n]
 
     def coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell and code of each unit vector."""
-        cell = self.nearest(x, 1)[:, 0]
+        """Cell and code of each unit vector, some at a time: distances to all centres are held."""
+        parts = [self._coded(x[a : a + 512]) for a in range(0, max(1, len(x)), 512)]
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+    def _coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cell = (x @ self.centres.T).argmax(1)
         left = (x - self.centres[cell]).reshape(len(x), len(self.words), SUB)
         return cell, np.stack([_closest(left[:, j], w) for j, w in enumerate(self.words)], 1).astype(np.uint8)
 
