@@ -67,3 +67,10 @@ def test_pairs_asked_for_meet_sets(spark, tables):
     assert got.columns == ["user_id", "repository_id"]
     assert values(got) == values(registry.sees(pairs.drop("hides"), *apart(tables)[:1], *apart(tables)[2:]))
     assert shuffled(spark, got) < 10 * (USERS + REPOS)
+
+
+def test_pairs_are_listed_by_even_tasks(spark, tables):
+    """Few sets and blocks, hashed to the session's few parts, crowd in some; the largest task then holds the others up."""
+    got = registry.visible(*tables, spark.createDataFrame([("1", "b")], "repository_id string, branch string"))
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= sum(sizes) / 2
