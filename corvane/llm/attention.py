@@ -16,6 +16,8 @@ DIM, CLASSES = 16, 64
 #: Cells of the hashed ids before an id, and of those around it by which ids are grouped; weight of the counts without cells.
 CELLS, NEIGHBOURS, PRIOR = 256, 32, 20
 BATCH = 64
+#: Where windows are many, a step of training takes up to LARGEST times as many, if that leaves LARGE_STEPS steps.
+LARGEST, LARGE_STEPS = 4, 300
 
 
 @dataclass
@@ -185,58 +187,99 @@ LAYER = ("of_class", "places", "qkv", "out", "head", "bias", "start")
 
 
 def train(m: Attention, sequence: np.ndarray, least_steps: int = 150, rate: float = 0.02, seed: int = 9) -> tuple[Attention, np.ndarray, int]:
-    """A copy of m trained on the ids of texts, each after the end id; how often each id was met, and the steps made. Adam on the layer, Adagrad on the ids' own embeddings; the windows are gone through once, or as often as the least number of steps asks for."""
+    """A copy of m trained on the ids of texts, each after the end id; how often each id was met, and the steps made. Adam on the layer, Adagrad on the ids' own embeddings; the windows are gone through once, or as often as the least number of steps asks for. Steps take more windows where there are many."""
     rng = np.random.default_rng(seed)
-    m = Attention(**{k: (v.copy() if k in LAYER or k == "ids" else v) for k, v in vars(m).items()})
+    m = Attention(**{**vars(m), "ids": m.ids.copy()})
     met = np.zeros(len(m.begins), np.int64)
     n = (len(sequence) - 1) // WINDOW
     if n < 1:
         return m, met, 0
-    steps = max(least_steps, -(-n // BATCH))
-    order = np.concatenate([rng.permutation(n) for _ in range(-(-steps * BATCH // n))])
-    first, second = ({k: np.zeros_like(getattr(m, k)) for k in LAYER} for _ in range(2))
+    batch = BATCH * max(1, min(LARGEST, n // (BATCH * LARGE_STEPS)))
+    steps = max(least_steps, -(-n // batch))
+    order = np.concatenate([rng.permutation(n) for _ in range(-(-steps * batch // n))])
+    # The layer's values and gradients are parts of one row each.
+    layer, slope = flattened(m), np.zeros(sum(getattr(m, k).size for k in LAYER), np.float32)
+    first, second, grads, at = np.zeros_like(layer), np.zeros_like(layer), {}, 0
+    for k in LAYER:
+        shape, size = getattr(m, k).shape, getattr(m, k).size
+        setattr(m, k, layer[at : at + size].reshape(shape))
+        grads[k], at = slope[at : at + size].reshape(shape), at + size
     squares = np.full(len(m.begins), 1e-3, np.float32)
-    side_of = m.begins.astype(int)
+    # Ids by class, so that those of a class lie together where ids are sorted.
+    group = m.group()
+    by_class = np.argsort(group, kind="stable")
+    place = np.empty(len(group), np.uint16 if len(group) <= 1 << 16 else np.int32)
+    place[by_class] = np.arange(len(group))
+    own, classes, c = group[by_class], m.classes.astype(np.int64), np.float32(DIM**-0.5)
+    mask, tokens = np.tri(WINDOW, dtype=np.float32), batch * WINDOW
+    wide, long, ones = np.ones(CLASSES, np.float32), np.ones(WINDOW, np.float32), np.ones(tokens, np.float32)
+    dqkv = np.empty((batch, WINDOW, 3 * DIM), np.float32)
     flat = lambda z: z.reshape(-1, z.shape[-1])
     for step in range(1, steps + 1):
-        at = order[(step - 1) * BATCH : step * BATCH, None] * WINDOW + np.arange(WINDOW + 1)
-        window, target = sequence[at[:, :-1]], sequence[at[:, 1:]].ravel()
-        seen, place = np.unique(window, return_inverse=True)
-        x, q, k, v, a, scale, mixed, y = m.forward(place.reshape(window.shape), m.ids[seen] + m.of_class[side_of[seen], m.classes[seen]])
-        y_flat, half, total = flat(y), m.begins[target], target.size
-        dy = np.zeros_like(y_flat)
-        grads = {"head": np.zeros_like(m.head), "bias": np.zeros_like(m.bias)}
+        at = order[(step - 1) * batch : step * batch, None] * WINDOW + np.arange(WINDOW + 1)
+        ids = sequence[at]
+        window, target = ids[:, :-1].ravel(), ids[:, 1:].ravel()
+        x = m.ids.take(window, 0)
+        x += flat(m.of_class).take(group.take(window), 0)
+        x = x.reshape(batch, WINDOW, DIM)
+        x += m.places
+        q, k, v = np.split((flat(x) @ m.qkv).reshape(batch, WINDOW, -1), 3, axis=-1)
+        q = q * c
+        p = q @ k.transpose(0, 2, 1)
+        np.clip(p, -40, 40, out=p)
+        np.exp(p, out=p)
+        p *= mask  # no place looks ahead
+        p *= (1 / (flat(p) @ long)).reshape(batch, WINDOW, 1)
+        mixed = flat(p @ v)
+        y = flat(x) + mixed @ m.out
+        half = m.begins.take(target)
+        wrong = 1 / (1 + np.exp(-np.clip(y @ m.start[:DIM] + m.start[DIM], -40, 40)))
+        wrong = ((wrong - half) / tokens).astype(np.float32)
+        dy = wrong[:, None] * m.start[:DIM]
         for side in (0, 1):
             some = np.flatnonzero(half == bool(side))
-            logits = y_flat[some] @ m.head[side] + m.bias[side]
-            d = np.exp(logits - logits.max(-1, keepdims=True, initial=-1e9))
-            d /= d.sum(-1, keepdims=True)
-            d[np.arange(len(some)), m.classes[target[some]]] -= 1
-            d /= total
-            dy[some] = d @ m.head[side].T
-            grads["head"][side], grads["bias"][side] = y_flat[some].T @ d, d.sum(0)
-        wrong = (1 / (1 + np.exp(-np.clip(y_flat @ m.start[:DIM] + m.start[DIM], -40, 40))) - half).astype(np.float32) / total
-        grads["start"] = np.append(y_flat.T @ wrong, wrong.sum())
-        dy = (dy + wrong[:, None] * m.start[:DIM]).reshape(y.shape)
-        p = a * scale
+            given, wanted = y.take(some, 0), classes.take(target.take(some))
+            d = given @ m.head[side]
+            d += m.bias[side]
+            np.clip(d, -80, 80, out=d)
+            np.exp(d, out=d)
+            d *= (1 / ((d @ wide) * tokens))[:, None]
+            d.ravel()[wanted + np.arange(0, len(some) * CLASSES, CLASSES)] -= np.float32(1 / tokens)
+            dy[some] += d @ m.head[side].T
+            np.matmul(given.T, d, out=grads["head"][side])
+            np.matmul(ones[: len(some)], d, out=grads["bias"][side])
+        grads["start"][:DIM], grads["start"][DIM] = wrong @ y, wrong.sum()
+        grads["out"][:] = mixed.T @ dy
         dmixed = dy @ m.out.T
-        dv = p.transpose(0, 2, 1) @ dmixed
-        da = dmixed @ v.transpose(0, 2, 1)
-        ds = p * (da - (da * p).sum(-1, keepdims=True)) * np.float32(DIM**-0.5)
-        dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], -1)
-        dx = dy + dqkv @ m.qkv.T
-        grads |= {"places": dx.sum(0), "qkv": flat(x).T @ flat(dqkv), "out": flat(mixed).T @ flat(dy)}
-        g = np.stack([np.bincount(place.ravel(), weights=flat(dx)[:, j], minlength=len(seen)) for j in range(DIM)], 1).astype(np.float32)
-        grads["of_class"] = np.zeros_like(m.of_class)
-        np.add.at(grads["of_class"], (side_of[seen], m.classes[seen]), g)
+        inner = (dmixed * mixed) @ np.ones(DIM, np.float32)
+        dmixed = dmixed.reshape(batch, WINDOW, DIM)
+        ds = dmixed @ v.transpose(0, 2, 1)
+        ds -= inner.reshape(batch, WINDOW, 1)
+        ds *= p
+        np.multiply(ds @ k, c, out=dqkv[..., :DIM])
+        dqkv[..., DIM : 2 * DIM] = ds.transpose(0, 2, 1) @ q
+        dqkv[..., 2 * DIM :] = p.transpose(0, 2, 1) @ dmixed
+        dx = dy
+        dx += flat(dqkv) @ m.qkv.T
+        grads["places"][:], grads["qkv"][:] = dx.reshape(batch, WINDOW, DIM).sum(0), flat(x).T @ flat(dqkv)
+        here = place.take(window)
+        sort = np.argsort(here, kind="stable")
+        here = here.take(sort)
+        heads = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+        seen, times = by_class.take(here.take(heads)), np.diff(np.append(heads, tokens))
+        g = np.add.reduceat(dx.take(sort, 0), heads, 0)
+        kinds = own.take(here.take(heads))
+        firsts = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
+        grads["of_class"][:] = 0
+        flat(grads["of_class"])[kinds[firsts]] = np.add.reduceat(g, firsts, 0)
         now = rate * min(1, step / 20) * (1 - 0.9 * step / (steps + 1))
-        for name in LAYER:
-            first[name] = 0.9 * first[name] + 0.1 * grads[name]
-            second[name] = 0.99 * second[name] + 0.01 * grads[name] ** 2
-            setattr(m, name, (getattr(m, name) - now * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32))
-        squares[seen] += (g * g).sum(1)
-        m.ids[seen] -= np.float32(0.1) * g / np.sqrt(squares[seen])[:, None]
-        met[seen] += np.bincount(place.ravel(), minlength=len(seen))
+        first += np.float32(0.1) * (slope - first)
+        second += np.float32(0.01) * (slope * slope - second)
+        layer -= np.float32(now / (1 - 0.9**step)) * first / (np.sqrt(second * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
+        squared = squares.take(seen) + (g * g).sum(1)
+        squares[seen] = squared
+        m.ids[seen] -= np.float32(0.1) * g / np.sqrt(squared)[:, None]
+        met[seen] += times
     return m, met, steps
 
 

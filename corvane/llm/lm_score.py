@@ -8,8 +8,10 @@ and u is the share of training words with that first id that occur once; with th
 those before it in its text instead. Summed over all words this is at most 1.
 
 What the model knows is gathered from all training documents: counts of words and of subword ids, and what stands
-around each id, by which ids are grouped. The attention layer is fitted in ROUNDS rounds; in each, tasks train copies
-on a share of the training documents (SHARE of them, more where that is less than LEAST_IDS ids) and Spark averages them.
+around each id, by which ids are grouped. The attention layer is fitted on all of them too, in ROUNDS rounds: each has a
+part of the training documents of its own, together all, and more, up to all in each, where that is less than LEAST_IDS
+ids. In a round, tasks train copies and Spark averages them. Texts are cut into words once: training and scoring read
+the numbers of each text's words.
 
 Null text counts as empty: it has the end token only. Rows whose doc_id is null count as training rows. Repeated rows
 are scored and counted each; an empty table gives no rows. Words of over LONGEST characters are encoded in pieces.
@@ -25,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.attention import CELLS, NEIGHBOURS, Attention, after_cells, averaged, cells, flattened, neighbours, softplus, train, untrained
-from corvane.llm.common import as_bytes, checkpointed, distinct, fold, hash_below, packed, parts_for, ragged, slices, unpacked
+from corvane.llm.attention import CELLS, NEIGHBOURS, WINDOW, Attention, after_cells, averaged, cells, flattened, neighbours, softplus, train, untrained
+from corvane.llm.common import as_bytes, checkpointed, distinct, fold, packed, parts_for, ragged, slices, unpacked
 from corvane.llm.shingles import word_spans
 
 VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -40,13 +43,13 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 MAX_VOCABULARY_BYTES = 16 << 20
 END_HASH = np.uint64(0x5DEECE66D1234567)
 LONGEST = 256
-#: Rounds of training, their step widths, the share of the training documents that one sees, at least this many ids, and ids for a task.
+#: Rounds of training by their step widths, ids that one sees at least (if there are so many), and ids for a task.
 ROUNDS = (0.02, 0.015, 0.008)
-SHARE, LEAST_IDS, TASK_IDS = 0.02, 3_000_000, 600_000
+LEAST_IDS, TASK_IDS = 3_000_000, 600_000
 #: Chance that a word is drawn from those before it in its text; words that the share of new words counts for.
 REPEAT, FEW = 0.07, 5
-#: Bytes of text scored at a time; numbers in a block of a table, and tables that one task adds up.
-SLICE, BLOCK, FAN = 500_000, 1 << 16, 64
+#: Words scored at a time; numbers in a block of a table, and tables that one task adds up.
+SLICE, BLOCK, FAN = 80_000, 1 << 16, 64
 _ODD_SPACE = re.compile(r"[^\S ]")
 
 _subwords: dict[int, Subwords] = {}
@@ -121,6 +124,12 @@ def _blocks(part: int, keys: np.ndarray, values: np.ndarray) -> list[tuple[int,
     return [(part, int(k[0]) // BLOCK, packed({"k": pa.array((k % BLOCK).astype(np.uint32)), "x": pa.array(x)})) for k, x in zip(np.split(keys, cuts), np.split(values, cuts), strict=True) if len(k)]
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the lists, one after the other, and where each begins, and the last ends."""
+    lists = column.combine_chunks()
+    return lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+
+
 def _summed(rows: DataFrame, n: int, size: int) -> np.ndarray:
     """Sum of tables of `size` numbers, given in blocks (part, at, a) of n parts; FAN at a time, in an order of their own."""
 
@@ -142,23 +151,35 @@ def _summed(rows: DataFrame, n: int, size: int) -> np.ndarray:
     return out
 
 
-def _taught(docs: DataFrame, ranks, model: Attention, rate: float, n_tasks: int, seed: int) -> Attention:
-    """The model after one round: tasks train copies of it on the texts of docs (raw), which are averaged by what they saw."""
+def in_round(n: int, part: int, k: int, share: float) -> np.ndarray:
+    """Which of a part's n training documents round k sees: the k-th of as many equal shares as there are rounds, and those next to it up to `share`; all rounds together see each."""
+    fine = 20
+    every = len(ROUNDS) * fine
+    j = np.arange(n) + part  # parts of few documents don't all begin with the same round
+    at = (j % len(ROUNDS)) * fine + j // len(ROUNDS) % fine
+    return (at - k * fine) % every < max(fine, math.ceil(share * every))
+
+
+def _taught(docs: DataFrame, ranks, model: Attention, rate: float, n_tasks: int, k: int, share: float) -> Attention:
+    """The model after round k: tasks train copies of it on their part of docs (part, a, b: words' ids and texts' words), which are averaged by what they saw."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # sized by the vocabulary
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raws = sorted(r for batch in batches for r in as_bytes(batch.column("raw")))
         s, m = subwords(ranks.value), shared.value
-        sequence = [np.array([s.end], np.int32)]
-        for a, b in slices([len(r) for r in raws], SLICE):
-            w = Words(raws[a:b])
-            ids, n = s.encode(w.spelled())
-            begin = np.cumsum(n) - n
-            sequence.append(ids[ragged(begin[w.place], n[w.place])])
-        joined = np.concatenate(sequence)
-        new, met, steps = train(m, joined, rate=rate, seed=seed)
+        found = []
+        for batch in batches:
+            for part, a, b in zip(batch.column("part").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
+                texts = unpacked(b)
+                place = texts.column("place").filter(pc.invert(texts.column("held_out"))).combine_chunks()
+                place = place.filter(pa.array(in_round(len(place), part, k, share)))
+                ids, begin = _lists(unpacked(a).column("ids"))
+                own = place.flatten().to_numpy()
+                found.append((part, ids[ragged(begin[own], begin[own + 1] - begin[own])].astype(np.int32)))
+        joined = np.concatenate([np.array([s.end], np.int32), *(x for _, x in sorted(found, key=lambda x: x[0]))])
+        weight = len(joined)
+        joined = np.resize(joined, weight + (1 - weight) % WINDOW) if weight > 1 else joined  # whole windows
+        new, met, steps = train(m, joined, rate=rate, seed=k)
         if steps:
-            weight = len(joined)
             moved = (new.ids - m.ids) * met[:, None]
             flat = np.concatenate([[weight], flattened(new) * weight, met, moved.ravel()]).astype(np.float32)
             some = np.flatnonzero(flat)
@@ -166,7 +187,7 @@ def _taught(docs: DataFrame, ranks, model: Attention, rate: float, n_tasks: int,
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "at", "a"])
 
     n_layer, n_ids = len(flattened(model)), len(model.begins)
-    total = _summed(docs.dropDuplicates(["raw"]).repartition(n_tasks).mapInArrow(learn, "part int, at int, a binary"), n_tasks, 1 + n_layer + n_ids + model.ids.size)
+    total = _summed(docs.coalesce(n_tasks).mapInArrow(learn, "part int, at int, a binary"), n_tasks, 1 + n_layer + n_ids + model.ids.size)
     if not total[0]:
         return model
     met, moved = total[1 + n_layer : 1 + n_layer + n_ids], total[1 + n_layer + n_ids :].reshape(model.ids.shape)
@@ -227,10 +248,13 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, vocabulary_file: str =
     parts = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n_parts)).cast("int"))
 
     def gather(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The part's distinct words with their training counts, cut by ranges of their hash; their ids; and counts of ids and their neighbours in training texts."""
+        """The part's distinct words with their training counts, cut by ranges of their hash; their ids, with the words of each text, sorted; and counts of ids and their neighbours in training texts."""
         t, part, s = pa.Table.from_batches(batches), key[0].as_py(), subwords(ranks.value)
-        w = Words(as_bytes(t.column("raw")))
-        trained = np.repeat(~t.column("held_out").to_numpy(), w.counts)
+        raws = as_bytes(t.column("raw"))
+        order = sorted(range(len(raws)), key=raws.__getitem__)
+        w, rest = Words([raws[i] for i in order]), t.select(["doc_id", "held_out"]).take(order)
+        del t, raws
+        trained = np.repeat(~rest.column("held_out").to_numpy(), w.counts)
         count = np.bincount(w.place, weights=trained, minlength=len(w.hashes)).astype(np.uint32)
         ids, n = s.encode(w.spelled())
         begin, place = np.cumsum(n) - n, w.place[trained]
@@ -252,7 +276,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, vocabulary_file: str =
         values = np.concatenate([counted[used], numbers]).astype(np.uint32)
         out += [("table", p, at, x, None) for p, at, x in _blocks(part, np.concatenate([used, near + s.size]), values)]
         lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)), pa.int32()), pa.array(ids))
-        out.append(("ids", part, 0, packed({"ids": lists}), None))
+        texts = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *w.counts]), pa.int32()), pa.array(w.place.astype(np.uint32)))
+        out.append(("docs", part, -1, packed({"ids": lists}), packed({"doc_id": rest.column("doc_id").combine_chunks(), "held_out": rest.column("held_out").combine_chunks(), "place": texts})))
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "part", "at", "a", "b"])
 
     gathered = checkpointed(parts.groupBy("part").applyInArrow(gather, "kind string, part int, at int, a binary, b binary"))
@@ -272,6 +297,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, vocabulary_file: str =
         out += [("once", *x, 0, 0) for x in _blocks(key[0].as_py(), used, alone[used])]
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["kind", "part", "at", "a", "n", "v"])
 
+    docs = gathered.where("kind = 'docs'")
     counted = checkpointed(gathered.where("kind = 'word'").groupBy("at").applyInArrow(add, "kind string, part int, at int, a binary, n long, v long"))
     n_train, n_distinct = (x or 0 for x in counted.agg(F.sum("n"), F.sum("v")).first())
     once = _summed(counted.where("kind = 'once'").select("part", "at", "a"), 1 << bits, tokens.size).astype(np.float64)
@@ -280,34 +306,31 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, vocabulary_file: str =
     new = np.clip((once + FEW * (once.sum() + 1) / (n_train + 2)) / (counts + FEW), 1e-6, 1 - 1e-6)
     model, n_ids = untrained(counts, near, tokens.begins, tokens.end), int(counts.sum())
     if n_ids:
-        share = min(1.0, max(SHARE, LEAST_IDS / n_ids))
+        share = min(1.0, max(1 / len(ROUNDS), LEAST_IDS / n_ids))
         for k, rate in enumerate(ROUNDS):
-            chosen = rows.where(~F.col("held_out") & F.col("raw").isNotNull()).where(hash_below(F.xxhash64(F.lit(k), "doc_id", "raw"), share)).select("raw")
-            model = _taught(chosen, ranks, model, rate, max(1, round(n_ids * share / TASK_IDS)), k)
+            model = _taught(docs.select("part", "a", "b"), ranks, model, rate, max(1, round(n_ids * share / TASK_IDS)), k, share)
     shared = spark.sparkContext.broadcast((model, after_cells(near, counts, model.group()), new))  # sized by the vocabulary
     del tables, near
 
-    def scored(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        (m, after, new), s = shared.value, subwords(ranks.value)
-        raws = as_bytes(left.column("raw"))
-        w = Words(raws)
-        by_bucket = sorted(zip(right.column("at").to_pylist(), right.column("a"), strict=True), key=lambda x: x[0])
-        lists = unpacked(by_bucket[0][1]).column("ids").combine_chunks()  # at -1
-        ids, begin = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-        size = np.diff(begin)
-        seen = np.concatenate([np.frombuffer(c.as_buffer(), np.int64) for _, c in by_bucket[1:]])[w.place]
-        text = np.repeat(np.arange(len(raws)), w.counts)
-        known = np.bincount(text, weights=seen > 0, minlength=len(raws)).astype(np.int64)
-        logs = np.bincount(text, weights=np.log10(seen + 1.0), minlength=len(raws))
-        ends, out = np.concatenate([[0], np.cumsum(w.counts)]), []
-        for a, b in slices([len(r) + 1 for r in raws], SLICE):
-            own = w.place[ends[a] : ends[b]]
-            of_words = word_logs(m, after, new, s.end, ids[ragged(begin[own], size[own])], size[own], seen[ends[a] : ends[b]], own, w.counts[a:b])
-            out.append(np.bincount(text[ends[a] : ends[b]] - a, weights=of_words, minlength=b - a) / math.log(10))
-        return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(w.counts, pa.int64()), pa.array(known), pa.array(logs), pa.array(np.concatenate(out))], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
-
-    known = counted.where("kind = 'count'").select("part", "at", "a").unionByName(gathered.where("kind = 'ids'").select("part", F.lit(-1).alias("at"), "a"))
-    out = parts.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    def scored(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (m, after, new), s, t = shared.value, subwords(ranks.value), pa.Table.from_batches(batches)
+        by_bucket = sorted(zip(t.column("at").to_pylist(), t.column("a"), t.column("b"), strict=True), key=lambda x: x[0])
+        (_, a, b), *counts = by_bucket  # at -1
+        ids, begin = _lists(unpacked(a).column("ids"))
+        texts = unpacked(b)
+        place, ends = _lists(texts.column("place"))
+        size, count, n = np.diff(begin), np.concatenate([np.frombuffer(c.as_buffer(), np.int64) for _, c, _ in counts]), np.diff(ends)
+        found = []
+        for a, b in slices(n.tolist(), SLICE):
+            own, texts_of = place[ends[a] : ends[b]].astype(np.int64), np.repeat(np.arange(b - a), n[a:b])
+            seen, total = count[own], lambda x: np.bincount(texts_of, weights=x, minlength=b - a)  # noqa: B023
+            of_words = word_logs(m, after, new, s.end, ids[ragged(begin[own], size[own])], size[own], seen, own, n[a:b])
+            found.append((total(seen > 0), total(np.log10(seen + 1.0)), total(of_words) / math.log(10)))
+        known, logs, score = map(np.concatenate, zip(*found, strict=True))
+        yield from pa.table([texts.column("doc_id"), texts.column("held_out"), pa.array(n, pa.int64()), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"]).to_batches()
+
+    known = counted.where("kind = 'count'").select("part", "at", "a", F.lit(None).cast("binary").alias("b")).unionByName(docs.select("part", "at", "a", "b"))
+    out = known.groupBy("part").applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     base = F.col("logs") - F.col("n_tokens") * math.log10(n_train + n_distinct + 1)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 

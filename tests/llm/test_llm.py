@@ -3,9 +3,11 @@
 import base64
 import collections
 import hashlib
+import itertools
 import json
 import math
 import random
+import string
 import zlib
 
 import numpy as np
@@ -331,6 +333,29 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert got["score"] > got["base"]
 
 
+def test_every_training_document_is_trained_on(spark, monkeypatch):
+    """However many ids there are: each document's own words, and so ids, have moved in the model."""
+    monkeypatch.setattr(lm_score, "LEAST_IDS", 0)
+    models, real = [], lm_score._taught
+    monkeypatch.setattr(lm_score, "_taught", lambda *a: models.append(real(*a)) or models[-1])
+    with open(lm_score.VOCABULARY_FILE, "rb") as f:
+        s = lm_score.Subwords(f.read())
+    single = [w for w in ("".join(p) for p in itertools.product(string.ascii_lowercase, repeat=4)) if s.encode([w.encode()])[1][0] == 1][:300]
+    docs = spark.createDataFrame([(i, f"{w} {w} {w}") for i, w in enumerate(single)], "doc_id long, text string").repartition(3)
+    lm_score.score(docs).count()
+    ids = s.encode([w.encode() for w in single])[0]
+    held = np.array([zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(single))])
+    assert len(models) == len(lm_score.ROUNDS) and len(single) == 300
+    moved = np.abs(models[-1].ids).sum(1) > 0
+    assert moved[ids[~held]].all() and not moved[ids[held]].any()
+
+
+def test_rounds_see_all_documents_between_them():
+    for n, part, share in itertools.product((0, 1, 2, 3, 59, 1000), (0, 1, 7), (0.0, 1 / 3, 0.4, 1.0)):
+        seen = np.array([lm_score.in_round(n, part, k, share) for k in range(len(lm_score.ROUNDS))])
+        assert seen.any(0).all() and (share < 1 or seen.all()) and (share > 1 / 3 or (seen.sum(0) == 1).all())
+
+
 def toy_model(rng, size=60, end=55, steps=30):
     """A trained model over ids of which every third begins a word, and the counts it is built on."""
     begins = (np.arange(size) % 3 == 0) | (np.arange(size) == end)
