@@ -32,7 +32,16 @@ def _versions() -> F.Column:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sliding_windows(files(spark, sf_dir), MAX_LINES, OVERLAP).withColumn("publish_id", F.explode(_versions()))
+    return keyed(sliding_windows(files(spark, sf_dir), MAX_LINES, OVERLAP).withColumn("publish_id", F.explode(_versions())))
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with the versions that have them, uncut."""
+    return files(spark, sf_dir).withColumn("versions", _versions())
+
+
+def keyed(d: DataFrame) -> DataFrame:
+    """Chunks with their ids."""
     key = F.concat_ws("|", "repository_id", "branch", "file_path", F.col("start_line").cast("string"), "publish_id")
     return d.withColumn("chunk_id", F.md5(key.cast("binary")))
 
