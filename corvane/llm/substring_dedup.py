@@ -34,7 +34,7 @@ WIDTH, SEED = 50, 20
 HOT = 4096
 LAST_ID = (1 << 63) - 1
 #: Bytes of text, and of contexts, worked on at a time.
-SLICE, CONTEXTS = 1_000_000, 500_000
+SLICE, CONTEXTS = 200_000, 500_000
 _BYTE = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = 0x5851F42D4C957F2D
 
@@ -55,22 +55,23 @@ def anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         power, width = power * power % (1 << 64), 2 * width
     value = mix(grams[16][: len(buf) - SEED + 1] * np.uint64(pow(_STEP, 4, 1 << 64)) + grams[4][16 : 16 + len(buf) - SEED + 1])
     del grams
-    least, place, width = value, np.arange(len(value), dtype=np.int32), 1
+    # The place stands in the low half, so that of values with equal high halves the leftmost counts.
+    half, width = np.uint64(32), 1
+    least = (value >> half << half) | np.arange(len(value), dtype=np.uint64)
     span = WIDTH - SEED + 1
     while width < span:
         step = min(width, span - width)
-        right = least[step:] < least[:-step]  # on equal values the leftmost counts
-        place = np.where(right, place[step:], place[:-step])
-        least = np.where(right, least[step:], least[:-step])
+        least = np.minimum(least[step:], least[:-step])
         width += step
-    doc = np.repeat(np.arange(len(raws)), lengths)[:n]
-    start = np.flatnonzero(np.arange(n) + WIDTH <= (begins + lengths)[doc])
-    at = place[:n][start]
-    if not len(at):
+    n_starts = np.maximum(lengths - WIDTH + 1, 0)
+    start = ragged(begins, n_starts)
+    if not len(start):
         return none, none, np.zeros(0, np.uint64), none, none
+    at = least[start] & np.uint64((1 << 32) - 1)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:], [len(at)]]) - 1
-    at, of = at[first], doc[start[first]]
+    at = at[first].astype(np.int64)
+    of = np.searchsorted(begins + lengths, start[first], "right")
     return of, at - begins[of], value[at], start[first] - begins[of], start[last] + WIDTH - begins[of]
 
 
@@ -100,7 +101,7 @@ def _posted(raws: list[bytes], whole: bool = False) -> tuple[np.ndarray, ...]:
         found.append([of + a, at, value, begin, end, hashed])
     of, at, value, begin, end, hashed = (np.concatenate([f[i] for f in found]) for i in range(6))
     value = mix(value)  # anchors are smallest hashes; ranges of these hold equal numbers of them
-    order = np.lexsort((at, of, value))
+    order = np.argsort(value, kind="stable")  # texts and places ascend already
     value = value[order]
     new = np.ones(len(value), bool)
     new[1:] = value[1:] != value[:-1]
@@ -143,13 +144,11 @@ def _strings(raws: list[bytes], of: np.ndarray, begin: np.ndarray, end: np.ndarr
 def windows_of_earlier(strings: list[bytes], ids: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """For each string a mask: bit i is set if its `width` bytes from i also stand in a string with a smaller id."""
     sa = SuffixArray(strings)
-    run = np.cumsum(sa.common() < width)
-    run -= run[0] if len(run) else 0
-    owner = sa.owner[sa.order]
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(run) != 0]))
-    least = np.minimum.reduceat(ids[owner], heads)
-    late = (ids[owner] > least[run]) & (sa.left[sa.order] >= width)
-    at = sa.order[late]
+    new = ~sa.alike(width)
+    own = ids[sa.owner[sa.order]]
+    heads = np.flatnonzero(new)
+    least = np.minimum.reduceat(own, heads)
+    at = sa.order[own > np.repeat(least, np.diff(heads, append=len(own)))]
     begin = np.concatenate([[0], sa.ends[:-1] + 1])
     masks = np.zeros(len(strings), np.int64)
     np.bitwise_or.at(masks, sa.owner[at], np.int64(1) << (at - begin[sa.owner[at]]))
@@ -288,19 +287,19 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             x, y = np.searchsorted(flat[:, 0], [a, b])
             base = begins[flat[x:y, 0] - a] + flat[x:y, 1]
             size = int(lengths.sum())
-            change = np.zeros(size + 1, np.int64)
+            begun = np.zeros(size + WIDTH, bool)  # where a string to be removed begins
             for bit in range(WIDTH - SEED + 1):
-                at = base[(mask[x:y] >> bit) & 1 == 1] + bit
-                change += np.bincount(at, minlength=size + 1)[: size + 1]
-                change -= np.bincount(at + WIDTH, minlength=size + 1)[: size + 1]
-            gone = np.cumsum(change[:-1]) > 0
+                begun[base[(mask[x:y] >> bit) & 1 == 1] + bit] = True
+            until = np.cumsum(begun, dtype=np.int32)
+            gone = until[:size] > np.concatenate([np.zeros(WIDTH, np.int32), until[: max(0, size - WIDTH)]])[:size]
             buf = np.frombuffer(b"".join(raws[a:b]), np.uint8)
             for raw, begin, length in zip(raws[a:b], begins, lengths, strict=True):
                 own = gone[begin : begin + length]
                 if not own.any():
                     out["n_removed"].append(0), out["n_spans"].append(0), out["kept"].append(raw), out["spans"].append([])
                     continue
-                edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+                fenced = np.concatenate([[False], own, [False]])
+                edges = np.flatnonzero(fenced[1:] != fenced[:-1]).reshape(-1, 2)
                 out["n_removed"].append(int(own.sum())), out["n_spans"].append(len(edges)), out["kept"].append(buf[begin : begin + length][~own].tobytes())
                 out["spans"].append([{"start": s, "end": e} for s, e in edges.tolist()])
         columns = [pa.array(given, pa.int64()), pa.array([len(r) for r in raws], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in out["kept"]], pa.string()), pa.array(out["kept"], pa.binary())]

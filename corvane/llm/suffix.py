@@ -26,24 +26,33 @@ class SuffixArray:
             self.keys = (self.keys << 9) | np.where(self.left > j, padded[j : j + n], 0)
         self.order = self._sorted()
 
-    def _key(self, at: np.ndarray, chunk: int) -> np.ndarray:
-        inside = self.left[at] > chunk * CHUNK
-        return np.where(inside, self.keys[np.where(inside, at + chunk * CHUNK, 0)], 0)
+    def _key(self, at: np.ndarray, last: np.ndarray, chunk: int) -> np.ndarray:
+        """Sort keys of the symbols from a chunk on; `last` are the ends of the suffixes' strings, whose key is 0."""
+        return self.keys.take(np.minimum(at + chunk * CHUNK, last))
 
     def _direct(self, at: np.ndarray) -> np.ndarray:
         """Sort these suffixes by their symbols, those still tied chunk by chunk; equal strings by place."""
-        order = at[np.argsort(self.keys[at], kind="stable")]
-        tied, of = np.arange(len(order)), np.cumsum(np.concatenate([[0], np.diff(self.keys[order]) != 0])) if len(order) else order
+        key = self.keys.take(at)
+        by = np.argsort(key, kind="stable")
+        order, key = at[by], key[by]
+        tied, new = np.arange(len(order)), np.concatenate([[True], key[1:] != key[:-1], [True]])[: len(order) + 1]
+        some, last = order, order + self.left.take(order)
         for chunk in range(1, int(self.left.max(initial=0)) // CHUNK + 1):
-            alone = np.diff(of, prepend=-1, append=-1) != 0
-            tied, of = (x[~(alone[:-1] & alone[1:])] for x in (tied, of))
-            if not len(tied):
+            more = np.flatnonzero(~(new[:-1] & new[1:]))
+            if not len(more):
                 break
-            some = order[tied]
-            key = self._key(some, chunk)
-            again = np.lexsort((key, of))  # stable, so that equal ones stay in place order
-            order[tied], key = some[again], key[again]
-            of = np.cumsum(np.concatenate([[0], (of[1:] != of[:-1]) | (key[1:] != key[:-1])]))
+            tied, some, last, new = tied[more], some[more], last[more], np.append(new[more], True)
+            key = self._key(some, last, chunk)
+            falls = np.flatnonzero((key[1:] < key[:-1]) & ~new[1:-1])
+            if len(falls):  # only ties that aren't in order yet are sorted
+                of = np.cumsum(new[:-1]) - 1
+                odd = np.zeros(int(of[-1]) + 1, bool)
+                odd[of[falls]] = True
+                these = np.flatnonzero(odd[of])
+                again = these[np.lexsort((key[these], of[these]))]  # stable, so that equal ones stay in place order
+                some[these], last[these], key[these] = some[again], last[again], key[again]
+                order[tied[these]] = some[these]
+            new[1:-1] |= key[1:] != key[:-1]
         return order
 
     def _sorted(self) -> np.ndarray:
@@ -93,8 +102,23 @@ class SuffixArray:
             rows = np.flatnonzero(open_)
             if not len(rows):
                 break
-            x, y = self._key(a[rows], chunk), self._key(b[rows], chunk)
+            x, y = (self._key(at, at + self.left[at], chunk) for at in (a[rows], b[rows]))
             differ = x ^ y
             same[rows] += sum((differ < 1 << 9 * j).astype(np.int8) for j in range(CHUNK))
             open_[rows] = differ == 0
         return np.concatenate([[0], np.minimum(same, most)])
+
+    def alike(self, width: int) -> np.ndarray:
+        """Whether each suffix has its first `width` symbols, none of them an end, in common with the one before it in order."""
+        out = self.left.take(self.order) >= width
+        out[:1] = False
+        out[1:] &= self.left.take(self.order[:-1]) >= width
+        rows = np.flatnonzero(out)
+        steps = sorted({*range(0, max(width - CHUNK, 0), CHUNK), width - CHUNK}, reverse=True) if width >= CHUNK else []
+        for step in steps:  # neighbours differ late, if at all
+            differ = self.keys.take(self.order[rows] + step) != self.keys.take(self.order[rows - 1] + step)
+            out[rows[differ]] = False
+            rows = rows[~differ]
+        for step in range(width if width < CHUNK else 0):
+            out[rows] &= self.text.take(self.order[rows] + step) == self.text.take(self.order[rows - 1] + step)
+        return out

@@ -121,6 +121,22 @@ def test_suffix_array():
         assert sa.common().tolist() == [0, *(shared(tails[a][0], tails[b][0]) for a, b in zip(order, order[1:], strict=False))]
 
 
+def test_suffix_array_does_little_for_copies(monkeypatch):
+    """Suffixes of equal strings are in order already, and are not sorted again chunk by chunk; nor are common prefixes counted beyond the width."""
+    sizes, real = [], suffix.np.lexsort
+    monkeypatch.setattr(suffix.np, "lexsort", lambda keys: sizes.append(len(keys[0])) or real(keys))
+    rng = random.Random(6)
+    one, other = (bytes(rng.choices(b"abcd", k=80)) for _ in range(2))
+    strings = [one] * 300 + [other] * 200 + [one[20:]]
+    sa = suffix.SuffixArray(strings)
+    assert sum(sizes) < len(sa.text) / 10
+    for width in (1, 3, 7, 8, 50):
+        assert sa.alike(width).tolist() == (sa.common() >= width).tolist()
+    masks = dedup.windows_of_earlier(strings, np.arange(len(strings)))
+    whole = (1 << 31) - 1
+    assert masks.tolist() == [0] + [whole] * 299 + [0] + [whole] * 199 + [(1 << 11) - 1]
+
+
 def removed(rows, width=50):
     """By brute force: bytes removed of each row, by the smallest id that holds each string."""
     first = {}
