@@ -405,6 +405,45 @@ def test_attention_scores_each_id_once():
     assert np.allclose(m.forward(a[None, :32], table)[-1][0, :31], m.forward(np.concatenate([a[:31], b[-1:]])[None], table)[-1][0, :31])
 
 
+def test_training_step_is_the_gradient():
+    """One step over all windows goes down the slope of the loss, in each part of the layer."""
+    rng = np.random.default_rng(3)
+    m, _, _ = toy_model(rng)
+    t = rng.integers(0, 50, attention.BATCH * attention.WINDOW + 1).astype(np.int32)
+    window, target = t[:-1].reshape(-1, attention.WINDOW), t[1:]
+
+    def loss(m):
+        y = m.forward(window, m.embedded())[-1].reshape(-1, attention.DIM).astype(np.float64)
+        odds, side = y @ m.start[:-1] + m.start[-1], m.begins[target].astype(int)
+        logits = np.einsum("td,tdc->tc", y, m.head[side]) + m.bias[side]
+        own = logits[np.arange(len(target)), m.classes[target]] - np.log(np.exp(logits).sum(1))
+        return -(own - attention.softplus(np.where(side == 1, -odds, odds))).mean()
+
+    one, _, _ = attention.train(m, t, least_steps=1, rate=1e-3)
+    flat, moved = attention.flattened(m).astype(np.float64), attention.flattened(one) - attention.flattened(m)
+    rate = 1e-3 / 20 * (1 - 0.9 / 2)
+    begin = 0
+    for k in attention.LAYER:  # Adam's first step goes one rate down each slope
+        size = getattr(m, k).size
+        large = np.flatnonzero(np.abs(moved[begin : begin + size]) > rate / 2) + begin  # not of classes that no id has
+        up, down = flat.copy(), flat.copy()
+        up[large], down[large] = flat[large] - 2e-3 * np.sign(moved[large]), flat[large] + 2e-3 * np.sign(moved[large])
+        assert len(large) and np.abs(moved[large]).max() < 1.05 * rate
+        assert loss(attention.averaged(m, down, m.ids)) < loss(attention.averaged(m, up, m.ids))
+        begin += size
+
+
+def test_neighbours_are_narrow_numbers():
+    rng = np.random.default_rng(4)
+    for size, kind in ((50_000, np.int32), (8_000_000, np.int64)):
+        t = np.append(rng.integers(0, size, 500), size - 1).astype(np.int32)
+        wide = attention.CELLS + attention.NEIGHBOURS
+        want = [int(b) * wide + int(attention.cells(np.array([a]), attention.CELLS)[0]) for a, b in itertools.pairwise(t)]
+        want += [int(a) * wide + attention.CELLS + int(attention.cells(np.array([b]), attention.NEIGHBOURS)[0]) for a, b in itertools.pairwise(t)]
+        got = attention.neighbours(t)
+        assert got.dtype == kind and got.tolist() == sorted(want)
+
+
 def test_gradients():
     """A small step of training lowers the loss that it is for."""
     rng = np.random.default_rng(1)
