@@ -74,3 +74,24 @@ def test_pairs_are_listed_by_even_tasks(spark, tables):
     got = registry.visible(*tables, spark.createDataFrame([("1", "b")], "repository_id string, branch string"))
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) <= sum(sizes) / 2
+
+
+def test_users_meet_repositories_in_groups(spark, tables, monkeypatch):
+    """Users travel to each slice of the repositories as groups, not one by one; a set of many users is split, so a task holds few pairs at a time."""
+    repos, _, _, hidden = tables
+    branches = spark.createDataFrame([("1", "b")], "repository_id string, branch string")
+    some = repos.where("added_at < 30")
+    many = spark.range(20_000).select(F.col("id").alias("user_id"), (F.col("id") % 2).alias("hides"))
+    none = spark.createDataFrame([], "user_id long, repository_id string")
+    assert shuffled(spark, registry.visible(some, many, none, hidden, branches)) < 3 * 20_000
+    got = registry.visible(*tables, branches)
+    want = values(got)
+    monkeypatch.setattr(registry, "GROUP_USERS", 50)
+    assert values(registry.visible(*tables, branches)) == want
+
+
+def test_a_null_user_sees_what_its_set_shows(spark, tables):
+    repos, _, grants, hidden = tables
+    users = spark.createDataFrame([(None, 1), (2, 1)], "user_id long, hides long")
+    got = registry.visible(repos, users, grants.limit(0), hidden, spark.createDataFrame([], "repository_id string, branch string"))
+    assert {r["user_id"]: r["count"] for r in got.groupBy("user_id").count().collect()} == {None: 450, 2: 450}
