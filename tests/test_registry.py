@@ -95,3 +95,41 @@ def test_a_null_user_sees_what_its_set_shows(spark, tables):
     users = spark.createDataFrame([(None, 1), (2, 1)], "user_id long, hides long")
     got = registry.visible(repos, users, grants.limit(0), hidden, spark.createDataFrame([], "repository_id string, branch string"))
     assert {r["user_id"]: r["count"] for r in got.groupBy("user_id").count().collect()} == {None: 450, 2: 450}
+
+
+def nodes(rows):
+    """The plan's operators, once it has run."""
+    rows.collect()
+    found, plan = [], [rows._jdf.queryExecution().executedPlan()]
+    while plan:
+        p = plan.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plan.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plan.append(p.plan())
+        else:
+            found.append((name, p))
+            plan += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+def with_lists(rows, kind: str) -> list:
+    return [p for name, p in nodes(rows) if name == kind and "hidden#" in p.output().mkString(",")]
+
+
+def test_lists_are_copied_one_at_a_time(tables):
+    """An explode makes all copies of its row before any is handed on, so it must not carry a list; nor may few copies be broadcast to the lists."""
+    repos, users, grants, hidden = tables
+    got = registry.visibility(repos, users, grants, hidden.withColumn("hides", F.col("repository_id").cast("long") % 4 + 1))  # a literal set would need no key to join by
+    assert not with_lists(got, "GenerateExec")
+    assert len(with_lists(got, "SortMergeJoinExec")) >= 1
+
+
+def test_lists_have_no_more_copies_than_parts(tables, monkeypatch):
+    want = values(registry.visibility(*tables))
+    monkeypatch.setattr(registry, "SHARE_USERS", 1)
+    got = registry.visibility(*tables)
+    assert values(got) == want
+    rows = sum(p.metrics().apply("shuffleRecordsWritten").value() for p in with_lists(got, "ShuffleExchangeExec"))
+    assert 0 < rows <= 2 * 4
